@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,25 +41,6 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+``; ``bytes.split`` splits at just these bytes."""
-    if len(data) <= SEGMENT:
-        words = data.split()
-        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    parts, at = [], 0
-    while at < len(data):
-        end = min(at + SEGMENT, len(data))
-        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
-            end += 1
-        parts.append(word_hashes_of(data[at:end].split()))
-        at = end
-    return np.concatenate(parts)
-
-
-def word_hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -103,3 +84,87 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         labels = after.select("id", "comp")
         if after.where("moved").isEmpty():
             return labels
+
+
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        bases = (_BASE, pow(_BASE, -1, 1 << 64))
+        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(b))]), dtype=np.uint64) for b in bases]
+    return _powers[0], _powers[1]
+
+
+def words_in(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes.
+
+    Differences of a running polynomial, brought back to power zero, hash all words at once.
+    """
+    codes = np.frombuffer(data, np.uint8)
+    edge = np.diff((~_SPACE[codes]).astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers_to(len(codes) + 1)
+    running = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_BYTES[codes] * power[: len(codes)], out=running[1:])
+    return starts, ends, mix((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def segments(data: bytes, size: int = SEGMENT) -> Iterator[bytes]:
+    """Stretches of a text of about ``size`` bytes, cut at white space, so that no word is cut."""
+    at = 0
+    while at < len(data):
+        end = min(at + size, len(data))
+        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        yield data[at:end]
+        at = end
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in order."""
+    parts = [words_in(part)[2] for part in segments(data)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
+
+
+def word_segments(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a bounded stretch of it at a time; ``bytes.split`` splits at the same bytes."""
+    return (part.split() for part in segments(data))
+
+
+#: Bits of the filters that go to all tasks. Fixed, so they never grow with the data; when they fill
+#: up they let more through, and the exact join behind them has more to do.
+FILTER_BITS = 1 << 23
+
+
+def filter_bits(slots: DataFrame) -> np.ndarray:
+    """The bits named by ``slot`` (0 to FILTER_BITS - 1): at most 256 maps of 4 KB come to the driver."""
+    number = F.col("slot") + 1
+    maps = slots.select(F.bitmap_bucket_number(number).alias("b"), F.bitmap_bit_position(number).alias("p"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in maps.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect():
+        at = (row["b"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(row["m"], np.uint8)
+    return bits
+
+
+def id_slot():
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of all documents named in ``ids(doc_id)``, and of few others: spares the rest a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(ids.where("doc_id is not null").select(id_slot().alias("slot"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("slot").to_numpy(zero_copy_only=False)
+            mask = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(mask.astype(bool)))
+
+    return texts(docs).where("doc_id is not null").withColumn("slot", id_slot()).mapInArrow(run, "doc_id long, text string")
