@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules
+from . import language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_scan, token_counts
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,10 +22,19 @@ def op1_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return token_counts.attribute(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
