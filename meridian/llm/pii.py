@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -285,19 +286,60 @@ def clean(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, in
     return "".join([*out, text[at:]])
 
 
+def _cleaned(docs: DataFrame, bits: np.ndarray, found: bool) -> DataFrame:
+    """Rows with (or without) a word that the filter lets through: without, cleaned; with, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    any_bit = bool(bits.any())
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+
+        def hit(text: str) -> bool:
+            for word in set(_WORD.findall(text.lower())):
+                if word not in known:
+                    slot = _hash(word) % FILTER_BITS
+                    if len(known) > 500_000:
+                        known.clear()
+                    known[word] = bool(shared.value[slot >> 3] >> (slot & 7) & 1)
+                if known[word]:
+                    return True
+            return False
+
+        for batch in batches:
+            values = batch.column("text").to_pylist()
+            mask = [any_bit and bool(t) and hit(t) for t in values]
+            part = batch.filter(pa.array([m == found for m in mask], pa.bool_()))
+            if not found:
+                new = [t and clean(t, base_spans(t), []) for t, m in zip(values, mask, strict=True) if not m]
+                columns = list(part.columns)
+                columns[at] = pa.array(new, part.column(at).type)
+                part = pa.RecordBatch.from_arrays(columns, part.schema.names)
+            yield part
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
-    """``docs`` with cleaned texts: all rows and columns stay, null texts stay null."""
+    """``docs`` with cleaned texts: all rows and columns stay, null texts stay null.
+
+    Rows without any word that the filter takes for disclosing are cleaned where they are; the others
+    are joined with the terms.
+    """
     names = docs.columns
-    numbered = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
-    found = find_spans(_numbered(docs), window, support, disclosed).where("size(base) > 0 or size(terms) > 0")
-    found = found.dropDuplicates(["row"]).select(F.col("row").alias("__row"), F.col("base").alias("__base"), F.col("terms").alias("__terms"))
+    terms = disclosing_terms(docs, window, support, disclosed)
+    bits = _filter_bits(terms)
+    sure = _cleaned(docs, bits, False)
+    if not bits.any():
+        return sure
+    rest = _cleaned(docs, bits, True)
+    places = _occurrences(_numbered(rest), bits)
+    exact = places.select("row", F.explode("words").alias("w")).select("row", "w.*").join(terms, "term")
+    exact = exact.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__terms")).withColumnRenamed("row", "__row")
+    joined = rest.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(exact, "__row", "left")
 
     @F.pandas_udf("string")
-    def cleaned(text, base, terms):
-        import pandas as pd
-
-        return pd.Series([clean(t, [(s["kind"], s["start"], s["end"]) for s in b], [(s["start"], s["end"]) for s in w]) for t, b, w in zip(text, base, terms, strict=True)])
+    def cleaned(text: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([clean(t, base_spans(t), [] if w is None else [(s["start"], s["end"]) for s in w]) for t, w in zip(text, terms, strict=True)], dtype=object)
 
-    both = numbered.join(found, "__row", "left")
-    changed = both.where("__base is not null").withColumn("text", cleaned("text", "__base", "__terms"))
-    return both.where("__base is null").select(*names).unionByName(changed.select(*names))
+    return sure.unionByName(joined.withColumn("text", cleaned("text", "__terms")).select(*names))

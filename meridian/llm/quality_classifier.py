@@ -108,6 +108,11 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: i
     return [(r["text"].encode(), quality[r["doc_id"]]) for r in sorted(found, key=lambda r: r["doc_id"])]
 
 
+def _shared_model(docs: DataFrame, labels: DataFrame, rows: int, chars: int):
+    pairs = sample(docs, labels, rows, chars)
+    return docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in pairs], [q for _, q in pairs]))
+
+
 def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
@@ -115,8 +120,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars:
     Repeated rows each get a row. Without labels every score is 0.5. Extra columns are ignored, and
     neither doc_id, lang, source nor a label takes part in a score.
     """
-    pairs = sample(docs, labels, rows, chars)
-    model = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in pairs], [q for _, q in pairs]))
+    model = _shared_model(docs, labels, rows, chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,3 +129,15 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars:
 
     scored = texts(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` predicts as 1, with all their columns, without a shuffle of texts."""
+    model = _shared_model(docs, labels, rows, chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = [model.value.score(t or b"") >= ACCEPTED for t in binary_column(batch, "text")]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

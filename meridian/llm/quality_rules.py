@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from .shared import binary_column, texts, texts_of, word_segments
 
-GRAM, BUCKETS, SMOOTHING = 4, 1 << 16, 1.0
+GRAM, BUCKETS = 4, 1 << 16
+#: n-grams drawn from all documents that the trusted ones are taken to hold besides their own. They
+#: keep what few trusted texts merely miss from counting against a document.
+PRIOR = 1 << 20
 THRESHOLD = -0.15
 _SLAB = 1 << 20
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -108,11 +111,23 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     """log p(bucket | trusted) - log p(bucket | all); nothing where no document is trusted."""
     if not target.sum():
         return np.zeros(BUCKETS)
-    p = (target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS)
-    q = (raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS)
+    q = (raw + 1) / (raw.sum() + BUCKETS)
+    p = (target + PRIOR * q) / (target.sum() + PRIOR)
     return np.log(p) - np.log(q)
 
 
+def _shared_ratios(docs: DataFrame, labels: DataFrame):
+    ratios = log_ratios(gram_counts(trusted_texts(docs, labels)), gram_counts(texts(docs)))
+    return docs.sparkSession.sparkContext.broadcast(ratios)
+
+
+def judged(text: bytes, table: np.ndarray, threshold: float) -> tuple:
+    words, chars, symbols, dups, repeats = base_counts(text)
+    llr = sum(float(table[g].sum()) for g in grams(text)) / max(1, len(text) - GRAM + 1)
+    failed = words < 10 or 100 * repeats > 20 * words
+    return words, chars, symbols, dups, repeats, failed, llr, not failed and llr >= threshold
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: the base counts, ``base_failed``, ``llr`` and ``kept``.
 
@@ -121,23 +136,27 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     words, a ratio of 0, and fail. Without trusted documents every ratio is 0. Repeated rows each get
     a row and count as often as they occur. Extra columns are ignored.
     """
-    raw = gram_counts(texts(docs))
-    ratios = log_ratios(gram_counts(trusted_texts(docs, labels)), raw)
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    shared = _shared_ratios(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            rows = []
-            for text in binary_column(batch, "text"):
-                words, chars, symbols, dups, repeats = base_counts(text)
-                total = sum(float(table[g].sum()) for g in grams(text))
-                llr = total / max(1, len(text) - GRAM + 1)
-                failed = words < 10 or 100 * repeats > 20 * words
-                rows.append((words, chars, symbols, dups, repeats, failed, llr, not failed and llr >= threshold))
+            rows = [judged(text, table, threshold) for text in binary_column(batch, "text")]
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
     return texts(docs).mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``apply_rules`` keeps, with all their columns, without a shuffle of texts."""
+    shared = _shared_ratios(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = [judged(text or b"", shared.value, threshold)[-1] for text in binary_column(batch, "text")]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -168,3 +168,25 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.select(["doc_id", "text"]).filter(pa.array(mask.astype(bool)))
 
     return texts(docs).where("doc_id is not null").withColumn("slot", id_slot()).mapInArrow(run, "doc_id long, text string")
+
+
+def _by_filter(docs: DataFrame, bits, found: bool) -> DataFrame:
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("__slot").fill_null(0).to_numpy(zero_copy_only=False)
+            mask = ((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+            yield batch.select(names).filter(pa.array(mask == found))
+
+    return docs.withColumn("__slot", id_slot()).mapInArrow(run, docs.schema)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``ids(doc_id)``.
+
+    A fixed-size filter passes most rows on where they are; only those that it takes for named are
+    shuffled and held against the ids themselves. Rows without a doc_id stay.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(ids.where("doc_id is not null").select(id_slot().alias("slot"))))
+    return _by_filter(docs, bits, False).unionByName(_by_filter(docs, bits, True).join(ids, "doc_id", "left_anti").select(*docs.columns))
