@@ -15,17 +15,22 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, components, mix, shingle_hashes, table, texts, word_hashes
+from .shared import binary_column, components, mix, shingle_hashes, table, texts, texts_of, without, word_hashes
 
 HASHES, ROWS, LOW_BITS = 192, 5, 4
 BANDS = HASHES // ROWS
 WORDS = HASHES // 64
 ESTIMATE_CUT = 0.64
+#: Centres of a class that round one estimates.
+CENTRES = 3
+#: Shingles of one side of a block.
+BLOCK = 200_000
 _MULTIPLIERS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -96,12 +101,12 @@ def estimate(a: str, b: str):
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of ``pairs(a, b)`` those whose whole sets meet ``100 * shared >= percent * joined``.
 
-    Only texts of documents that stand in a pair are shuffled. A centre with very many partners
-    makes a skewed join, which Spark splits; each task keeps the few sets it used last.
+    Only texts of documents that stand in a pair, and the few others that a fixed-size filter lets
+    through, are shuffled. A centre with very many partners makes a skewed join, which Spark splits;
+    each task keeps the few sets it used last.
     """
     pairs = pairs.select("a", "b")
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = texts(docs).join(named, "doc_id", "left_semi")
+    wanted = texts_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
     both = pairs.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -129,12 +134,49 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
+def confirmed_in_blocks(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Like ``confirmed`` for ``pairs(a, b, n, n2, comp2)`` with many pairs to a document.
+
+    The two sides of all pairs that lead into one component are dealt to blocks of about ``BLOCK``
+    shingles, and a text goes once to each block that needs it, instead of once to each pair.
+    """
+
+    def parts(side: str, size: str, name: str) -> DataFrame:
+        own = pairs.groupBy("comp2", side).agg(F.max(size).alias("n"))
+        return own.groupBy("comp2").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias(name))
+
+    dealt = pairs.join(parts("a", "n", "na"), "comp2").join(parts("b", "n2", "nb"), "comp2")
+    dealt = dealt.select("a", "b", "comp2", F.pmod(F.xxhash64("a"), F.greatest("na", F.lit(1))).alias("i"), F.pmod(F.xxhash64("b"), F.greatest("nb", F.lit(1))).alias("j"))
+    dealt = table(dealt, "blocks")
+    wanted = texts_of(docs, dealt.select(F.col("a").alias("doc_id")).union(dealt.select(F.col("b").alias("doc_id"))))
+    key = ["comp2", "i", "j"]
+    left = dealt.groupBy(*key, "a").agg(F.collect_list("b").alias("bs")).join(wanted.select(F.col("doc_id").alias("a"), "text"), "a")
+    right = dealt.select(*[F.col(c).alias(f"{c}_") for c in key], "b").distinct().join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+
+    def run(ones: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        sets = {b: shingle_set(t.encode(), k) for b, t in zip(others["b"], others["other"], strict=True)}
+        out_a, out_b = [], []
+        for a, bs, text in zip(ones["a"], ones["bs"], ones["text"], strict=True):
+            own = shingle_set(text.encode(), k)
+            held = [sets[b] for b in bs]
+            sizes = np.array([len(x) for x in held])
+            every = np.concatenate(held)
+            same = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            shared = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
+            for b in np.asarray(bs)[100 * shared >= percent * (len(own) + sizes - shared)]:
+                out_a.append(a)
+                out_b.append(b)
+        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
+
+    return left.groupBy(*key).cogroup(right.groupBy(*[f"{c}_" for c in key])).applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Documents with equal shingle sets form a class, named by its smallest doc_id, and only classes
-    are compared. Round one confirms each class against the best-estimated of its buckets' smallest
-    members; round two confirms every pair that shares a bucket, passes the estimate and is not
+    are compared. Round one takes the smallest members of a class's buckets, those it meets in most
+    bands, and confirms the best-estimated; round two confirms every pair that shares a bucket, passes the estimate and is not
     linked by then. No pair is left out by a cap: within a component pairs need no comparing, and
     in round two a bucket's commonest component is met only by those outside it.
 
@@ -151,7 +193,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     buckets = bands.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b")
     members = table(bands.join(buckets, "key"), "members")
     sigs = reps.select("a", "n", "sig")
-    stars = members.where("a <> b").select("a", "b").distinct()
+    # a class has one bucket in each band, so the lists are short whatever the data
+    tried = members.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("c", (-F.col("b")).alias("b"))), asc=False).alias("m"))
+    stars = tried.select("a", F.explode(F.slice("m", 1, CENTRES)).alias("m")).select("a", (-F.col("m.b")).alias("b"))
     scored = stars.join(sigs, "a").join(sigs.select(F.col("a").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "b")
     alike = scored.where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (estimate("sig", "sig2") >= ESTIMATE_CUT))
     best = alike.select("a", "b", estimate("sig", "sig2").alias("e")).groupBy("a").agg(F.max(F.struct("e", (-F.col("b")).alias("b"))).alias("m"))
@@ -167,11 +211,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     right = placed.select("key", F.col("a").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("comp").alias("comp2"), F.col("in_main").alias("in_main2"))
     meets = (F.col("comp") != F.col("comp2")) & (F.col("in_main2") | (F.col("a") > F.col("b")))
     meets &= (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (estimate("sig", "sig2") >= ESTIMATE_CUT)
-    rest = left.join(right, (left.key == right.key) & meets).select("a", "b").distinct()
-    second = table(confirmed(table(rest, "pairs"), docs, k, percent), "links")
+    rest = left.join(right, (left.key == right.key) & meets).select("a", "b", "n", "n2", "comp2").distinct()
+    second = table(confirmed_in_blocks(table(rest, "pairs"), docs, k, percent), "links")
     comps = components(first.union(second), "second")
 
     named = classes.join(comps, classes.rep == comps.id, "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` less all but the smallest doc_id of every component, with all columns."""
+    return without(docs, table(near_duplicates(docs, k, percent).where("not kept").select("doc_id"), "dropped"))
