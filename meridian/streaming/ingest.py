@@ -15,15 +15,14 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from meridian.operators import ingest
 from meridian.operators.bookkeeping import write_partitions
 from meridian.schemas import INDEXER_VERSION, ITEMS
 
-LANDED = T._parse_datatype_string("id string, org_id string, name string, register_url string, body string")
-_STATE = T._parse_datatype_string("id string, modified string, indexer_version int, outcome string, batch long")
-_EDGES = T._parse_datatype_string("source_id string, target_id string, kind string, register_id string")
+LANDED = "id string, org_id string, name string, register_url string, body string"
+_STATE = "id string, modified string, indexer_version int, outcome string, batch long"
+_EDGES = "source_id string, target_id string, kind string, register_id string"
 CRAWL_INTERVAL = 3600.0
 
 
@@ -36,7 +35,7 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def read(self, spark: SparkSession, name: str, schema: T.StructType) -> DataFrame:
+    def read(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
         try:
             return spark.read.schema(schema).parquet(self.path(name))
         except AnalysisException:

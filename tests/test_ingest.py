@@ -1,0 +1,177 @@
+"""Polymorphic documents, chunks, sources and the stream."""
+
+import json
+import urllib.error
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from meridian.operators import ingest
+from meridian.schemas import ITEMS
+from meridian.sources import http
+from meridian.streaming.ingest import Store, edges_of, run_available, run_forever
+
+
+def _docs(spark, *bodies):
+    return spark.createDataFrame([(json.dumps(b),) for b in bodies], "body string")
+
+
+def _fetched(spark, *registers):
+    rows = [(i, i.split("/")[0], i.split("/")[1], f"http://{i}", json.dumps(body)) for i, body in registers]
+    return spark.createDataFrame(rows, "id string, org_id string, name string, register_url string, body string")
+
+
+def test_discovery_skips_stray_keys(spark):
+    got = ingest.registers(_docs(spark, {"@o/a/b": "u1", "default": "u2", "@nope": "u3", "o/c": "u4"})).collect()
+    assert [tuple(r) for r in got] == [("o/a/b", "o", "a/b", "u1")]
+    orgs = {r.id: (r.name, r.description, [tuple(m) for m in r.maintainers]) for r in ingest.organizations(_docs(spark, {"o": {"name": "O", "maintainers": [{"github": "g"}]}, "p": {"description": "d"}})).collect()}
+    assert orgs == {"o": ("O", None, [("g", None)]), "p": ("p", "d", [])}
+    with pytest.raises(PySparkException):
+        ingest.registers(_docs(spark, ["not", "an", "object"])).collect()
+
+
+ITEM = {
+    "itemIdentifier": "x", "name": "", "itemClass": "schema", "schema": {"application/json": "s1"}, "ldContext": "c", "shaclShapes": {"x": ["u1", "u2"], "y": ["u3"]},
+    "dependsOn": ["bblocks://y", "z", "z", 5], "isProfileOf": "bblocks://w", "tags": ["t", "u"], "sources": [{"title": "S", "link": "l"}],
+}
+
+
+def test_items_and_edges_of_any_shape(spark):
+    fetched = _fetched(spark, ("o/r", {"bblocks": [ITEM, {"name": "no id"}, {"itemIdentifier": "y", "shaclShapes": ["v"], "schema": "ignored", "isProfileOf": ["a", "b"]}]}))
+    accepted = ingest.raw_items(fetched)
+    rows = {r.id: r for r in ingest.items(accepted).collect()}
+    assert set(rows) == {"x", "y"}
+    x, y = rows["x"], rows["y"]
+    assert (x.name, x.has_schema, x.has_ld_context, x.shacl_shapes_urls, x.tags, x.schema_urls) == ("", True, True, ["u1", "u2", "u3"], ["t", "u"], {"application/json": "s1"})
+    assert (y.name, y.has_schema, y.has_shacl_shapes, y.shacl_shapes_urls, y.tags) == ("y", False, True, ["v"], [])
+    got = {tuple(r) for r in ingest.edges(accepted).collect()}
+    assert got == {("x", "y", "dependsOn"), ("x", "z", "dependsOn"), ("x", "w", "isProfileOf"), ("y", "a", "isProfileOf"), ("y", "b", "isProfileOf")}
+
+
+def test_register_facts_take_the_first_filled(spark):
+    row = ingest.register_facts(_fetched(spark, ("o/r", {"name": "", "abstract": "", "description": "d", "modified": "m"}))).first()
+    assert (row.name, row.description, row.modified) == ("r", "d", "m")
+
+
+def test_first_owner_wins(spark):
+    fetched = _fetched(spark, ("o/a", {"bblocks": [{"itemIdentifier": "x", "name": "first"}, {"itemIdentifier": "x", "name": "again"}]}), ("o/b", {"bblocks": [{"itemIdentifier": "x"}, {"itemIdentifier": "y"}, {"itemIdentifier": "z"}]}))
+    order = fetched.select(F.col("id").alias("register_id"), F.col("id").alias("crawl_seq"))
+    owners = spark.createDataFrame([("y", "o/old"), ("z", "o/a")], "item_id string, register_id string")
+    claimed = ingest.claims(ingest.raw_items(fetched), order, owners)
+    assert {(r.id, r.register_id, r.name) for r in ingest.items(claimed.filter("accepted")).collect()} == {("x", "o/a", "first"), ("z", "o/b", "z")}
+    assert {tuple(r) for r in ingest.conflicts(claimed).collect()} == {("x", "o/a", "o/b"), ("y", "o/old", "o/b")}
+
+
+def test_change_detection(spark):
+    df = spark.createDataFrame([(None, "m", 2), ("m", "m", 2), ("m", "n", 2), ("m", "m", 1)], "f string, s string, v int")
+    assert [r[0] for r in df.select(ingest.needs_reindex(F.col("f"), F.col("s"), F.col("v"))).collect()] == [True, False, True, True]
+
+
+def _chunks(spark, item, register=None, **fetches):
+    fetched = _fetched(spark, ("o/r", {**(register or {}), "bblocks": [item]}))
+    rows = [(u, None if isinstance(b, Exception) else json.dumps(b), str(b) if isinstance(b, Exception) else None) for u, b in fetches.items()]
+    found, failed = ingest.chunks(fetched, ingest.raw_items(fetched), spark.createDataFrame(rows, "url string, body string, error string"))
+    return {r.chunk_type: r.text for r in found.collect()}, [r.item_id for r in failed.collect()]
+
+
+FULL = {"description": "long", "examples": [{"title": "T", "content": "C", "snippets": [{"language": "ttl", "code": "no"}, {"language": "json", "code": "{}"}]}, "odd"]}
+LINKED = {"itemIdentifier": "x", "name": "N", "abstract": "A", "tags": ["t"], "ldContext": "ctx", "resolvedSchemaProperties": "props", "documentation": {"json-full": {"url": "full"}}, "sources": [{"title": "S"}], "transforms": [{"id": "1", "description": "D"}]}
+
+
+def test_all_chunk_types(spark):
+    context = {"@context": [{"f": "u:f", "@version": 1.1}, {"g": {"@id": "u:g"}, "h": 3}]}
+    got, failed = _chunks(spark, LINKED, {"name": "R", "abstract": "RA"}, full=FULL, ctx=context)
+    assert failed == []
+    assert got == {"register_summary": "R\nRA", "item_core": "N\nA\nTags: t", "item_description": "long", "item_schema": "f: u:f\ng: u:g", "item_usage": "Sources: S\nTransforms: D\nT\nC\n{}"}
+
+
+def test_properties_stand_in_for_the_context(spark):
+    props = {"properties": [{"path": ["a"]}, {"path": ["a", "b"]}, {"path": []}, {"path": ["a"]}]}
+    got, failed = _chunks(spark, LINKED, full=FULL, ctx=OSError("down"), props=props)
+    assert got["item_schema"] == "a\na.b" and failed == []
+
+
+def test_failed_fetches(spark):
+    got, failed = _chunks(spark, {"itemIdentifier": "x", "name": "N", "ldContext": "ctx"}, ctx=OSError("down"))
+    assert got == {"item_core": "N"} and failed == []
+    got, failed = _chunks(spark, LINKED, full=OSError("down"))
+    assert got == {} and failed == ["x"]
+
+
+def test_usage_is_cut(spark):
+    got, _ = _chunks(spark, LINKED, full={"examples": [{"title": "é" * 5000}]})
+    assert len(got["item_usage"]) == 2000
+
+
+class _Answer:
+    def __init__(self, body):
+        self.body = body
+
+    def read(self):
+        return self.body
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *a):
+        return False
+
+
+def test_http_retries_only_what_may_pass():
+    waits, answers = [], [OSError("reset"), urllib.error.HTTPError("u", 429, "slow", {}, None), urllib.error.HTTPError("u", 503, "down", {}, None), _Answer(b"{}")]
+
+    def opener(url, timeout):
+        a = answers.pop(0)
+        if isinstance(a, Exception):
+            raise a
+        return a
+
+    assert http.get_text("u", 3, sleep=waits.append, opener=opener) == "{}" and waits == [1.0, 2.0, 4.0]
+    answers[:] = [urllib.error.HTTPError("u", 404, "no", {}, None)]
+    with pytest.raises(urllib.error.HTTPError):
+        http.get_text("u", 3, sleep=waits.append, opener=opener)
+    assert len(waits) == 3
+
+
+def test_http_source_has_a_partition_for_each_host(spark, tmp_path):
+    reader = http.HttpReader({"urls": json.dumps(["http://a/1", "http://b/1", "http://a/2", "http://a/1"])})
+    assert [p.urls for p in reader.partitions()] == [["http://a/1", "http://a/2"], ["http://b/1"]]
+    good, bad = tmp_path / "g.json", tmp_path / "b.json"
+    good.write_text('{"a": 1}')
+    bad.write_text("{")
+    rows = {r.url: (r.body, r.error is None) for r in http.fetch(spark, [f"file://{good}", f"file://{bad}", "file:///none"], retries=0, interval=0).collect()}
+    assert rows == {f"file://{good}": ('{"a": 1}', True), f"file://{bad}": (None, False), "file:///none": (None, False)}
+    assert http.landed(spark, str(tmp_path)).count() == 2
+
+
+def _land(path, name, *registers):
+    path.mkdir(exist_ok=True)
+    (path / name).write_text("\n".join(json.dumps({"id": i, "org_id": "o", "name": i, "register_url": f"http://{i}", "body": json.dumps(b)}) for i, b in registers))
+
+
+def test_stream_replaces_changed_registers_only(spark, tmp_path):
+    landing, store = tmp_path / "in", Store(str(tmp_path / "out"))
+
+    def go():
+        run_available(spark, str(landing), store, str(tmp_path / "cp"))
+        return {(r.id, r.register_id, r.name) for r in store.read(spark, "items", ITEMS).collect()}
+
+    _land(landing, "1.json", ("o/a", {"modified": "1", "bblocks": [{"itemIdentifier": "x", "name": "X", "dependsOn": ["y"]}]}), ("o/b", {"modified": "1", "bblocks": [{"itemIdentifier": "x"}, {"itemIdentifier": "y"}]}))
+    assert go() == {("x", "o/a", "X"), ("y", "o/b", "y")}
+    _land(landing, "2.json", ("o/a", {"modified": "1", "bblocks": []}), ("o/b", {"modified": "2", "bblocks": [{"itemIdentifier": "x"}, {"itemIdentifier": "z"}]}))
+    assert go() == {("x", "o/a", "X"), ("z", "o/b", "z")}
+    assert {(r.id, r.modified, r.outcome) for r in store.state(spark).collect()} == {("o/a", "1", "skipped"), ("o/b", "2", "ok")}
+    assert {(r.source_id, r.target_id) for r in edges_of(spark, store).collect()} == {("x", "y")}
+
+
+def test_cycles_go_on_after_a_failure():
+    seen, waits = [], []
+
+    def cycle():
+        seen.append(1)
+        if len(seen) == 1:
+            raise RuntimeError
+
+    run_forever(cycle, 5.0, waits.append, lambda: len(seen) == 2)
+    assert len(seen) == 2 and waits == [5.0, 5.0]
