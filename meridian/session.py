@@ -8,11 +8,17 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of an Arrow batch: texts are long, so a task's batches stay small. Set only where the
+#: session still has Spark's default number of rows.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python workers, once for each application."""
+    """Make this package importable in Python workers, once for each application, and bound Arrow batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         package = Path(__file__).resolve().parent
