@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, texts, texts_of, word_segments
+from .shared import binary_column, texts, texts_in, word_segments
 
 GRAM, BUCKETS = 4, 1 << 16
 #: n-grams drawn from all documents that the trusted ones are taken to hold besides their own. They
@@ -100,11 +100,9 @@ def gram_counts(texts_: DataFrame) -> np.ndarray:
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts of the documents that ``labels`` marks as quality 1.
 
-    The labels may outgrow any broadcast. A hashed bit per trusted id, fixed in number, goes to all
-    tasks instead; what it lets through, which is all of the trusted and few others, is joined exactly.
+    The labels may outgrow any broadcast, so fixed-size filters of their ids pick the texts.
     """
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long")).distinct()
-    return texts_of(docs, good).join(good, "doc_id", "left_semi")
+    return texts_in(docs, labels.where("quality = 1").select(F.col("doc_id").cast("long")).distinct())
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:

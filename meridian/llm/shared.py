@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,13 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a task holds little at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def binary_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes, without decoding it."""
     column = batch.column(name)
@@ -101,18 +108,59 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def words_in(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes.
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: differences of a running polynomial, brought back to power zero."""
+    power, inverse = _powers_to(len(codes) + 1)
+    running = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_BYTES[codes] * power[: len(codes)], out=running[1:])
+    return mix((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
-    Differences of a running polynomial, brought back to power zero, hash all words at once.
-    """
+
+def words_in(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes."""
     codes = np.frombuffer(data, np.uint8)
     edge = np.diff((~_SPACE[codes]).astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers_to(len(codes) + 1)
-    running = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_BYTES[codes] * power[: len(codes)], out=running[1:])
-    return starts, ends, mix((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, span_hashes(codes, starts, ends)
+
+
+class IdCache:
+    """Token ids of words that a worker met: a direct-mapped table over word hashes, of fixed size."""
+
+    def __init__(self, slots: int = 1 << 19, held: int = 3_000_000) -> None:
+        self.slots, self.held, self.used = slots, held, 0
+        self.hashes, self.places, self.sizes = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+        self.values = np.zeros(slots)
+        self.flat = np.zeros(held, np.uint32)
+
+    def look_up(self, hashes: np.ndarray, make: Callable[[list[int]], list[tuple[Sequence[int], float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in a row, how many each has, and each one's value.
+
+        ``make`` gives ids and value of the words at some places; it is asked for unknown ones, once each.
+        """
+        slots = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
+        places, sizes, values = self.places[slots], self.sizes[slots], self.values[slots]
+        missed = np.flatnonzero(self.hashes[slots] != hashes)
+        if len(missed):
+            new, first, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            first = missed[first]
+            found = make(first.tolist())
+            lengths = np.fromiter((len(ids) for ids, _ in found), np.int64, len(found))
+            worth = np.fromiter((v for _, v in found), np.float64, len(found))
+            more = int(lengths.sum())
+            if self.used + more > self.held:  # start over, keeping what this call looks up
+                keep = np.repeat(places - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                self.hashes[:], self.used = 0, int(sizes.sum())
+                self.flat = np.concatenate([self.flat[keep], np.zeros(max(self.held, more), np.uint32)])
+                places = np.cumsum(sizes) - sizes
+            begin = self.used + np.cumsum(lengths) - lengths
+            self.flat[self.used : self.used + more] = np.fromiter((i for ids, _ in found for i in ids), np.uint32, more)
+            self.used += more
+            at = slots[first]
+            self.hashes[at], self.places[at], self.sizes[at], self.values[at] = new, begin, lengths, worth
+            places[missed], sizes[missed], values[missed] = begin[which], lengths[which], worth[which]
+        after = np.cumsum(sizes)
+        return self.flat[np.repeat(places - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)], sizes, values
 
 
 def segments(data: bytes, size: int = SEGMENT) -> Iterator[bytes]:
@@ -190,3 +238,37 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """
     bits = docs.sparkSession.sparkContext.broadcast(filter_bits(ids.where("doc_id is not null").select(id_slot().alias("slot"))))
     return _by_filter(docs, bits, False).unionByName(_by_filter(docs, bits, True).join(ids, "doc_id", "left_anti").select(*docs.columns))
+
+
+def texts_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of exactly the documents named in the distinct ``ids(doc_id)``, with hardly a text shuffled.
+
+    A first filter lets through all that are named and some others. Those others' ids, found by a join
+    of ids alone, make a second filter under another hash. What passes the first and not the second is
+    named for certain; what passes both, named or not, is joined with the ids.
+    """
+    spark = docs.sparkSession
+    ids = ids.where("doc_id is not null").select("doc_id")
+    second_slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)), F.lit(FILTER_BITS))
+    first = spark.sparkContext.broadcast(filter_bits(ids.select(id_slot().alias("slot"))))
+
+    def passing(df: DataFrame, names: list[str], others=None, both: bool = False) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column("slot").to_numpy(zero_copy_only=False)
+                mask = ((first.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                if others is not None:
+                    at = batch.column("slot2").to_numpy(zero_copy_only=False)
+                    mask &= ((others.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) == both
+                yield batch.select(names).filter(pa.array(mask))
+
+        slots = df.where("doc_id is not null").withColumns({"slot": id_slot(), "slot2": second_slot})
+        return slots.mapInArrow(run, df.select(names).schema)
+
+    wrong = passing(docs.select(F.col("doc_id").cast("long")), ["doc_id"]).join(ids, "doc_id", "left_anti")
+    bits = filter_bits(wrong.select(second_slot.alias("slot")))
+    others = spark.sparkContext.broadcast(bits)
+    certain = passing(texts(docs), ["doc_id", "text"], others)
+    if not bits.any():
+        return certain
+    return certain.unionByName(passing(texts(docs), ["doc_id", "text"], others, True).join(ids, "doc_id", "left_semi"))
