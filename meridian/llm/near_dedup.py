@@ -29,8 +29,8 @@ WORDS = HASHES // 64
 ESTIMATE_CUT = 0.64
 #: Centres of a class that round one estimates.
 CENTRES = 3
-#: Shingles of one side of a block.
-BLOCK = 200_000
+#: Shingles of one side of a block of texts, classes of one side of a block of a bucket.
+BLOCK, BUCKET = 200_000, 4096
 _MULTIPLIERS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -134,27 +134,96 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
-def confirmed_in_blocks(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Like ``confirmed`` for ``pairs(a, b, n, n2, comp2)`` with many pairs to a document.
+_LEFT, _RIGHT = 0, 1
+
+
+def _hits(held: dict[str, np.ndarray], percent: int) -> list[tuple[int, int, int, int, list[int]]]:
+    """``(a, n, fam, j, bs)`` of one bucket: for each left class the right ones of other components that the estimate passes."""
+    left, right = np.flatnonzero(held["side"] == _LEFT), np.flatnonzero(held["side"] == _RIGHT)
+    out = []
+    step = max(1, (1 << 18) // max(1, len(right)))
+    size, comp, doc, main = held["n"], held["comp"], held["a"], held["in_main"]
+    place = np.stack([held["fam"][right], held["j"][right]], axis=1)
+    for at in range(0, len(left) if len(right) else 0, step):
+        x = left[at : at + step]
+        ok = (comp[x][:, None] != comp[right][None]) & (main[right][None] | (doc[x][:, None] > doc[right][None]))
+        n, m = size[x][:, None], size[right][None]
+        ok &= np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+        i, k = np.nonzero(ok)
+        planes = (held["sig"][x[i]] ^ held["sig"][right[k]]).reshape(-1, LOW_BITS, WORDS)
+        differ = np.bitwise_count(np.bitwise_or.reduce(planes, axis=1).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        chance = 2.0**-LOW_BITS
+        good = ((HASHES - differ) / HASHES - chance) / (1 - chance) >= ESTIMATE_CUT
+        i, k = i[good], k[good]
+        for one in np.unique(i).tolist():
+            mine = k[i == one]
+            places, which = np.unique(place[mine], axis=0, return_inverse=True)
+            for w, (fam, j) in enumerate(places.tolist()):
+                out.append((int(doc[x[one]]), int(size[x[one]]), fam, j, doc[right[mine[which.reshape(-1) == w]]].tolist()))
+    return out
+
+
+def candidates(placed: DataFrame, percent: int) -> DataFrame:
+    """``a, n, fam, j, bs``: classes outside a bucket's commonest component, with those they may be linked to.
 
-    The two sides of all pairs that lead into one component are dealt to blocks of about ``BLOCK``
-    shingles, and a text goes once to each block that needs it, instead of once to each pair.
+    Pairs are found inside a task and leave it as lists, a row for each class, bucket and block of
+    partners. A bucket's sides are dealt to blocks of ``BUCKET`` classes, so none is large.
     """
+    slot = lambda n: F.pmod(F.xxhash64("a"), F.col(n))
+    names = ["key", "lb", "rb", "side", "a", "n", "sig", "comp", "in_main", "fam", "j"]
+    left = placed.where("not in_main").withColumns({"side": F.lit(_LEFT), "lb": slot("lefts"), "rb": F.explode(F.sequence(F.lit(0), F.col("rights") - 1))})
+    right = placed.withColumns({"side": F.lit(_RIGHT), "rb": slot("rights"), "lb": F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))})
+    dealt = left.select(names).unionByName(right.select(names)).repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
+        rows: list[tuple] = []
 
-    def parts(side: str, size: str, name: str) -> DataFrame:
-        own = pairs.groupBy("comp2", side).agg(F.max(size).alias("n"))
-        return own.groupBy("comp2").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias(name))
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)], ["a", "n", "fam", "j", "bs"])
 
-    dealt = pairs.join(parts("a", "n", "na"), "comp2").join(parts("b", "n2", "nb"), "comp2")
-    dealt = dealt.select("a", "b", "comp2", F.pmod(F.xxhash64("a"), F.greatest("na", F.lit(1))).alias("i"), F.pmod(F.xxhash64("b"), F.greatest("nb", F.lit(1))).alias("j"))
-    dealt = table(dealt, "blocks")
-    wanted = texts_of(docs, dealt.select(F.col("a").alias("doc_id")).union(dealt.select(F.col("b").alias("doc_id"))))
-    key = ["comp2", "i", "j"]
-    left = dealt.groupBy(*key, "a").agg(F.collect_list("b").alias("bs")).join(wanted.select(F.col("doc_id").alias("a"), "text"), "a")
-    right = dealt.select(*[F.col(c).alias(f"{c}_") for c in key], "b").distinct().join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names if c != "sig"}
+            now["sig"] = batch.column("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, WORDS * LOW_BITS)
+            if rest is not None:
+                now = {c: np.concatenate([rest[c], now[c]]) for c in names}
+            change = (np.diff(now["key"]) != 0) | (np.diff(now["lb"]) != 0) | (np.diff(now["rb"]) != 0)
+            ends = np.flatnonzero(change) + 1
+            for begin, end in zip([0, *ends], ends):  # noqa: B905
+                rows += _hits({c: v[begin:end] for c, v in now.items()}, percent)
+            rest = {c: v[ends[-1] :] if len(ends) else v for c, v in now.items()}
+            if len(rows) > 20_000:
+                yield batch_of(rows)
+                rows = []
+        if rest is not None:
+            rows += _hits(rest, percent)
+        yield batch_of(rows)
+
+    return dealt.mapInArrow(run, "a long, n long, fam long, j long, bs array<long>")
+
+
+def confirmed_in_blocks(found: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirm ``found(a, n, fam, j, bs)`` on whole sets; ``members(b, fam, j)`` says which block each partner is in.
+
+    A text goes once to each block that needs it, instead of once to each pair. A block has about
+    ``BLOCK`` shingles on either side.
+    """
+    found = table(found, "found")
+    spread = found.groupBy("fam", "a").agg(F.max("n").alias("n")).groupBy("fam").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("parts"))
+    dealt = found.join(spread, "fam").withColumn("i", F.pmod(F.xxhash64("a"), F.greatest("parts", F.lit(1))))
+    key = ["fam", "i", "j"]
+    dealt = table(dealt.groupBy(*key, "a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")), "dealt")
+    needed = table(dealt.select(*key).distinct().join(members, ["fam", "j"]).select(*[F.col(c).alias(f"{c}_") for c in key], "b"), "needed")
+    wanted = texts_of(docs, dealt.select(F.col("a").alias("doc_id")).union(needed.select(F.col("b").alias("doc_id"))))
+    left = dealt.join(wanted.select(F.col("doc_id").alias("a"), "text"), "a")
+    right = needed.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
 
     def run(ones: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        sets = {b: shingle_set(t.encode(), k) for b, t in zip(others["b"], others["other"], strict=True)}
+        asked = {b for bs in ones["bs"] for b in bs}
+        sets = {b: shingle_set(t.encode(), k) for b, t in zip(others["b"], others["other"], strict=True) if b in asked}
         out_a, out_b = [], []
         for a, bs, text in zip(ones["a"], ones["bs"], ones["text"], strict=True):
             own = shingle_set(text.encode(), k)
@@ -204,15 +273,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     placed = members.select("key", "a").join(comps, members.a == comps.id, "left").select("key", "a", F.coalesce("comp", "a").alias("comp"))
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("kinds")).where("kinds > 1")
-    placed = placed.join(mixed.select("key", F.col("m.comp").alias("main")), "key").join(sigs, "a")
-    placed = table(placed.select("key", "a", "n", "sig", "comp", (F.col("comp") == F.col("main")).alias("in_main")), "placed")
-    left = placed.where("not in_main")
-    right = placed.select("key", F.col("a").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("comp").alias("comp2"), F.col("in_main").alias("in_main2"))
-    meets = (F.col("comp") != F.col("comp2")) & (F.col("in_main2") | (F.col("a") > F.col("b")))
-    meets &= (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (estimate("sig", "sig2") >= ESTIMATE_CUT)
-    rest = left.join(right, (left.key == right.key) & meets).select("a", "b", "n", "n2", "comp2").distinct()
-    second = table(confirmed_in_blocks(table(rest, "pairs"), docs, k, percent), "links")
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / BUCKET).cast("int")
+    mixed = mixed.select("key", F.col("m.comp").alias("main"), blocks(F.col("all") - F.col("m.c")).alias("lefts"), blocks(F.col("all")).alias("rights"))
+    placed = table(placed.join(mixed, "key").join(sigs, "a"), "placed")
+    family = placed.groupBy("a").agg(F.min("main").alias("fam"), F.max("n").alias("n"))
+    parts = family.groupBy("fam").agg(F.greatest(F.ceil(F.sum("n") / BLOCK).cast("long"), F.lit(1)).alias("parts"))
+    where = table(family.join(parts, "fam").select("a", "fam", F.pmod(F.xxhash64("a"), "parts").alias("j")), "families")
+    found = candidates(placed.join(where, "a").withColumn("in_main", F.col("comp") == F.col("main")), percent)
+    second = table(confirmed_in_blocks(found, where.withColumnRenamed("a", "b"), docs, k, percent), "links")
     comps = components(first.union(second), "second")
 
     named = classes.join(comps, classes.rep == comps.id, "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
@@ -224,3 +293,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` less all but the smallest doc_id of every component, with all columns."""
     return without(docs, table(near_duplicates(docs, k, percent).where("not kept").select("doc_id"), "dropped"))
+
+
+def oracle_sql(k: int, percent: int) -> str:
+    """The query's rows as DuckDB SQL over all pairs that share a shingle: for small tables only."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS n, b.n AS m, count(*) AS shared FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * shared >= {percent} * (n + m - shared)),
+r(id, reach) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.y FROM r JOIN l ON r.reach = l.x),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.id = doc_id
+"""
