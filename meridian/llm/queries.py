@@ -65,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": license_scan.oracle_sql()}
+    return {"op6_minhash_near_dedup": near_dedup.oracle_sql(4, 80), "op10_license_scan": license_scan.oracle_sql()}
