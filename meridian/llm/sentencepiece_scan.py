@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table, texts
+from .shared import IdCache, sliced, span_hashes, table, texts
 
 SPACE = "▁"
 #: Code points of a chunk, texts over twice that are chunked, chunks that one task combines.
 CHUNK, GROUP = 16384, 256
 _UNKNOWN_PENALTY, _SCALE, _SHIFT = 10.0, 1 << 16, 64
-_GENERATION = 250_000
+_GENERATION, _GROUP = 60_000, 1 << 20
 _NONE = None
 _loaded: dict[str, Model] = {}
 
@@ -40,6 +40,10 @@ def _tie(at: int) -> int:
     return ((at * at * 0x9E3779B1 + at * 0x85EBCA6B) >> 7) & 0xFFFFF
 
 
+_TIES = [_tie(i) for i in range(256)]
+_LOW = float("-inf")
+
+
 class Model:
     """Pieces and scores of a model file, as a lattice scorer. Weights are whole numbers: the scaled
     score above 64 bits of tie-breaking sum. What words gave is kept in two generations."""
@@ -73,6 +77,7 @@ class Model:
         inside = {c for p in self.pieces if len(p) > 1 for c in p}
         if "\n" in inside or any(SPACE in p[1:] and p.strip(SPACE) for p in self.pieces):
             raise ValueError("pieces run across words or lines")
+        self.cache = IdCache()
         self.young: dict[str, tuple[bytes, int]] = {}
         self.old: dict[str, tuple[bytes, int]] = {}
 
@@ -106,29 +111,31 @@ class Model:
         return found
 
     def _word(self, s: str) -> tuple[bytes, int]:
-        n, nodes, longest = len(s), self.nodes, self.longest
-        best: list = [None] * (n + 1)
+        n, get, longest, unknown = len(s), self.nodes.get, self.longest, self.unknown
+        tie = _TIES if n < len(_TIES) else [_tie(i) for i in range(n + 1)]
+        best: list = [_LOW] * (n + 1)
         ties, back = [0] * (n + 1), [0] * (n + 1)
         best[0] = 0
         for i in range(n):
             b, t = best[i], ties[i]
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                w = nodes.get(s[i:j])
-                if w is None:
+            w = get(s[i])
+            j = i + 1
+            v = b + (unknown if w is None or w is False else w)
+            if v > best[j] or v == best[j] and t + tie[j] > ties[j]:
+                best[j], ties[j], back[j] = v, t + tie[j], i
+            if w is None:
+                continue
+            for j in range(i + 2, min(n, i + longest) + 1):
+                w = get(s[i:j])
+                if w:
+                    v = b + w
+                    if v > best[j] or v == best[j] and t + tie[j] > ties[j]:
+                        best[j], ties[j], back[j] = v, t + tie[j], i
+                elif w is None:
                     break
-                if w is not False:
-                    single |= j == i + 1
-                    v, was = b + w, best[j]
-                    if was is None or v >= was:
-                        u = t + _tie(j) if j < n else t
-                        if was is None or v > was or u > ties[j]:
-                            best[j], ties[j], back[j] = v, u, i
-            if not single:
-                v, j = b + self.unknown, i + 1
-                u = t + _tie(j) if j < n else t
-                if best[j] is None or (v, u) > (best[j], ties[j]):
-                    best[j], ties[j], back[j] = v, u, i
+                elif w == 0 and w is not False:
+                    if b > best[j] or b == best[j] and t + tie[j] > ties[j]:
+                        best[j], ties[j], back[j] = b, t + tie[j], i
         ids: list[int] = []
         at = n
         parts = []
@@ -141,7 +148,7 @@ class Model:
                 ids.append(found[0])
             else:
                 ids += self.ids_of(part)
-        return array("I", ids).tobytes(), (best[n] << _SHIFT) + ties[n]
+        return array("I", ids).tobytes(), (best[n] << _SHIFT) + ties[n] - tie[n]  # the word's end has no part in the sum
 
     def forward(self, s: str, entry: dict[int, int], limit: int, base: int, stop: int) -> tuple[dict[int, int], dict[int, int]]:
         """Best weights of positions from the ``entry`` ones on, expanding positions before ``limit``.
@@ -170,10 +177,68 @@ class Model:
             at = back[at]
         return [i for p in reversed(parts) for i in self.ids_of(p)], at
 
-    def encode(self, text: str) -> tuple[bytes, int]:
-        """Ids as little-endian unsigned 32-bit numbers, and the weight."""
-        found = list(map(self.word, words_of(prepared(text))))
-        return b"".join([f[0] for f in found]), sum([f[1] for f in found])
+    def encode(self, text: str) -> tuple[bytes, float]:
+        """Ids as little-endian unsigned 32-bit numbers, and the score."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts_: list[str]) -> list[tuple[bytes, float]]:
+        """All texts at once: their words are hashed and looked up together.
+
+        A byte for the mark before the text and the line end after it makes every byte part of one
+        word. Texts with runs of spaces or space marks of their own go word by word.
+        """
+        out: list = [None] * len(texts_)
+        plain, held, size = [], [], 0
+        for i, text in enumerate(texts_):
+            if not text:
+                out[i] = (b"", 0.0)
+            elif text[0] == " " or "  " in text or SPACE in text:
+                out[i] = self._by_words(prepared(text))
+            else:
+                plain.append(i)
+                held.append(b" " + text.encode())
+                size += len(held[-1])
+            if plain and (size > _GROUP or i == len(texts_) - 1):
+                for k, got in zip(plain, self._together(held), strict=True):
+                    out[k] = got
+                plain, held, size = [], [], 0
+        if plain:
+            for k, got in zip(plain, self._together(held), strict=True):
+                out[k] = got
+        return out
+
+    def stretch(self, s: str) -> tuple[bytes, float]:
+        """Ids and score of a prepared stretch that starts and ends at cuts."""
+        if SPACE * 2 in s:
+            return self._by_words(s)
+        return self._together([s.replace(SPACE, " ").encode()])[0]
+
+    def _by_words(self, s: str) -> tuple[bytes, float]:
+        found = list(map(self.word, words_of(s)))
+        return b"".join([f[0] for f in found]), sum([f[1] >> _SHIFT for f in found]) / _SCALE
+
+    def _together(self, texts_: list[bytes]) -> list[tuple[bytes, float]]:
+        data = b"\n".join(texts_) + b"\n"
+        codes = np.frombuffer(data, np.uint8)
+        line = codes == 10
+        head = line | (codes == 32)
+        head[1:] |= line[:-1]
+        head[:1] = True
+        starts = np.flatnonzero(head)
+        ends = np.append(starts[1:], len(codes))
+
+        def make(at: list[int]) -> list[tuple[np.ndarray, float]]:
+            words = [data[a:b].decode().replace(" ", SPACE) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            return [(np.frombuffer(ids, "<u4"), (w >> _SHIFT) / _SCALE) for ids, w in map(self._word, words)]
+
+        ids, sizes, scores = self.cache.look_up(span_hashes(codes, starts, ends), make)
+        bounds = np.cumsum([len(t) + 1 for t in texts_])
+        last = np.searchsorted(starts, bounds) - 1  # each text's added line end
+        after = np.cumsum(sizes)
+        first = np.concatenate([[0], last[:-1] + 1])
+        begin, end = after[first] - sizes[first], after[last] - sizes[last]
+        sums = [float(scores[a:b].sum()) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        return [(ids[a:b].tobytes(), x) for a, b, x in zip(begin.tolist(), end.tolist(), sums, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -199,7 +264,7 @@ class Model:
                 rows.append([best.get(size + b) for b in range(width)] if a <= size else [None] * width)
             return rows
         first, last = marks
-        middle = sum(self.word(p)[1] for p in words_of(s[first:last]))
+        middle = round(self.stretch(s[first:last])[1] * _SCALE) << _SHIFT if last > first else 0
         best, _ = self.forward(s[last:], {0: 0}, size - last, 0, len(s) - last)
         ends = [best.get(size - last + b) for b in range(width)]
         rows = []
@@ -217,8 +282,8 @@ class Model:
         first, last = marks
         _, back = self.forward(s[: first + 1], {entry: 0}, first, base, first)
         ids = self.trace(s, back, first)[0]
-        for part in words_of(s[first:last]):
-            ids += array("I", self.word(part)[0])
+        if last > first:
+            ids += array("I", self.stretch(s[first:last])[0])
         _, back = self.forward(s[last:], {0: 0}, size - last, 0, len(s) - last)
         return ids + self.trace(s[last:], back, size - last + exit_)[0]
 
@@ -361,13 +426,10 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        for batch in batches:
-            ids, scores, shas = [], [], []
-            for text in batch.column("text").to_pylist():
-                got, total = own.encode(text)
-                ids.append(got)
-                scores.append((total >> _SHIFT) / _SCALE)
-                shas.append(hashlib.sha256(text.encode()).hexdigest())
+        for batch in sliced(batches):
+            values = batch.column("text").to_pylist()
+            ids, scores = zip(*own.encode_all(values), strict=True) if values else ((), ())
+            shas = [hashlib.sha256(text.encode()).hexdigest() for text in values]
             columns = [batch.column("doc_id"), pa.array(shas, pa.string()), pa.array(ids, pa.binary()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_sha256", "ids", "score"])
 
@@ -395,7 +457,7 @@ def round_trip(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for ids, sha in zip(batch.column("ids").to_pylist(), batch.column("text_sha256").to_pylist(), strict=True):
                 again = hashlib.sha256(own.decode(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest()

@@ -127,9 +127,9 @@ def words_in(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class IdCache:
     """Token ids of words that a worker met: a direct-mapped table over word hashes, of fixed size."""
 
-    def __init__(self, slots: int = 1 << 19, held: int = 3_000_000) -> None:
+    def __init__(self, slots: int = 1 << 21, held: int = 6_000_000) -> None:
         self.slots, self.held, self.used = slots, held, 0
-        self.hashes, self.places, self.sizes = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int64)
+        self.hashes, self.places, self.sizes = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.values = np.zeros(slots)
         self.flat = np.zeros(held, np.uint32)
 
@@ -139,7 +139,7 @@ class IdCache:
         ``make`` gives ids and value of the words at some places; it is asked for unknown ones, once each.
         """
         slots = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
-        places, sizes, values = self.places[slots], self.sizes[slots], self.values[slots]
+        places, sizes, values = self.places[slots].astype(np.int64), self.sizes[slots].astype(np.int64), self.values[slots]
         missed = np.flatnonzero(self.hashes[slots] != hashes)
         if len(missed):
             new, first, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
