@@ -157,7 +157,7 @@ def _frequencies(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                         h = _hash(word)
                         slot = h % FILTER_BITS
                         number = h if shared.value[slot >> 3] >> (slot & 7) & 1 else None
-                        if len(numbers) > 500_000:
+                        if len(numbers) > 150_000:
                             numbers.clear()
                         numbers[word] = number
                     if number is not None:
@@ -212,7 +212,7 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                             h = _hash(word)
                             slot = h % FILTER_BITS
                             number = h if shared.value[slot >> 3] >> (slot & 7) & 1 else None
-                            if len(numbers) > 500_000:
+                            if len(numbers) > 150_000:
                                 numbers.clear()
                             numbers[word] = number
                         if number is not None:
@@ -299,7 +299,7 @@ def _cleaned(docs: DataFrame, bits: np.ndarray, found: bool) -> DataFrame:
             for word in set(_WORD.findall(text.lower())):
                 if word not in known:
                     slot = _hash(word) % FILTER_BITS
-                    if len(known) > 500_000:
+                    if len(known) > 150_000:
                         known.clear()
                     known[word] = bool(shared.value[slot >> 3] >> (slot & 7) & 1)
                 if known[word]:
