@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import FILTER_BITS, binary_column, filter_bits, mix, table, texts
+from .shared import FILTER_BITS, binary_column, filter_bits, mix, sliced, table, texts, tidy
 
 BLOCK, RATE = 576, 8000
 LEAST, MOST, MASK_BITS = 512, 16384, 11
@@ -117,14 +117,14 @@ def _rebuilt(digests: list[bytes], parts: list[bytes]) -> bytes:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, digest``: the chunks of each file, without their bytes."""
+    """``doc_id, digests``: the chunks of each file, without their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [[d for d, _ in chunked(wav(payload_of(text)))] for text in binary_column(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.binary()))], ["doc_id", "digests"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, digests array<binary>")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, digests array<binary>")
 
 
 def _slot(digest: bytes) -> int:
@@ -138,7 +138,7 @@ def shared_filter(docs: DataFrame) -> np.ndarray:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """Write the chunk store: ``doc_id, copy, n_bytes, digests, own, digest, bytes, shared``.
+    """Write the chunk store: ``doc_id, copy, n_bytes, digests, own, digest, bytes, away``.
 
     A file's row (``digest`` null) has its whole chunk list and, compressed, the chunks that are its
     own; a chunk's row has one possibly shared chunk, once for each task that met it.
@@ -147,34 +147,32 @@ def store(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                rows: list[tuple] = []
-                for doc, copy, text in zip(part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), binary_column(part, "text"), strict=True):
-                    own, names, away = [], [], []
-                    for digest, data in chunked(wav(payload_of(text))):
-                        names.append(digest)
-                        slot = _slot(digest)
-                        if bits.value[slot >> 3] >> (slot & 7) & 1:
-                            away.append(len(names) - 1)
-                            if digest not in met:
-                                if len(met) > 200_000:
-                                    met.clear()
-                                met.add(digest)
-                                rows.append((None, None, None, None, None, digest, zlib.compress(data, 6), None))
-                        else:
-                            own.append(data)
-                    lens = struct.pack(f"<{len(own)}I", *map(len, own))
-                    rows.append((doc, copy, len(text), names, zlib.compress(struct.pack("<I", len(own)) + lens + b"".join(own), 6), None, None, away))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
-                names_ = ["doc_id", "copy", "n_bytes", "digests", "own", "digest", "bytes", "away"]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names_)
+        for part in sliced(batches):
+            rows: list[tuple] = []
+            for doc, copy, text in zip(part.column("doc_id").to_pylist(), part.column("copy").to_pylist(), binary_column(part, "text"), strict=True):
+                own, names, away = [], [], []
+                for digest, data in chunked(wav(payload_of(text))):
+                    names.append(digest)
+                    slot = _slot(digest)
+                    if bits.value[slot >> 3] >> (slot & 7) & 1:
+                        away.append(len(names) - 1)
+                        if digest not in met:
+                            if len(met) > 200_000:
+                                met.clear()
+                            met.add(digest)
+                            rows.append((None, None, None, None, None, digest, zlib.compress(data, 6), None))
+                    else:
+                        own.append(data)
+                lens = struct.pack(f"<{len(own)}I", *map(len, own))
+                rows.append((doc, copy, len(text), names, zlib.compress(struct.pack("<I", len(own)) + lens + b"".join(own), 6), None, None, away))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+            names_ = ["doc_id", "copy", "n_bytes", "digests", "own", "digest", "bytes", "away"]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names_)
 
     numbered = texts(docs).withColumn("copy", F.monotonically_increasing_id())
     schema = "doc_id long, copy long, n_bytes long, digests array<binary>, own binary, digest binary, bytes binary, away array<int>"
-    return table(numbered.mapInArrow(run, schema), "chunks")
+    return table(numbered.mapInArrow(tidy(run), schema), "chunks")
 
 
 def _own_parts(own: bytes) -> list[bytes]:
@@ -192,7 +190,7 @@ def read_back(stored: DataFrame) -> DataFrame:
     files = stored.where("digest is null").drop("digest", "bytes")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             columns = [batch.column(n).to_pylist() for n in ("n_bytes", "digests", "own", "away", "parts")]
             for n, names, own, away, parts in zip(*columns, strict=True):
@@ -208,11 +206,12 @@ def read_back(stored: DataFrame) -> DataFrame:
 
     part = "array<struct<at:int,bytes:binary>>"
     alone = files.where("size(away) = 0").withColumn("parts", F.lit(None).cast(part))
-    chunks = stored.where("digest is not null").select("digest", "bytes").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    # a table of its own: the join below then has nothing but its two sides, and Spark can split a chunk that very many files have
+    chunks = table(stored.where("digest is not null").groupBy("digest").agg(F.first("bytes").alias("bytes")), "shared")
     wanted = files.where("size(away) > 0").select("copy", "digests", F.explode("away").alias("at")).select("copy", "at", F.expr("digests[at]").alias("digest"))
     fetched = wanted.join(chunks, "digest").groupBy("copy").agg(F.collect_list(F.struct("at", "bytes")).alias("parts"))
     mixed = files.where("size(away) > 0").join(fetched, "copy").select(*files.columns, "parts")
-    return alone.select(*files.columns, "parts").unionByName(mixed).mapInArrow(whole, f"doc_id long, {_OUT}")
+    return alone.select(*files.columns, "parts").unionByName(mixed).mapInArrow(tidy(whole), f"doc_id long, {_OUT}")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
