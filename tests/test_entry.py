@@ -50,3 +50,17 @@ assert names and not any(n.startswith("op1") or n == "pipeline" for n in names),
 assert set(e.oracle_sql()) <= set(names)
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], timeout=120)
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    from meridian.operators import browse
+
+    df = browse.by_id(spark.read.parquet(f"{DATA}/part.parquet"), 7, "p_partkey").select("p_name")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(p_partkey,7)" in plan and "ReadSchema: struct<p_partkey:bigint,p_name:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["walk_levels", "hybrid_search", "register_roll_up", "item_graph_nodes", "ingested_items"])
+def test_plans_have_no_cross_joins(spark, name):
+    plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
