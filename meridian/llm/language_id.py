@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import texts, tidy
 
 BUCKETS, SMOOTHING = 1 << 16, 0.5
 #: The bound of the training sample: rows, and code points of a row that may be in it.
@@ -233,5 +233,5 @@ def identify(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS
                     spans.append([{"start": a, "end": b, "lang": x} for a, b, x in own])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, span)], ["doc_id", "lang_pred", "score", "spans"])
 
-    found = texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+    found = texts(docs).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "spans")

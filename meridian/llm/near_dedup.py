@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, components, mix, shingle_hashes, table, texts, texts_of, without, word_hashes
+from .shared import binary_column, components, mix, shingle_hashes, table, texts, texts_of, tidy, without, word_hashes
 
 HASHES, ROWS, LOW_BITS = 192, 5, 4
 BANDS = HASHES // ROWS
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 ["doc_id", "n_shingles", "digest", "sig", "bands"],
             )
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<long>, bands array<long>")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, sig array<long>, bands array<long>")
 
 
 def estimate(a: str, b: str):
@@ -133,7 +133,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 _LEFT, _RIGHT = 0, 1
@@ -204,7 +204,7 @@ def candidates(placed: DataFrame, percent: int) -> DataFrame:
             rows += _hits(rest, percent)
         yield batch_of(rows)
 
-    return dealt.mapInArrow(run, "a long, n long, fam long, j long, bs array<long>")
+    return dealt.mapInArrow(tidy(run), "a long, n long, fam long, j long, bs array<long>")
 
 
 def confirmed_in_blocks(found: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import FILTER_BITS, filter_bits, table, texts
+from .shared import FILTER_BITS, filter_bits, table, texts, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -135,7 +135,7 @@ def _pairs(docs: DataFrame, window: int) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["entity", "term", "source"])
 
-    return texts(docs).select("text").mapInArrow(run, "entity long, term long, source long")
+    return texts(docs).select("text").mapInArrow(tidy(run), "entity long, term long, source long")
 
 
 def _filter_bits(terms: DataFrame) -> np.ndarray:
@@ -167,7 +167,7 @@ def _frequencies(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 counts = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-    return texts(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
+    return texts(docs).select("text").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
 
 
 def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
@@ -227,7 +227,7 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             )
 
     schema = "row long, doc_id long, base array<struct<kind:string,start:long,end:long>>, words array<struct<term:long,start:long,end:long>>"
-    return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
+    return docs.select("row", "doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def find_spans(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
@@ -266,7 +266,7 @@ def scan(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclose
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_terms"])
 
-    return found.select("doc_id", "base", "terms").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long")
+    return found.select("doc_id", "base", "terms").mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long")
 
 
 def clean(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, int]]) -> str:
@@ -317,7 +317,7 @@ def _cleaned(docs: DataFrame, bits: np.ndarray, found: bool) -> DataFrame:
                 part = pa.RecordBatch.from_arrays(columns, part.schema.names)
             yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, texts, word_hashes
+from .shared import binary_column, texts, tidy, word_hashes
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 8, (2, 3, 4)
 #: The bound of the training sample: rows, and code points of a row that may be in it.
@@ -127,7 +127,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars:
             scores = pa.array([model.value.score(t) for t in binary_column(batch, "text")], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
-    scored = texts(docs).mapInArrow(run, "doc_id long, score double")
+    scored = texts(docs).mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
 
 
@@ -140,4 +140,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars
             mask = [model.value.score(t or b"") >= ACCEPTED for t in binary_column(batch, "text")]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

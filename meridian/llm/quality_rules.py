@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, texts, texts_in, word_segments
+from .shared import binary_column, texts, texts_in, tidy, word_segments
 
 GRAM, BUCKETS = 4, 1 << 16
 #: n-grams drawn from all documents that the trusted ones are taken to hold besides their own. They
@@ -92,7 +92,7 @@ def gram_counts(texts_: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for row in texts_.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for row in texts_.select("text").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[row["bucket"]] = row["n"]
     return out
 
@@ -145,7 +145,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(tidy(run), schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -157,4 +157,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             mask = [judged(text or b"", shared.value, threshold)[-1] for text in binary_column(batch, "text")]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

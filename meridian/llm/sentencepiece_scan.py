@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import IdCache, sliced, span_hashes, table, texts
+from .shared import IdCache, sliced, span_hashes, table, texts, tidy
 
 SPACE = "▁"
 #: Code points of a chunk, texts over twice that are chunked, chunks that one task combines.
@@ -362,7 +362,7 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
                 if rows:
                     yield _chunk_batch(rows)
 
-    return docs.select("row", "text").mapInArrow(run, "row long, k long, g long, part string, size int, base int, matrix string")
+    return docs.select("row", "text").mapInArrow(tidy(run), "row long, k long, g long, part string, size int, base int, matrix string")
 
 
 def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -404,7 +404,7 @@ def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
                 scores.append((_load(matrix)[entry][exit_] >> _SHIFT) / _SCALE)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(ids, pa.binary()), pa.array(scores, pa.float64())], ["row", "k", "ids", "score"])
 
-    traced = chunks.join(fixed, ["row", "k"]).mapInArrow(backtrace, "row long, k long, ids binary, score double")
+    traced = chunks.join(fixed, ["row", "k"]).mapInArrow(tidy(backtrace), "row long, k long, ids binary, score double")
     listed = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.sum("score").alias("score"), F.count("*").alias("n_chunks"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +412,7 @@ def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             ids = [b"".join(p["ids"] for p in parts) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.binary()), batch.column("score"), batch.column("n_chunks")], ["row", "ids", "score", "n_chunks"])
 
-    return listed.mapInArrow(joined, "row long, ids binary, score double, n_chunks long")
+    return listed.mapInArrow(tidy(joined), "row long, ids binary, score double, n_chunks long")
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -433,7 +433,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(shas, pa.string()), pa.array(ids, pa.binary()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_sha256", "ids", "score"])
 
-    small = numbered.where(~large).select("doc_id", "text").mapInArrow(whole, "doc_id long, text_sha256 string, ids binary, score double")
+    small = numbered.where(~large).select("doc_id", "text").mapInArrow(tidy(whole), "doc_id long, text_sha256 string, ids binary, score double")
     giants = numbered.where(large)
     found = _giant(giants.dropDuplicates(["row"]), path, chunk)
     giants = giants.select("row", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")).join(found, "row")
@@ -468,4 +468,4 @@ def round_trip(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "score", "n_chunks", "ids_crc32", "text_sha256", "decoded_sha256", "same"])
 
     schema = "doc_id long, n_pieces long, score double, n_chunks long, ids_crc32 long, text_sha256 string, decoded_sha256 string, same boolean"
-    return encode(docs, path, chunk).mapInArrow(run, schema)
+    return encode(docs, path, chunk).mapInArrow(tidy(run), schema)

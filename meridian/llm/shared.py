@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -32,6 +35,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and after a task's last batch what its worker no longer needs goes back to the system: idle
+    workers of other stages stay alive beside the busy ones."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -215,7 +232,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             mask = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             yield batch.select(["doc_id", "text"]).filter(pa.array(mask.astype(bool)))
 
-    return texts(docs).where("doc_id is not null").withColumn("slot", id_slot()).mapInArrow(run, "doc_id long, text string")
+    return texts(docs).where("doc_id is not null").withColumn("slot", id_slot()).mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def _by_filter(docs: DataFrame, bits, found: bool) -> DataFrame:
@@ -227,7 +244,7 @@ def _by_filter(docs: DataFrame, bits, found: bool) -> DataFrame:
             mask = ((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
             yield batch.select(names).filter(pa.array(mask == found))
 
-    return docs.withColumn("__slot", id_slot()).mapInArrow(run, docs.schema)
+    return docs.withColumn("__slot", id_slot()).mapInArrow(tidy(run), docs.schema)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -263,7 +280,7 @@ def texts_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield batch.select(names).filter(pa.array(mask))
 
         slots = df.where("doc_id is not null").withColumns({"slot": id_slot(), "slot2": second_slot})
-        return slots.mapInArrow(run, df.select(names).schema)
+        return slots.mapInArrow(tidy(run), df.select(names).schema)
 
     wrong = passing(docs.select(F.col("doc_id").cast("long")), ["doc_id"]).join(ids, "doc_id", "left_anti")
     bits = filter_bits(wrong.select(second_slot.alias("slot")))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
+
 #: Rules for a token over a boundary: all to the section of its first byte, of its last byte, of most
 #: of its bytes (the earlier one of equals), or to each its share of the bytes.
 RULES = ("first", "last", "most", "share")
@@ -108,7 +110,7 @@ def attribute(docs: DataFrame, vocabulary: str, pattern: str, fields: Sequence[s
 
     columns = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"f{i}") for i, f in enumerate(names)]
     schema = "doc_id long, field string, section int, start long, end long, n_tokens double, n_crossing long"
-    return docs.select(F.col("doc_id").cast("long"), *columns).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), *columns).mapInArrow(tidy(run), schema)
 
 
 def _batch(out: list[list]) -> pa.RecordBatch:
