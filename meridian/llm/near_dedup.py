@@ -217,7 +217,7 @@ def confirmed_in_blocks(found: DataFrame, members: DataFrame, docs: DataFrame, k
     spread = found.groupBy("fam", "a").agg(F.max("n").alias("n")).groupBy("fam").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("parts"))
     spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = found.withColumn("salt", F.pmod(F.xxhash64("a", "j"), F.lit(SALTS)).cast("int"))
-    dealt = salted.join(spread, ["fam", "salt"]).withColumn("i", F.pmod(F.xxhash64("a"), F.greatest("parts", F.lit(1))))
+    dealt = salted.join(spread.hint("merge"), ["fam", "salt"]).withColumn("i", F.pmod(F.xxhash64("a"), F.greatest("parts", F.lit(1))))
     key = ["fam", "i", "j"]
     dealt = table(dealt.groupBy(*key, "a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")), "dealt")
     needed = table(dealt.select(*key).distinct().join(members, ["fam", "j"]).select(*[F.col(c).alias(f"{c}_") for c in key], "b"), "needed")
