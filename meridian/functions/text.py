@@ -28,16 +28,16 @@ def fold(c: Column) -> Column:
 
 
 def spaced_tokens(c: Column) -> Column:
-    """Folded runs of letters and digits, each with a space on both sides; empty without any.
+    """Folded runs of letters and digits, each with a space on both sides, and one more space at either end.
 
     A phrase in the same form can then be found and counted as a plain string, inside generated code.
+    The text is named once, so that it is worked through once.
     """
-    words = F.trim(F.regexp_replace(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "  "))
-    return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    return F.regexp_replace(fold(F.concat(F.lit(" "), F.coalesce(c, F.lit("")), F.lit(" "))), r"[^\p{L}\p{N}]+", "  ")
 
 
 def token_count(spaced: Column) -> Column:
-    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit("")))) / 2).cast("long")
+    return (F.regexp_count(spaced, F.lit(" ")) / 2).cast("long") - 1
 
 
 def join_filled(separator: str, *parts: Column) -> Column:
