@@ -4,6 +4,9 @@ Built from DataFrame functions alone. A template's words are ordered by how many
 them, rarest first; a block that has at least the share ``threshold`` of them must hold one of the
 first ``size - needed + 1``. These prefixes make the join's keys, block length and the words' places
 in the order rule out most candidates, and the overlap of whole sets decides.
+
+A block is a line, or consecutive words of the text over line ends: a template's own number of words
+divided by ``threshold``, so that a wrapped notice fits with what comment marks put in between.
 """
 
 from __future__ import annotations
@@ -51,6 +54,13 @@ def needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(round(threshold * size, 9)))
 
 
+def template_widths(templates: dict[str, str], threshold: float) -> dict[str, int]:
+    """Words of the blocks over line ends."""
+    import re
+
+    return {name: math.ceil(round(sum(map(bool, re.split(SEPARATORS, text.lower()))) / threshold, 9)) for name, text in templates.items()}
+
+
 def _spaced(text: Column) -> Column:
     """Every word with a space on both sides: phrases then match as plain strings, and spaces count words.
 
@@ -72,8 +82,32 @@ def blocks(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
     return held.where(F.size("words") >= least)
 
 
+def stretches(docs: DataFrame, sets: dict[str, list[str]], vocabulary: list[str], threshold: float, width: int) -> DataFrame:
+    """``doc_id, words, run``: overlapping runs of words of the texts with several lines, so that each ``width`` consecutive
+    words are in one; ``words`` are the distinct ones that any template has. Only runs that hold enough of a template
+    in any order, of texts that do.
+    """
+    known = F.array(*[F.lit(w) for w in vocabulary])
+
+    def enough(words: Column) -> Column:
+        one = [F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in own]))) >= needed(len(own), threshold) for own in sets.values()]
+        return (F.size(words) >= least) & F.coalesce(*[F.when(x, True) for x in one], F.lit(False))
+
+    def held(words: Column) -> Column:
+        return F.array_intersect(F.split(F.trim(words), " "), known)
+
+    # filters inside generators, as one on a column would work the column out anew for each of its uses
+    least = min(needed(len(w), threshold) for w in sets.values())
+    flat = F.filter(F.array(F.regexp_replace(F.lower("text"), SEPARATORS, " ")), lambda x: F.exists(F.array(held(x)), enough))
+    whole = texts(docs).where(F.contains("text", F.lit("\n"))).select("doc_id", F.explode(flat).alias("flat"))
+    pieces = whole.select("doc_id", F.regexp_extract_all(F.trim("flat"), F.lit(rf"(?:[^ ]++ ?+){{1,{width}}}+"), F.lit(0)).alias("pieces"))
+    joined = F.transform("pieces", lambda x, i: F.concat(x, F.coalesce(F.get("pieces", i + 1), F.lit(""))))
+    runs = F.filter(F.transform(joined, lambda x: F.struct(held(x).alias("words"), F.split(F.trim(x), " ").alias("run"))), lambda x: enough(x["words"]))
+    return pieces.select("doc_id", F.explode(runs).alias("x")).select("doc_id", "x.words", "x.run")
+
+
 def template_matches(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, label, score``: every line that has at least ``threshold`` of a template's distinct words.
+    """``doc_id, label, score``: every block that has at least ``threshold`` of a template's distinct words.
 
     The templates are a fixed parameter, so their words (a few hundred), the counts of these and the
     broadcast side of the join do not grow with the documents.
@@ -84,7 +118,10 @@ def template_matches(docs: DataFrame, templates: dict[str, str] | None = None, t
     spark = docs.sparkSession
     if not sets:
         return spark.createDataFrame([], "doc_id long, label string, score double")
-    held = table(blocks(docs, vocabulary, min(needed(len(w), threshold) for w in sets.values())), "blocks")
+    widths = template_widths(TEMPLATES if templates is None else templates, threshold)
+    lines = blocks(docs, vocabulary, min(needed(len(w), threshold) for w in sets.values()))
+    over = stretches(docs, sets, vocabulary, threshold, max(widths[name] for name in sets))
+    held = table(lines.withColumn("run", F.lit(None).cast("array<string>")).unionByName(over), "blocks")
     counts = {r["word"]: r["n"] for r in held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
@@ -92,17 +129,20 @@ def template_matches(docs: DataFrame, templates: dict[str, str] | None = None, t
     for name, words in sets.items():
         order = sorted(rank[w] for w in words)
         n = needed(len(order), threshold)
-        rows += [(name, token, at, len(order), n, order) for at, token in enumerate(order[: len(order) - n + 1])]
-    prefixes = spark.createDataFrame(rows, "label string, token int, at int, size int, needed int, tokens array<int>")
+        rows += [(name, token, at, len(order), n, order, words, widths[name]) for at, token in enumerate(order[: len(order) - n + 1])]
+    prefixes = spark.createDataFrame(rows, "label string, token int, at int, size int, needed int, tokens array<int>, terms array<string>, width int")
 
     ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
-    ordered = held.select("doc_id", F.array_sort(F.transform("words", lambda w: ranks[w])).alias("own"))
+    ordered = held.select("doc_id", F.array_sort(F.transform("words", lambda w: ranks[w])).alias("own"), "run")
     starts = F.array(*[F.lit(t) for t in sorted({r[1] for r in rows})])
-    placed = ordered.where(F.arrays_overlap("own", starts)).select("doc_id", "own", F.posexplode("own").alias("pos", "token"))
+    placed = ordered.where(F.arrays_overlap("own", starts)).select("doc_id", "own", "run", F.posexplode("own").alias("pos", "token"))
     joined = placed.join(F.broadcast(prefixes), "token")
     joined = joined.where((F.size("own") >= F.col("needed")) & (F.least(F.col("size") - F.col("at"), F.size("own") - F.col("pos")) >= F.col("needed")))
-    shared = F.size(F.array_intersect("own", "tokens"))
-    return joined.where(shared >= F.col("needed")).select("doc_id", "label", (shared / F.col("size")).alias("score")).distinct()
+    joined = joined.withColumn("shared", F.size(F.array_intersect("own", "tokens"))).where(F.col("shared") >= F.col("needed"))
+    firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("run") - F.col("width") + 1))
+    most = F.array_max(F.transform(firsts, lambda i: F.size(F.array_intersect(F.slice("run", i, F.col("width")), F.col("terms")))))
+    joined = joined.withColumn("shared", F.when(F.col("run").isNull(), F.col("shared")).otherwise(most)).where(F.col("shared") >= F.col("needed"))
+    return joined.select("doc_id", "label", (F.col("shared") / F.col("size")).alias("score")).distinct()
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

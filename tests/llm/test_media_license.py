@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import re
+import textwrap
 import wave
 import zlib
 from io import BytesIO
@@ -120,6 +121,38 @@ def test_scan_equals_brute_force(spark):
     assert got == {i: brute_scan(t) for i, t in enumerate(TEXTS)}
 
 
+def wrapped_matches(text):
+    """Labels and best share of the blocks over line ends, by brute force."""
+    w, found = words(text), {}
+    for name, t in ls.TEMPLATES.items():
+        own, width = set(words(t)), ls.template_widths(ls.TEMPLATES, ls.THRESHOLD)[name]
+        most = max((len(own & set(w[i : i + width])) for i in range(len(w))), default=0)
+        if most >= ls.needed(len(own), ls.THRESHOLD):
+            found[name] = most / len(own)
+    return found
+
+
+def test_scan_finds_wrapped_notices(spark):
+    rng = random.Random(8)
+    texts = {}
+    for i, t in enumerate(ls.TEMPLATES.values()):
+        for j, (columns, mark) in enumerate([(30, ""), (72, " * "), (78, "dnl ")]):
+            notice = "\n".join(mark + line for line in textwrap.wrap(t, columns))
+            texts[10 * i + j] = "\n".join([prose(rng, rng.randint(0, 90)), notice, prose(rng, 300)])
+    w = ls.TEMPLATES["bsd-conditions"].split()
+    texts[900] = "\n".join(x + " " + prose(rng, 40) for x in w)  # its words, far from each other
+    texts[901] = ("\n".join(textwrap.wrap(" ".join(w[:16]), 40)) + "\n") * 3 + prose(rng, 50)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in ls.scan(docs).collect()}
+    for i, name in enumerate(ls.TEMPLATES):
+        assert all(name in got[10 * i + j].labels.split(",") for j in range(3)), name
+    for i, text in texts.items():
+        over, base = wrapped_matches(text), brute_scan(text)
+        assert set(got[i].labels.split(",")) - {""} == (set(base[5].split(",")) | set(over)) - {""}, text
+        assert got[i].score == max(base[6], *over.values(), 0.0, 0.0)
+    assert got[900].labels == ""
+
+
 def test_scan_runs_no_python(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     plan = ls.scan(docs)._jdf.queryExecution().executedPlan().toString()
