@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import FILTER_BITS, binary_column, filter_bits, mix, sliced, table, texts, tidy
@@ -131,10 +131,16 @@ def _slot(digest: bytes) -> int:
     return int.from_bytes(digest[:4], "little") % FILTER_BITS
 
 
+def slot_column(digest: str) -> Column:
+    """``_slot`` in Spark: the first four bytes in reverse, by their hex digits (``reverse`` takes binary for a string)."""
+    digits = F.hex(F.substring(digest, 1, 4))
+    return F.conv(F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)]), 16, 10).cast("long") % FILTER_BITS
+
+
 def shared_filter(docs: DataFrame) -> np.ndarray:
     """A bit for every digest that occurs more than once: all of these are in it, and few others."""
     found = digests(docs).select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1")
-    return filter_bits(found.select((F.conv(F.hex(F.reverse(F.substring("d", 1, 4))), 16, 10).cast("long") % FILTER_BITS).alias("slot")))
+    return filter_bits(found.select(slot_column("d").alias("slot")))
 
 
 def store(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import textwrap
 import wave
 import zlib
+from collections import Counter
 from io import BytesIO
 
 import duckdb
@@ -78,6 +79,26 @@ def test_round_trip_with_shared_chunks(spark):
     assert 0 < distinct < listed
 
 
+def test_slots_are_the_same_in_spark(spark):
+    digests = [random.Random(i).randbytes(16) for i in range(2000)]
+    rows = spark.createDataFrame([(d,) for d in digests], "d binary").select("d", media.slot_column("d").alias("slot")).collect()
+    assert len(rows) == 2000 and all(r.slot == media._slot(bytes(r.d)) for r in rows)
+
+
+def test_repeated_chunks_have_one_owner(spark):
+    rng = random.Random(9)
+    bases = [prose(rng, 1500) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate([*bases, *bases, *bases, *(prose(rng, 300) for _ in range(20))])), "doc_id long, text string").repartition(4)
+    counts = Counter(d for r in docs.collect() for d, _ in media.chunked(media.wav(media.payload_of(r.text.encode()))))
+    repeated = {d for d, n in counts.items() if n > 1}
+    stored = media.store(docs).collect()
+    files, owners = [r for r in stored if r.digest is None], {bytes(r.digest) for r in stored if r.digest is not None}
+    assert len(repeated) > 100 and repeated <= owners
+    for r in files:  # a file keeps no chunk of its own that another place has
+        assert {i for i, d in enumerate(r.digests) if bytes(d) in repeated} <= set(r.away)
+        assert len(media._own_parts(bytes(r.own))) == len(r.digests) - len(r.away)
+
+
 def test_media_hard_rows(hard, empty):
     got = sorted(tuple(r[c] for c in COLUMNS) for r in media.media_features(hard).collect())
     assert got == sorted(expected(r.text) for r in hard.collect())
