@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation.
 
 Fixed patterns find personal data. The corpus then tells which other terms give an entity away: a
-term near an entity in several texts, whose pointwise mutual information with it reaches a share of
-the entity's own information content, discloses it. Disclosing terms are generalised to their kind,
+term near an entity, whose smoothed pointwise mutual information with it reaches a share of the
+entity's own information content, discloses it, however few texts have the entity. Disclosing terms are generalised to their kind,
 or removed where they have none.
 """
 
@@ -25,9 +25,9 @@ from .shared import FILTER_BITS, filter_bits, table, texts, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Words on each side of an entity that count as near it; texts that must agree; share of the
-#: entity's information that a term has to carry.
-WINDOW, SUPPORT, DISCLOSED = 4, 3, 0.9
+#: Words on each side of an entity that count as near it; texts that a term is taken to be in beyond
+#: those counted; share of the entity's information that a term has to carry.
+WINDOW, SMOOTHING, DISCLOSED = 4, 0.25, 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -121,7 +121,7 @@ def nearby(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -
 def _pairs(docs: DataFrame, window: int) -> DataFrame:
     """``entity, term, source``: source is a hash of the whole text; term is null in one row per entity and text.
 
-    One row for each row of the table, so copies of a text repeat it.
+    Copies of a text repeat its rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +142,33 @@ def _filter_bits(terms: DataFrame) -> np.ndarray:
     return filter_bits(terms.select(F.pmod("term", F.lit(FILTER_BITS)).alias("slot")))
 
 
-def _frequencies(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``term, documents``: rows that hold each term which the filter lets through, summed by task before they move."""
+def _frequencies(docs: DataFrame, bits: np.ndarray, repeated: np.ndarray) -> DataFrame:
+    """``term, documents``: distinct texts that hold each term which the filter lets through.
+
+    Texts that the filter of repeated ones lets through move with their hash, once a task; the others
+    are summed by task before they move.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    copies = docs.sparkSession.sparkContext.broadcast(repeated)
+
+    def batch_of(terms: list[int], sources: list[int | None], ns: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (terms, sources, ns)], ["term", "source", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[int] = Counter()
         numbers: dict[str, int | None] = {}
+        met: set[int] = set()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            terms, sources = [], []
+            for text, source in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist(), strict=True):
+                slot = source % FILTER_BITS
+                again = copies.value[slot >> 3] >> (slot & 7) & 1
+                if again:
+                    if source in met:
+                        continue
+                    if len(met) > 200_000:
+                        met.clear()
+                    met.add(source)
                 for word in set(_WORD.findall(text.lower())):
                     number = numbers.get(word, 0)
                     if number == 0:
@@ -160,33 +178,49 @@ def _frequencies(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                         if len(numbers) > 150_000:
                             numbers.clear()
                         numbers[word] = number
-                    if number is not None:
+                    if number is None:
+                        continue
+                    if again:
+                        terms.append(number)
+                        sources.append(source)
+                    else:
                         counts[number] += 1
+                if len(terms) > 50_000:
+                    yield batch_of(terms, sources, [1] * len(terms))
+                    terms, sources = [], []
+            if terms:
+                yield batch_of(terms, sources, [1] * len(terms))
             if len(counts) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+                yield batch_of(list(counts), [None] * len(counts), list(counts.values()))
                 counts = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+        yield batch_of(list(counts), [None] * len(counts), list(counts.values()))
 
-    return texts(docs).select("text").mapInArrow(tidy(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("documents"))
+    found = texts(docs).select("text", F.xxhash64("text").alias("source")).mapInArrow(tidy(run), "term long, source long, n long")
+    once = found.groupBy("term", "source").agg(F.when(F.col("source").isNull(), F.sum("n")).otherwise(F.lit(1)).alias("n"))
+    return once.groupBy("term").agg(F.sum("n").alias("documents"))
 
 
-def disclosing_terms(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def disclosing_terms(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, disclosed: float = DISCLOSED) -> DataFrame:
     """``term``: hashes of the terms that disclose some entity.
 
-    With N rows, of which d hold the entity, t the term, and c both near each other, the term's
-    information about the entity is ``log2(N c / (d t))`` and the entity's own ``log2(N / d)``. The
-    first must reach ``disclosed`` of the second, and c must come from ``support`` different texts,
-    so that exact copies alone never make a term disclosing.
+    With N distinct texts, of which d hold the entity, t the term, and c both near each other, the
+    term's smoothed information about the entity is ``log2(N c / (d (t + smoothing)))`` and the
+    entity's own ``log2(N / d)``. The first must reach ``disclosed`` of the second, that is, t must be
+    at most ``c (N / d)^(1 - disclosed) - smoothing``; the best such bound of a term decides. Texts
+    count once however often they are copied, and an entity of a single text can be disclosed; in
+    less than ten texts there is too little to tell by.
     """
-    near = table(_pairs(docs, window).groupBy("entity", "term", "source").agg(F.count("*").alias("c")), "near")
-    joint = near.groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count("*").alias("sources")).where(F.col("sources") >= support)
+    near = table(_pairs(docs, window).distinct(), "near")
+    joint = near.groupBy("entity", "term").agg(F.count("*").alias("c"))
     alone = joint.where("term is null").select("entity", F.col("c").alias("d"))
-    candidates = table(joint.where("term is not null").join(alone, "entity"), "candidates")
-    n = docs.count()
-    told = candidates.join(_frequencies(docs, _filter_bits(candidates)), "term")
-    information = F.log2(F.lit(float(n)) * F.col("c") / (F.col("d") * F.greatest("documents", "c")))
-    own = F.log2(F.lit(float(n)) / F.col("d"))
-    return table(told.where((own > 0) & (information >= disclosed * own)).select("term").distinct(), "disclosing")
+    copies = table(texts(docs).groupBy(F.xxhash64("text").alias("source")).agg(F.count("*").alias("n")), "texts")
+    n = float(copies.count())
+    bound = F.col("c") * F.pow(F.lit(n) / F.col("d"), F.lit(1 - disclosed)) - F.lit(float(smoothing))
+    bounds = joint.where("term is not null").join(alone, "entity").where(F.col("d") < n).select("term", "c", bound.alias("most"))
+    candidates = table(bounds.where("c <= most").groupBy("term").agg(F.max("most").alias("most")), "candidates")
+    repeated = filter_bits(copies.where("n > 1").select(F.pmod("source", F.lit(FILTER_BITS)).alias("slot")))
+    told = candidates.join(_frequencies(docs, _filter_bits(candidates), repeated), "term")
+    return table(told.where("documents <= most").select("term"), "disclosing")
 
 
 def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -230,12 +264,12 @@ def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(tidy(run), schema)
 
 
-def find_spans(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def find_spans(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, disclosed: float = DISCLOSED) -> DataFrame:
     """``row, doc_id, base, terms``: base spans and disclosing spans of every row of ``docs(row, doc_id, text)``.
 
     Only rows with a word that the fixed-size filter takes for disclosing are joined with the terms.
     """
-    terms = disclosing_terms(docs, window, support, disclosed)
+    terms = disclosing_terms(docs, window, smoothing, disclosed)
     found = table(_occurrences(docs, _filter_bits(terms)), "spans")
     certain = found.where("size(words) > 0").select("row", F.explode("words").alias("w")).select("row", "w.*").join(terms, "term")
     certain = certain.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
@@ -246,13 +280,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def scan(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def scan(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, disclosed: float = DISCLOSED) -> DataFrame:
     """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms``.
 
     Null and empty texts have no spans and the digest of the empty string. Repeated rows each get a
     row. Extra columns are ignored; an empty table gives no rows.
     """
-    found = find_spans(_numbered(docs), window, support, disclosed)
+    found = find_spans(_numbered(docs), window, smoothing, disclosed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,14 +354,14 @@ def _cleaned(docs: DataFrame, bits: np.ndarray, found: bool) -> DataFrame:
     return docs.mapInArrow(tidy(run), docs.schema)
 
 
-def sanitise(docs: DataFrame, window: int = WINDOW, support: int = SUPPORT, disclosed: float = DISCLOSED) -> DataFrame:
+def sanitise(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, disclosed: float = DISCLOSED) -> DataFrame:
     """``docs`` with cleaned texts: all rows and columns stay, null texts stay null.
 
     Rows without any word that the filter takes for disclosing are cleaned where they are; the others
     are joined with the terms.
     """
     names = docs.columns
-    terms = disclosing_terms(docs, window, support, disclosed)
+    terms = disclosing_terms(docs, window, smoothing, disclosed)
     bits = _filter_bits(terms)
     sure = _cleaned(docs, bits, False)
     if not bits.any():

@@ -61,6 +61,17 @@ def test_disclosing_terms_are_found_and_common_ones_left(spark):
     assert "boss" not in cleaned[3].lower() and "[email]" in cleaned[3] and "today" in cleaned[3]
 
 
+def test_what_stands_beside_an_entity_that_occurs_once(spark):
+    rows = [(i, f"plain text {i} about today and the project with nothing else number") for i in range(100, 200)]
+    once = [(i, f"today the project of {name} {name.lower()}@corp.example and nothing else") for i, name in enumerate(["Quillon", "Zebrowski", "Ottoline"])]
+    docs = spark.createDataFrame([*rows, *once, *once[:1] * 30], "doc_id long, text string")
+    cleaned = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("project" in cleaned[i] and "[name] [email] and nothing else" in cleaned[i] for i in range(3))
+    assert all(cleaned[i] == t for i, t in rows)
+    found = {r.doc_id: r for r in pii.scan(docs).collect()}
+    assert all(f"term:{t.index(n)}:{t.index(n) + len(n)}" in found[i].spans.split(",") for (i, t), n in zip(once, ["Quillon", "Zebrowski", "Ottoline"], strict=True))
+
+
 def test_exact_copies_alone_disclose_nothing(spark):
     docs = spark.createDataFrame([(i, "unusual words near me@here.example again") for i in range(20)] + [(i, "other text") for i in range(30, 90)], "doc_id long, text string")
     assert pii.scan(docs).agg({"n_terms": "sum"}).first()[0] == 0
