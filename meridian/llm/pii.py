@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -97,19 +98,26 @@ def _hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term) - (1 << 63)
 
 
+def _words_before(text: str, start: int, window: int) -> list[re.Match[str]]:
+    """The last ``window`` words before a place, from stretches that grow until they hold one more, as the first may be cut."""
+    size = 64 * window
+    while True:
+        low = max(0, start - size)
+        found = list(_WORD.finditer(text, low, start))
+        if low == 0 or len(found) > window:
+            return found[-window:]
+        size *= 2
+
+
 def nearby(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> set[tuple[int, int]]:
     """``(entity, term)`` of the words within ``window`` words of each entity."""
     out: set[tuple[int, int]] = set()
     blocked = sorted((a, b) for _, a, b in spans)
     heads = [a for a, _ in blocked]
     for kind, start, end in spans:
-        # words are taken from bounded stretches, so a long text costs what its entities cost
-        left = list(_WORD.finditer(text, max(0, start - 64 * window), start))[-window:]
-        right = []
-        for m in _WORD.finditer(text, end, min(len(text), end + 64 * window)):
-            right.append(m)
-            if len(right) == window:
-                break
+        # words are taken outwards, so a long text costs what its entities cost
+        left = _words_before(text, start, window)
+        right = islice(_WORD.finditer(text, end), window)
         name = _entity(kind, text[start:end])
         for m in (*left, *right):
             i = bisect_left(heads, m.end()) - 1
@@ -169,7 +177,7 @@ def _frequencies(docs: DataFrame, bits: np.ndarray, repeated: np.ndarray) -> Dat
                     if len(met) > 200_000:
                         met.clear()
                     met.add(source)
-                for word in set(_WORD.findall(text.lower())):
+                for word in set(map(str.lower, set(_WORD.findall(text)))):
                     number = numbers.get(word, 0)
                     if number == 0:
                         h = _hash(word)
@@ -330,7 +338,7 @@ def _cleaned(docs: DataFrame, bits: np.ndarray, found: bool) -> DataFrame:
         known: dict[str, bool] = {}
 
         def hit(text: str) -> bool:
-            for word in set(_WORD.findall(text.lower())):
+            for word in set(map(str.lower, set(_WORD.findall(text)))):
                 if word not in known:
                     slot = _hash(word) % FILTER_BITS
                     if len(known) > 150_000:

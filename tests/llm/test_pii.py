@@ -72,6 +72,14 @@ def test_what_stands_beside_an_entity_that_occurs_once(spark):
     assert all(f"term:{t.index(n)}:{t.index(n) + len(n)}" in found[i].spans.split(",") for (i, t), n in zip(once, ["Quillon", "Zebrowski", "Ottoline"], strict=True))
 
 
+def test_dotted_capitals_and_far_words(spark):
+    assert pii.nearby("Anna " + "-" * 900 + " a@b.cd " + "x" * 300 + " Berta", [("email", 906, 912)]) == {(pii._entity("email", "a@b.cd"), pii._hash(w)) for w in ("anna", "x" * 300, "berta")}
+    text = "today the project of İpek info@corp.example and nothing else"
+    docs = spark.createDataFrame([(0, text), *((i, f"plain text {i} about today and the project with nothing else of and") for i in range(100, 200))], "doc_id long, text string")
+    assert "[name] [email]" in {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[0]
+    assert f"term:{text.index('İ')}:{text.index('İ') + 4}" in {r.doc_id: r.spans for r in pii.scan(docs).collect()}[0].split(",")
+
+
 def test_exact_copies_alone_disclose_nothing(spark):
     docs = spark.createDataFrame([(i, "unusual words near me@here.example again") for i in range(20)] + [(i, "other text") for i in range(30, 90)], "doc_id long, text string")
     assert pii.scan(docs).agg({"n_terms": "sum"}).first()[0] == 0
