@@ -104,7 +104,7 @@ class Model:
 
 
 def fit(pairs: list[tuple[str, str]]) -> Model:
-    """Smoothed n-gram log probabilities of each language; a script's languages are those with a share of its letters."""
+    """Smoothed n-gram log probabilities of each language; a script's languages are those that have a share of their own letters in it; all, if none has."""
     langs = sorted({lang for _, lang in pairs})
     two, three = np.zeros((2, len(langs), BUCKETS))
     used = np.zeros((N_SCRIPTS, len(langs)))
@@ -114,8 +114,9 @@ def fit(pairs: list[tuple[str, str]]) -> Model:
         three[k] += np.bincount(words.three, minlength=BUCKETS)
         used[:, k] += np.bincount(words.script, words.size, N_SCRIPTS)
     logs = [np.log((x + SMOOTHING) / (x.sum(1, keepdims=True) + SMOOTHING * BUCKETS)).astype(np.float32) for x in (two, three)]
-    share = used / np.maximum(1, used.sum(1, keepdims=True))
-    allowed = (share >= SCRIPT_SHARE) | (used.sum(1, keepdims=True) == 0)
+    share = used / np.maximum(1, used.sum(0, keepdims=True))
+    allowed = share >= SCRIPT_SHARE
+    allowed |= ~allowed.any(1, keepdims=True)
     return Model(langs, *logs, np.where(allowed, 0, EXCLUDED).astype(np.float32))
 
 
@@ -160,10 +161,30 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """At most ``rows`` in all, dealt evenly; what a language does not have goes to the others."""
+    out, left = {}, rows
+    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], left // (len(counts) - i))
+        left -= out[lang]
+    return out
+
+
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most ``rows`` documents of a known language outside the held-out fifth, the first in hash order."""
+    """At most ``rows`` documents of a known language outside the held-out fifth: of each language as many, the first in hash order."""
     usable = texts(docs, "lang").where(F.col("lang").isNotNull() & ~held_out() & (F.length("text") <= chars) & (F.col("text") != ""))
-    chosen = {r["doc_id"]: r["lang"] for r in usable.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()}
+    # as many languages as ``rows`` at most; a hash bound for each lets about twice its share and a few more through
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    if not sizes:
+        return []
+    share = quotas({r["lang"]: r["n"] for r in sizes}, rows)
+    bounds = [(r["lang"], min((1 << 63) - 1, int((2 * share[r["lang"]] + 50) / max(1, r["n"]) * (1 << 64)) - (1 << 63))) for r in sizes]
+    bounded = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most long")), "lang")
+    passing: dict[str, list[int]] = {}
+    for r in sorted(bounded.where("h <= most").select("h", "doc_id", "lang").distinct().collect()):
+        passing.setdefault(r["lang"], []).append(r["doc_id"])
+    share = quotas({lang: len(ids) for lang, ids in passing.items()}, rows)
+    chosen = {i: lang for lang in sorted(passing) for i in passing[lang][: share[lang]]}
     if not chosen:
         return []
     # as many ids as ``rows`` at most

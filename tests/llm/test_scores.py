@@ -2,6 +2,7 @@
 
 import re
 import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -125,6 +126,17 @@ def test_language_on_held_out_rows(docs):
     assert len(rows) > 100 and np.mean([r.lang_pred == r.lang for r in rows]) > 0.97
 
 
+def test_rare_language_is_learned_and_not_barred(spark):
+    en, nn = "the cat and the dog with that house", "eg veit ikkje kva hesten heiter på garden"
+    model = li.fit([(en, "en")] * 1992 + [(nn, "nn")] * 8)
+    assert [x[0] for x in li.label_texts(model, [nn, en])] == ["nn", "en"]
+    rows = [(i, f"{en} {i}", "en") for i in range(3000)] + [(i, nn, "nn") for i in range(5000, 5010)]
+    chosen = li.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), rows=100)
+    usable = [i for i in range(5000, 5010) if zlib.crc32(str(i).encode()) % 5]
+    assert len(chosen) == 100 and [t for t, lang in chosen if lang == "nn"] == [nn] * len(usable) and usable
+    assert li.quotas({"a": 10, "b": 2, "c": 9}, 12) == {"a": 5, "b": 2, "c": 5}
+
+
 def brute_viterbi(scores, penalty):
     best, back = scores[0].astype(float), []
     for s in scores[1:]:
