@@ -18,8 +18,10 @@ _PUBLIC_HIDES = ("status", "last_crawled_at", "last_crawl_status", "last_error",
 class Catalog:
     """Tables as in ``meridian.schemas``.
 
-    ``indexed`` is what ``keyword.index`` made of the items with their filter columns ``org``,
-    ``register_id``, ``item_class`` and ``status``; ``chunks`` has embeddings and the same filters.
+    ``postings`` and ``lengths`` are what ``keyword.postings`` and ``keyword.lengths`` made of the items with
+    their filter columns ``org``, ``register_id``, ``item_class`` and ``status``; ``indexed``, what
+    ``keyword.index`` made of them, serves where there are no postings. ``chunks`` has embeddings and the
+    same filters.
     """
 
     organizations: DataFrame
@@ -29,6 +31,8 @@ class Catalog:
     conflicts_log: DataFrame | None = None
     runs: DataFrame | None = None
     indexed: DataFrame | None = None
+    postings: DataFrame | None = None
+    lengths: DataFrame | None = None
     chunks: DataFrame | None = None
     provider: Provider | None = None
     keyword_candidates: int = keyword.CANDIDATES
@@ -67,12 +71,19 @@ class Catalog:
         return edges.roll_up(self.item_edges, self.items.select("id", "register_id"))
 
     def item_graph(self, item_id: str, direction: str = "both", depth: int = graph.DEPTH_REST) -> tuple[DataFrame, DataFrame]:
-        """Nodes and edges."""
+        """Nodes and edges. An unknown start is an error: asking for it is a point lookup."""
+        self._known(self.items, item_id)
         found = graph.graph_edges(self.item_edges, item_id, direction, depth)
         about = self.items.select("id", "name", "item_class", "register_id")
         return graph.graph_nodes(found, item_id, about), found
 
+    @staticmethod
+    def _known(nodes: DataFrame, key: str) -> None:
+        if browse.by_id(nodes, key).select("id").isEmpty():
+            raise KeyError(f"{key!r} is not there")
+
     def register_graph(self, register_id: str, direction: str = "both", depth: int = graph.DEPTH_REST) -> tuple[DataFrame, DataFrame]:
+        self._known(self.registers, register_id)
         found = graph.graph_edges(self.register_edges(), register_id, direction, depth, source="source_register_id", target="target_register_id")
         return graph.graph_nodes(found, register_id, self.registers.select("id", "name", "org_id")), found
 
@@ -96,6 +107,11 @@ class Catalog:
                 out = one if out is None else out & one
         return out
 
+    def _words(self, query: str, filters: Column | None) -> DataFrame:
+        if self.postings is not None:
+            return keyword.search_postings(self.postings, self.lengths, query, filters=filters, limit=self.keyword_candidates)
+        return keyword.search(self.indexed, query, filters=filters, limit=self.keyword_candidates)
+
     def search(self, query: str, *, item_class: str | None = None, status: str | None = None, register: str | None = None, org: str | None = None, limit: int = browse.PAGE, offset: int = 0, strict: bool = False) -> DataFrame:
         """Hybrid search; a query without a word browses. ``number_matched`` counts items that exist.
 
@@ -105,7 +121,7 @@ class Catalog:
         if not query.strip():
             return self.list_items(item_class=item_class, status=status, register=register, org=org, limit=limit, offset=offset)
         existing = self.items.select(F.col("id").alias("item_id"))
-        words = keyword.search(self.indexed, query, filters=self._filters("register_id", register, org, item_class, status), limit=self.keyword_candidates)
+        words = self._words(query, self._filters("register_id", register, org, item_class, status))
         words = words.withColumnRenamed("id", "item_id").join(existing, "item_id", "left_semi")
         near = self._filters("register_id", register, org, item_class, status)
         ready = self.chunks is not None and self.provider is not None
@@ -118,6 +134,20 @@ class Catalog:
         found = hybrid.hybrid_search(words, neighbours, embed, query, strict=strict or not ready, weight=self.semantic_weight, limit=limit, offset=offset)
         return browse.hydrate(found, self.items.drop("score", "rank", "number_matched"), "item_id")
 
+    # the tools: tighter limits, summaries, scores as people read them
+
+    def search_tool(self, query: str, *, limit: int = 10, **filters: str | None) -> DataFrame:
+        """At most 50 hits with the columns of a listed item, ``matched_chunk_types`` and the score to four digits, best first."""
+        found = self.search(query, limit=browse.clamp(limit, 1, browse.MOST_SEARCH_TOOL), **filters)
+        if "rank" not in found.columns:  # a query without a word browses
+            return browse.summary(found)
+        shown = found.withColumnRenamed("item_id", "id").withColumn("score", F.round("score", 4))
+        return browse.summary(shown, "matched_chunk_types", "score", "rank").orderBy("rank")
+
+    def list_tool(self, *, limit: int = browse.PAGE, offset: int = 0, **filters: str | None) -> DataFrame:
+        found = self.list_items(limit=browse.clamp(limit, 1, browse.MOST_LIST_TOOL), offset=offset, **filters)
+        return browse.summary(found, "number_matched").orderBy("id")
+
     def search_registers(self, query: str, limit: int = browse.PAGE) -> DataFrame:
         """Registers by the nearest summary."""
         hits = vector.nearest(self.chunks, self.provider.query(query), limit=limit, chunk_types=vector.REGISTER_CHUNKS)

@@ -35,7 +35,8 @@ def replace_partition(current: DataFrame, new: DataFrame, column: str, replaced:
 
 
 def write_partitions(df: DataFrame, path: str, column: str) -> None:
-    """Overwrite just the partitions that ``df`` has. Each is written by the tasks that hold it."""
+    """Overwrite just the partitions that ``df`` has. Each is written by the tasks that hold it. A value without rows
+    keeps its old partition: where values may lose all their rows, write batches as ``streaming.ingest.Store`` does."""
     df.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 

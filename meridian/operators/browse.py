@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAGE, MOST_REST, MOST_SEARCH_TOOL, MOST_LIST_TOOL, MOST_BATCH = 20, 200, 50, 200, 50
+#: What a listed item shows.
 SUMMARY = ["id", "register_id", "name", "abstract", "status", "item_class", "version", "tags", "has_schema", "has_ld_context", "has_shacl_shapes"]
 
 
@@ -85,6 +86,11 @@ def filtered_items(items: DataFrame, registers: DataFrame | None = None, *, item
     return found
 
 
+def summary(items: DataFrame, *more: str) -> DataFrame:
+    """The columns of a listed item that the table has, and ``more``."""
+    return items.select(*[c for c in SUMMARY if c in items.columns], *more)
+
+
 def page(df: DataFrame, *order: Column | str, limit: int = PAGE, offset: int = 0, most: int = MOST_REST) -> DataFrame:
     return df.orderBy(*order).offset(max(0, offset)).limit(clamp(limit, 1, most))
 

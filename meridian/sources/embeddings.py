@@ -11,6 +11,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Width of a vector, texts in a request, seconds to wait.
 DIMENSIONS, BATCH, TIMEOUT = 768, 32, 120.0
 #: What the self-hosted model wants before a text.
 DOCUMENT_PREFIX, QUERY_PREFIX = "search_document: ", "search_query: "

@@ -20,7 +20,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from meridian.schemas import DOCUMENTS
 
 RETRIES, MIN_INTERVAL, JITTER, TIMEOUT = 3, 2.0, 1.0, 30.0
-WORKERS = 3
 
 
 def get_text(url: str, retries: int = RETRIES, timeout: float = TIMEOUT, sleep: Callable[[float], None] = time.sleep, opener=urllib.request.urlopen) -> str:

@@ -8,21 +8,23 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridian.functions.text import host_of
 from meridian.operators import bookkeeping, ingest
-from meridian.schemas import CHUNKS, INDEXER_VERSION, ITEMS
+from meridian.schemas import CHUNKS, INDEXER_VERSION, ITEMS, ORGANIZATIONS, RUNS
 from meridian.sources.embeddings import Provider, embed
-from meridian.streaming.ingest import _EDGES, Store
+from meridian.streaming.ingest import CONFLICTS, EDGES, LENGTHS, POSTINGS, STATE, Store, write_search
 
 Fetch = Callable[[list[str]], DataFrame]
-_REGISTERS = "id string, org_id string, name string, register_url string, viewer_url string, description string"
-_OUTCOMES = "id string, run_id string, outcome string, modified string, indexer_version int, error string, at timestamp, batch long"
+_LISTED = "id string, org_id string, name string, register_url string"
+_REGISTERS = _LISTED + ", viewer_url string, description string, register_id string"
 _CHUNKS = CHUNKS + ", register_id string, embedding array<float>"
+_EVENTS = "run_id string, register_id string, at timestamp, status string, error string"
 
 
 @dataclass(frozen=True)
 class Cycle:
     """``fetch`` gives ``url, body, error`` of URLs. The lists it gets are the registers of the index and
-    the documents their items link to."""
+    the documents their items link to; hosts take turns in them."""
 
     store: Store
     fetch: Fetch
@@ -33,69 +35,116 @@ class Cycle:
     def run(self, spark: SparkSession, batch: int, only: str | None = None) -> DataFrame:
         """One cycle over all registers, or over ``only`` one. Returns the outcomes ``id, outcome, error``.
 
-        Tables are written in the order items, edges, chunks, outcomes. A register whose fetch, items or
-        links failed is an error and keeps its old marker; one whose marker has not moved is skipped.
+        Tables are written first and the state last. A register whose fetch, items or links failed is an
+        error and keeps its old marker; one whose marker has not moved is skipped. The run log gets a
+        row for the cycle and for each register when they start and when they end, a failure included.
         """
+        self._log(spark, "run_starts", [(f"cycle-{batch}", None, "running", None)], batch)
+        held: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            held.append(df.persist())
+            return held[-1]
+
+        try:
+            self._run(spark, batch, only, keep)
+        except Exception as e:
+            self._log(spark, "run_ends", [(f"cycle-{batch}", None, "error", f"{type(e).__name__}: {e}"[:2000])], batch)
+            raise
+        finally:
+            for df in held:
+                df.unpersist()
+        return self.outcomes(spark).filter(F.col("batch") == batch).select("id", "outcome", "error")
+
+    def _run(self, spark: SparkSession, batch: int, only: str | None, keep: Callable[[DataFrame], DataFrame]) -> None:
         store = self.store
-        docs = self.fetch([self.index_url, self.orgs_url]).persist()
+        docs = keep(self.fetch([self.index_url, self.orgs_url]))
         orgs = ingest.organizations(docs.filter(F.col("url") == self.orgs_url))
-        listed = ingest.registers(docs.filter(F.col("url") == self.index_url))
+        listed = keep(ingest.registers(docs.filter(F.col("url") == self.index_url)))
         scope = listed if only is None else listed.filter(F.col("id") == only)
-        urls = [r["register_url"] for r in scope.select("register_url").distinct().collect()]
-        fetched = scope.join(self.fetch(urls).withColumnRenamed("url", "register_url"), "register_url").persist()
+        # the index document names the registers, so their URLs came through one document already
+        turns = bookkeeping.interleaved(scope.select("id", "register_url"), F.coalesce(host_of(F.col("register_url")), F.lit("")), "id")
+        urls = list(dict.fromkeys(r["register_url"] for r in turns.collect()))
+        fetched = keep(scope.join(self.fetch(urls).withColumnRenamed("url", "register_url"), "register_url"))
         good = fetched.filter(F.col("body").isNotNull() & ingest.is_object(ingest.parsed("body")))
         good = good.withColumn("modified", ingest.text_at(ingest.parsed("body"), "$.modified"))
 
-        old = self.outcomes(spark).filter("outcome = 'ok'")
-        stored = old.groupBy("id").agg(F.max_by("modified", "batch").alias("stored"), F.max_by("indexer_version", "batch").alias("version"))
-        judged = good.join(stored, "id", "left").withColumn("due", ingest.needs_reindex(F.col("modified"), F.col("stored"), F.col("version"))).persist()
-        due = judged.filter("due").select("id", "org_id", "name", "register_url", "body", "modified").persist()
+        judged = keep(good.join(store.markers(spark, batch), "id", "left").withColumn("due", ingest.needs_reindex(F.col("modified"), F.col("stored"), F.col("version"))))
+        due = keep(judged.filter("due").select("id", "org_id", "name", "register_url", "body", "modified"))
+        started = due.select(F.concat_ws("-", F.lit(str(batch)), "id").alias("run_id"), F.col("id").alias("register_id"), F.lit("running").alias("status"), F.lit(None).cast("string").alias("error"))
+        self._log(spark, "register_starts", [], batch, started)
 
         order = due.select(F.col("id").alias("register_id"), F.col("id").alias("crawl_seq"))
-        owners = store.read(spark, "items", ITEMS).select(F.col("id").alias("item_id"), "register_id")
-        claimed = ingest.claims(ingest.raw_items(due), order, owners).persist()
+        # a register that is no longer listed owns nothing
+        owners = store.current(spark, "items", ITEMS, batch).join(listed.select(F.col("id").alias("register_id")), "register_id", "left_semi").select(F.col("id").alias("item_id"), "register_id")
+        claimed = keep(ingest.claims(ingest.raw_items(due), order, owners))
         accepted = claimed.filter("accepted")
         raw = F.col("raw")
         links = F.array_compact(F.array(*[F.nullif(ingest.text_at(raw, p), F.lit("")) for p in ("$.documentation['json-full'].url", "$.ldContext", "$.resolvedSchemaProperties")]))
         wanted = [r["u"] for r in accepted.select(F.explode(links).alias("u")).distinct().collect()]
-        chunks, failed = ingest.chunks(due, accepted, self.fetch(wanted).persist())
-        failed = failed.persist()
+        chunks, failed = ingest.chunks(due, accepted, keep(self.fetch(wanted)))
+        failed, chunks = keep(failed), keep(chunks)
 
+        items = ingest.items(accepted)
         by_url = due.select("register_url", F.col("id").alias("register_id"))
-        vectors = embed(chunks.join(by_url, "register_url").dropDuplicates(["chunk_key"]), self.provider)
         source = accepted.select(F.col("item_id").alias("source_id"), "register_id")
-        tables = {"items": ingest.items(accepted), "edges": ingest.edges(accepted).join(source, "source_id"), "chunks": vectors, "registers": ingest.register_facts(due).drop("modified").withColumn("register_id", F.col("id"))}
-        ingest.conflicts(claimed).withColumn("detected_at", F.current_timestamp()).write.mode("append").parquet(store.path("conflicts"))
-        for name, rows in tables.items():
-            bookkeeping.write_partitions(rows, store.path(name), "register_id")
+        described = chunks.filter("chunk_type = 'item_description'").select(F.col("item_id").alias("id"), F.col("text").alias("description")).dropDuplicates(["id"])
+        about = accepted.select(F.col("item_id").alias("id"), F.col("org_id").alias("org")).join(described, "id", "left")
+        store.write("items", items, batch)
+        store.write("edges", ingest.edges(accepted).join(source, "source_id"), batch)
+        store.write("chunks", embed(chunks.join(by_url, "register_url").dropDuplicates(["chunk_key"]), self.provider), batch)
+        write_search(store, items, about, batch)
+        store.write("registers", ingest.register_facts(due).drop("modified").withColumn("register_id", F.col("id")), batch)
+        store.write("conflicts", ingest.conflicts(claimed).withColumn("detected_at", F.current_timestamp()), batch)
+        if only is None:
+            store.write("organizations", bookkeeping.upsert(store.newest(spark, "organizations", ORGANIZATIONS, batch), orgs).join(orgs.select("id"), "id", "left_semi"), batch)
+            store.write("listed", listed, batch)
 
         lost = bookkeeping.failure_summary(failed).select(F.col("register_id").alias("id"), F.concat(F.lit("failed items: "), "failed_ids").alias("lost"))
         states = fetched.select("id", F.coalesce("error", F.when(F.col("body").isNull() | ~ingest.is_object(ingest.parsed("body")), "not a JSON object")).alias("broken"))
         states = states.join(judged.select("id", "due", "modified"), "id", "left").join(lost, "id", "left")
         error = F.coalesce("broken", "lost")
         outcome = F.when(error.isNotNull(), "error").when(F.col("due"), "ok").otherwise("skipped")
-        run_id = F.concat_ws("-", F.lit(batch).cast("string"), "id")
-        done = states.select("id", run_id.alias("run_id"), outcome.alias("outcome"), "modified", F.lit(INDEXER_VERSION).alias("indexer_version"), error.alias("error"), F.current_timestamp().alias("at"), F.lit(batch).cast("long").alias("batch"))
-        done.write.mode("append").parquet(store.path("outcomes"))
-        if only is None:
-            self._write_listed(spark, orgs, listed)
-        return self.outcomes(spark).filter(F.col("batch") == batch).select("id", "outcome", "error")
-
-    def _write_listed(self, spark: SparkSession, orgs: DataFrame, listed: DataFrame) -> None:
-        orgs.write.mode("overwrite").parquet(self.store.path("organizations"))
-        listed.write.mode("overwrite").parquet(self.store.path("listed"))
+        done = states.select(
+            "id", F.concat_ws("-", F.lit(str(batch)), "id").alias("run_id"), "modified", F.lit(INDEXER_VERSION).alias("indexer_version"), outcome.alias("outcome"),
+            error.alias("error"), F.current_timestamp().alias("at"), F.coalesce("due", F.lit(False)).alias("replaced"),
+        )
+        store.write("state", done, batch)
+        ended = self.outcomes(spark).filter(F.col("batch") == batch).select("run_id", F.col("id").alias("register_id"), F.col("outcome").alias("status"), "error")
+        self._log(spark, "run_ends", [(f"cycle-{batch}", None, "ok", None)], batch, ended)
+
+    def _log(self, spark: SparkSession, name: str, rows: list[tuple], batch: int, more: DataFrame | None = None) -> None:
+        events = spark.createDataFrame(rows, "run_id string, register_id string, status string, error string")
+        if more is not None:
+            events = events.unionByName(more)
+        self.store.write(name, events.withColumn("at", F.current_timestamp()), batch)
 
     def outcomes(self, spark: SparkSession) -> DataFrame:
-        return self.store.read(spark, "outcomes", _OUTCOMES)
+        return self.store.read(spark, "state", STATE)
+
+    def runs(self, spark: SparkSession) -> DataFrame:
+        """The run log as ``meridian.schemas.RUNS``; a run that has not ended is still running."""
+        events = [self.store.read(spark, name, _EVENTS).drop("batch") for name in ("run_starts", "register_starts", "run_ends")]
+        return bookkeeping.fold_runs(events[0].unionByName(events[1]).unionByName(events[2])).select(*[c.split()[0] for c in RUNS.split(", ")])
+
+    def conflicts(self, spark: SparkSession) -> DataFrame:
+        return self.store.read(spark, "conflicts", CONFLICTS).drop("batch")
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         """The tables without registers that are no longer listed, and without what they had."""
-        listed = self.store.read(spark, "listed", "id string, org_id string, name string, register_url string")
+        store = self.store
+        listed = store.newest(spark, "listed", _LISTED)
         keep = listed.select(F.col("id").alias("register_id"))
-        schemas = {"items": ITEMS, "edges": _EDGES, "chunks": _CHUNKS, "registers": _REGISTERS + ", register_id string"}
-        out = {name: self.store.read(spark, name, schema).join(keep, "register_id", "left_semi") for name, schema in schemas.items()}
-        last = self.outcomes(spark).groupBy("id").agg(F.max_by("outcome", "batch").alias("outcome"), F.max_by("error", "batch").alias("last_error"))
-        status = F.coalesce(bookkeeping.lifecycle(F.col("outcome")), F.when(F.col("outcome") == "skipped", "ready"), F.lit("pending"))
+        schemas = {"items": ITEMS, "edges": EDGES, "chunks": _CHUNKS, "registers": _REGISTERS, "postings": POSTINGS + ", bucket int", "lengths": LENGTHS}
+        out = {name: store.current(spark, name, schema).join(keep, "register_id", "left_semi") for name, schema in schemas.items()}
+        out["organizations"] = store.newest(spark, "organizations", ORGANIZATIONS)
         known = out["registers"].select("id", F.col("name").alias("own_name"), "viewer_url", "description")
-        out["registers"] = listed.join(known, "id", "left").join(last, "id", "left").select("id", "org_id", F.coalesce("own_name", "name").alias("name"), "register_url", "viewer_url", "description", status.alias("status"), "last_error")
+        bare = listed.join(known, "id", "left").select("id", "org_id", F.coalesce("own_name", "name").alias("name"), "register_url", "viewer_url", "description", F.lit("pending").alias("status"))
+        empty = {"modified": "string", "indexer_version": "int", "last_crawled_at": "timestamp", "last_crawl_status": "string", "last_error": "string"}
+        rows = bare.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
+        # a skipped run leaves the status that the runs before it gave; the marker is that of the last whole one
+        for which in ("outcome = 'ok'", "outcome <> 'skipped'", "true"):
+            last = bookkeeping.latest_by_key(self.outcomes(spark).filter(which), "id", [F.desc("batch")])
+            rows = bookkeeping.apply_outcomes(rows, last)
+        out["registers"] = rows
         return out

@@ -7,10 +7,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from meridian.operators import ingest
+from meridian.operators import ingest, keyword
 from meridian.schemas import ITEMS
 from meridian.sources import http
-from meridian.streaming.ingest import Store, edges_of, run_available, run_forever
+from meridian.streaming.ingest import CONFLICTS, LENGTHS, POSTINGS, Store, edges_of, ingest_batch, run_available, run_forever
 
 
 def _docs(spark, *bodies):
@@ -155,7 +155,7 @@ def test_stream_replaces_changed_registers_only(spark, tmp_path):
 
     def go():
         run_available(spark, str(landing), store, str(tmp_path / "cp"))
-        return {(r.id, r.register_id, r.name) for r in store.read(spark, "items", ITEMS).collect()}
+        return {(r.id, r.register_id, r.name) for r in store.current(spark, "items", ITEMS).collect()}
 
     _land(landing, "1.json", ("o/a", {"modified": "1", "bblocks": [{"itemIdentifier": "x", "name": "X", "dependsOn": ["y"]}]}), ("o/b", {"modified": "1", "bblocks": [{"itemIdentifier": "x"}, {"itemIdentifier": "y"}]}))
     assert go() == {("x", "o/a", "X"), ("y", "o/b", "y")}
@@ -165,6 +165,49 @@ def test_stream_replaces_changed_registers_only(spark, tmp_path):
     assert {(r.source_id, r.target_id) for r in edges_of(spark, store).collect()} == {("x", "y")}
 
 
+def _landed(spark, *registers):
+    rows = [(i, "o", i, f"http://{i}", json.dumps(b)) for i, b in registers]
+    return spark.createDataFrame(rows, "id string, org_id string, name string, register_url string, body string")
+
+
+def test_a_register_that_loses_its_rows_has_none(spark, tmp_path):
+    store = Store(str(tmp_path / "out"))
+
+    def now():
+        items = {(r.id, r.register_id) for r in store.current(spark, "items", ITEMS).collect()}
+        links = {(r.source_id, r.target_id) for r in edges_of(spark, store).collect()}
+        held = store.current(spark, "postings", POSTINGS + ", bucket int")
+        found = {r.id for r in keyword.search_postings(held, store.current(spark, "lengths", LENGTHS), "shared").collect()}
+        return items, links, found
+
+    both = {"itemIdentifier": "x", "name": "shared", "dependsOn": ["z"]}
+    ingest_batch(store, _landed(spark, ("o/a", {"modified": "1", "bblocks": [both, {"itemIdentifier": "y", "name": "shared y"}]}), ("o/b", {"modified": "1", "bblocks": [{"itemIdentifier": "x", "name": "late"}]})), 0)
+    assert now() == ({("x", "o/a"), ("y", "o/a")}, {("x", "z")}, {"x", "y"})
+    ingest_batch(store, _landed(spark, ("o/a", {"modified": "2", "bblocks": [{"itemIdentifier": "x", "name": "shared"}]})), 1)  # y and the link go
+    assert now() == ({("x", "o/a")}, set(), {"x"})
+    for _ in range(2):  # all items go, their identifiers are free; a repeated batch changes nothing
+        ingest_batch(store, _landed(spark, ("o/a", {"modified": "3", "bblocks": []}), ("o/b", {"modified": "2", "bblocks": [both]})), 2)
+        assert now()[0] == {("x", "o/b")} or now()[0] == set()
+    ingest_batch(store, _landed(spark, ("o/b", {"modified": "3", "bblocks": [both]})), 3)
+    assert now() == ({("x", "o/b")}, {("x", "z")}, {"x"})
+    assert store.read(spark, "conflicts", CONFLICTS).filter("batch = 0").count() == 1
+
+
+def test_of_repeated_documents_one_counts(spark, tmp_path):
+    for n in (1, 4):
+        store = Store(str(tmp_path / f"o{n}"))
+        ingest_batch(store, _landed(spark, *[("o/a", {"modified": m, "bblocks": [{"itemIdentifier": m}]}) for m in "132"]).repartition(n), 0)
+        assert [r.id for r in store.current(spark, "items", ITEMS).collect()] == ["3"]
+
+
+def test_only_a_missing_table_is_empty(spark, tmp_path):
+    (tmp_path / "items").mkdir()
+    (tmp_path / "items" / "x.parquet").write_text("not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        Store(str(tmp_path)).read(spark, "items", ITEMS).count()
+    assert Store(str(tmp_path)).read(spark, "other", ITEMS).count() == 0
+
+
 def test_cycles_go_on_after_a_failure():
     seen, waits = [], []
 
