@@ -1,8 +1,12 @@
-"""Column-weighted BM25 keyword search."""
+"""Column-weighted BM25 keyword search.
+
+Two forms give the same results: a tokenised column for each searched one, which a search reads whole,
+and postings, of which a search reads the buckets of its own words.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +18,13 @@ from meridian.functions.text import phrase_text, phrases_of, spaced_tokens, toke
 #: How much a hit in each column counts.
 WEIGHTS = {"name": 5.0, "abstract": 2.0, "tags": 1.0, "item_identifier": 1.0, "description": 1.0}
 CANDIDATES = 50
+#: Buckets that postings are dealt to by token.
+BUCKETS = 64
+
+
+def _text(items: DataFrame, weights: Mapping[str, float]) -> dict[str, Column]:
+    kinds = dict(items.dtypes)
+    return {c: F.concat_ws(" ", c) if kinds[c].startswith("array") else F.col(c).cast("string") for c in weights}
 
 
 def index(items: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
@@ -22,8 +33,7 @@ def index(items: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame
     Write it once, partitioned by the filter columns; a search then reads only its own columns.
     Array columns are joined by spaces.
     """
-    kinds = dict(items.dtypes)
-    text = {c: F.concat_ws(" ", c) if kinds[c].startswith("array") else F.col(c).cast("string") for c in weights}
+    text = _text(items, weights)
     tokens = items.select("*", *[spaced_tokens(text[c]).alias(f"t_{c}") for c in weights])
     return tokens.withColumn("n_tokens", sum((token_count(F.col(f"t_{c}")) for c in weights), F.lit(0).cast("long")))
 
@@ -64,3 +74,69 @@ def search(indexed: DataFrame, query: str, *, key: str = "id", filters: Column |
         score = score + bm25_term(idf(F.col("s.n").cast("double"), F.col(f"s.c{i}").cast("double")), tf, F.col("n_tokens").cast("double"), F.col("s.mean"))
     found = rows.select(key, score.alias("relevance"))
     return found if limit is None else found.orderBy(F.desc("relevance"), key).limit(limit)
+
+
+def bucket_of(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
+def postings(items: DataFrame, *, key: str = "id", weights: Mapping[str, float] = WEIGHTS, filters: Sequence[str] = ()) -> DataFrame:
+    """``bucket, token, key, field, positions, n_tokens`` and the ``filters`` columns: where each token stands in each
+    searched column of each row. ``n_tokens`` is the row's length over all columns."""
+    text = _text(items, weights)
+    words = {c: F.filter(F.split(spaced_tokens(text[c]), " +"), lambda t: t != "") for c in weights}
+    held = items.select(key, *filters, *[words[c].alias(f"__{i}") for i, c in enumerate(weights)])
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"__{i}").alias("words")) for i, c in enumerate(weights)])
+    length = sum((F.size(f"__{i}") for i in range(len(weights))), F.lit(0)).cast("long")
+    each = held.select(key, *filters, length.alias("n_tokens"), F.explode(fields).alias("f"))
+    placed = each.select(key, *filters, "n_tokens", "f.field", F.posexplode("f.words").alias("position", "token"))
+    listed = placed.groupBy("token", key, *filters, "field", "n_tokens").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    return listed.select(bucket_of(F.col("token")).alias("bucket"), "token", key, "field", "positions", "n_tokens", *filters)
+
+
+def lengths(items: DataFrame, *, key: str = "id", weights: Mapping[str, float] = WEIGHTS, by: Sequence[str] = ()) -> DataFrame:
+    """``rows, tokens`` of all items, or of those with each value of ``by``: what the mean length is made of.
+    Rows without a word count as rows."""
+    text = _text(items, weights)
+    total = sum((token_count(spaced_tokens(text[c])) for c in weights), F.lit(0).cast("long"))
+    return items.select(*by, total.alias("n")).groupBy(*by).agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+
+
+def write_postings(found: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
+    """One folder a bucket, tokens in order, so that a search reads the row groups of its words."""
+    found.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket", *partitions).parquet(path)
+
+
+def _standing(held: Column, tokens: list[str]) -> Column:
+    """How often the tokens stand together, by the map of their positions in one column."""
+    first = F.coalesce(held[tokens[0]], F.array().cast("array<int>"))
+    rest = [F.coalesce(held[t], F.array().cast("array<int>")) for t in tokens[1:]]
+    return F.size(F.filter(first, lambda p: reduce(Column.__and__, [F.array_contains(r, p + i) for i, r in enumerate(rest, 1)], F.lit(True))))
+
+
+def search_postings(held: DataFrame, stats: DataFrame, query: str, *, key: str = "id", filters: Column | None = None, weights: Mapping[str, float] = WEIGHTS, limit: int | None = CANDIDATES) -> DataFrame:
+    """The rows of ``search``, from ``postings`` and ``stats(rows, tokens)``.
+
+    Only buckets and tokens of the query are read: both filters reach the scan. A row brings one small
+    map for each column, at most as many entries as the query has tokens. ``filters`` names columns of
+    the postings and leaves the counts of rows as they are.
+    """
+    phrases = phrases_of(query)
+    tokens = sorted({t for p in phrases for t in p})
+    if not tokens:
+        return held.select(key, F.lit(0.0).alias("relevance")).filter(F.lit(False))
+    in_buckets = reduce(Column.__or__, [F.col("bucket") == bucket_of(F.lit(t)) for t in tokens])
+    own = held.filter(in_buckets & F.col("token").isin(tokens))
+    passes = F.lit(True) if filters is None else F.coalesce(filters, F.lit(False))
+    maps = own.groupBy(key, "field", "n_tokens", passes.alias("passes")).agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("at"))
+    weight = reduce(lambda c, x: c.when(F.col("field") == x[0], F.lit(float(x[1]))), weights.items(), F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(0.0))
+    counted = maps.select(key, "n_tokens", "passes", weight.alias("w"), *[_standing(F.col("at"), p).alias(f"f{i}") for i, p in enumerate(phrases)])
+    rows = counted.groupBy(key, "n_tokens", "passes").agg(*[F.sum(F.col("w") * F.col(f"f{i}")).alias(f"tf{i}") for i in range(len(phrases))], *[F.sum(f"f{i}").alias(f"n{i}") for i in range(len(phrases))])
+    total = stats.agg(F.sum("rows").alias("n"), (F.sum("tokens") / F.sum("rows")).alias("mean")).select(F.struct("*").alias("s")).scalar()
+    counts = rows.agg(*[F.count(F.when(F.col(f"n{i}") > 0, 1)).alias(f"c{i}") for i in range(len(phrases))]).select(F.struct("*").alias("c")).scalar()
+    best = rows.filter(F.col("passes") & reduce(Column.__and__, [F.col(f"n{i}") > 0 for i in range(len(phrases))])).withColumns({"s": total, "c": counts})
+    score = F.lit(0.0)
+    for i in range(len(phrases)):
+        score = score + bm25_term(idf(F.col("s.n").cast("double"), F.col(f"c.c{i}").cast("double")), F.col(f"tf{i}"), F.col("n_tokens").cast("double"), F.col("s.mean"))
+    found = best.select(key, score.alias("relevance"))
+    return found if limit is None else found.orderBy(F.desc("relevance"), key).limit(limit)

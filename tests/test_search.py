@@ -1,12 +1,15 @@
 """Keyword, vector and hybrid search, held against the FTS of the standard library where it has one."""
 
 import sqlite3
+import unicodedata
 
 import pytest
+from hypothesis import HealthCheck, assume, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from meridian.functions.scores import keyword_score, semantic_score
-from meridian.functions.text import fold, org_of_register, phrases_of, row_id, strip_scheme
+from meridian.functions.text import fold, org_of_register, phrases_of, row_id, spaced_tokens, strip_scheme
 from meridian.operators import hybrid, keyword, vector
 from meridian.sources.embeddings import KeywordPresence, embed
 
@@ -42,6 +45,71 @@ def test_bm25_equals_fts(indexed, query):
     assert all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
 
 
+@pytest.fixture(scope="module")
+def posted(spark, tmp_path_factory):
+    df = spark.createDataFrame(ROWS, "id string, name string, abstract string, tags array<string>, description string")
+    rows = df.withColumn("item_identifier", F.col("id"))
+    path = str(tmp_path_factory.mktemp("postings"))
+    keyword.write_postings(keyword.postings(rows, filters=("name",)), path)
+    return spark.read.parquet(path), keyword.lengths(rows)
+
+
+@pytest.mark.parametrize("query", ["geo", "feature geo", "geo-feature", "cafe", "geo_feature sensor", "features", "geo geo", "words", "missing", "geo-feature-geo", "- ()"])
+def test_postings_equal_the_index(indexed, posted, query):
+    got = {r.id: r.relevance for r in keyword.search_postings(*posted, query).collect()}
+    want = {r.id: r.relevance for r in keyword.search(indexed, query).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_postings_filter_leaves_scores_and_prunes(posted):
+    every = {r.id: r.relevance for r in keyword.search_postings(*posted, "geo").collect()}
+    df = keyword.search_postings(*posted, "geo", filters=F.col("name") == "Café")
+    assert {r.id: r.relevance for r in df.collect()} == {"b": every["b"]}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(bucket" in plan.replace("isnotnull", "") or "PartitionFilters: [isnotnull(bucket" in plan
+    assert "In(token, [geo])" in plan or "EqualTo(token,geo)" in plan
+
+
+WORDS = ["tiếng", "Việt", "re\u0301sume\u0301", "résumé", "ΚΑΛΗΜΈΡΑ", "καλημέρας", "हिन्दी", "नमस्ते", "İstanbul", "istanbul", "STRASSE", "straße", "ẞ", "日本語", "ǅ", "Ǖ", "naïve", "Å", "ﬁn", "x\u0300\u0301y", "Ещё", "еще"]
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.sampled_from(WORDS), st.text(st.characters(codec="utf-8", categories=["Ll", "Lu", "Lo", "Mn", "Nd", "Po"], max_codepoint=0x1FFF), min_size=1, max_size=4)), min_size=1, max_size=6))
+def test_folding_equals_fts(words):
+    """Every word must find what FTS5 finds by it, on the side of the query and on that of the text."""
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x)")
+    db.execute("create virtual table v using fts5vocab(t, 'instance')")
+    db.execute("insert into t values (?)", (" ".join(words),))
+    want = [r[0] for r in db.execute("select term from v order by offset")]
+    assume(all(unicodedata.category(c) != "Cn" and _old(c) for w in words for c in w))
+    assert [t for p in phrases_of(" ".join(words)) for t in p] == want
+
+
+def _old(c):
+    """Assigned in both tables: SQLite's are of Unicode 6.1."""
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(x)")
+    db.execute("create virtual table v using fts5vocab(t, 'row')")
+    db.execute("insert into t values (?)", (f"q{c}z",))
+    terms = {r[0] for r in db.execute("select term from v")}
+    inside = unicodedata.category(c)[0] in "LN" or unicodedata.combining(c) and terms == {"qz"}
+    return bool(inside) == (len(terms) == 1) and (c.lower() == c or f"q{c}z" not in terms)
+
+
+def test_texts_fold_like_queries(spark):
+    texts = [*WORDS, "Ünïcode MIXED Ж-ж_x", "plain ASCII Words", None, ""]
+    got = [r[0].split() for r in spark.createDataFrame([(t,) for t in texts], "t string").select(spaced_tokens(F.col("t"))).collect()]
+    assert got == [[t for p in phrases_of(x or "") for t in p] for x in texts]
+
+
+def test_words_beyond_latin_are_found(spark):
+    rows = [("1", "tiếng Việt re\u0301sume\u0301"), ("2", "नमस्ते हिन्दी"), ("3", "ΚΑΛΗΜΈΡΑ κόσμε")]
+    tokens = keyword.index(spark.createDataFrame(rows, "id string, name string"), {"name": 1.0})
+    found = {q: [r.id for r in keyword.search(tokens, q, weights={"name": 1.0}).collect()] for q in ("tiếng", "résumé", "resume", "हिन्दी", "καλημέρα", "ΚΌΣΜΕ")}
+    assert found == {"tiếng": ["1"], "résumé": ["1"], "resume": ["1"], "हिन्दी": ["2"], "καλημέρα": ["3"], "ΚΌΣΜΕ": ["3"]}
+
+
 def test_special_characters_give_nothing(indexed):
     assert keyword.search(indexed, '"-* ():^').count() == 0
     assert phrases_of(" - geo-Feature É ") == [["geo", "feature"], ["e"]]
