@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meridian.session import checkpointed
+
 DEEPEST, DEPTH_REST, DEPTH_TOOL = 5, 2, 1
 DIRECTIONS = ("depends_on", "dependents", "both")
 
@@ -20,14 +22,19 @@ def walk(edges: DataFrame, start: object, depth: int = DEPTH_REST, *, source: st
 
     Level i + 1 has all edges that leave a target of level i. Nothing is marked as visited: a cycle
     is walked again on every level, and an edge may stand in several. Joining the distinct targets
-    keeps a level at most as large as the edge table; no level runs by itself.
+    keeps a level at most as large as the edge table. Each level but the last is written once, to the
+    checkpoint folder, so the next one and the result read it instead of deriving it again.
     """
+    checkpointed(edges.sparkSession)
     steps = edges.select(F.col(source).alias("source"), F.col(target).alias("target"), "kind").distinct()
     level = steps.filter(F.col("source") == F.lit(start))
-    levels = [level.withColumn("level", F.lit(1))]
-    for i in range(2, clamp_depth(depth) + 1):
-        frontier = level.select(F.col("target").alias("source")).distinct()
-        level = steps.join(frontier, "source", "left_semi")
+    levels = []
+    last = clamp_depth(depth)
+    for i in range(1, last + 1):
+        if i > 1:
+            level = steps.join(level.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+        if i < last:
+            level = level.checkpoint()
         levels.append(level.withColumn("level", F.lit(i)))
     return reduce(DataFrame.unionByName, levels).select("level", "source", "target", "kind")
 
@@ -51,14 +58,15 @@ def graph_edges(edges: DataFrame, start: object, direction: str = "both", depth:
 
 def graph_nodes(found: DataFrame, start: object, nodes: DataFrame, spark_type: str = "string") -> DataFrame:
     """Start and all ends of ``found``, with the columns of ``nodes(id, name, …)``; ids it does not have
-    stay as ``known = false`` under their id as name."""
+    stay as ``known = false`` under their id as name. A start that is no node and has no edge gives no rows."""
     spark = found.sparkSession
-    first = spark.range(1).select(F.lit(start).cast(spark_type).alias("id"))
+    first = nodes.filter(F.col("id") == F.lit(start)).select(F.col("id").cast(spark_type))
     ids = first.union(found.select(F.col("source").cast(spark_type))).union(found.select(F.col("target").cast(spark_type))).distinct()
     joined = ids.join(nodes.withColumn("__known", F.lit(True)), "id", "left")
     return joined.withColumn("known", F.coalesce("__known", F.lit(False))).withColumn("name", F.coalesce("name", F.col("id").cast("string"))).drop("__known")
 
 
 def level_lists(levels: DataFrame) -> DataFrame:
-    """``level, edges``: one sorted list per level; levels without edges are not there."""
+    """``level, edges``: one sorted list per level, for answers that a person asked for; levels without edges are
+    not there. A level is at most as large as the edge table: analyses take the rows of ``walk`` instead."""
     return levels.groupBy("level").agg(F.array_sort(F.collect_list(F.struct("source", "target", "kind"))).alias("edges"))

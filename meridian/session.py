@@ -31,6 +31,18 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpointed(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a local master without one gets a local folder."""
+    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        where = tempfile.mkdtemp(prefix="meridian-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
