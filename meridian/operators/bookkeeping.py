@@ -63,8 +63,8 @@ def fold_runs(log: DataFrame) -> DataFrame:
 
 
 def lifecycle(outcome: Column) -> Column:
-    """Status of a register after a run: ``ok`` is ready, ``skipped`` leaves it, others failed."""
-    return F.when(outcome == "ok", "ready").when(outcome == "running", "crawling").when(outcome == "skipped", F.lit(None)).otherwise("failed")
+    """Status of a register after a run: ``ok`` is ready, ``skipped`` and no run leave it, others failed."""
+    return F.when(outcome == "ok", "ready").when(outcome == "running", "crawling").when(outcome.isNull() | (outcome == "skipped"), F.lit(None)).otherwise("failed")
 
 
 def apply_outcomes(registers: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from meridian.functions.text import phrase_text, phrases_of, spaced_tokens, toke
 #: How much a hit in each column counts.
 WEIGHTS = {"name": 5.0, "abstract": 2.0, "tags": 1.0, "item_identifier": 1.0, "description": 1.0}
 CANDIDATES = 50
-#: Buckets that postings are dealt to by token.
-BUCKETS = 64
+#: Buckets that postings are dealt to by token, and files of a bucket at most.
+BUCKETS, SPREAD = 64, 16
 
 
 def _text(items: DataFrame, weights: Mapping[str, float]) -> dict[str, Column]:
@@ -102,9 +102,15 @@ def lengths(items: DataFrame, *, key: str = "id", weights: Mapping[str, float] =
     return items.select(*by, total.alias("n")).groupBy(*by).agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
 
 
-def write_postings(found: DataFrame, path: str, partitions: Sequence[str] = ()) -> None:
-    """One folder a bucket, tokens in order, so that a search reads the row groups of its words."""
-    found.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket", *partitions).parquet(path)
+def dealt(found: DataFrame, key: str = "id", spread: int = SPREAD) -> DataFrame:
+    """Postings dealt to tasks by bucket and, as a common token's bucket may hold a large part of them, by row as well;
+    tokens in order, so that a search reads the row groups of its words."""
+    return found.repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(spread))).sortWithinPartitions("bucket", "token")
+
+
+def write_postings(found: DataFrame, path: str, key: str = "id") -> None:
+    """One folder a bucket."""
+    dealt(found, key).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _standing(held: Column, tokens: list[str]) -> Column:

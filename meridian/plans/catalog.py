@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridian.catalog import Catalog
 from meridian.functions.text import host_of, row_id
 from meridian.operators import bookkeeping, browse, edges, graph, hybrid, ingest, keyword, vector
+from meridian.schemas import ITEMS
+from meridian.session import checkpointed
+from meridian.streaming.ingest import Store, ingest_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 DOCUMENT_WEIGHTS = {"name": 5.0, "labels": 1.0, "body": 1.0}
+#: Indexes that this process wrote: a folder for each application and folder of tables.
+_posted: dict[tuple[str, str], str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -59,9 +66,18 @@ class Tables:
         c = self("customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_nationkey").alias("register_id"))
         return c.union(self("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_nationkey").alias("register_id")))
 
-    def indexed_documents(self) -> DataFrame:
-        docs = self("documents").select(F.col("doc_id").alias("item_id"), "lang", "source", F.substring_index("text", ".", 1).alias("name"), F.concat_ws(" ", "lang", "source").alias("labels"), F.col("text").alias("body"))
-        return keyword.index(docs, DOCUMENT_WEIGHTS).drop("name", "labels", "body")
+    def documents(self) -> DataFrame:
+        return self("documents").select(F.col("doc_id").alias("item_id"), "lang", "source", F.substring_index("text", ".", 1).alias("name"), F.concat_ws(" ", "lang", "source").alias("labels"), F.col("text").alias("body"))
+
+    def posted_documents(self) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths of the documents, written once for each folder of tables."""
+        own = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if own not in _posted:
+            path = f"{checkpointed(self.spark)}/meridian-postings-{uuid.uuid4().hex}"
+            keyword.write_postings(keyword.postings(self.documents(), key="item_id", weights=DOCUMENT_WEIGHTS, filters=("lang",)), f"{path}/postings", "item_id")
+            keyword.lengths(self.documents(), key="item_id", weights=DOCUMENT_WEIGHTS).write.parquet(f"{path}/lengths")
+            _posted[own] = path
+        return self.spark.read.parquet(f"{_posted[own]}/postings"), self.spark.read.parquet(f"{_posted[own]}/lengths")
 
     def chunks(self) -> DataFrame:
         return self("embeddings").select(F.col("vec_id").alias("chunk_key"), (F.col("vec_id") % 100).alias("item_id"), F.concat(F.lit("t"), (F.col("label") % 4).cast("string")).alias("chunk_type"), "label", "embedding")
@@ -214,7 +230,15 @@ k AS (SELECT item_id, {score} AS relevance FROM d2, s WHERE {" AND ".join(has)}
 
 def _keyword(t: Tables, text: str, lang: str | None = "en", limit: int = 50) -> DataFrame:
     filters = None if lang is None else F.col("lang") == lang
-    return keyword.search(t.indexed_documents(), text, key="item_id", filters=filters, weights=DOCUMENT_WEIGHTS, limit=limit)
+    return keyword.search_postings(*t.posted_documents(), text, key="item_id", filters=filters, weights=DOCUMENT_WEIGHTS, limit=limit)
+
+
+@query(f"WITH {_bm25_sql(['of the', 'er', 'and'], "lang = 'en'", 50)} SELECT item_id, round(relevance, 6) AS relevance FROM k")
+def keyword_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search without postings, over tokenised columns."""
+    tokens = keyword.index(Tables(spark, sf_dir).documents(), DOCUMENT_WEIGHTS)
+    found = keyword.search(tokens, "of-the ER and -", key="item_id", filters=F.col("lang") == "en", weights=DOCUMENT_WEIGHTS)
+    return found.select("item_id", F.round("relevance", 6).alias("relevance"))
 
 
 @query(f"WITH {_bm25_sql(['nder'], "lang = 'en'", 50)} SELECT item_id, round(relevance, 6) AS relevance FROM k")
@@ -287,10 +311,17 @@ def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bookkeeping.recent_runs(Tables(spark, sf_dir).runs())
 
 
-@query("SELECT user_id AS run_id, min(ts) AS started_at, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events GROUP BY user_id")
+@query("""
+SELECT user_id AS run_id, arg_min(event_id, ts) AS register_id, min(ts) AS started_at, max(CASE WHEN event_type <> 'view' THEN ts END) AS finished_at,
+  arg_max(CASE event_type WHEN 'view' THEN 'running' ELSE event_type END, ts) AS status, arg_max(CASE event_type WHEN 'error' THEN props ELSE '' END, ts) AS error
+FROM events GROUP BY user_id""")
 def folded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = Tables(spark, sf_dir).runs()
-    return runs.groupBy(F.col("register_id").alias("run_id")).agg(F.min("started_at").alias("started_at"), F.max_by("status", F.struct("started_at", "run_id")).alias("status"), F.count("*").alias("n"))
+    kind = F.col("event_type")
+    log = Tables(spark, sf_dir)("events").select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("register_id"), F.col("ts").alias("at"), F.when(kind == "view", "running").otherwise(kind).alias("status"),
+        F.when(kind == "error", F.col("props")).otherwise("").alias("error"),
+    )
+    return bookkeeping.fold_runs(log)
 
 
 @query("SELECT CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'view' THEN 'crawling' ELSE 'failed' END AS status, count(*) AS n FROM events GROUP BY 1")
@@ -299,13 +330,49 @@ def lifecycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).runs().select(bookkeeping.lifecycle(outcome).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("WITH c AS (SELECT l_partkey AS item_id, l_suppkey AS register_id, min(l_orderkey) AS seq FROM lineitem GROUP BY ALL), o AS (SELECT *, first_value(register_id) OVER (PARTITION BY item_id ORDER BY seq, register_id) AS owner FROM c) SELECT item_id AS conflicting_id, owner AS existing_register_id, register_id AS attempted_register_id FROM o WHERE owner <> register_id")
+@query("""
+WITH c AS (SELECT DISTINCT l_partkey AS item_id, l_suppkey AS register_id FROM lineitem),
+s AS (SELECT l_suppkey AS register_id, min(l_orderkey) AS seq FROM lineitem GROUP BY 1),
+o AS (SELECT c.*, first_value(register_id) OVER (PARTITION BY item_id ORDER BY seq, register_id) AS owner FROM c JOIN s USING (register_id))
+SELECT item_id AS conflicting_id, owner AS existing_register_id, register_id AS attempted_register_id FROM o WHERE owner <> register_id""")
 def identifier_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = Tables(spark, sf_dir)("lineitem").groupBy(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("register_id")).agg(F.min("l_orderkey").alias("crawl_seq"))
-    from pyspark.sql import Window
+    lines = Tables(spark, sf_dir)("lineitem")
+    raw = lines.select(F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("register_id"), F.struct("l_orderkey", "l_linenumber").alias("position"))
+    order = lines.groupBy(F.col("l_suppkey").alias("register_id")).agg(F.min("l_orderkey").alias("crawl_seq"))
+    return ingest.conflicts(ingest.claims(raw, order))
 
-    first = F.min(F.struct("crawl_seq", "register_id")).over(Window.partitionBy("item_id"))
-    return ingest.conflicts(raw.withColumn("owner", first["register_id"]).withColumn("accepted", F.col("owner") == F.col("register_id")))
+
+@query("""
+SELECT l_partkey AS conflicting_id, l_suppkey AS existing_register_id, l_suppkey % 7 AS attempted_register_id,
+  min(l_shipdate)::TIMESTAMP AS first_seen, max(l_shipdate)::TIMESTAMP AS last_seen
+FROM lineitem WHERE l_partkey < 20 GROUP BY ALL""")
+def conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    log = t("lineitem").filter("l_partkey < 20").select(
+        F.col("l_partkey").alias("conflicting_id"), F.col("l_suppkey").alias("existing_register_id"), (F.col("l_suppkey") % 7).alias("attempted_register_id"), F.col("l_shipdate").cast("timestamp").alias("detected_at"),
+    )
+    return Catalog(t.organizations(), t.registers(), t.items(), t.part_edges(), log).conflicts()
+
+
+@query("""
+SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' WHEN 2 THEN 'pending' ELSE 'crawling' END AS status,
+  CASE n_nationkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' WHEN 2 THEN 'skipped' ELSE 'running' END AS last_crawl_status,
+  CASE WHEN n_nationkey % 4 = 1 THEN 'no ' || n_name END AS last_error, CASE WHEN n_nationkey % 4 = 0 THEN 'new' ELSE 'old' END AS modified,
+  CASE WHEN n_nationkey % 4 = 0 THEN 2 ELSE 1 END AS indexer_version FROM nation WHERE n_nationkey < 20
+UNION ALL SELECT n_nationkey, 'pending', NULL, NULL, 'old', 1 FROM nation WHERE n_nationkey >= 20""")
+def registers_after_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = Tables(spark, sf_dir)("nation").select(F.col("n_nationkey").alias("id"), "n_name")
+    no_text = F.lit(None).cast("string")
+    before = nations.select(
+        "id", F.lit("pending").alias("status"), F.lit(None).cast("timestamp").alias("last_crawled_at"), no_text.alias("last_crawl_status"), no_text.alias("last_error"),
+        F.lit("old").alias("modified"), F.lit(1).alias("indexer_version"),
+    )
+    kind = F.col("id") % 4
+    outcomes = nations.filter("id < 20").select(
+        "id", F.when(kind == 0, "ok").when(kind == 1, "error").when(kind == 2, "skipped").otherwise("running").alias("outcome"), F.lit("2024-01-01").cast("timestamp").alias("at"),
+        F.when(kind == 1, F.concat(F.lit("no "), "n_name")).alias("error"), F.lit("new").alias("modified"), F.lit(2).alias("indexer_version"),
+    )
+    return bookkeeping.apply_outcomes(before, outcomes).drop("last_crawled_at")
 
 
 @query("SELECT 'organization' AS kind, r_regionkey::VARCHAR AS id FROM region WHERE r_regionkey = 4 UNION ALL SELECT 'register', n_nationkey::VARCHAR FROM nation WHERE n_regionkey = 4 OR n_nationkey >= 20")
@@ -363,19 +430,24 @@ def replaced_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bookkeeping.replace_partition(t.items().select("id", "register_id", "name"), new, "register_id", which)
 
 
-@query("SELECT s_nationkey AS register_id, count(*) AS n_failed, string_agg(s_suppkey::VARCHAR, ', ' ORDER BY s_suppkey) AS failed_ids FROM supplier WHERE s_acctbal < 0 GROUP BY 1")
+@query("SELECT s_nationkey AS register_id, count(*) AS n_failed, string_agg(s_suppkey::VARCHAR, ', ' ORDER BY s_suppkey::VARCHAR) AS failed_ids FROM supplier WHERE s_acctbal < 0 GROUP BY 1")
 def failure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = Tables(spark, sf_dir)("supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("register_id"), F.col("s_suppkey").alias("item_id"))
-    lists = failed.groupBy("register_id").agg(F.count("*").alias("n_failed"), F.array_sort(F.collect_list("item_id")).alias("ids"))
-    return lists.select("register_id", "n_failed", F.array_join(F.col("ids").cast("array<string>"), ", ").alias("failed_ids"))
+    failed = Tables(spark, sf_dir)("supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("register_id"), F.col("s_suppkey").cast("string").alias("item_id"))
+    return bookkeeping.failure_summary(failed)
 
 
-@query("SELECT conv_id, count(*) AS n_turns, substr(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text), 1, 2000) AS text FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY conv_id")
+@query("SELECT c_custkey AS item_id, s_acctbal AS score, s_suppkey AS rank, c_name AS name FROM supplier JOIN customer ON c_custkey = 3 * s_suppkey")
+def hydrated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    ranked = t("supplier").select((3 * F.col("s_suppkey")).alias("item_id"), F.col("s_acctbal").alias("score"), F.col("s_suppkey").alias("rank"))
+    return browse.hydrate(ranked, t.items()).select("item_id", "score", "rank", "name")
+
+
+@query("SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS text FROM conversations WHERE text IS NOT NULL AND text <> '' GROUP BY conv_id")
 def conversation_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = Tables(spark, sf_dir)("conversations").filter(F.coalesce("text", F.lit("")) != "")
     lists = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    text = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n")
-    return lists.select("conv_id", "n_turns", F.substring(text, 1, ingest.USAGE_LIMIT).alias("text"))
+    return lists.select("conv_id", "n_turns", F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("text"))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, len(regexp_extract_all(html, 'href="')) AS n_links, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
@@ -384,6 +456,35 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir)("pages").select("page_id", host_of(F.col("url")).alias("host"), links.alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
+# discovery: the two documents are made from the tables
+
+
+def _one_object(entries: DataFrame) -> DataFrame:
+    """``body``: an object of the few ``k``, ``v``."""
+    return entries.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")).select(F.to_json("m").alias("body"))
+
+
+@query("""
+SELECT 'o' || r_regionkey AS id, CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE 'o' || r_regionkey END AS name, r_comment AS description,
+  'http://o/' || r_regionkey AS url, 'g' || r_regionkey AS github FROM (SELECT *, 'about ' || r_name AS r_comment FROM region)""")
+def discovered_organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("r_regionkey")
+    facts = F.struct(
+        F.when(key % 2 == 0, F.col("r_name")).alias("name"), F.concat(F.lit("about "), "r_name").alias("description"), F.concat(F.lit("http://o/"), key).alias("url"),
+        F.array(F.struct(F.concat(F.lit("g"), key).alias("github"))).alias("maintainers"),
+    )
+    found = ingest.organizations(_one_object(Tables(spark, sf_dir)("region").select(F.concat(F.lit("o"), key).alias("k"), facts.alias("v"))))
+    return found.select("id", "name", "description", "url", F.col("maintainers")[0]["github"].alias("github"))
+
+
+@query("SELECT 'o' || n_regionkey || '/' || n_name || '/x' AS id, 'o' || n_regionkey AS org_id, n_name || '/x' AS name, 'http://r/' || n_nationkey AS register_url FROM nation WHERE n_nationkey % 5 <> 0")
+def discovered_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    alias = F.concat(F.when(key % 5 != 0, "@").otherwise(""), F.lit("o"), "n_regionkey", F.lit("/"), "n_name", F.lit("/x"))
+    entries = Tables(spark, sf_dir)("nation").select(alias.alias("k"), F.concat(F.lit("http://r/"), key).alias("v"))
+    return ingest.registers(_one_object(entries))
+
+
 # ingestion: register documents are made from the tables and parsed again
 
 
@@ -426,8 +527,76 @@ def ingested_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.conflicts(_claimed(Tables(spark, sf_dir)))
 
 
-@query(f"WITH {_CLAIMS} SELECT 'item_core:c' || k AS chunk_key, c_name || chr(10) || 'Tags: x, ' || c_mktsegment AS text, 'item_core' AS chunk_type FROM o WHERE n = owner UNION ALL SELECT DISTINCT 'register_summary:http://x/' || n, 'register ' || n, 'register_summary' FROM c")
+# linked documents of customers: full ones for every third, of which each third fails, contexts for every fourth, of
+# which every second fails, resolved properties for every fifth
+
+
+def linked_documents(t: Tables) -> DataFrame:
+    """``register_documents`` with links, sources and transforms in the items."""
+    docs = register_documents(t).select("*", F.explode(F.expr("from_json(body, 'bblocks array<struct<itemIdentifier string, name string, itemClass string, dependsOn array<string>, tags array<string>>>').bblocks")).alias("i"))
+    key = F.substring("i.itemIdentifier", 2, 20).cast("long")
+    link = lambda kind: F.concat(F.lit(f"http://{kind}/"), key)
+    even = lambda *fields: F.when(key % 2 == 0, F.array(F.struct(*fields)))
+    item = F.struct(
+        "i.*", F.struct(F.when(key % 3 == 0, F.struct(link("full").alias("url"))).alias("json-full")).alias("documentation"), F.when(key % 4 == 0, link("context")).alias("ldContext"),
+        F.when(key % 5 == 0, link("resolved")).alias("resolvedSchemaProperties"), even(F.concat(F.lit("source "), key).alias("title")).alias("sources"),
+        even(F.concat(F.lit("turns "), key).alias("description")).alias("transforms"),
+    )
+    lists = docs.groupBy("id", "org_id", "name", "register_url").agg(F.array_sort(F.collect_list(item)).alias("bblocks"))
+    return lists.select("id", "org_id", "name", "register_url", F.to_json(F.struct(F.concat(F.lit("register "), "name").alias("name"), F.col("name").alias("modified"), "bblocks")).alias("body"))
+
+
+def linked_fetches(t: Tables) -> DataFrame:
+    """``url, body, error`` of what the items link to."""
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    full = text('{"description": "about ', k, '", "examples": [{"title": "T', k, '", "content": "C', k, '", "snippets": [{"language": "ttl", "code": "no"}, {"language": "json", "code": "{', k, '}"}]}]}')
+    context = text('{"@context": [{"f": "u:', k, '", "@version": 1.1}, {"g": {"@id": "v:', k, '"}}]}')
+    resolved = text('{"properties": [{"path": ["a"]}, {"path": ["a", "p', k, '"]}, {"path": []}]}')
+    parts = [("full", 3, 9, full), ("context", 4, 8, context), ("resolved", 5, 1 << 40, resolved)]
+    rows = []
+    for kind, every, fails, body in parts:
+        down = k % fails == 0
+        rows.append(t("customer").filter(k % every == 0).select(text(f"http://{kind}/", k).alias("url"), F.when(~down, body).alias("body"), F.when(down, "OSError: down").alias("error")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _chunked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    docs = linked_documents(t)
+    claimed = ingest.claims(ingest.raw_items(docs), docs.select(F.col("id").alias("register_id"), F.col("id").alias("crawl_seq")))
+    return ingest.chunks(docs, claimed.filter("accepted"), linked_fetches(t))
+
+
+@query(f"""
+WITH {_CLAIMS}, a AS (SELECT * FROM o WHERE n = owner AND k % 9 <> 0),
+t AS (SELECT k, 'item_core' AS chunk_type, c_name || chr(10) || 'Tags: x, ' || c_mktsegment AS text FROM a
+UNION ALL SELECT k, 'item_description', 'about ' || k FROM a WHERE k % 3 = 0
+UNION ALL SELECT k, 'item_schema', CASE WHEN k % 4 = 0 AND k % 8 <> 0 THEN 'f: u:' || k || chr(10) || 'g: v:' || k WHEN k % 5 = 0 THEN 'a' || chr(10) || 'a.p' || k END FROM a
+UNION ALL SELECT k, 'item_usage', concat_ws(chr(10), CASE WHEN k % 2 = 0 THEN 'Sources: source ' || k || chr(10) || 'Transforms: turns ' || k END,
+  CASE WHEN k % 3 = 0 THEN 'T' || k || chr(10) || 'C' || k || chr(10) || '{{' || k || '}}' END) FROM a)
+SELECT chunk_type || ':c' || k AS chunk_key, text, chunk_type FROM t WHERE text <> ''
+UNION ALL SELECT DISTINCT 'register_summary:http://x/' || n, 'register ' || n, 'register_summary' FROM c""")
 def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(Tables(spark, sf_dir))[0].select("chunk_key", "text", "chunk_type")
+
+
+@query(f"WITH {_CLAIMS} SELECT 'r/' || lpad(n::VARCHAR, 2, '0') AS register_id, count(*) AS n_failed, string_agg('c' || k, ', ' ORDER BY 'c' || k) AS failed_ids FROM o WHERE n = owner AND k % 9 = 0 GROUP BY n")
+def ingested_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bookkeeping.failure_summary(_chunked(Tables(spark, sf_dir))[1])
+
+
+@query(f"""
+WITH {_CLAIMS} SELECT 'c' || k AS id, 'r/' || lpad(n::VARCHAR, 2, '0') AS register_id, c_name AS name FROM o WHERE n = owner AND n % 5 > 1
+UNION ALL SELECT 'c' || k, 'r/' || lpad(n::VARCHAR, 2, '0'), 'new ' || c_name FROM c WHERE n % 5 = 1""")
+def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches into a store: in the second, every fifth register is empty, and the next ones have new names and what the
+    empty ones gave up."""
     t = Tables(spark, sf_dir)
-    fetches = spark.createDataFrame([], "url string, body string, error string")
-    return ingest.chunks(register_documents(t), _claimed(t).filter("accepted"), fetches)[0].select("chunk_key", "text", "chunk_type")
+    store = Store(f"{checkpointed(spark)}/meridian-store-{uuid.uuid4().hex}")
+    docs = register_documents(t)
+    ingest_batch(store, docs, 0)
+    number = F.substring("id", 3, 2).cast("int")
+    empty = F.to_json(F.struct(F.lit("gone").alias("modified"), F.array().cast("array<string>").alias("bblocks")))
+    renamed = F.regexp_replace(F.regexp_replace("body", '"name":"Customer', '"name":"new Customer'), '"modified":"', '"modified":"new ')
+    ingest_batch(store, docs.filter(number % 5 < 2).withColumn("body", F.when(number % 5 == 0, empty).otherwise(renamed)), 1)
+    return store.current(spark, "items", ITEMS).select("id", "register_id", "name")

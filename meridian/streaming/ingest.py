@@ -99,7 +99,7 @@ def search_rows(items: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame
 def write_search(store: Store, items: DataFrame, more: DataFrame, batch: int) -> None:
     """Search rows of a batch's registers; what they had before no longer counts once the state says so."""
     found, sizes = search_rows(items, more)
-    store.write("postings", found.repartition("bucket").sortWithinPartitions("bucket", "token"), batch, "bucket")
+    store.write("postings", keyword.dealt(found), batch, "bucket")
     store.write("lengths", sizes, batch)
 
 

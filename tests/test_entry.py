@@ -64,3 +64,14 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_plans_have_no_cross_joins(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_keyword_queries_read_the_buckets_of_their_words(spark):
+    plan = catalog.QUERIES["keyword_search"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "positions" in line]
+    assert scans and all("PartitionFilters: [" in x and "bucket" in x.split("PartitionFilters: [")[1].split("]")[0] and "token,nder" in x.replace("[nder]", ",nder").replace("token,,", "token,") for x in scans)
+
+
+def test_every_kind_of_chunk_is_in_the_query(spark):
+    kinds = {r[0] for r in catalog.QUERIES["ingested_chunks"](spark, DATA).select("chunk_type").distinct().collect()}
+    assert kinds == {"item_core", "item_description", "item_schema", "item_usage", "register_summary"}
