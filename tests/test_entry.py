@@ -36,17 +36,19 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_entry_without_the_corpus_operators():
-    code = """
+@pytest.mark.parametrize("gone", ["meridian.llm", "corpus_pipeline", "public_tokenizers", "sentencepiece"])
+def test_entry_without_the_corpus_operators(gone):
+    code = f"gone = {gone!r}" + """
 import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
-        if name == "meridian.llm" or name.startswith("meridian.llm.") or name == "corpus_pipeline":
+        if name == gone or name.startswith(gone + ".") or gone == "meridian.llm" and name == "corpus_pipeline":
             raise ModuleNotFoundError(name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 names = list(e.queries())
-assert names and not any(n.startswith("op1") or n == "pipeline" for n in names), names
+assert len(names) > 40 and ("pipeline" in names) == (gone == "sentencepiece"), names
+assert any(n.startswith("op1") for n in names) == (gone in ("corpus_pipeline", "sentencepiece")), names
 assert set(e.oracle_sql()) <= set(names)
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], timeout=120)
