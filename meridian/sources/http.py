@@ -1,7 +1,7 @@
-"""JSON over HTTP as a Spark data source.
+"""JSON over HTTP, as a Spark data source for a few named URLs and as a step over a table of many.
 
-Each host is one partition, so a host never serves two requests at once and its minimum interval is
-kept by the one task that reads it.
+Each host is in one partition, so a host never serves two requests at once and its minimum interval is
+kept by the one task that reads it: how fast a single host is read does not depend on the cluster.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from meridian.functions.text import host_of
+from meridian.operators.bookkeeping import interleaved
 from meridian.schemas import DOCUMENTS
 
 RETRIES, MIN_INTERVAL, JITTER, TIMEOUT = 3, 2.0, 1.0, 30.0
@@ -62,12 +66,15 @@ class HttpReader(DataSourceReader):
         for i, url in enumerate(partition.urls):
             if i and self.interval:
                 time.sleep(self.interval + random.uniform(0, self.jitter))
-            try:
-                body = get_text(url, self.retries, self.timeout)
-                json.loads(body)
-                yield url, body, None
-            except (OSError, ValueError) as e:
-                yield url, None, f"{type(e).__name__}: {e}"
+            yield self.one(url)
+
+    def one(self, url: str) -> tuple:
+        try:
+            body = get_text(url, self.retries, self.timeout)
+            json.loads(body)
+            return url, body, None
+        except (OSError, ValueError) as e:
+            return url, None, f"{type(e).__name__}: {e}"
 
 
 class HttpJson(DataSource):
@@ -91,8 +98,29 @@ def fetch(spark: SparkSession, urls: list[str], **options: object) -> DataFrame:
     return reader.load()
 
 
+def fetch_table(urls: DataFrame, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep, **options: object) -> DataFrame:
+    """``url, body, error`` of each distinct ``urls(url)``, fetched by the tasks that hold them: no URL comes to the driver.
+
+    Hosts are dealt to tasks, and in a task they take turns, so that one host's interval passes while
+    others are read.
+    """
+    reader = HttpReader({"urls": "[]", **{k: str(v) for k, v in options.items()}})
+    turns = interleaved(urls.select("url").where("url is not null").distinct(), F.coalesce(host_of(F.col("url")), F.lit("")), "url")
+    dealt = turns.repartition("host").sortWithinPartitions("turn", "host_first").select("url", "host")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free: dict[str, float] = {}
+        for batch in batches:
+            for url, host in zip(batch.column("url").to_pylist(), batch.column("host").to_pylist(), strict=True):
+                if (wait := free.get(host, 0.0) - clock()) > 0:
+                    sleep(wait)
+                row = reader.one(url)
+                free[host] = clock() + reader.interval + (random.uniform(0, reader.jitter) if reader.interval else 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in row], ["url", "body", "error"])
+
+    return dealt.mapInArrow(run, DOCUMENTS)
+
+
 def landed(spark: SparkSession, path: str) -> DataFrame:
     """Documents that were saved as files: one whole file is a document, its path the URL."""
-    from pyspark.sql import functions as F
-
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("body"), F.lit(None).cast("string").alias("error"))

@@ -8,13 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.functions.text import host_of
 from meridian.operators import bookkeeping, ingest
 from meridian.schemas import CHUNKS, INDEXER_VERSION, ITEMS, ORGANIZATIONS, RUNS
 from meridian.sources.embeddings import Provider, embed
 from meridian.streaming.ingest import CONFLICTS, EDGES, LENGTHS, POSTINGS, STATE, Store, write_search
 
-Fetch = Callable[[list[str]], DataFrame]
+Fetch = Callable[[DataFrame], DataFrame]
 _LISTED = "id string, org_id string, name string, register_url string"
 _REGISTERS = _LISTED + ", viewer_url string, description string, register_id string"
 _CHUNKS = CHUNKS + ", register_id string, embedding array<float>"
@@ -23,8 +22,8 @@ _EVENTS = "run_id string, register_id string, at timestamp, status string, error
 
 @dataclass(frozen=True)
 class Cycle:
-    """``fetch`` gives ``url, body, error`` of URLs. The lists it gets are the registers of the index and
-    the documents their items link to; hosts take turns in them."""
+    """``fetch`` gives ``url, body, error`` of a table of URLs, such as ``sources.http.fetch_table``, where hosts take
+    turns. The tables it gets name the two root documents, the registers, and what their items link to."""
 
     store: Store
     fetch: Fetch
@@ -58,14 +57,11 @@ class Cycle:
 
     def _run(self, spark: SparkSession, batch: int, only: str | None, keep: Callable[[DataFrame], DataFrame]) -> None:
         store = self.store
-        docs = keep(self.fetch([self.index_url, self.orgs_url]))
+        docs = keep(self.fetch(spark.createDataFrame([(self.index_url,), (self.orgs_url,)], "url string")))
         orgs = ingest.organizations(docs.filter(F.col("url") == self.orgs_url))
         listed = keep(ingest.registers(docs.filter(F.col("url") == self.index_url)))
         scope = listed if only is None else listed.filter(F.col("id") == only)
-        # the index document names the registers, so their URLs came through one document already
-        turns = bookkeeping.interleaved(scope.select("id", "register_url"), F.coalesce(host_of(F.col("register_url")), F.lit("")), "id")
-        urls = list(dict.fromkeys(r["register_url"] for r in turns.collect()))
-        fetched = keep(scope.join(self.fetch(urls).withColumnRenamed("url", "register_url"), "register_url"))
+        fetched = keep(scope.join(self.fetch(scope.select(F.col("register_url").alias("url"))).withColumnRenamed("url", "register_url"), "register_url"))
         good = fetched.filter(F.col("body").isNotNull() & ingest.is_object(ingest.parsed("body")))
         good = good.withColumn("modified", ingest.text_at(ingest.parsed("body"), "$.modified"))
 
@@ -81,8 +77,7 @@ class Cycle:
         accepted = claimed.filter("accepted")
         raw = F.col("raw")
         links = F.array_compact(F.array(*[F.nullif(ingest.text_at(raw, p), F.lit("")) for p in ("$.documentation['json-full'].url", "$.ldContext", "$.resolvedSchemaProperties")]))
-        wanted = [r["u"] for r in accepted.select(F.explode(links).alias("u")).distinct().collect()]
-        chunks, failed = ingest.chunks(due, accepted, keep(self.fetch(wanted)))
+        chunks, failed = ingest.chunks(due, accepted, keep(self.fetch(accepted.select(F.explode(links).alias("url")).distinct())))
         failed, chunks = keep(failed), keep(chunks)
 
         items = ingest.items(accepted)

@@ -17,7 +17,7 @@ class Web:
         self.spark, self.pages = spark, {}
 
     def __call__(self, urls):
-        rows = [(u, json.dumps(self.pages[u]), None) if u in self.pages else (u, None, "OSError: down") for u in urls]
+        rows = [(u, json.dumps(self.pages[u]), None) if u in self.pages else (u, None, "OSError: down") for (u,) in urls.distinct().collect()]
         return self.spark.createDataFrame(rows, "url string, body string, error string")
 
 

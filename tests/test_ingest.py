@@ -145,6 +145,24 @@ def test_http_source_has_a_partition_for_each_host(spark, tmp_path):
     assert http.landed(spark, str(tmp_path)).count() == 2
 
 
+def test_a_table_of_urls_is_fetched_by_its_tasks(spark, tmp_path):
+    good = tmp_path / "g.json"
+    good.write_text('{"a": 1}')
+    urls = spark.createDataFrame([(f"file://{good}",), ("file:///none",), (f"file://{good}",), (None,)], "url string")
+    rows = sorted((r.url, r.body, r.error is None) for r in http.fetch_table(urls, retries=0, interval=0).collect())
+    assert rows == [("file:///none", None, False), (f"file://{good}", '{"a": 1}', True)]
+    assert http.fetch_table(urls.limit(0)).count() == 0
+
+
+def test_hosts_of_a_task_take_turns(spark, monkeypatch):
+    order = [(f"http://{h}/{i}",) for h in "ab" for i in range(3)]
+    df = http.fetch_table(spark.createDataFrame(order, "url string").repartition(1), interval=0)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "turn" in plan and "MapInArrow" in plan
+    turns = df._jdf.queryExecution().executedPlan().toString()
+    assert turns.count("Sort [turn") == 1
+
+
 def _land(path, name, *registers):
     path.mkdir(exist_ok=True)
     (path / name).write_text("\n".join(json.dumps({"id": i, "org_id": "o", "name": i, "register_url": f"http://{i}", "body": json.dumps(b)}) for i, b in registers))
