@@ -5,8 +5,8 @@ content says so, so equal stretches of different files give equal chunks; a dige
 Spark joins leave one owner for each digest, and a file is its ordered list of digests. Reading puts
 the listed chunks together again and checks every digest.
 
-Chunks that only one file has stay in that file's row of the store, and only chunks that a fixed-size
-filter takes for shared are dealt out by digest.
+Chunks that only one file has stay in that file's row of the store, and only chunks that a map of the
+shared ones, sized by their number, lets through are dealt out by digest.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import FILTER_BITS, binary_column, filter_bits, mix, sliced, table, texts, tidy
+from .shared import binary_column, discard, filter_bits, mix, sized, sliced, table, texts, tidy
 
 BLOCK, RATE = 576, 8000
 LEAST, MOST, MASK_BITS = 512, 16384, 11
@@ -127,20 +127,23 @@ def digests(docs: DataFrame) -> DataFrame:
     return texts(docs).mapInArrow(tidy(run), "doc_id long, digests array<binary>")
 
 
-def _slot(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "little") % FILTER_BITS
+def _slot(digest: bytes, bits: int) -> int:
+    return int.from_bytes(digest[:4], "little") % bits
 
 
-def slot_column(digest: str) -> Column:
+def slot_column(digest: str, bits: int) -> Column:
     """``_slot`` in Spark: the first four bytes in reverse, by their hex digits (``reverse`` takes binary for a string)."""
     digits = F.hex(F.substring(digest, 1, 4))
-    return F.conv(F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)]), 16, 10).cast("long") % FILTER_BITS
+    return F.conv(F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)]), 16, 10).cast("long") % bits
 
 
 def shared_filter(docs: DataFrame) -> np.ndarray:
     """A bit for every digest that occurs more than once: all of these are in it, and few others."""
-    found = digests(docs).select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1")
-    return filter_bits(found.select(slot_column("d").alias("slot")))
+    found = table(digests(docs).select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d"), "repeated")
+    bits = sized(found.count())
+    out = filter_bits(found.select(slot_column("d", bits).alias("slot")), bits)
+    discard(found)
+    return out
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -159,7 +162,7 @@ def store(docs: DataFrame) -> DataFrame:
                 own, names, away = [], [], []
                 for digest, data in chunked(wav(payload_of(text))):
                     names.append(digest)
-                    slot = _slot(digest)
+                    slot = _slot(digest, 8 * len(bits.value))
                     if bits.value[slot >> 3] >> (slot & 7) & 1:
                         away.append(len(names) - 1)
                         if digest not in met:

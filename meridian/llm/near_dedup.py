@@ -15,13 +15,12 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, components, mix, shingle_hashes, table, texts, texts_of, tidy, without, word_hashes
+from .shared import binary_column, components, discard, mix, shingle_hashes, sliced, table, texts, texts_of, tidy, without, word_hashes
 
 HASHES, ROWS, LOW_BITS = 192, 5, 4
 BANDS = HASHES // ROWS
@@ -30,7 +29,7 @@ ESTIMATE_CUT = 0.64
 #: Centres of a class that round one estimates.
 CENTRES = 3
 #: Shingles of one side of a block of texts, classes of one side of a block of a bucket.
-BLOCK, BUCKET = 200_000, 4096
+BLOCK, BUCKET = 200_000, 512
 #: Parts of a family where its rows must meet by its name.
 SALTS = 32
 _MULTIPLIERS = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -68,7 +67,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, n_shingles, digest, sig, bands``; digest names the set, sig and bands are null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, digests, sigs, bands = [], [], [], []
             for text in binary_column(batch, "text"):
                 own = shingle_set(text, k)
@@ -107,7 +106,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     through, are shuffled. A centre with very many partners makes a skewed join, which Spark splits;
     each task keeps the few sets it used last.
     """
-    pairs = pairs.select("a", "b")
     wanted = texts_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
     both = pairs.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
@@ -123,7 +121,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             recent.move_to_end(doc)
             return recent[doc]
 
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
             for i, j, x, y in zip(a, b, binary_column(batch, "ta"), binary_column(batch, "tb"), strict=True):
@@ -213,7 +211,6 @@ def confirmed_in_blocks(found: DataFrame, members: DataFrame, docs: DataFrame, k
     A text goes once to each block that needs it, instead of once to each pair. A block has about
     ``BLOCK`` shingles on either side.
     """
-    found = table(found, "found")
     spread = found.groupBy("fam", "a").agg(F.max("n").alias("n")).groupBy("fam").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("parts"))
     spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = found.withColumn("salt", F.pmod(F.xxhash64("a", "j"), F.lit(SALTS)).cast("int"))
@@ -222,26 +219,34 @@ def confirmed_in_blocks(found: DataFrame, members: DataFrame, docs: DataFrame, k
     dealt = table(dealt.groupBy(*key, "a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")), "dealt")
     needed = table(dealt.select(*key).distinct().join(members, ["fam", "j"]).select(*[F.col(c).alias(f"{c}_") for c in key], "b"), "needed")
     wanted = texts_of(docs, dealt.select(F.col("a").alias("doc_id")).union(needed.select(F.col("b").alias("doc_id"))))
-    left = dealt.join(wanted.select(F.col("doc_id").alias("a"), "text"), "a")
-    right = needed.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-
-    def run(ones: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        asked = {b for bs in ones["bs"] for b in bs}
-        sets = {b: shingle_set(t.encode(), k) for b, t in zip(others["b"], others["other"], strict=True) if b in asked}
-        out_a, out_b = [], []
-        for a, bs, text in zip(ones["a"], ones["bs"], ones["text"], strict=True):
-            own = shingle_set(text.encode(), k)
-            held = [sets[b] for b in bs]
-            sizes = np.array([len(x) for x in held])
-            every = np.concatenate(held)
-            same = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-            shared = np.add.reduceat(same.astype(np.int64), np.cumsum(sizes) - sizes)
-            for b in np.asarray(bs)[100 * shared >= percent * (len(own) + sizes - shared)]:
-                out_a.append(a)
-                out_b.append(b)
-        return pd.DataFrame({"a": np.array(out_a, np.int64), "b": np.array(out_b, np.int64)})
-
-    return left.groupBy(*key).cogroup(right.groupBy(*[f"{c}_" for c in key])).applyInPandas(run, "a long, b long")
+    no_list = F.lit(None).cast("array<long>")
+    left = dealt.join(wanted.withColumnRenamed("doc_id", "a"), "a").select(*key, F.lit(_LEFT).alias("side"), F.col("a").alias("doc"), "bs", "text")
+    right = needed.join(wanted.withColumnRenamed("doc_id", "b"), "b").select(*[F.col(f"{c}_").alias(c) for c in key], F.lit(_RIGHT).alias("side"), F.col("b").alias("doc"), no_list.alias("bs"), "text")
+    blocks = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, F.desc("side"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's right sets come first and are held; each left one is then met with those it asks for."""
+        block, sets = None, {}
+        for batch in sliced(batches):
+            out_a, out_b = [], []
+            columns = [batch.column(c).to_pylist() for c in (*key, "side", "doc", "bs")]
+            for fam, i, j, side, doc, bs, text in zip(*columns, binary_column(batch, "text"), strict=True):
+                if block != (fam, i, j):
+                    block, sets = (fam, i, j), {}
+                if side == _RIGHT:
+                    sets[doc] = shingle_set(text, k)
+                    continue
+                held, own = [sets[b] for b in bs], shingle_set(text, k)
+                lengths = np.array([len(x) for x in held])
+                every = np.concatenate(held)
+                same = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                shared = np.add.reduceat(same.astype(np.int64), np.cumsum(lengths) - lengths)
+                linked = np.asarray(bs)[100 * shared >= percent * (len(own) + lengths - shared)].tolist()
+                out_a += [doc] * len(linked)
+                out_b += linked
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return blocks.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -254,7 +259,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     in round two a bucket's commonest component is met only by those outside it.
 
     Null, empty and blank texts have no shingles and stand alone. Texts shorter than k words are one
-    shingle. Repeated rows of one doc_id give one row each. Extra columns are ignored.
+    shingle. Repeated rows of one doc_id give one row each. Rows without a doc_id have no component and
+    are kept. Very long texts go through in stretches. Extra columns are ignored; an empty table gives
+    no rows.
     """
     sets = table(signatures(docs, k), "sets")
     filled = sets.where("n_shingles > 0")
@@ -272,7 +279,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     scored = stars.join(sigs, "a").join(sigs.select(F.col("a").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "b")
     alike = scored.where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (estimate("sig", "sig2") >= ESTIMATE_CUT))
     best = alike.select("a", "b", estimate("sig", "sig2").alias("e")).groupBy("a").agg(F.max(F.struct("e", (-F.col("b")).alias("b"))).alias("m"))
-    first = table(confirmed(table(best.select("a", (-F.col("m.b")).alias("b")), "pairs"), docs, k, percent), "links")
+    pairs = table(best.select("a", (-F.col("m.b")).alias("b")), "pairs")
+    first = table(confirmed(pairs, docs, k, percent), "links")
+    discard(pairs)
     comps = components(first, "first")
 
     placed = members.select("key", "a").join(comps, members.a == comps.id, "left").select("key", "a", F.coalesce("comp", "a").alias("comp"))
@@ -281,22 +290,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     blocks = lambda n: F.ceil(n / BUCKET).cast("int")
     mixed = mixed.select("key", F.col("m.comp").alias("main"), blocks(F.col("all") - F.col("m.c")).alias("lefts"), blocks(F.col("all")).alias("rights"))
     placed = table(placed.join(mixed, "key").join(sigs, "a"), "placed")
+    discard(members, comps, reps)
     family = placed.groupBy("a").agg(F.min("main").alias("fam"), F.max("n").alias("n"))
     parts = family.groupBy("fam").agg(F.greatest(F.ceil(F.sum("n") / BLOCK).cast("long"), F.lit(1)).alias("parts"))
     where = table(family.join(parts, "fam").select("a", "fam", F.pmod(F.xxhash64("a"), "parts").alias("j")), "families")
-    found = candidates(placed.join(where, "a").withColumn("in_main", F.col("comp") == F.col("main")), percent)
+    found = table(candidates(placed.join(where, "a").withColumn("in_main", F.col("comp") == F.col("main")), percent), "found")
+    discard(placed)
     second = table(confirmed_in_blocks(found, where.withColumnRenamed("a", "b"), docs, k, percent), "links")
+    discard(found, where)
     comps = components(first.union(second), "second")
+    discard(first, second)
 
     named = classes.join(comps, classes.rep == comps.id, "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` less all but the smallest doc_id of every component, with all columns."""
-    return without(docs, table(near_duplicates(docs, k, percent).where("not kept").select("doc_id"), "dropped"))
+    """``docs`` less all but the smallest doc_id of every component, with all columns.
+
+    Shingles are of five words here, as in any stage without a contract of its own. Rows that
+    ``near_duplicates`` keeps stay as they are, so nulls, empty texts, rows without a doc_id and repeated
+    rows of a kept doc_id all stay; extra columns stay whatever their names; an empty table stays empty.
+    """
+    return without(docs, table(near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct(), "dropped"))
 
 
 def oracle_sql(k: int, percent: int) -> str:

@@ -1,10 +1,10 @@
 """Best-fit-decreasing sequence packing with certified bin counts.
 
 Texts become token ids once; pieces of a fixed length are cut only from documents longer than a
-sequence. Pieces are dealt to partitions of bounded size, packed there by best-fit decreasing, and
-each partition's count is held against a lower bound from dual feasible functions. Partitions whose
-bins are not full exchange the documents of their emptiest bins, level by level, and a rerun that
-needs fewer bins replaces the old ones.
+sequence. Pieces are dealt to partitions of bounded size and packed there by best-fit decreasing.
+Lower bounds from dual feasible functions then decide: a partition that needs as many bins as its bound
+says is certified and left alone; one with a gap gives its emptiest bins, one more than the gap, to an
+exchange, where the pieces of many partitions are packed anew. Rounds go on as long as they save bins.
 """
 
 from __future__ import annotations
@@ -15,32 +15,28 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import IdCache, binary_column, segments, table, texts, tidy, words_in
+from .shared import WordTable, binary_column, segments, sliced, table, texts, tidy
 
 CAPACITY = 4096
-#: Pieces dealt to a partition, partitions whose bins meet at the next level, bins each may send there.
-PER_PARTITION, FAN_IN, RELEASED = 16384, 16, 256
-#: A bin filled beyond this share stays as it is.
-FULL = 0.995
+#: Pieces dealt to a partition, or to a pool of an exchange.
+PER_PARTITION = 16384
+#: Least filled bins of each partition that take part in exchanges of rounding, round by round, and the bins of which
+#: a round must save one at least for another to follow.
+SPARE, WORTH = (1, 2, 4, 8, 16, 32, 64), 1 << 14
 #: Bytes looked up at a time.
 _GROUP = 1 << 20
 END_OF_WORD = b"\xff"
 _loaded: dict[str, _State] = {}
 
 
-def _tokenizer(path: str) -> _State:
-    if path not in _loaded:
-        _loaded[path] = _State(path)
-    return _loaded[path]
-
-
 class _State:
     """A worker's tokenizer and the ids of words it met."""
 
@@ -50,17 +46,14 @@ class _State:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.piece = _plain_words(path)
-        self.cache = IdCache(1 << 19, 2_000_000)
+        self.cache = WordTable()
 
     def ids(self, texts_: list[bytes]) -> list[bytes]:
-        data = b" ".join(texts_)
-        if b"<|" not in data:
-            data = data.lower()
-        starts, ends, hashes = words_in(data)
-        out, sizes, _ = self.cache.look_up(hashes, lambda at: [(ids, 0.0) for ids in self.encode_words([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])])
-        bounds = np.cumsum([len(t) + 1 for t in texts_])
-        cut = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, bounds)].tolist()
-        return [out[a:b].tobytes() for a, b in zip([0, *cut], cut)]  # noqa: B905
+        """Ids of texts; A-Z are lowered before, except in texts where a marker could come of it."""
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts_]
+        out, sizes, _ = self.cache.look_up(list(chain.from_iterable(words)), lambda new: [(ids, 0.0) for ids in self.encode_words(new)])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(w) for w in words])].tolist()
+        return [out[a:b].tobytes() for a, b in zip([0, *ends], ends)]  # noqa: B905
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         out: list = [self.plain(w) if len(w) < 100 else None for w in words]
@@ -140,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 512):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(binary_column(batch, "text"), tokenizer_path), strict=True):
                 ids += end
@@ -180,14 +173,18 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.nda
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Bins that any packing needs, by two families of dual feasible functions.
+    """Bins that any packing of these lengths needs."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1], capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The bound from how many pieces there are of each length, by two families of dual feasible functions.
 
     One counts items over ``capacity - e`` as full, those under ``e`` as nothing and others as they
     are, for every e up to half; the other rounds ``(k + 1) * length / capacity`` down, for k to 32.
     """
-    if not len(lengths):
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1]
     size = np.arange(capacity + 1)
     number, total = np.cumsum(count), np.cumsum(count * size)
     e = np.arange(0, capacity // 2 + 1)
@@ -202,60 +199,111 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def _packed(part: pd.DataFrame, group: int, level: int, capacity: int) -> pd.DataFrame:
+def _fill(part: pd.DataFrame) -> pd.Series:
+    """Tokens in each bin, the emptiest first, ties by the bin's number."""
+    return part.groupby("sequence_id")["length"].sum().sort_index().sort_values(kind="stable")
+
+
+def packed_partition(part: pd.DataFrame, group: int, level: int, spare: int, capacity: int = CAPACITY) -> pd.DataFrame:
+    """One partition or pool packed: ``sequence_id``, ``partition`` and ``open`` of its pieces.
+
+    Level 0 packs anew; in an exchange the new packing counts only where it needs fewer bins than came
+    in. With a gap between bins and bound, the emptiest bins are open for the next exchange, one more
+    than the gap; without one, as many as ``spare`` says.
+    """
     part = part.sort_values(["doc_id", "piece"], ignore_index=True)
     lengths = part["length"].to_numpy()
-    bins = best_fit_decreasing(lengths, capacity)
-    if level and len(np.unique(bins)) >= part["sequence_id"].nunique():
-        return part.assign(group=group // FAN_IN)
-    return part.assign(sequence_id=(level << 56) + (group << 24) + bins, group=group // FAN_IN)
+    numbers = best_fit_decreasing(lengths, capacity)
+    before = part["sequence_id"].nunique() if level else None
+    if before is None or numbers.max() + 1 < before:
+        part = part.assign(sequence_id=(level << 56) + (group << 24) + numbers, partition=(level << 40) + group)
+    fill = _fill(part)
+    gap = len(fill) - lower_bound(lengths, capacity)
+    return part.assign(open=part["sequence_id"].isin(fill.index[: gap + 1 if gap > 0 else spare]))
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces.
+def _certified(part: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Places of a partition's pieces in their sequences, and the partition's certificate."""
+    part = part.sort_values(["sequence_id", "length", "doc_id", "piece"], ascending=[True, False, True, True], ignore_index=True)
+    bins, bound = part["sequence_id"].nunique(), lower_bound(part["length"].to_numpy(), capacity)
+    offset = part.groupby("sequence_id")["length"].cumsum() - part["length"]
+    return part.assign(offset=offset, bins=bins, bound=bound, certified=bins == bound)
+
+
+def global_bound(cut: DataFrame, capacity: int = CAPACITY) -> int:
+    """Bins that any packing of all pieces needs, from the counts of each length, at most ``capacity`` rows."""
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    return bound_of_counts(np.array([counts.get(i, 0) for i in range(capacity + 1)], np.int64), capacity)
 
-    A group of the first level holds about ``PER_PARTITION`` pieces whatever their source, and a
-    pool of a later level at most ``FAN_IN * RELEASED`` bins, so no task grows with the input.
-    Ties go by doc_id and piece. No pieces give no rows.
+
+def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds ``sequence_id``, ``offset`` and the certificate ``partition, bins, bound, certified`` to pieces.
+
+    A partition holds about ``PER_PARTITION`` pieces whatever their source, and so does a pool of an
+    exchange, so no task grows with the input. Gaps are exchanged first. While all bins together are
+    more than the bound of all pieces, what remains is rounding: of each partition the least filled bin
+    takes part as well, then a few more, as ``SPARE`` says, as long as that saves bins. bins and bound are those of the partition that
+    packed a piece's sequence; certified says that they are equal. Ties go by doc_id and piece. No pieces
+    give no rows.
     """
     names = cut.columns
-    schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes)
-    n = cut.count()
-    groups = max(1, -(-n // PER_PARTITION))
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    kept = None
-    level, held = 0, dealt.withColumn("sequence_id", F.lit(0).cast("long"))
-    while True:
-
-        def run(key, part):
-            out = _packed(part, int(key[0]), level, capacity)
-            fill = out.groupby("sequence_id")["length"].sum().sort_index()
-            open_ = fill[fill < FULL * capacity].sort_values(kind="stable")[:RELEASED]
-            bound = lower_bound(part["length"].to_numpy(), capacity)
-            # a certified count with no space worth sharing stays
-            out["open"] = out["sequence_id"].isin(open_.index) if len(fill) > bound or len(open_) else False
-            return out[[*names, "sequence_id", "group", "open"]]
-
-        done = table(held.groupBy("group").applyInPandas(run, f"{schema}, sequence_id long, group long, open boolean"), "packed")
-        groups = -(-groups // FAN_IN) if level else groups
-        last = groups == 1
-        settled = done if last else done.where("not open")
-        kept = settled.drop("open", "group") if kept is None else kept.unionByName(settled.drop("open", "group"))
-        if last:
+    # a column with nulls would reach pandas as floating point
+    held = cut.withColumns({"no_id": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
+    schema = ", ".join(f"{n} {t}" for n, t in held.dtypes)
+    fields = [*held.columns, "sequence_id", "partition"]
+    level = 0
+
+    def packed(held: DataFrame, spare: int) -> tuple[DataFrame, int]:
+        """Pieces packed in partitions, and how many these are."""
+        groups, at = max(1, -(-held.count() // PER_PARTITION)), level
+
+        def one(key, part: pd.DataFrame) -> pd.DataFrame:
+            return packed_partition(part, int(key[0]), at, spare, capacity)[[*fields, "open"]]
+
+        # the pieces of a bin meet again in an exchange
+        key = F.xxhash64("sequence_id", F.lit(at)) if at else F.xxhash64("doc_id", "piece")
+        dealt = held.withColumn("group", F.pmod(key, F.lit(groups)))
+        return table(dealt.groupBy("group").applyInPandas(one, f"{schema}, sequence_id long, partition long, open boolean"), "packed"), groups
+
+    def exchanged(done: DataFrame, spare: int) -> DataFrame:
+        """Open bins go through exchanges until no pool has a gap, one pool is left, or a round saves too little."""
+        nonlocal level
+        settled = None
+        while True:
+            rest = done.where("not open")
+            settled = rest if settled is None else settled.unionByName(rest)
+            moving = done.where("open").drop("open")
+            before = _bins(moving)
+            if not before:
+                return settled.drop("open")
+            level += 1
+            done, groups = packed(moving, spare)
+            if groups == 1 or before - _bins(done) < 1 + before // WORTH:
+                return settled.unionByName(done).drop("open")
+
+    none = F.lit(0).cast("long")
+    kept = exchanged(packed(held.withColumns({"sequence_id": none, "partition": none}), 0)[0], 0)
+    now, least = _bins(kept), global_bound(kept, capacity)
+    for spare in SPARE:
+        if now <= least:
             break
-        level, held = level + 1, done.where("open").drop("open")
-    starts = F.sum("length").over(_within())
-    return kept.withColumn("offset", starts - F.col("length"))
-
+        filled = kept.withColumn("fill", F.sum("length").over(Window.partitionBy("partition", "sequence_id")))
+        place = F.dense_rank().over(Window.partitionBy("partition").orderBy("fill", "sequence_id"))
+        kept = exchanged(filled.select(*fields, (place <= spare).alias("open")), spare)
+        before, now = now, _bins(kept)
+        if before - now < 1 + now // WORTH:
+            break
+    out = kept.groupBy("partition").applyInPandas(lambda part: _certified(part, capacity), f"{schema}, sequence_id long, partition long, offset long, bins long, bound long, certified boolean")
+    doc_id = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
+    return out.select(*[doc_id if n == "doc_id" else n for n in names], "sequence_id", "offset", "partition", "bins", "bound", "certified")
 
-def _within():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece").rowsBetween(Window.unboundedPreceding, 0)
+def _bins(done: DataFrame) -> int:
+    return done.select("sequence_id").distinct().count()
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
-    """Pack whole documents: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+    """Pack whole documents: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, and the certificate of ``pack``.
 
     Null and empty texts are the end id alone. Repeated rows are packed as often as they occur.
     Extra columns are ignored. An empty table gives no rows.

@@ -16,7 +16,8 @@ import hashlib
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import IdCache, sliced, span_hashes, table, texts, tidy
+from .shared import WordTable, row_key, sliced, table, texts, tidy
 
 SPACE = "▁"
 #: Code points of a chunk, texts over twice that are chunked, chunks that one task combines.
 CHUNK, GROUP = 16384, 256
 _UNKNOWN_PENALTY, _SCALE, _SHIFT = 10.0, 1 << 16, 64
-_GENERATION, _GROUP = 60_000, 1 << 20
-_NONE = None
+_GROUP = 1 << 20
 _loaded: dict[str, Model] = {}
 
 
@@ -46,7 +46,7 @@ _LOW = float("-inf")
 
 class Model:
     """Pieces and scores of a model file, as a lattice scorer. Weights are whole numbers: the scaled
-    score above 64 bits of tie-breaking sum. What words gave is kept in two generations."""
+    score above 64 bits of tie-breaking sum. What words gave is kept in a table of bounded size."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -77,9 +77,7 @@ class Model:
         inside = {c for p in self.pieces if len(p) > 1 for c in p}
         if "\n" in inside or any(SPACE in p[1:] and p.strip(SPACE) for p in self.pieces):
             raise ValueError("pieces run across words or lines")
-        self.cache = IdCache()
-        self.young: dict[str, tuple[bytes, int]] = {}
-        self.old: dict[str, tuple[bytes, int]] = {}
+        self.cache = WordTable()
 
     def step(self, s: str, i: int, stop: int) -> list[tuple[int, int]]:
         """``(end, weight)`` of the pieces that start at ``i`` and end by ``stop``."""
@@ -99,18 +97,8 @@ class Model:
         found = self.pieces.get(part)
         return [found[0]] if found else [self.byte_ids[b] for b in part.encode()]
 
-    def word(self, s: str) -> tuple[bytes, int]:
-        """Ids and weight of a stretch without a cut inside."""
-        found = self.young.get(s)
-        if found is None:
-            found = self.old.get(s) or self._word(s)
-            if len(self.young) >= _GENERATION:
-                self.old, self.young = self.young, {}
-            if len(s) <= 64:
-                self.young[s] = found
-        return found
-
     def _word(self, s: str) -> tuple[bytes, int]:
+        """Ids and weight of a stretch without a cut inside."""
         n, get, longest, unknown = len(s), self.nodes.get, self.longest, self.unknown
         tie = _TIES if n < len(_TIES) else [_tie(i) for i in range(n + 1)]
         best: list = [_LOW] * (n + 1)
@@ -182,63 +170,31 @@ class Model:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts_: list[str]) -> list[tuple[bytes, float]]:
-        """All texts at once: their words are hashed and looked up together.
-
-        A byte for the mark before the text and the line end after it makes every byte part of one
-        word. Texts with runs of spaces or space marks of their own go word by word.
-        """
-        out: list = [None] * len(texts_)
-        plain, held, size = [], [], 0
+        """All texts at once: their words are looked up together, a bounded stretch of texts at a time."""
+        out: list[tuple[bytes, float]] = []
+        held, size = [], 0
         for i, text in enumerate(texts_):
-            if not text:
-                out[i] = (b"", 0.0)
-            elif text[0] == " " or "  " in text or SPACE in text:
-                out[i] = self._by_words(prepared(text))
-            else:
-                plain.append(i)
-                held.append(b" " + text.encode())
-                size += len(held[-1])
-            if plain and (size > _GROUP or i == len(texts_) - 1):
-                for k, got in zip(plain, self._together(held), strict=True):
-                    out[k] = got
-                plain, held, size = [], [], 0
-        if plain:
-            for k, got in zip(plain, self._together(held), strict=True):
-                out[k] = got
+            held.append(words_of(prepared(text)))
+            size += len(text)
+            if size > _GROUP or i == len(texts_) - 1:
+                out += self._together(held)
+                held, size = [], 0
         return out
 
     def stretch(self, s: str) -> tuple[bytes, float]:
         """Ids and score of a prepared stretch that starts and ends at cuts."""
-        if SPACE * 2 in s:
-            return self._by_words(s)
-        return self._together([s.replace(SPACE, " ").encode()])[0]
-
-    def _by_words(self, s: str) -> tuple[bytes, float]:
-        found = list(map(self.word, words_of(s)))
-        return b"".join([f[0] for f in found]), sum([f[1] >> _SHIFT for f in found]) / _SCALE
-
-    def _together(self, texts_: list[bytes]) -> list[tuple[bytes, float]]:
-        data = b"\n".join(texts_) + b"\n"
-        codes = np.frombuffer(data, np.uint8)
-        line = codes == 10
-        head = line | (codes == 32)
-        head[1:] |= line[:-1]
-        head[:1] = True
-        starts = np.flatnonzero(head)
-        ends = np.append(starts[1:], len(codes))
-
-        def make(at: list[int]) -> list[tuple[np.ndarray, float]]:
-            words = [data[a:b].decode().replace(" ", SPACE) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        return self._together([words_of(s)])[0]
+
+    def _together(self, texts_: list[list[str]]) -> list[tuple[bytes, float]]:
+        def make(words: list[str]) -> list[tuple[np.ndarray, float]]:
             return [(np.frombuffer(ids, "<u4"), (w >> _SHIFT) / _SCALE) for ids, w in map(self._word, words)]
 
-        ids, sizes, scores = self.cache.look_up(span_hashes(codes, starts, ends), make)
-        bounds = np.cumsum([len(t) + 1 for t in texts_])
-        last = np.searchsorted(starts, bounds) - 1  # each text's added line end
-        after = np.cumsum(sizes)
-        first = np.concatenate([[0], last[:-1] + 1])
-        begin, end = after[first] - sizes[first], after[last] - sizes[last]
-        sums = [float(scores[a:b].sum()) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-        return [(ids[a:b].tobytes(), x) for a, b, x in zip(begin.tolist(), end.tolist(), sums, strict=True)]
+        ids, sizes, scores = self.cache.look_up(list(chain.from_iterable(texts_)), make)
+        last = np.cumsum([len(t) for t in texts_])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[last].tolist()
+        # scores are whole numbers over a power of two, so their sums are exact
+        sums = np.concatenate([[0.0], np.cumsum(scores)])[last].tolist()
+        return [(ids[a:b].tobytes(), y - x) for a, b, x, y in zip([0, *ends], ends, [0.0, *sums], sums)]  # noqa: B905
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -271,7 +227,7 @@ class Model:
         for a in range(width):
             best, _ = self.forward(s[: first + 1], {a: 0}, first, base, first)
             head = best.get(first)
-            rows.append([_NONE if head is None or e is None else head + middle + e for e in ends])
+            rows.append([None if head is None or e is None else head + middle + e for e in ends])
         return rows
 
     def chunk_ids(self, s: str, size: int, base: int, entry: int, exit_: int) -> list[int]:
@@ -304,6 +260,11 @@ def cut(s: str, i: int) -> bool:
     return s[i] == SPACE and s[i - 1] != SPACE or s[i] == "\n" or s[i - 1] == "\n"
 
 
+def last_cut(s: str, at: int, low: int, before: int, cut: Callable[[str, int], bool] = cut) -> int:
+    """The last cut up to ``at``, where ``before`` is the last one up to ``low``: nothing is looked at twice."""
+    return next((i for i in range(at, low, -1) if cut(s, i)), before)
+
+
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 
 
@@ -349,11 +310,10 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = prepared(text)
                 rows = []
+                word = low = 0
                 for k, at in enumerate(range(0, len(s), chunk)):
                     size = min(chunk, len(s) - at)
-                    word = at
-                    while word and not cut(s, word):
-                        word -= 1
+                    word, low = last_cut(s, at, low, word), at
                     part = s[at : at + size + own.longest + 1]
                     rows.append((row, k, k // GROUP, part, size, at - word, _dump(own.matrix(part, size, at - word))))
                     if len(rows) == 64:
@@ -362,11 +322,11 @@ def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
                 if rows:
                     yield _chunk_batch(rows)
 
-    return docs.select("row", "text").mapInArrow(tidy(run), "row long, k long, g long, part string, size int, base int, matrix string")
+    return docs.select("row", "text").mapInArrow(tidy(run), "row string, k long, g long, part string, size int, base int, matrix string")
 
 
 def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["row", "k", "g", "part", "size", "base", "matrix"])
 
 
@@ -391,9 +351,9 @@ def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
         return pd.DataFrame({"row": key[0], "k": part["k"].to_numpy(), "entry": [a for a, _ in found], "exit": [b for _, b in found]})
 
     narrow = chunks.select("row", "g", "k", "matrix")
-    groups = narrow.groupBy("row", "g").applyInPandas(product, "row long, g long, matrix string")
-    ends = groups.groupBy("row").applyInPandas(outer, "row long, g long, entry int, exit int")
-    fixed = narrow.join(ends, ["row", "g"]).groupBy("row", "g").applyInPandas(inner, "row long, k long, entry int, exit int")
+    groups = narrow.groupBy("row", "g").applyInPandas(product, "row string, g long, matrix string")
+    ends = groups.groupBy("row").applyInPandas(outer, "row string, g long, entry int, exit int")
+    fixed = narrow.join(ends, ["row", "g"]).groupBy("row", "g").applyInPandas(inner, "row string, k long, entry int, exit int")
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
@@ -404,7 +364,7 @@ def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
                 scores.append((_load(matrix)[entry][exit_] >> _SHIFT) / _SCALE)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(ids, pa.binary()), pa.array(scores, pa.float64())], ["row", "k", "ids", "score"])
 
-    traced = chunks.join(fixed, ["row", "k"]).mapInArrow(tidy(backtrace), "row long, k long, ids binary, score double")
+    traced = chunks.join(fixed, ["row", "k"]).mapInArrow(tidy(backtrace), "row string, k long, ids binary, score double")
     listed = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.sum("score").alias("score"), F.count("*").alias("n_chunks"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +372,7 @@ def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             ids = [b"".join(p["ids"] for p in parts) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.binary()), batch.column("score"), batch.column("n_chunks")], ["row", "ids", "score", "n_chunks"])
 
-    return listed.mapInArrow(tidy(joined), "row long, ids binary, score double, n_chunks long")
+    return listed.mapInArrow(tidy(joined), "row string, ids binary, score double, n_chunks long")
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -421,12 +381,12 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     Null and empty texts have no ids and score 0. Repeated rows each get a row. Extra columns are
     ignored. Texts of up to two chunks are done whole, in their own task.
     """
-    numbered = texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    numbered = texts(docs).withColumn("row", row_key())
     large = F.length("text") > 2 * chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        for batch in sliced(batches):
+        for batch in sliced(batches, 64):
             values = batch.column("text").to_pylist()
             ids, scores = zip(*own.encode_all(values), strict=True) if values else ((), ())
             shas = [hashlib.sha256(text.encode()).hexdigest() for text in values]
@@ -442,18 +402,25 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``text`` rebuilt from ``ids``. The text is the original one, but that a space mark
-    in it comes back as a space."""
+    in it comes back as a space. No ids give an empty text, null ids a null one; very long lists are joined
+    in one pass; repeated rows each get theirs; other columns stay, but a ``text`` there is replaced; an
+    empty table gives no rows."""
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         own = model(path)
-        return ids.map(lambda x: own.decode(np.frombuffer(x, "<u4").tolist()))
+        return ids.map(lambda x: None if x is None else own.decode(np.frombuffer(x, "<u4").tolist()))
 
     return encoded.withColumn("text", text("ids"))
 
 
 def round_trip(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id, n_pieces, score, n_chunks, ids_crc32, text_sha256, decoded_sha256, same`` of every document."""
+    """``doc_id, n_pieces, score, n_chunks, ids_crc32, text_sha256, decoded_sha256, same`` of every document.
+
+    Null and empty texts have no pieces and are the same; texts over two chunks go through the scan;
+    repeated rows and rows without a doc_id each get a row; extra columns are ignored; an empty table gives
+    no rows. same is false only for a text that has a space mark itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)

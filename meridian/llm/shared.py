@@ -8,10 +8,12 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes hashed at a time, so that a giant text never becomes one list of words.
@@ -19,22 +21,45 @@ SEGMENT = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see. A local one is made only where the session names none."""
+    """The folder that all executors see. Where the session names none, a local master gets a local folder, and a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         where = tempfile.mkdtemp(prefix="meridian-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/meridian/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meridian/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``table`` wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application left in the shared folder. Results not yet written are lost with them."""
+    _delete(spark, f"{shared_dir(spark)}/meridian/{spark.sparkContext.applicationId}")
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, and after a task's last batch what its worker no longer needs goes back to the system: idle
     workers of other stages stay alive beside the busy ones."""
@@ -105,79 +130,74 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         own = labels.select(F.col("id").alias("to"), F.col("comp").alias("further"))
         after = stepped.join(own, "to").select("id", F.least("to", "further").alias("comp"), (F.least("to", "further") != F.col("was")).alias("moved"))
         after = table(after, name)
+        discard(labels)
         labels = after.select("id", "comp")
         if after.where("moved").isEmpty():
+            discard(both)
             return labels
 
 
-_BASE = 0x9E3779B97F4A7C15
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
-_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
-_powers: list[np.ndarray] = []
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        bases = (_BASE, pow(_BASE, -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(b))]), dtype=np.uint64) for b in bases]
-    return _powers[0], _powers[1]
-
-
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: differences of a running polynomial, brought back to power zero."""
-    power, inverse = _powers_to(len(codes) + 1)
-    running = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_BYTES[codes] * power[: len(codes)], out=running[1:])
-    return mix((running[ends] - running[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-
-
-def words_in(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes."""
-    codes = np.frombuffer(data, np.uint8)
-    edge = np.diff((~_SPACE[codes]).astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return starts, ends, span_hashes(codes, starts, ends)
-
-
-class IdCache:
-    """Token ids of words that a worker met: a direct-mapped table over word hashes, of fixed size."""
-
-    def __init__(self, slots: int = 1 << 21, held: int = 6_000_000) -> None:
-        self.slots, self.held, self.used = slots, held, 0
-        self.hashes, self.places, self.sizes = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
-        self.values = np.zeros(slots)
-        self.flat = np.zeros(held, np.uint32)
-
-    def look_up(self, hashes: np.ndarray, make: Callable[[list[int]], list[tuple[Sequence[int], float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words in a row, how many each has, and each one's value.
-
-        ``make`` gives ids and value of the words at some places; it is asked for unknown ones, once each.
-        """
-        slots = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
-        places, sizes, values = self.places[slots].astype(np.int64), self.sizes[slots].astype(np.int64), self.values[slots]
-        missed = np.flatnonzero(self.hashes[slots] != hashes)
-        if len(missed):
-            new, first, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            first = missed[first]
-            found = make(first.tolist())
-            lengths = np.fromiter((len(ids) for ids, _ in found), np.int64, len(found))
-            worth = np.fromiter((v for _, v in found), np.float64, len(found))
-            more = int(lengths.sum())
-            if self.used + more > self.held:  # start over, keeping what this call looks up
-                keep = np.repeat(places - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                self.hashes[:], self.used = 0, int(sizes.sum())
-                self.flat = np.concatenate([self.flat[keep], np.zeros(max(self.held, more), np.uint32)])
-                places = np.cumsum(sizes) - sizes
-            begin = self.used + np.cumsum(lengths) - lengths
-            self.flat[self.used : self.used + more] = np.fromiter((i for ids, _ in found for i in ids), np.uint32, more)
-            self.used += more
-            at = slots[first]
-            self.hashes[at], self.places[at], self.sizes[at], self.values[at] = new, begin, lengths, worth
-            places[missed], sizes[missed], values[missed] = begin[which], lengths[which], worth[which]
-        after = np.cumsum(sizes)
-        return self.flat[np.repeat(places - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)], sizes, values
+class WordTable:
+    """What a worker worked out for the words it met: ids and a value for each.
+
+    Words are keys themselves, so no two can be taken for each other. A table with more words or bytes
+    than it may hold starts over at the next call.
+    """
+
+    def __init__(self, held: int = 200_000, size: int = 4 << 20) -> None:
+        self.held, self.size = held, size
+        self._start()
+
+    def _start(self) -> None:
+        self.known: _Numbers = _Numbers()
+        self.flat = np.empty(0, np.uint32)
+        self.places = self.sizes = np.empty(0, np.int64)
+        self.values = np.empty(0)
+        self.used = self.words = 0
+
+    def _add(self, found: list[tuple[Sequence[int], float]]) -> None:
+        sizes = np.fromiter((len(ids) for ids, _ in found), np.int64, len(found))
+        more, n = int(sizes.sum()), len(found)
+        self.flat = _room(self.flat, self.used, more)
+        self.flat[self.used : self.used + more] = np.fromiter((i for ids, _ in found for i in ids), np.uint32, more)
+        self.places, self.sizes, self.values = (_room(x, self.words, n) for x in (self.places, self.sizes, self.values))
+        at = slice(self.words, self.words + n)
+        self.places[at], self.sizes[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.values[at] = np.fromiter((v for _, v in found), np.float64, n)
+        self.used, self.words = self.used + more, self.words + n
+
+    def look_up(self, words: list[bytes], make: Callable[[list[bytes]], list[tuple[Sequence[int], float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in a row, how many each has, and each one's value. ``make`` is asked for unknown words, once each."""
+        if len(self.known) > self.held or self.known.size > self.size:
+            self._start()
+        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._add(make(self.known.new))
+            self.known.new = []
+        sizes, after = self.sizes[numbers], np.cumsum(self.sizes[numbers])
+        places = np.repeat(self.places[numbers] - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)
+        return self.flat[places], sizes, self.values[numbers]
+
+
+class _Numbers(dict):
+    """Numbers of words in the order in which they come up."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+        self.size = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self.size += len(word)
+        self[word] = number = len(self)
+        return number
+
+
+def _room(values: np.ndarray, used: int, more: int) -> np.ndarray:
+    if used + more <= len(values):
+        return values
+    return np.concatenate([values[:used], np.empty(max(more, used, 1024), values.dtype)])
 
 
 def segments(data: bytes, size: int = SEGMENT) -> Iterator[bytes]:
@@ -191,70 +211,102 @@ def segments(data: bytes, size: int = SEGMENT) -> Iterator[bytes]:
         at = end
 
 
+def word_segments(data: bytes) -> Iterator[list[bytes]]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text, a bounded stretch of it at a time; ``bytes.split`` splits at the same bytes."""
+    return (part.split() for part in segments(data))
+
+
 def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text in order."""
-    parts = [words_in(part)[2] for part in segments(data)]
+    """64-bit hashes of the words of a text in order, each of the word's own bytes."""
+    parts = [np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) for words in word_segments(data)]
     return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
 
 
-def word_segments(data: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, a bounded stretch of it at a time; ``bytes.split`` splits at the same bytes."""
-    return (part.split() for part in segments(data))
+# filters: which rows a set of keys may name, told on the tasks that hold the rows
+
+#: Bits for each key, and the most 64-bit words of a filter: as rows of a broadcast table some 40 MB.
+KEY_BITS, MOST_WORDS = 16, 1 << 19
+#: Bits of the largest map that Python workers get.
+MOST_BITS = 1 << 26
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
 
+def row_key() -> Column:
+    """A 128-bit name for what ``doc_id`` and ``text`` hold; rows that have the same of both share it."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
 
-#: Bits of the filters that go to all tasks. Fixed, so they never grow with the data; when they fill
-#: up they let more through, and the exact join behind them has more to do.
-FILTER_BITS = 1 << 23
 
+def sized(keys: int) -> int:
+    """Bits of a map for so many keys."""
+    return min(MOST_BITS, max(1 << 16, 1 << (KEY_BITS * keys - 1).bit_length())) if keys else 1 << 16
 
-def filter_bits(slots: DataFrame) -> np.ndarray:
-    """The bits named by ``slot`` (0 to FILTER_BITS - 1): at most 256 maps of 4 KB come to the driver."""
+
+def filter_bits(slots: DataFrame, bits: int) -> np.ndarray:
+    """The bits named by ``slot`` (0 to ``bits`` - 1) as bytes, built by Spark in maps of 4 KB."""
     number = F.col("slot") + 1
     maps = slots.select(F.bitmap_bucket_number(number).alias("b"), F.bitmap_bit_position(number).alias("p"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in maps.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect():
+    out = np.zeros(bits // 8, np.uint8)
+    for row in maps.groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator():
         at = (row["b"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(row["m"], np.uint8)
-    return bits
+        out[at : at + 4096] = np.frombuffer(row["m"], np.uint8)[: len(out) - at]
+    return out
 
 
-def id_slot():
-    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(FILTER_BITS))
+def _bits_of(h: Column) -> Column:
+    """Three of 64 bits, told by a hash."""
+    one = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, at).bitwiseAND(63).cast("int")) for at in (40, 46, 52)]
+    return one[0].bitwiseOR(one[1]).bitwiseOR(one[2])
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, text`` of all documents named in ``ids(doc_id)``, and of few others: spares the rest a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_bits(ids.where("doc_id is not null").select(id_slot().alias("slot"))))
+@dataclass(frozen=True)
+class Marks:
+    """A Bloom filter of doc_ids as a table of 64-bit words, each key in one of them; joined as a broadcast, so rows are
+    told apart in generated code. ``rows`` is None where the keys are too many for it: then all rows pass."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("slot").to_numpy(zero_copy_only=False)
-            mask = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield batch.select(["doc_id", "text"]).filter(pa.array(mask.astype(bool)))
+    rows: DataFrame | None
+    words: int
+    seed: int
 
-    return texts(docs).where("doc_id is not null").withColumn("slot", id_slot()).mapInArrow(tidy(run), "doc_id long, text string")
+    def split(self, docs: DataFrame, named: bool) -> DataFrame:
+        """Rows whose doc_id may be a key, or those whose doc_id is none. Rows without a doc_id are never keys."""
+        if self.rows is None:
+            known = F.col("doc_id").isNotNull()
+            return docs.where(known if named else ~known)
+        h = F.xxhash64(F.col("doc_id").cast("long"), F.lit(self.seed))
+        mask = _bits_of(h)
+        hit = F.coalesce(F.col("doc_id").isNotNull() & (F.col("__bits").bitwiseAND(mask) == mask), F.lit(False))
+        joined = docs.withColumn("__at", F.pmod(h, F.lit(self.words))).join(F.broadcast(self.rows), F.col("__at") == F.col("__word"), "left")
+        return joined.where(hit if named else ~hit).select(*columns(docs))
 
 
-def _by_filter(docs: DataFrame, bits, found: bool) -> DataFrame:
-    names = docs.columns
+def marks(ids: DataFrame, seed: int = 0) -> Marks:
+    """A filter of ``ids(doc_id)``, sized by their number: about one of 150 other ids passes it."""
+    n = ids.count()
+    if n * KEY_BITS > MOST_WORDS * 256:
+        return Marks(None, 0, seed)
+    words = min(MOST_WORDS, max(1024, 1 << (max(1, n * KEY_BITS // 64) - 1).bit_length()))
+    h = F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed))
+    named = ids.where("doc_id is not null").select(F.pmod(h, F.lit(words)).alias("__word"), _bits_of(h).alias("__bits"))
+    return Marks(table(named.groupBy("__word").agg(F.bit_or("__bits").alias("__bits")), "marks"), words, seed)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("__slot").fill_null(0).to_numpy(zero_copy_only=False)
-            mask = ((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-            yield batch.select(names).filter(pa.array(mask == found))
 
-    return docs.withColumn("__slot", id_slot()).mapInArrow(tidy(run), docs.schema)
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of all documents named in ``ids(doc_id)``, and of few others: spares the rest a shuffle."""
+    return marks(ids).split(texts(docs), True)
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows whose doc_id is in ``ids(doc_id)``.
 
-    A fixed-size filter passes most rows on where they are; only those that it takes for named are
-    shuffled and held against the ids themselves. Rows without a doc_id stay.
+    A filter passes most rows on where they are; only those that it takes for named are shuffled and
+    held against the ids themselves. Rows without a doc_id stay.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(filter_bits(ids.where("doc_id is not null").select(id_slot().alias("slot"))))
-    return _by_filter(docs, bits, False).unionByName(_by_filter(docs, bits, True).join(ids, "doc_id", "left_anti").select(*docs.columns))
+    named = marks(ids)
+    return named.split(docs, False).unionByName(named.split(docs, True).join(ids, "doc_id", "left_anti").select(*columns(docs)))
 
 
 def texts_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -262,30 +314,13 @@ def texts_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     A first filter lets through all that are named and some others. Those others' ids, found by a join
     of ids alone, make a second filter under another hash. What passes the first and not the second is
-    named for certain; what passes both, named or not, is joined with the ids.
+    named for certain; what passes both, named or not, is joined with the ids. Ids too many for a
+    filter are joined with the texts.
     """
-    spark = docs.sparkSession
-    ids = ids.where("doc_id is not null").select("doc_id")
-    second_slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)), F.lit(FILTER_BITS))
-    first = spark.sparkContext.broadcast(filter_bits(ids.select(id_slot().alias("slot"))))
-
-    def passing(df: DataFrame, names: list[str], others=None, both: bool = False) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column("slot").to_numpy(zero_copy_only=False)
-                mask = ((first.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-                if others is not None:
-                    at = batch.column("slot2").to_numpy(zero_copy_only=False)
-                    mask &= ((others.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) == both
-                yield batch.select(names).filter(pa.array(mask))
-
-        slots = df.where("doc_id is not null").withColumns({"slot": id_slot(), "slot2": second_slot})
-        return slots.mapInArrow(tidy(run), df.select(names).schema)
-
-    wrong = passing(docs.select(F.col("doc_id").cast("long")), ["doc_id"]).join(ids, "doc_id", "left_anti")
-    bits = filter_bits(wrong.select(second_slot.alias("slot")))
-    others = spark.sparkContext.broadcast(bits)
-    certain = passing(texts(docs), ["doc_id", "text"], others)
-    if not bits.any():
-        return certain
-    return certain.unionByName(passing(texts(docs), ["doc_id", "text"], others, True).join(ids, "doc_id", "left_semi"))
+    ids = table(ids.where("doc_id is not null").select("doc_id"), "named")
+    first = marks(ids)
+    if first.rows is None:
+        return texts(docs).join(ids, "doc_id", "left_semi")
+    wrong = table(first.split(docs.select(F.col("doc_id").cast("long")), True).join(ids, "doc_id", "left_anti").distinct(), "wrong")
+    others, passed = marks(wrong, 1), first.split(texts(docs), True)
+    return others.split(passed, False).unionByName(others.split(passed, True).join(ids, "doc_id", "left_semi"))

@@ -10,6 +10,14 @@ def prose(rng, n, words=None):
     return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n))
 
 
+def thue_morse(n=10):
+    """Two words of 2^n letters that any polynomial hash modulo a power of two takes for the same."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 @pytest.fixture(scope="session")
 def hard(spark):
     """Null, empty and blank texts, a very long one, one long word, repeated rows, copies, and clashing columns."""

@@ -6,9 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from meridian.llm import near_dedup as nd
+from meridian.llm import shared
 from meridian.llm.shared import components
 
-from .conftest import prose
+from .conftest import prose, thue_morse
 
 
 def words(text):
@@ -82,6 +83,45 @@ def test_hard_rows(hard, empty):
     assert nd.near_duplicates(empty).count() == 0 and nd.keep_first(empty).count() == 0
 
 
+def test_words_that_polynomials_confuse_are_not_linked(spark):
+    a, b = thue_morse()
+    tail = " c d e f g"
+    docs = spark.createDataFrame([(1, " ".join([a] * 9)), (2, " ".join([b] * 9)), (3, a + tail), (4, b + tail)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(docs, 4).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_rows_without_an_id_are_kept(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id, r.kept) for r in nd.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == [(4, 4, True), (5, 4, False), (None, None, True), (None, None, True)]
+
+
+def test_filters_lose_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}", i) for i in range(3000)] + [(None, "n", 0)], "doc_id long, text string, `a.b` long")
+    ids = spark.range(0, 3000, 7).withColumnRenamed("id", "doc_id")
+    want = set(range(0, 3000, 7))
+    for most in (shared.MOST_WORDS, 1024, 1):  # a full filter, and keys too many for any
+        monkeypatch.setattr(shared, "MOST_WORDS", most)
+        of = {r.doc_id for r in shared.texts_of(docs, ids).collect()}
+        assert want <= of and None not in of
+        assert sorted(r.doc_id for r in shared.texts_in(docs, ids).collect()) == sorted(want)
+        left = shared.without(docs, ids)
+        assert left.columns == docs.columns
+        assert {r.doc_id for r in left.collect()} == (set(range(3000)) | {None}) - want
+    plan = shared.without(docs, ids)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_tables_can_be_deleted(spark):
+    made = shared.table(spark.range(5), "gone")
+    shared.discard(made)
+    with pytest.raises(Exception):  # noqa: B017
+        made.count()
+    shared.table(spark.range(5), "left")
+    shared.clear(spark)
+
+
 def test_estimate_is_corrected_for_chance(spark):
     rng = random.Random(9)
     w = [prose(rng, 1) + str(i) for i in range(4000)]

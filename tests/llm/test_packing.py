@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meridian.llm import packing as pk
-from meridian.llm.shared import IdCache
+from meridian.llm.shared import WordTable
+
+from .conftest import thue_morse
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "a b", "Don't STOP!", "<|endoftext|> A", "<|ENDOFTEXT|>", "É é ÀB.", "éa", " x y", "a\x1cb", "² ½ x²", "ΑΣ σς", "日本語 テスト", "a..b,c. d,", "x" * 300, "ŉ ǆ ß.", "\x00"]
@@ -32,7 +35,7 @@ def test_ids_of_random_texts(texts):
 
 
 def test_a_full_cache_and_long_texts(monkeypatch):
-    monkeypatch.setattr(pk, "IdCache", lambda *a: IdCache(64, 50))
+    monkeypatch.setattr(pk, "WordTable", lambda: WordTable(20, 200))
     monkeypatch.setattr(pk, "_GROUP", 40)
     pk._loaded.clear()
     rng = random.Random(1)
@@ -41,6 +44,11 @@ def test_a_full_cache_and_long_texts(monkeypatch):
     pk._loaded.clear()
 
 
+def test_words_that_polynomials_confuse():
+    texts = list(thue_morse())
+    assert list(pk.encode([t.encode() for t in texts], PATH)) == library(texts) and len(set(library(texts))) == 2
+
+
 def optimum(lengths, capacity):
     for bins in range(1, len(lengths) + 1):
         for assign in itertools.product(range(bins), repeat=len(lengths)):
@@ -62,6 +70,56 @@ def test_bound_beats_the_sum():
     assert pk.lower_bound(np.array([11] * 5), 20) == 5 and pk.lower_bound(np.array([7] * 6), 20) == 3
 
 
+def part(lengths, sequences=None):
+    n = len(lengths)
+    return pd.DataFrame({"doc_id": range(n), "piece": 0, "length": lengths, "sequence_id": sequences or [0] * n, "partition": 0})
+
+
+def test_certified_partitions_are_left_alone_and_gaps_release(monkeypatch):
+    even = pk.packed_partition(part([12, 8, 15, 5, 20]), 3, 0, 0, 20)
+    assert not even["open"].any() and even["sequence_id"].nunique() == 3
+    # 7, 7 and 7, 7 leave 6 each, and 9, 9 leave 2: five bins of 20 for a bound of 4
+    gap = part([9, 9, 7, 7, 7, 7, 7, 7, 5])
+    own = pk.packed_partition(gap, 0, 0, 0, 20)
+    bins, bound = own["sequence_id"].nunique(), pk.lower_bound(gap["length"].to_numpy(), 20)
+    assert own[own["open"]]["sequence_id"].nunique() == (bins - bound + 1 if bins > bound else 0)
+    for low in (0, 1, bins - 1, bins):  # the bound decides how many go
+        monkeypatch.setattr(pk, "lower_bound", lambda lengths, capacity, low=low: low)
+        out = pk.packed_partition(gap, 0, 0, 0, 20)
+        assert out[out["open"]]["sequence_id"].nunique() == (min(bins, bins - low + 1) if bins > low else 0)
+        opened = out.groupby("sequence_id").agg(fill=("length", "sum"), open=("open", "first"))
+        assert not opened["open"].any() or opened["open"].all() or opened[opened["open"]]["fill"].max() <= opened[~opened["open"]]["fill"].min()
+
+
+def test_an_exchange_counts_only_where_it_saves():
+    same = pk.packed_partition(part([11, 12], [5, 9]), 0, 1, 0, 20)
+    assert same["sequence_id"].tolist() == [5, 9] and (same["partition"] == 0).all()
+    fewer = pk.packed_partition(part([11, 9, 5], [5, 9, 7]), 2, 1, 0, 20)
+    assert fewer["sequence_id"].nunique() == 2 and (fewer["partition"] == (1 << 40) + 2).all()
+
+
+def test_exchange_brings_bins_to_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(pk, "PER_PARTITION", 30)
+    rng = random.Random(3)
+    rows = [(i, 0, 0, rng.choice([7, 8, 11, 13, 24, 31, 40]), 0) for i in range(900)] + [(None, 0, 0, 5, 0)]
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = pk.pack(cut, 64).collect()
+    fill = {}
+    for r in got:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert max(fill.values()) <= 64 and len(got) == 901 and sum(r.doc_id is None for r in got) == 1
+    floor = pk.global_bound(cut, 64)
+    alone = sum(pk.best_fit_decreasing(np.array([r[3] for r in rows[i : i + 30]]), 64).max() + 1 for i in range(0, 901, 30))
+    whole = pk.best_fit_decreasing(np.array([r[3] for r in rows]), 64).max() + 1
+    assert floor <= len(fill) <= whole + 1 < alone
+    by = {}
+    for r in got:
+        by.setdefault(r.partition, []).append(r)
+    for own in by.values():
+        bins, bound = len({r.sequence_id for r in own}), pk.lower_bound(np.array([r.length for r in own]), 64)
+        assert {(r.bins, r.bound, r.certified) for r in own} == {(bins, bound, bins == bound)}
+
+
 def _check(rows, ids, capacity):
     used = {}
     for r in rows:
@@ -96,6 +154,17 @@ def test_pieces_and_sequences(spark, monkeypatch):
 
 
 def test_hard_rows(hard, empty):
+    rows = pk.pack_documents(hard, PATH).collect()
+    every = library([r.text or "" for r in hard.collect()])
+    assert sum(r.length for r in rows) == sum(len(b) // 4 + 1 for b in every)
+    twice = [r.ids_crc32 for r in rows if r.doc_id == 5]
+    assert len(twice) == 2 and len(set(twice)) == 1 and sum(r.doc_id is None for r in rows) == 1
+    used = {}
+    for r in rows:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in used.values():
+        own.sort()
+        assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) <= 4096
     rows = pk.pack_documents(hard.where("doc_id is not null").dropDuplicates(["doc_id"]), PATH).collect()
     texts = {r.doc_id: r.text or "" for r in hard.where("doc_id is not null").collect()}
     ids = {i: b + b"\x01\0\0\0" for i, b in zip(texts, library(list(texts.values())), strict=True)}

@@ -13,6 +13,9 @@ from tokenizers import Tokenizer
 
 from meridian.llm import sentencepiece_scan as sp
 from meridian.llm import token_counts as tc
+from meridian.llm.shared import WordTable
+
+from .conftest import thue_morse
 
 VOCABULARY, PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -72,8 +75,20 @@ def test_fields(spark):
 
 
 def test_counts_hard_rows(hard, empty):
-    got = tc.attribute(hard, VOCABULARY, public_tokenizers.PATTERN).collect()
-    assert len(got) == sum((r.text or "").count("\n") + 1 for r in hard.collect())
+    got = _rows(tc.attribute(hard.where("doc_id is not null"), VOCABULARY, public_tokenizers.PATTERN))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    want = []
+    for r in hard.where("doc_id is not null").collect():
+        text, at = r.text or "", 0
+        starts = np.array([a for a, _ in tokenizer.encode(text, add_special_tokens=False).offsets])
+        lines = text.split("\n")
+        for j, line in enumerate(lines):
+            end = at + len(line) + (j < len(lines) - 1)
+            want.append((r.doc_id, "text", j, at, end, float(((starts >= at) & (starts < end)).sum())))
+            at = end
+    assert got == sorted(want)
+    assert tc.attribute(hard, VOCABULARY, public_tokenizers.PATTERN).where("doc_id is null").count() == 1
     assert tc.attribute(empty, VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
@@ -124,8 +139,46 @@ def test_scan_equals_the_plain_pass(text, chunk):
 @given(st.lists(st.text(st.sampled_from("abehi  é\n▁"), max_size=20), max_size=5))
 def test_together_equals_word_by_word(texts):
     model = sp.model(PIECES)
-    want = [model._by_words(sp.prepared(t)) for t in texts]
-    assert model.encode_all(texts) == want
+    words = [[model._word(w) for w in sp.words_of(sp.prepared(t))] for t in texts]
+    assert model.encode_all(texts) == [(b"".join(ids for ids, _ in own), sum(w >> sp._SHIFT for _, w in own) / sp._SCALE) for own in words]
+
+
+def test_words_that_polynomials_confuse(model):
+    a, b = thue_morse()
+    got = [ids for ids, _ in model.encode_all([a, b, f"{a} {b}"])]
+    assert got[0] != got[1] and [model.decode(np.frombuffer(x, "<u4").tolist()) for x in got] == [a, b, f"{a} {b}"]
+
+
+def test_a_table_that_starts_over(monkeypatch):
+    table = WordTable(3, 50)
+    make = lambda words: [([len(w), 7], float(len(w))) for w in words]
+    for words in (["a", "bb", "a"], ["ccc", "dddd", "a"], ["e" * 60, "bb"], [], ["bb", "ccc"]):
+        ids, sizes, values = table.look_up(words, make)
+        assert ids.tolist() == [x for w in words for x in (len(w), 7)] and sizes.tolist() == [2] * len(words) and values.tolist() == [float(len(w)) for w in words]
+
+
+def test_the_last_cut_is_carried_along(spark, model):
+    """Without any cut a chunk must not walk back to the text's start: twice the text is at most about twice the looks."""
+    looks, plain = [], sp.cut
+    texts = ["ab" * n for n in (4000, 8000)]
+
+    class Counted:
+        def __init__(self):
+            self.n = 0
+
+        def __call__(self, s, i):
+            self.n += 1
+            return plain(s, i)
+
+    for text in texts:
+        s, word, low, counted = sp.prepared(text), 0, 0, Counted()
+        for at in range(0, len(s), 64):
+            want = max((i for i in range(at + 1) if i and plain(s, i)), default=0)
+            word = sp.last_cut(s, at, low, word, counted)
+            low = at
+            assert word == want
+        looks.append(counted.n)
+    assert looks[1] <= 2.1 * looks[0]
 
 
 def test_products_are_associative(model):
