@@ -1,34 +1,42 @@
 """Information-theoretic sanitisation.
 
-Fixed patterns find personal data. The corpus then tells which other terms give an entity away: a
-term near an entity, whose smoothed pointwise mutual information with it reaches a share of the
-entity's own information content, discloses it, however few texts have the entity. Disclosing terms are generalised to their kind,
-or removed where they have none.
+Fixed patterns find personal data, and long strings that carry much information are taken for secrets.
+The corpus then tells which other terms give such an entity away. Entities have levels: the value
+itself, what it has in common with others (the domain of an address, a network, an issuer, an area) and
+its kind. A term near an entity discloses it on some level if knowing the term tells much about the
+entity and leaves little unknown, in bits that do not depend on the corpus's size. Disclosing terms are
+generalised to their kind, or removed where they have none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import FILTER_BITS, filter_bits, table, texts, tidy
+from .shared import columns, filter_bits, marks, row_key, sized, sliced, table, texts, tidy
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+SECRET, TERM = "secret", "term"
 #: Words on each side of an entity that count as near it; texts that a term is taken to be in beyond
-#: those counted; share of the entity's information that a term has to carry.
-WINDOW, SMOOTHING, DISCLOSED = 4, 0.25, 0.9
+#: those counted; bits about the entity that a term may leave open, and that it has to tell.
+WINDOW, SMOOTHING, LEFT, TOLD = 4, 0.25, 0.5, 3.0
+#: A secret's least number of characters, of digits and of letters, and of bits by its own characters' frequencies.
+SECRET_CHARS, SECRET_MIX, SECRET_BITS = 20, 4, 64.0
+#: Words that a worker remembers; code points of a stretch whose words it lists at once; numbers that workers get
+#: one by one, 8 MB, beyond which they get a map alone.
+_HELD, _SLAB, MOST_EXACT = 150_000, 1 << 20, 1 << 20
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -37,6 +45,8 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+_SPACE = re.compile(r"\s")
+_SECRET = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SECRET_CHARS},}}+")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
@@ -88,10 +98,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _entity(kind: str, text: str) -> int:
-    """An entity's name, without what differs between spellings of the same value."""
-    value = text.lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", text)
-    return xxhash.xxh64_intdigest(f"{kind}:{value}") - (1 << 63)
+def secret_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Strings of letters and digits mixed that carry much information, outside the base spans."""
+    out = []
+    for m in _SECRET.finditer(text):
+        counts, n = Counter(m.group()), m.end() - m.start()
+        digits = sum(k for c, k in counts.items() if c.isdigit())
+        letters = sum(k for c, k in counts.items() if c.isalpha())
+        if min(digits, letters) >= SECRET_MIX and sum(k * math.log2(n / k) for k in counts.values()) >= SECRET_BITS:
+            if not any(a < m.end() and m.start() < b for _, a, b in base):
+                out.append((SECRET, *m.span()))
+    return out
+
+
+def levels(kind: str, text: str) -> list[str]:
+    """Names of an entity from its value to its kind, without what differs between spellings of one value."""
+    if kind == "email":
+        value = text.lower()
+        own = [value, value[value.index("@") :]]
+    elif kind == "ip":
+        parts = [p.lstrip("0") or "0" for p in text.split(".")]
+        own = [".".join(parts[:i]) for i in (4, 3, 2)]
+    elif kind in ("card", "phone"):
+        digits = re.sub("[^0-9]", "", text)
+        own = [digits, digits[: 6 if kind == "card" else 4]]
+    else:
+        own = [text]
+    return [f"{kind}:{i}:{value}" for i, value in enumerate(own)] + [kind]
 
 
 def _hash(term: str) -> int:
@@ -110,7 +143,7 @@ def _words_before(text: str, start: int, window: int) -> list[re.Match[str]]:
 
 
 def nearby(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> set[tuple[int, int]]:
-    """``(entity, term)`` of the words within ``window`` words of each entity."""
+    """``(entity, term)`` of the words within ``window`` words of each entity, on all levels of it."""
     out: set[tuple[int, int]] = set()
     blocked = sorted((a, b) for _, a, b in spans)
     heads = [a for a, _ in blocked]
@@ -118,45 +151,128 @@ def nearby(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -
         # words are taken outwards, so a long text costs what its entities cost
         left = _words_before(text, start, window)
         right = islice(_WORD.finditer(text, end), window)
-        name = _entity(kind, text[start:end])
+        names = [_hash(name) for name in levels(kind, text[start:end])]
         for m in (*left, *right):
             i = bisect_left(heads, m.end()) - 1
             if i < 0 or blocked[i][1] <= m.start():  # not inside an entity
-                out.add((name, _hash(m.group().lower())))
+                term = _hash(m.group().lower())
+                out.update((name, term) for name in names)
     return out
 
 
 def _pairs(docs: DataFrame, window: int) -> DataFrame:
-    """``entity, term, source``: source is a hash of the whole text; term is null in one row per entity and text.
+    """``entity, term, source, words`` of texts with entities; source is a hash of the whole text.
 
-    Copies of a text repeat its rows.
+    A row for each entity, level and term near it; one without a term for each entity and level; and one
+    without an entity for the text itself, with hashes of all its words. Copies repeat a text's rows
+    where they are in different tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        met: set[int] = set()
+        for batch in sliced(batches):
             rows: list[tuple] = []
             for text in batch.column("text").to_pylist():
-                if spans := base_spans(text):
-                    source = xxhash.xxh64_intdigest(text) - (1 << 63)
-                    rows += [(e, None, source) for e in {_entity(k, text[a:b]) for k, a, b in spans}]
-                    rows += [(e, t, source) for e, t in nearby(text, spans, window)]
-            columns = zip(*rows, strict=True) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["entity", "term", "source"])
-
-    return texts(docs).select("text").mapInArrow(tidy(run), "entity long, term long, source long")
+                base = base_spans(text)
+                spans = base + secret_spans(text, base)
+                source = _hash(text) if spans else 0
+                if not spans or source in met:
+                    continue
+                if len(met) > 200_000:
+                    met.clear()
+                met.add(source)
+                rows += [(_hash(e), None, source, None) for e in {x for k, a, b in spans for x in levels(k, text[a:b])}]
+                rows += [(e, t, source, None) for e, t in nearby(text, spans, window)]
+                rows.append((None, None, source, list({_hash(w.lower()) for part in _stretches(text) for w in set(_WORD.findall(part))})))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            columns = zip(*rows, strict=True) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["entity", "term", "source", "words"])
+
+    return texts(docs).select("text").mapInArrow(tidy(run), "entity long, term long, source long, words array<long>")
+
+
+@dataclass
+class Known:
+    """Which of a table's numbers a worker knows: a bit for each, and the numbers themselves where they are few enough.
+    Without these, numbers that share a bit pass as well, and an exact join has to follow."""
+
+    bits: np.ndarray
+    exact: np.ndarray | None
+
+    def __contains__(self, number: int) -> bool:
+        slot = number % (8 * len(self.bits))
+        if not self.bits[slot >> 3] >> (slot & 7) & 1:
+            return False
+        if self.exact is None:
+            return True
+        at = int(np.searchsorted(self.exact, number))
+        return at < len(self.exact) and int(self.exact[at]) == number
+
+
+def _known(terms: DataFrame) -> Known:
+    """Of a table with a long ``term`` and as many rows as there are terms."""
+    n = terms.count()
+    if n <= MOST_EXACT:
+        numbers = np.sort(np.array([r[0] for r in terms.select("term").collect()], np.int64))
+        bits = np.zeros(sized(16 * n) // 8, np.uint8)
+        slots = numbers % (8 * len(bits))
+        np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+        return Known(bits, numbers)
+    size = sized(16 * n)
+    return Known(filter_bits(terms.select(F.pmod("term", F.lit(size)).alias("slot")), size), None)
+
+
+class Terms:
+    """Which words of a text are known terms; a worker remembers a bounded number of words."""
+
+    def __init__(self, known: Known) -> None:
+        self.known, self.seen, self.named = known, set(), set()
+
+    def of(self, text: str) -> set[str]:
+        found: set[str] = set()
+        for part in _stretches(text):
+            words = set(_WORD.findall(part))
+            if len(self.seen) > _HELD:
+                self.seen, self.named = set(), set()
+            self.named |= {w for w in words - self.seen if _hash(w.lower()) in self.known}
+            self.seen |= words
+            found |= words & self.named
+        return found
+
+    def places(self, text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int]]:
+        """``(term, start, end)`` of the known words, outside ``spans``."""
+        found = {w: _hash(w.lower()) for w in self.of(text)}
+        if not found:
+            return []
+        blocked = sorted((a, b) for _, a, b in spans)
+        heads = [a for a, _ in blocked]
+        out = []
+        for m in _WORD.finditer(text):
+            number = found.get(m.group())
+            if number is not None:
+                i = bisect_left(heads, m.end()) - 1
+                if i < 0 or blocked[i][1] <= m.start():
+                    out.append((number, m.start(), m.end()))
+        return out
 
 
-def _filter_bits(terms: DataFrame) -> np.ndarray:
-    return filter_bits(terms.select(F.pmod("term", F.lit(FILTER_BITS)).alias("slot")))
+def _stretches(text: str) -> Iterator[str]:
+    """Stretches of bounded size, cut at white space, so that no word is cut."""
+    at = 0
+    while len(text) - at > _SLAB:
+        m = _SPACE.search(text, at + _SLAB)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
 
 
-def _frequencies(docs: DataFrame, bits: np.ndarray, repeated: np.ndarray) -> DataFrame:
-    """``term, documents``: distinct texts that hold each term which the filter lets through.
+def _frequencies(docs: DataFrame, terms: Known, repeated: Known) -> DataFrame:
+    """``term, documents``: distinct texts that hold each known term.
 
-    Texts that the filter of repeated ones lets through move with their hash, once a task; the others
-    are summed by task before they move.
+    Repeated texts move with their hash, once a task; the others are summed by task before they move.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
     copies = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def batch_of(terms: list[int], sources: list[int | None], ns: list[int]) -> pa.RecordBatch:
@@ -164,38 +280,24 @@ def _frequencies(docs: DataFrame, bits: np.ndarray, repeated: np.ndarray) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[int] = Counter()
-        numbers: dict[str, int | None] = {}
+        known = Terms(shared.value)
         met: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             terms, sources = [], []
             for text, source in zip(batch.column("text").to_pylist(), batch.column("source").to_pylist(), strict=True):
-                slot = source % FILTER_BITS
-                again = copies.value[slot >> 3] >> (slot & 7) & 1
+                again = source in copies.value
                 if again:
                     if source in met:
                         continue
                     if len(met) > 200_000:
                         met.clear()
                     met.add(source)
-                for word in set(map(str.lower, set(_WORD.findall(text)))):
-                    number = numbers.get(word, 0)
-                    if number == 0:
-                        h = _hash(word)
-                        slot = h % FILTER_BITS
-                        number = h if shared.value[slot >> 3] >> (slot & 7) & 1 else None
-                        if len(numbers) > 150_000:
-                            numbers.clear()
-                        numbers[word] = number
-                    if number is None:
-                        continue
-                    if again:
-                        terms.append(number)
-                        sources.append(source)
-                    else:
-                        counts[number] += 1
-                if len(terms) > 50_000:
-                    yield batch_of(terms, sources, [1] * len(terms))
-                    terms, sources = [], []
+                numbers = {_hash(w.lower()) for w in known.of(text)}
+                if again:
+                    terms += numbers
+                    sources += [source] * len(numbers)
+                else:
+                    counts.update(numbers)
             if terms:
                 yield batch_of(terms, sources, [1] * len(terms))
             if len(counts) > 200_000:
@@ -208,180 +310,138 @@ def _frequencies(docs: DataFrame, bits: np.ndarray, repeated: np.ndarray) -> Dat
     return once.groupBy("term").agg(F.sum("n").alias("documents"))
 
 
-def disclosing_terms(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, disclosed: float = DISCLOSED) -> DataFrame:
-    """``term``: hashes of the terms that disclose some entity.
+def disclosing_terms(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, left: float = LEFT, told: float = TOLD) -> DataFrame:
+    """``term``: hashes of the terms that disclose some entity on some level.
 
     With N distinct texts, of which d hold the entity, t the term, and c both near each other, the
-    term's smoothed information about the entity is ``log2(N c / (d (t + smoothing)))`` and the
-    entity's own ``log2(N / d)``. The first must reach ``disclosed`` of the second, that is, t must be
-    at most ``c (N / d)^(1 - disclosed) - smoothing``; the best such bound of a term decides. Texts
-    count once however often they are copied, and an entity of a single text can be disclosed; in
-    less than ten texts there is too little to tell by.
+    term leaves ``log2((t + smoothing) / c)`` bits of the entity's ``log2(N / d)`` open. That must be at
+    most ``left``, and what it tells, the rest, at least ``told``: so t is at most
+    ``c min(2^left, N / d 2^told) - smoothing``, and the best such bound of a term decides. Texts count
+    once however often they are copied, and an entity of a single text can be disclosed; one that
+    stands in more than about an eighth of all texts is no news.
     """
-    near = table(_pairs(docs, window).distinct(), "near")
-    joint = near.groupBy("entity", "term").agg(F.count("*").alias("c"))
+    near = table(_pairs(docs, window), "near")
+    joint = near.where("entity is not null").select("entity", "term", "source").distinct().groupBy("entity", "term").agg(F.count("*").alias("c"))
     alone = joint.where("term is null").select("entity", F.col("c").alias("d"))
     copies = table(texts(docs).groupBy(F.xxhash64("text").alias("source")).agg(F.count("*").alias("n")), "texts")
     n = float(copies.count())
-    bound = F.col("c") * F.pow(F.lit(n) / F.col("d"), F.lit(1 - disclosed)) - F.lit(float(smoothing))
-    bounds = joint.where("term is not null").join(alone, "entity").where(F.col("d") < n).select("term", "c", bound.alias("most"))
-    candidates = table(bounds.where("c <= most").groupBy("term").agg(F.max("most").alias("most")), "candidates")
-    repeated = filter_bits(copies.where("n > 1").select(F.pmod("source", F.lit(FILTER_BITS)).alias("slot")))
-    told = candidates.join(_frequencies(docs, _filter_bits(candidates), repeated), "term")
-    return table(told.where("documents <= most").select("term"), "disclosing")
+    bound = F.col("c") * F.least(F.lit(2.0**left), F.lit(n) / (F.col("d") * F.lit(2.0**told))) - F.lit(float(smoothing))
+    bounds = joint.where("term is not null").join(alone, "entity").select("term", "c", bound.alias("most"))
+    # most terms stand in more of the texts with entities alone, and need no counting in the others
+    own = near.where("entity is null").dropDuplicates(["source"]).select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("own"))
+    likely = bounds.where("c <= most").groupBy("term").agg(F.max("most").alias("most")).join(own, "term").where("own <= most")
+    candidates = table(likely.select("term", "most"), "candidates")
+    again = table(copies.where("n > 1").select(F.col("source").alias("term")), "repeated")
+    known = candidates.join(_frequencies(docs, _known(candidates), _known(again)), "term")
+    return table(known.where("documents <= most").select("term"), "disclosing")
+
+
+_SPAN = "array<struct<kind:string,start:long,end:long>>"
 
 
-def _occurrences(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Base spans of every row, and the places of words that the filter lets through."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    any_bit = bool(bits.any())
+def _places(docs: DataFrame, terms: Known, every: bool) -> DataFrame:
+    """``row, doc_id, base, words``: base spans and secrets, and the places of known words; of every row, or only of
+    those with such words."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    any_bit = bool(terms.bits.any())
+    place = [("start", pa.int64()), ("end", pa.int64())]
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.struct([("kind", pa.string()), *place])), pa.list_(pa.struct([("term", pa.int64()), *place]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[str, int | None] = {}
-        for batch in batches:
-            spans, words = [], []
-            for text in batch.column("text").to_pylist():
-                own = base_spans(text)
-                spans.append([{"kind": k, "start": a, "end": b} for k, a, b in own])
-                found = []
-                if any_bit:
-                    blocked = sorted((a, b) for _, a, b in own)
-                    heads = [a for a, _ in blocked]
-                    for m in _WORD.finditer(text):
-                        word = m.group().lower()
-                        number = numbers.get(word, 0)
-                        if number == 0:
-                            h = _hash(word)
-                            slot = h % FILTER_BITS
-                            number = h if shared.value[slot >> 3] >> (slot & 7) & 1 else None
-                            if len(numbers) > 150_000:
-                                numbers.clear()
-                            numbers[word] = number
-                        if number is not None:
-                            i = bisect_left(heads, m.end()) - 1
-                            if i < 0 or blocked[i][1] <= m.start():
-                                found.append({"term": number, "start": m.start(), "end": m.end()})
-                words.append(found)
-            place = [("start", pa.int64()), ("end", pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), *place]))), pa.array(words, pa.list_(pa.struct([("term", pa.int64()), *place])))],
-                ["row", "doc_id", "base", "words"],
-            )
-
-    schema = "row long, doc_id long, base array<struct<kind:string,start:long,end:long>>, words array<struct<term:long,start:long,end:long>>"
-    return docs.select("row", "doc_id", "text").mapInArrow(tidy(run), schema)
-
-
-def find_spans(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, disclosed: float = DISCLOSED) -> DataFrame:
-    """``row, doc_id, base, terms``: base spans and disclosing spans of every row of ``docs(row, doc_id, text)``.
-
-    Only rows with a word that the fixed-size filter takes for disclosing are joined with the terms.
-    """
-    terms = disclosing_terms(docs, window, smoothing, disclosed)
-    found = table(_occurrences(docs, _filter_bits(terms)), "spans")
-    certain = found.where("size(words) > 0").select("row", F.explode("words").alias("w")).select("row", "w.*").join(terms, "term")
-    certain = certain.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return found.join(certain, "row", "left").select("row", "doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long>>")).alias("terms"))
+        known = Terms(shared.value)
+        for batch in sliced(batches):
+            rows: list[tuple] = []
+            for row, doc, text in zip(*(batch.column(n).to_pylist() for n in ("row", "doc_id", "text")), strict=True):
+                spans = base_spans(text)
+                spans += secret_spans(text, spans)
+                words = known.places(text, spans) if any_bit else []
+                if every or words:
+                    rows.append((row, doc, [{"kind": k, "start": a, "end": b} for k, a, b in spans], [{"term": t, "start": a, "end": b} for t, a, b in words]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], ["row", "doc_id", "base", "words"])
 
+    numbered = texts(docs).withColumn("row", row_key())
+    return numbered.mapInArrow(tidy(run), f"row string, doc_id long, base {_SPAN}, words array<struct<term:long,start:long,end:long>>")
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
 
+def _exact(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """``row, doc_id, terms``: the places of words that are disclosing terms indeed."""
+    words = found.where("size(words) > 0").select("row", "doc_id", F.explode("words").alias("w")).select("row", "doc_id", "w.*").join(terms, "term")
+    return words.groupBy("row", "doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
 
-def scan(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, disclosed: float = DISCLOSED) -> DataFrame:
-    """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms``.
 
-    Null and empty texts have no spans and the digest of the empty string. Repeated rows each get a
-    row. Extra columns are ignored; an empty table gives no rows.
+def find_spans(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, left: float = LEFT, told: float = TOLD) -> DataFrame:
+    """``doc_id, base, terms``: base spans and secrets, and disclosing spans, of every row.
+
+    Only rows with a known word are joined with the terms, which settles what a map alone cannot.
     """
-    found = find_spans(_numbered(docs), window, smoothing, disclosed)
+    terms = disclosing_terms(docs, window, smoothing, left, told)
+    found = table(_places(docs, _known(terms), True), "spans")
+    certain = _exact(found, terms).drop("doc_id")
+    return found.join(certain, "row", "left").select("doc_id", "base", F.coalesce("terms", F.array().cast("array<struct<start:long,end:long>>")).alias("terms"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for base, terms in zip(batch.column("base").to_pylist(), batch.column("terms").to_pylist(), strict=True):
-                own = [f"{s['kind']}:{s['start']}:{s['end']}" for s in base]
-                kinds = Counter(s["kind"] for s in base)
-                more = [f"{TERM}:{s['start']}:{s['end']}" for s in terms]
-                rows.append((*(kinds[k] for k in KINDS), hashlib.sha256(",".join(own).encode()).hexdigest(), ",".join(own + more), len(more)))
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_terms"])
 
-    return found.select("doc_id", "base", "terms").mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_terms long")
+def scan(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, left: float = LEFT, told: float = TOLD) -> DataFrame:
+    """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_terms, n_spans``.
+
+    Null and empty texts have no spans and the digest of the empty string. Repeated rows each get a
+    row. Very long texts are searched whole, their words a stretch at a time. Extra columns are
+    ignored; an empty table gives no rows.
+    """
+    found = find_spans(docs, window, smoothing, left, told)
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    base = F.array_join(F.transform(F.filter("base", lambda x: x["kind"] != SECRET), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    every = F.array_join(F.concat(F.transform("base", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), F.transform("terms", lambda x: F.concat_ws(":", F.lit(TERM), x["start"].cast("string"), x["end"].cast("string")))), ",")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(base.cast("binary"), 256).alias("base_sha256"), every.alias("spans"),
+        count(SECRET).alias("n_secret"), F.size("terms").cast("long").alias("n_terms"), (F.size("base") + F.size("terms")).cast("long").alias("n_spans"),
+    )
 
 
-def clean(text: str, base: list[tuple[str, int, int]], terms: list[tuple[int, int]]) -> str:
+def clean(text: str, terms: list[tuple[int, int]]) -> str:
     """Entities become their kind in brackets; of overlapping ones the first stays. Disclosing terms with a
-    digit or a capital are generalised to ``[number]`` or ``[name]``, others are removed."""
-    marks = [(a, b, f"[{k}]") for k, a, b in base]
+    digit or a capital are generalised to ``[number]`` or ``[name]``, others are removed. What a removal
+    brings together is cleaned as well, so that no personal data is left to find."""
+    base = base_spans(text)
+    spans = [(a, b, f"[{k}]") for k, a, b in base + secret_spans(text, base)]
     for a, b in terms:
         word = text[a:b]
-        marks.append((a, b, "[number]" if any(map(str.isdigit, word)) else "[name]" if word[:1].isupper() else ""))
-    out, at = [], 0
-    for a, b, mark in sorted(marks, key=lambda m: (m[0], -m[1])):
-        if a >= at:
-            out += [text[at:a], mark]
-            at = b
-        elif b > at:  # the rest of an overlapping span goes as well
-            at = b
-    return "".join([*out, text[at:]])
-
-
-def _cleaned(docs: DataFrame, bits: np.ndarray, found: bool) -> DataFrame:
-    """Rows with (or without) a word that the filter lets through: without, cleaned; with, as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    any_bit = bool(bits.any())
+        spans.append((a, b, "[number]" if any(map(str.isdigit, word)) else "[name]" if word[:1].isupper() else ""))
+    while spans:
+        out, at = [], 0
+        for a, b, mark in sorted(spans, key=lambda m: (m[0], -m[1])):
+            if a >= at:
+                out += [text[at:a], mark]
+                at = b
+            elif b > at:  # the rest of an overlapping span goes as well
+                at = b
+        text = "".join([*out, text[at:]])
+        base = base_spans(text)
+        spans = [(a, b, f"[{k}]") for k, a, b in base + secret_spans(text, base)]
+    return text
+
+
+def sanitise(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, left: float = LEFT, told: float = TOLD) -> DataFrame:
+    """``docs`` with cleaned texts: all rows and columns stay, null texts stay null and empty ones empty.
+
+    Rows without any disclosing term are cleaned where they are; only those with one are joined with its
+    places, by doc_id and a 128-bit digest of the text. Rows without a doc_id always are. Repeated rows
+    are cleaned alike; extra columns may have any name but ``__row`` and ``__terms``; an empty table stays empty.
+    """
+    terms = disclosing_terms(docs, window, smoothing, left, told)
+    exact = table(_exact(_places(docs, _known(terms), False), terms), "places")
+    named = marks(table(exact.where("doc_id is not null").select("doc_id").distinct(), "named"))
+    own = exact.select(F.col("row").alias("__row"), F.col("terms").alias("__terms"))
+    rest = named.split(docs, True).unionByName(docs.where("doc_id is null")).withColumn("__row", row_key()).join(own, "__row", "left")
+    sure = named.split(docs, False).where("doc_id is not null").withColumn("__terms", F.lit(None).cast(own.schema["__terms"].dataType))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
-
-        def hit(text: str) -> bool:
-            for word in set(map(str.lower, set(_WORD.findall(text)))):
-                if word not in known:
-                    slot = _hash(word) % FILTER_BITS
-                    if len(known) > 150_000:
-                        known.clear()
-                    known[word] = bool(shared.value[slot >> 3] >> (slot & 7) & 1)
-                if known[word]:
-                    return True
-            return False
-
-        for batch in batches:
-            values = batch.column("text").to_pylist()
-            mask = [any_bit and bool(t) and hit(t) for t in values]
-            part = batch.filter(pa.array([m == found for m in mask], pa.bool_()))
-            if not found:
-                new = [t and clean(t, base_spans(t), []) for t, m in zip(values, mask, strict=True) if not m]
-                columns = list(part.columns)
-                columns[at] = pa.array(new, part.column(at).type)
-                part = pa.RecordBatch.from_arrays(columns, part.schema.names)
-            yield part
-
-    return docs.mapInArrow(tidy(run), docs.schema)
-
-
-def sanitise(docs: DataFrame, window: int = WINDOW, smoothing: float = SMOOTHING, disclosed: float = DISCLOSED) -> DataFrame:
-    """``docs`` with cleaned texts: all rows and columns stay, null texts stay null.
-
-    Rows without any word that the filter takes for disclosing are cleaned where they are; the others
-    are joined with the terms.
-    """
-    names = docs.columns
-    terms = disclosing_terms(docs, window, smoothing, disclosed)
-    bits = _filter_bits(terms)
-    sure = _cleaned(docs, bits, False)
-    if not bits.any():
-        return sure
-    rest = _cleaned(docs, bits, True)
-    places = _occurrences(_numbered(rest), bits)
-    exact = places.select("row", F.explode("words").alias("w")).select("row", "w.*").join(terms, "term")
-    exact = exact.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__terms")).withColumnRenamed("row", "__row")
-    joined = rest.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(exact, "__row", "left")
-
-    @F.pandas_udf("string")
-    def cleaned(text: pd.Series, terms: pd.Series) -> pd.Series:
-        return pd.Series([clean(t, base_spans(t), [] if w is None else [(s["start"], s["end"]) for s in w]) for t, w in zip(text, terms, strict=True)], dtype=object)
-
-    return sure.unionByName(joined.withColumn("text", cleaned("text", "__terms")).select(*names))
+        for batch in sliced(batches):
+            found = zip(batch.column("text").to_pylist(), batch.column("__terms").to_pylist(), strict=True)
+            new = [t and clean(t, [(w["start"], w["end"]) for w in terms or ()]) for t, terms in found]
+            kept = [batch.column(i) for i in range(batch.num_columns - 1)]
+            kept[at] = pa.array(new, kept[at].type)
+            yield pa.RecordBatch.from_arrays(kept, batch.schema.names[:-1])
+
+    names = columns(docs)
+    return sure.select(*names, "__terms").unionByName(rest.select(*names, "__terms")).mapInArrow(tidy(run), docs.schema)
