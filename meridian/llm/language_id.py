@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts, tidy
+from .shared import sliced, texts, tidy
 
 BUCKETS, SMOOTHING = 1 << 16, 0.5
 #: The bound of the training sample: rows, and code points of a row that may be in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 50_000
 SWITCH_PENALTY, SCRIPT_SHARE, EXCLUDED = 8.0, 0.005, -1e4
-#: Code points labelled at a time.
-SLAB = 6 << 20
+#: Code points labelled at a time; a longer text goes through in stretches of about so many.
+SLAB = 1 << 20
 
 #: First and last code points of scripts.
 SCRIPTS = {
@@ -157,6 +157,48 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH_PEN
     return out
 
 
+class Path:
+    """The best labels of a text's words, stretch by stretch: values go forward from one to the next, and a bit for
+    each word and language, and the best language before each word, stay for the way back."""
+
+    def __init__(self, langs: int, penalty: float = SWITCH_PENALTY) -> None:
+        self.penalty, self.value = penalty, np.zeros(langs, np.float64)
+        self.started = False
+        self.switched: list[np.ndarray] = []
+        self.source: list[np.ndarray] = []
+
+    def add(self, scores: np.ndarray) -> None:
+        n, k = scores.shape
+        switched, source = np.zeros((n, k), bool), np.zeros(n, np.int32)
+        value = self.value
+        for t, own in enumerate(scores.astype(np.float64)):
+            if self.started:
+                best = value.argmax()
+                move = value[best] - self.penalty
+                hop = move > value
+                switched[t], source[t] = hop, best
+                value = np.where(hop, move, value)
+            value = value + own
+            self.started = True
+        self.value = value
+        self.switched.append(np.packbits(switched, axis=1))
+        self.source.append(source.astype(np.uint8 if k < 256 else np.int32))
+
+    def labels(self) -> list[np.ndarray]:
+        """One array for each stretch."""
+        k = len(self.value)
+        state, out = int(self.value.argmax()), []
+        for packed, source in zip(reversed(self.switched), reversed(self.source), strict=True):
+            switched = np.unpackbits(packed, axis=1, count=k).astype(bool)
+            own = np.empty(len(source), np.int64)
+            for t in range(len(source) - 1, -1, -1):
+                own[t] = state
+                if switched[t, state]:
+                    state = int(source[t])
+            out.append(own)
+        return out[::-1]
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
@@ -170,8 +212,16 @@ def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
     return out
 
 
+def _rows(docs: DataFrame, columns: dict[str, list]) -> DataFrame:
+    return docs.sparkSession.createDataFrame(pa.table(columns))
+
+
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """At most ``rows`` documents of a known language outside the held-out fifth: of each language as many, the first in hash order."""
+    """At most ``rows`` documents of a known language outside the held-out fifth: of each language as many, the first in hash order.
+
+    Of a document's several languages, and of its texts in that language, the one that sorts first
+    counts, so the sample does not depend on partitions.
+    """
     usable = texts(docs, "lang").where(F.col("lang").isNotNull() & ~held_out() & (F.length("text") <= chars) & (F.col("text") != ""))
     # as many languages as ``rows`` at most; a hash bound for each lets about twice its share and a few more through
     sizes = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
@@ -179,58 +229,91 @@ def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS)
         return []
     share = quotas({r["lang"]: r["n"] for r in sizes}, rows)
     bounds = [(r["lang"], min((1 << 63) - 1, int((2 * share[r["lang"]] + 50) / max(1, r["n"]) * (1 << 64)) - (1 << 63))) for r in sizes]
-    bounded = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, most long")), "lang")
+    bounded = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(_rows(docs, {"lang": [x for x, _ in bounds], "most": [x for _, x in bounds]})), "lang")
     passing: dict[str, list[int]] = {}
+    met: set[int] = set()
     for r in sorted(bounded.where("h <= most").select("h", "doc_id", "lang").distinct().collect()):
-        passing.setdefault(r["lang"], []).append(r["doc_id"])
+        if r["doc_id"] not in met:
+            met.add(r["doc_id"])
+            passing.setdefault(r["lang"], []).append(r["doc_id"])
     share = quotas({lang: len(ids) for lang, ids in passing.items()}, rows)
     chosen = {i: lang for lang in sorted(passing) for i in passing[lang][: share[lang]]}
     if not chosen:
         return []
     # as many ids as ``rows`` at most
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    found = texts(docs).join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
+    ids = _rows(docs, {"doc_id": list(chosen), "lang": list(chosen.values())})
+    found = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     return [(r["text"], chosen[r["doc_id"]]) for r in sorted(found, key=lambda r: r["doc_id"])]
 
 
-def _groups(all_codes: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+def _groups(texts_: list[str]) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
-    for i, codes in enumerate(all_codes):
-        if size and size + len(codes) > SLAB:
+    for i, text in enumerate(texts_):
+        if size and size + len(text) > SLAB:
             yield at, i
             at, size = i, 0
-        size += len(codes) + 1
-    if at < len(all_codes):
-        yield at, len(all_codes)
-
-
-def label_texts(model: Model, texts_: list[str]) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
+        size += len(text) + 1
+    if at < len(texts_):
+        yield at, len(texts_)
+
+
+Labelled = tuple[str, float, list[tuple[int, int, str]]]
+
+
+def _labelled(model: Model, own: np.ndarray, first: np.ndarray, size: np.ndarray) -> Labelled:
+    """What a text's word labels, starts and lengths say."""
+    if not len(own) or not model.langs:
+        return "und", 0.0, []
+    letters = np.bincount(own, size, len(model.langs))
+    best = int(letters.argmax())
+    change = np.flatnonzero(np.diff(own)) + 1
+    heads, tails = np.concatenate([[0], change]), np.concatenate([change, [len(own)]]) - 1
+    spans = [(int(first[h]), int(first[t] + size[t]), model.langs[own[h]]) for h, t in zip(heads, tails, strict=True)]
+    return model.langs[best], float(letters[best] / letters.sum()), spans
+
+
+def _stretches(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Stretches of about SLAB code points, cut where no word is, with their places. A longer word is in one."""
+    at = 0
+    while at < len(codes):
+        end = min(at + SLAB, len(codes))
+        while end < len(codes):
+            gaps = np.flatnonzero(script_of()[codes[end : end + 4096]] == 0)
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end = min(end + 4096, len(codes))
+        yield at, codes[at:end]
+        at = end
+
+
+def label_long(model: Model, text: str) -> Labelled:
+    """One text in stretches: the same as in one piece, with memory for a few numbers a word besides the text."""
+    path, firsts, sizes = Path(len(model.langs)), [], []
+    for at, codes in _stretches(codes_of(text)):
+        words = words_of(codes)
+        path.add(model.scores(words))
+        firsts.append(words.first + at)
+        sizes.append(words.size)
+    return _labelled(model, np.concatenate([np.empty(0, np.int64), *path.labels()]), np.concatenate([np.empty(0, np.int64), *firsts]), np.concatenate([np.empty(0, np.int64), *sizes]))
+
+
+def label_texts(model: Model, texts_: list[str]) -> Iterator[Labelled]:
     """Language, its share of the letters, and spans ``(first word's start, last word's end, language)`` of each text."""
-    all_codes = [codes_of(t) for t in texts_]
     gap = np.zeros(1, np.uint32)
-    for a, b in _groups(all_codes):
-        part = all_codes[a:b]
+    for a, b in _groups(texts_):
+        if len(texts_[a]) > SLAB:
+            yield label_long(model, texts_[a]) if model.langs else ("und", 0.0, [])
+            continue
+        part = [codes_of(t) for t in texts_[a:b]]
         words = words_of(np.concatenate([x for codes in part for x in (codes, gap)]))
         ends = np.cumsum([len(c) + 1 for c in part])
         count = np.searchsorted(words.first, ends)
         lengths = np.diff(count, prepend=0)
         labels = viterbi(model.scores(words), lengths) if model.langs else np.zeros(len(words.first), np.int64)
-        low = 0
-        for i, high in enumerate(count):
-            if high == low or not model.langs:
-                yield "und", 0.0, []
-                low = high
-                continue
-            own, size = labels[low:high], words.size[low:high]
-            letters = np.bincount(own, size, len(model.langs))
-            best = int(letters.argmax())
-            change = np.flatnonzero(np.diff(own)) + 1
-            heads, tails = np.concatenate([[0], change]), np.concatenate([change, [len(own)]]) - 1
+        for i, (low, high) in enumerate(zip([0, *count[:-1]], count, strict=True)):
             base = ends[i] - len(part[i]) - 1
-            first = words.first[low:high] - base
-            spans = [(int(first[h]), int(first[t] + size[t]), model.langs[own[h]]) for h, t in zip(heads, tails, strict=True)]
-            yield model.langs[best], float(letters[best] / letters.sum()), spans
-            low = high
+            yield _labelled(model, labels[low:high], words.first[low:high] - base, words.size[low:high])
 
 
 def identify(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
@@ -238,15 +321,16 @@ def identify(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS
 
     lang_pred is the language of most letters, score its share of them. Texts that are null or
     without a letter are ``und`` with score 0; so is every text where no language was learned. Spans
-    count code points of the lower-cased text. Repeated rows each get a row; extra columns are ignored.
+    count code points of the lower-cased text. A very long text goes through in stretches with the same
+    result. Ties go to staying in a language, then to the first by name. Repeated rows each get a row;
+    extra columns are ignored; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(sample(docs, rows, chars)))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in sliced([batch]):
                 langs, scores, spans = [], [], []
                 for lang, score, own in label_texts(model.value, part.column("text").to_pylist()):
                     langs.append(lang)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, texts, tidy, word_hashes
+from .shared import binary_column, sliced, texts, tidy, word_hashes
 
 BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 8, (2, 3, 4)
 #: The bound of the training sample: rows, and code points of a row that may be in it.
@@ -57,11 +57,26 @@ class Model:
         return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z)))))
 
 
+@dataclass
+class Learned:
+    """What descent learned: a vector for each bucket, and weights and bias of each class."""
+
+    vectors: np.ndarray
+    out: np.ndarray
+    bias_of: np.ndarray
+
+
 def fit(texts_: list[bytes], classes: list[int]) -> Model:
-    """Stochastic gradient descent over documents; one class or none gives the smoothed base rate."""
+    """The model of a sample; one class or none gives the smoothed base rate."""
     y = np.array(classes, np.int64)
     if not y.any() or y.all():
         return Model(np.zeros(BUCKETS), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
+    return trained(texts_, classes)[0]
+
+
+def trained(texts_: list[bytes], classes: list[int]) -> tuple[Model, Learned]:
+    """Stochastic gradient descent over documents of both classes."""
+    y = np.array(classes, np.int64)
     sparse = []
     for text in texts_:
         ids, counts = np.unique(np.concatenate(list(feature_ids(text))), return_counts=True)
@@ -87,7 +102,7 @@ def fit(texts_: list[bytes], classes: list[int]) -> Model:
             bias -= rate * p
             # a mean's gradient is spread thin over its features; their number makes up for it
             vectors[ids] -= (rate * np.float32(50)) * share[:, None] * back
-    return Model((vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0]))
+    return Model((vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0])), Learned(vectors, out, bias)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -95,16 +110,21 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[bytes, int]]:
-    """At most ``rows`` labelled documents outside the held-out quarter, the first in hash order."""
-    marked = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long"), "quality").where(~held_out()).dropDuplicates(["doc_id"])
+    """At most ``rows`` labelled documents outside the held-out quarter, the first in hash order.
+
+    Of repeated labels of a document the least counts, of repeated rows the text that sorts first, so
+    the sample does not depend on partitions.
+    """
+    marked = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long"), "quality").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= chars).select(F.col("doc_id").cast("long"))
     chosen = marked.join(short, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     if not chosen:
         return []
     quality = {r["doc_id"]: r["quality"] for r in chosen}
     # as many ids as ``rows`` at most
-    ids = docs.sparkSession.createDataFrame([(i,) for i in quality], "doc_id long")
-    found = texts(docs).join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
+    ids = docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(quality, pa.int64())}))
+    short = texts(docs).where(F.length("text") <= chars)
+    found = short.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     return [(r["text"].encode(), quality[r["doc_id"]]) for r in sorted(found, key=lambda r: r["doc_id"])]
 
 
@@ -123,7 +143,7 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars:
     model = _shared_model(docs, labels, rows, chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = pa.array([model.value.score(t) for t in binary_column(batch, "text")], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
@@ -132,11 +152,16 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` predicts as 1, with all their columns, without a shuffle of texts."""
+    """The rows of ``docs`` that ``classify`` predicts as 1, with all their columns, without a shuffle of texts.
+
+    Null and empty texts have the score of the bias alone; very long texts are scored whole, a stretch at
+    a time; repeated rows and rows without a doc_id are judged like any; extra columns stay whatever
+    their names; an empty table stays empty; without labels every score is 0.5 and nothing is kept.
+    """
     model = _shared_model(docs, labels, rows, chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             mask = [model.value.score(t or b"") >= ACCEPTED for t in binary_column(batch, "text")]
             yield batch.filter(pa.array(mask, pa.bool_()))
 

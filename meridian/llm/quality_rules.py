@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, texts, texts_in, tidy, word_segments
+from .shared import binary_column, sliced, texts, texts_in, tidy, word_segments
 
 GRAM, BUCKETS = 4, 1 << 16
-#: n-grams drawn from all documents that the trusted ones are taken to hold besides their own. They
-#: keep what few trusted texts merely miss from counting against a document.
-PRIOR = 1 << 20
-THRESHOLD = -0.15
+#: Times that every bucket is taken to be seen besides, in the trusted texts and as often expected there: what few
+#: trusted texts merely miss does not count against a document, and a bucket weighs as much as there is
+#: evidence of it, whatever the size of the rest.
+PRIOR = 10.0
+THRESHOLD = -0.3
 _SLAB = 1 << 20
 _SPACES = b" \t\n\r\x0b\x0c"
 _CONTINUED = bytes(range(0x80, 0xC0))
@@ -106,12 +107,11 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """log p(bucket | trusted) - log p(bucket | all); nothing where no document is trusted."""
+    """log p(bucket | trusted) - log p(bucket | all), both smoothed; nothing where no document is trusted."""
     if not target.sum():
         return np.zeros(BUCKETS)
-    q = (raw + 1) / (raw.sum() + BUCKETS)
-    p = (target + PRIOR * q) / (target.sum() + PRIOR)
-    return np.log(p) - np.log(q)
+    expected = raw / raw.sum() * target.sum()
+    return np.log((target + PRIOR) / (expected + PRIOR))
 
 
 def _shared_ratios(docs: DataFrame, labels: DataFrame):
@@ -132,13 +132,15 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     base_failed: under 10 words, or over a fifth of the words in repeated five-word windows. kept:
     not base_failed and a mean log ratio of at least ``threshold``. Null and empty texts have no
     words, a ratio of 0, and fail. Without trusted documents every ratio is 0. Repeated rows each get
-    a row and count as often as they occur. Extra columns are ignored.
+    a row and count as often as they occur; a document with both labels is trusted. A ratio equal to the
+    threshold is kept. Very long texts go through in stretches. Extra columns are ignored; an empty
+    table gives no rows.
     """
     shared = _shared_ratios(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [judged(text, table, threshold) for text in binary_column(batch, "text")]
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 8, kinds, strict=True)]
@@ -149,11 +151,15 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that ``apply_rules`` keeps, with all their columns, without a shuffle of texts."""
+    """The rows of ``docs`` that ``apply_rules`` keeps, with all their columns, without a shuffle of texts.
+
+    Null, empty and very long texts, repeated rows and missing labels count as there; rows without a
+    doc_id are judged but never trusted; extra columns stay whatever their names; an empty table stays empty.
+    """
     shared = _shared_ratios(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             mask = [judged(text or b"", shared.value, threshold)[-1] for text in binary_column(batch, "text")]
             yield batch.filter(pa.array(mask, pa.bool_()))
 

@@ -1,11 +1,14 @@
 """Quality classifier, quality rules and language identification."""
 
+import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -46,6 +49,40 @@ def test_gap_equals_the_softmax():
     assert model.score(b"") == pytest.approx(1 / (1 + np.exp(-model.bias)))
 
 
+def brute_score(model, text):
+    """The softmax of the two classes over the mean of all vectors, feature by feature."""
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    buckets = [xxhash.xxh3_64_intdigest(w) % qc.BUCKETS for w in words]
+    for n in qc.GRAMS:
+        for i in range(len(text)):
+            gram = text[i : i + n]
+            if len(gram) == n:
+                h = 0
+                for c in gram:
+                    h = h * 0x01000193 % 2**32 ^ ord(c) * 0x9E3779B1 % 2**32
+                buckets.append((h + n) * 0x85EBCA6B % 2**32 >> 14)
+    mean = model.vectors[buckets].astype(np.float64).mean(0) if buckets else np.zeros(qc.DIMENSIONS)
+    z = model.out.astype(np.float64) @ mean + model.bias_of.astype(np.float64)
+    p = np.exp(z - z.max())
+    return p[1] / p.sum()
+
+
+def test_scores_equal_brute_force():
+    good, bad = ["good clean words here", "more göod words, and good ones"], ["b@d $$$ junk!!", "$$$ !!! junk $$$"]
+    model, learned = qc.trained([t.encode() for t in (good + bad) * 20], [1, 1, 0, 0] * 20)
+    for text in [*good, *bad, "", "x", "other wörds 日本"]:
+        assert model.score(text.encode()) == pytest.approx(brute_score(learned, text), rel=1e-4)
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    docs = [(i % 40, f"text {i} of {i % 40}", ["en", "de", None][i % 3]) for i in range(200)]
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(90)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = [(qc.sample(df.repartition(n), labels.repartition(n), 25), li.sample(df.repartition(n), 25)) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0][0]) == 25 and len({t for t, _ in got[0][1]}) == len(got[0][1])
+    assert all((t, lang) in {(x, y) for _, x, y in docs} for t, lang in got[0][1])  # a text with its own language
+
+
 def test_features_do_not_depend_on_stretches(monkeypatch):
     text = ("añb cde " * 50).encode()
     whole = np.sort(np.concatenate(list(qc.feature_ids(text))))
@@ -109,9 +146,46 @@ def test_ratio_equals_brute_force(spark, docs, marks):
     assert (qr.gram_counts(few) == raw).all() and (qr.gram_counts(qr.trusted_texts(few, own)) == target).all()
 
 
+def test_verdicts_equal_brute_force(spark, docs, marks):
+    """Ratios and verdicts from plain dictionaries of byte n-grams in their buckets."""
+    rows = [(r.doc_id, r.text or "") for r in docs.limit(120).collect()] + [(9_000_001, ""), (9_000_002, "ab c")]
+    good = {r.doc_id for r in marks.where("quality = 1").collect()}
+
+    def grams(text):
+        b = text.encode()
+        return [int.from_bytes(b[i : i + 4], "little") * 0x9E3779B1 % 2**32 >> 16 for i in range(len(b) - 3)]
+
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        raw.update(grams(text))
+        if i in good:
+            target.update(grams(text))
+    n, m = sum(raw.values()), sum(target.values())
+
+    def ratio(g):
+        return math.log((target[g] + qr.PRIOR) / (raw[g] / n * m + qr.PRIOR))
+
+    got = {r.doc_id: r for r in qr.apply_rules(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()}
+    for i, text in rows:
+        own = grams(text)
+        llr = sum(map(ratio, own)) / len(own) if own else 0.0
+        words, _, _, _, repeats = brute_counts(text)
+        failed = words < 10 or 100 * repeats > 20 * words
+        assert got[i].llr == pytest.approx(llr, abs=1e-9) and got[i].base_failed == failed
+        assert got[i].kept == (not failed and llr >= qr.THRESHOLD)
+    assert {r.kept for r in got.values()} == {True, False}
+
+
+@pytest.mark.parametrize("rows", [200, 1000])
+def test_verdicts_are_alike_at_every_size(docs, marks, rows):
+    few = docs.orderBy("doc_id").limit(rows)
+    judged = qr.apply_rules(few, marks).join(marks, "doc_id").where("not base_failed").collect()
+    assert np.mean([r.kept for r in judged if r.quality == 1]) > 0.98 and np.mean([r.kept for r in judged if r.quality == 0]) < 0.2
+
+
 def test_rules_keep_good_and_drop_bad(docs, marks):
     rows = qr.apply_rules(docs, marks).join(marks, "doc_id").where("not base_failed").collect()
-    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.97 and np.mean([r.kept for r in rows if r.quality == 0]) < 0.6
+    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.98 and np.mean([r.kept for r in rows if r.quality == 0]) < 0.1
 
 
 def test_rules_hard_rows(hard, empty, labels, no_labels):
@@ -161,6 +235,76 @@ def test_viterbi_equals_one_text_at_a_time():
         at += n
 
 
+def brute_language(pairs, texts):
+    """The whole way from sample to prediction, word by word with plain dictionaries."""
+    langs = sorted({lang for _, lang in pairs})
+
+    def script(c):
+        return next((i for i, r in enumerate(li.SCRIPTS.values()) if any(a <= ord(c) <= b for a, b in r)), -1)
+
+    def features(text):
+        out, low = [], text.lower()
+        for m in re.finditer(r"[^\W\d_]+", low):
+            word = [ord(c) for c in m.group()]
+            padded = [0, *word, 0]
+            twos, threes = [], []
+            for i in range(len(word)):
+                two = padded[i] * 0x9E3779B1 % 2**32 ^ padded[i + 1] * 0x85EBCA6B % 2**32
+                three = two * 0xC2B2AE35 % 2**32 ^ padded[i + 2] * 0x27D4EB2F % 2**32
+                twos.append(two * 0x2C1B3C6D % 2**32 >> 16)
+                threes.append(three * 0x2C1B3C6D % 2**32 >> 16)
+            out.append((twos, threes, script(m.group()[0]), len(word)))
+        return out
+
+    counts = {lang: (Counter(), Counter()) for lang in langs}
+    used = {lang: Counter() for lang in langs}
+    for text, lang in pairs:
+        for twos, threes, s, n in features(text):
+            counts[lang][0].update(twos)
+            counts[lang][1].update(threes)
+            used[lang][s] += n
+    log = lambda c, g: math.log((c[g] + li.SMOOTHING) / (sum(c.values()) + li.SMOOTHING * li.BUCKETS))
+    out = []
+    for text in texts:
+        found = features(text)
+        if not found:
+            out.append("und")
+            continue
+        scores = []
+        for twos, threes, s, _ in found:
+            allowed = [used[x][s] / max(1, sum(used[x].values())) >= li.SCRIPT_SHARE for x in langs]
+            allowed = allowed if any(allowed) else [True] * len(langs)
+            scores.append([sum(log(counts[x][0], g) for g in twos) + sum(log(counts[x][1], g) for g in threes) + (0 if ok else li.EXCLUDED) for x, ok in zip(langs, allowed, strict=True)])
+        letters = Counter()
+        for k, (_, _, _, n) in zip(brute_viterbi(np.array(scores), li.SWITCH_PENALTY), found, strict=True):
+            letters[langs[k]] += n
+        out.append(max(langs, key=lambda x: letters[x]))
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    en, de, ru = "the cat and the dog with that house", "der hund und die katze mit dem haus nicht", "это просто слова и ещё слова"
+    rows = [(i, f"{t} {chr(97 + i % 26)}", lang) for i, (t, lang) in enumerate([(en, "en"), (de, "de"), (ru, "ru")] * 12)]
+    rows += [(100, "the dog, der hund und das haus mit der katze nicht", None), (101, "слова the cat", None), (102, "12 — 34", None), (103, None, None), (104, "그리고", None), (105, "ß", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pairs = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 5]
+    got = {r.doc_id: r.lang_pred for r in li.identify(docs).collect()}
+    want = brute_language(pairs, [t or "" for _, t, _ in rows])
+    assert [got[i] for i, _, _ in rows] == want and set(want) == {"en", "de", "ru", "und"}
+
+
+def test_long_texts_in_stretches_equal_whole_ones(monkeypatch):
+    model = li.fit([("the cat and the dog with that house " * 9, "en"), ("der hund und die katze mit dem haus nicht " * 9, "de")])
+    rng = np.random.default_rng(1)
+    words = ["the", "dog", "house", "hund", "katze", "nicht", "und", "x", "42", "—", "unbekanntelangeswort" * 3]
+    text = " ".join(rng.choice(words, 400))
+    whole = next(li.label_texts(model, [text]))
+    for slab in (1, 7, 50, 1000):
+        monkeypatch.setattr(li, "SLAB", slab)
+        assert next(li.label_texts(model, [text])) == whole
+        assert list(li.label_texts(model, ["the dog", text, "", "und"]))[1:3] == [whole, ("und", 0.0, [])]
+
+
 def test_mixed_text_gives_spans():
     model = li.fit([("the cat and the dog with that house " * 9, "en"), ("der hund und die katze mit dem haus nicht " * 9, "de"), ("это просто слова и ещё слова " * 9, "ru")])
     text = "the dog and that house with the cat. der hund und das haus mit der katze nicht слова и слова"
