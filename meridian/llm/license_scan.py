@@ -176,8 +176,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
-    """The query's rows as DuckDB SQL, without the join's filters."""
-    rows = ", ".join(f"('{name}', {words!r}, {needed(len(words), threshold)})" for name, words in template_words(TEMPLATES).items())
+    """The query's rows as DuckDB SQL: lines and runs over line ends, without the join's filters."""
+    widths = template_widths(TEMPLATES, threshold)
+    rows = ", ".join(f"('{name}', {words!r}, {needed(len(words), threshold)}, {widths[name]})" for name, words in template_words(TEMPLATES).items())
     spaced = rf"CASE WHEN trim(w) = '' THEN '' ELSE ' ' || trim(w) || ' ' END"
     phrases = [(f" {p.replace(' ', '  ')} ", label, len(p.split())) for p, label in PHRASES.items()]
     places = " + ".join(f"(length(s) - length(replace(s, '{p}', ''))) // {len(p)}" for p, _, _ in phrases)
@@ -186,7 +187,7 @@ def oracle_sql(threshold: float = THRESHOLD) -> str:
     last = ", ".join(f"CASE WHEN contains(s, '{p}') THEN {count('s')} - {count(f"string_split(s, '{p}')[-1]")} - {n} END" for p, _, n in phrases)
     base = ", ".join(f"CASE WHEN contains(s, '{p}') THEN '{label}' END" for p, label, _ in phrases)
     return rf"""
-WITH t AS (SELECT * FROM (VALUES {rows}) v(label, words, needed)),
+WITH t AS (SELECT * FROM (VALUES {rows}) v(label, words, needed, width)),
 d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_replace(lower(text), '{SEPARATORS}', '  ', 'g') AS w FROM d),
 s AS (SELECT doc_id, {spaced} AS s FROM w),
@@ -194,7 +195,10 @@ b AS (SELECT doc_id, {count('s')} AS n_words, {places} AS n_base, least({first})
   list_sort(list_filter([{base}], lambda x: x IS NOT NULL)) AS base FROM s),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 k AS (SELECT DISTINCT doc_id, list_distinct(string_split(trim(regexp_replace(lower(line), '{SEPARATORS}', ' ', 'g')), ' ')) AS own FROM l),
-m AS (SELECT doc_id, label, len(list_intersect(own, words)) / len(words)::DOUBLE AS score FROM k, t WHERE len(list_intersect(own, words)) >= needed),
+o AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '{SEPARATORS}', ' ', 'g')), ' ') AS run FROM d WHERE contains(text, chr(10))),
+u AS (SELECT doc_id, label, words, needed, width, run, unnest(range(1, greatest(1, len(run) - width + 1) + 1)) AS i FROM o, t WHERE len(list_intersect(list_distinct(run), words)) >= needed),
+m AS (SELECT doc_id, label, len(list_intersect(own, words)) / len(words)::DOUBLE AS score FROM k, t WHERE len(list_intersect(own, words)) >= needed
+  UNION ALL SELECT doc_id, label, len(list_intersect(list_distinct(run[i:i + width - 1]), words)) / len(words)::DOUBLE FROM u WHERE len(list_intersect(list_distinct(run[i:i + width - 1]), words)) >= needed),
 f AS (SELECT doc_id, list(DISTINCT label) AS more, max(score) AS best FROM m GROUP BY doc_id)
 SELECT b.doc_id, n_words::BIGINT AS n_words, n_base::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(base, ',') AS base_labels,

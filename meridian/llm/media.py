@@ -231,3 +231,25 @@ def media_features(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives no rows.
     """
     return read_back(store(docs))
+
+
+def oracle_sql() -> str:
+    """The query's rows as DuckDB SQL, the file's header and the checksum worked out there."""
+    little = lambda x: " || ".join(f"printf('%02X', ((({x}) >> {8 * i}) & 255)::BIGINT)" for i in range(4))
+    head = f"'52494646' || {little('36 + m')} || '57415645666D7420' || '10000000' || '01000100' || {little(RATE)} || {little(RATE)} || '01000800' || '64617461' || {little('m')}"
+    bins = ", ".join(f"count(*) FILTER (WHERE b // 16 = {k})" for k in range(16))
+    return rf"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t, row_number() OVER () AS r FROM documents),
+z AS (SELECT r, doc_id, t, octet_length(t)::BIGINT AS n, greatest({BLOCK}, (octet_length(t) + {BLOCK - 1}) // {BLOCK} * {BLOCK})::BIGINT AS m FROM d),
+p AS (SELECT r, doc_id, n, m, hex(t) || repeat('FF', m - n) AS p FROM z),
+w AS (SELECT *, {head} || p AS w FROM p),
+b AS (SELECT r, unnest(list_transform(regexp_extract_all(p, '..'), lambda x: ('0x' || x)::BIGINT)) AS b, unnest(range(1, m + 1)) AS i, m FROM p),
+q AS (SELECT r, m, i, b, (b >= 128) <> (lag(b) OVER (PARTITION BY r ORDER BY i) >= 128) AS crossed FROM b),
+f AS (SELECT r, sum(b)::DOUBLE AS s, any_value(m)::DOUBLE AS m, sqrt((sum(b * b) * any_value(m) - sum(b) * sum(b))::DOUBLE) / any_value(m) AS dev, count(*) FILTER (WHERE crossed) AS crossings,
+  [{bins}] AS bins, list(b::UBIGINT ORDER BY i) FILTER (WHERE i > m - 32) AS tail FROM q GROUP BY r),
+k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS k),
+c AS (SELECT r, xor(list_reduce(list_prepend(4294967295::UBIGINT, tail), lambda c, x: xor(c >> 8, k[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS crc FROM f, k)
+SELECT w.doc_id, w.n AS n_bytes, w.m AS payload_bytes, sha256(unhex(p)) AS payload_sha256, crc AS tail_crc32, (44 + w.m)::BIGINT AS media_bytes, sha256(unhex(w)) AS media_sha256,
+  printf('%.4f', s / f.m) || ';' || printf('%.4f', dev) || ';' || crossings || ';' || array_to_string(bins, ',') AS feature
+FROM w JOIN f USING (r) JOIN c USING (r)
+"""

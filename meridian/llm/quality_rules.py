@@ -164,3 +164,28 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)
+
+
+def oracle_sql(threshold: float = THRESHOLD) -> str:
+    """The query's rows as DuckDB SQL, the ratio to six digits."""
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+e AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+v AS (SELECT r, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS v FROM e WINDOW o AS (PARTITION BY r ORDER BY i)),
+s AS (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS n FROM v WHERE v IS NOT NULL),
+p AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS k FROM s WHERE n > 1) GROUP BY r),
+b AS (SELECT r, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b, unnest(range(1, octet_length(encode(text)) + 1)) AS i FROM d),
+q AS (SELECT r, lead(b, 3) OVER o AS b3, lead(b, 2) OVER o || lead(b, 1) OVER o || b AS rest FROM b WINDOW o AS (PARTITION BY r ORDER BY i)),
+g AS (SELECT r, ((('0x' || b3 || rest)::UBIGINT * 2654435761::UBIGINT) % 4294967296::UBIGINT) >> 16 AS g FROM q WHERE b3 IS NOT NULL),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+c AS (SELECT g, count(*)::DOUBLE AS n, count(good.doc_id)::DOUBLE AS t FROM g JOIN d USING (r) LEFT JOIN good ON good.doc_id = d.doc_id GROUP BY g),
+x AS (SELECT g, CASE WHEN sum(t) OVER () = 0 THEN 0 ELSE ln((t + {PRIOR}) / (n / sum(n) OVER () * sum(t) OVER () + {PRIOR})) END AS x FROM c),
+y AS (SELECT r, avg(x) AS llr FROM g JOIN x USING (g) GROUP BY r),
+a AS (SELECT doc_id, len(w.w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l.l) - len(list_distinct(l.l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, coalesce(y.llr, 0) AS llr
+  FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN p USING (r) LEFT JOIN y USING (r))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, round(llr, 6) + 0 AS llr, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND llr >= {threshold} AS kept FROM a
+"""

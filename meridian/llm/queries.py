@@ -36,7 +36,7 @@ def op4_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+    return quality_rules.apply_rules(documents(spark, sf_dir), labels(spark, sf_dir)).withColumn("llr", F.round("llr", 6))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(documents(spark, sf_dir))
+    return media.media_features(documents(spark, sf_dir)).drop("n_chunks")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": near_dedup.oracle_sql(4, 80), "op10_license_scan": license_scan.oracle_sql()}
+    return {
+        "op5_quality_rules": quality_rules.oracle_sql(), "op6_minhash_near_dedup": near_dedup.oracle_sql(4, 80),
+        "op9_media_chunking": media.oracle_sql(), "op10_license_scan": license_scan.oracle_sql(),
+    }
