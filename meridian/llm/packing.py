@@ -15,7 +15,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WordTable, binary_column, segments, sliced, table, texts, tidy
+from .shared import WordTable, binary_column, segments, sliced, table, texts, tidy, words_in
 
 CAPACITY = 4096
 #: Pieces dealt to a partition, or to a pool of an exchange.
@@ -50,10 +49,12 @@ class _State:
 
     def ids(self, texts_: list[bytes]) -> list[bytes]:
         """Ids of texts; A-Z are lowered before, except in texts where a marker could come of it."""
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts_]
-        out, sizes, _ = self.cache.look_up(list(chain.from_iterable(words)), lambda new: [(ids, 0.0) for ids in self.encode_words(new)])
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(w) for w in words])].tolist()
-        return [out[a:b].tobytes() for a, b in zip([0, *ends], ends)]  # noqa: B905
+        data = b" ".join([t if b"<|" in t else t.lower() for t in texts_])
+        starts, ends = words_in(data)
+        out, sizes, _ = self.cache.look_up(data, starts, ends, lambda new: [(ids, 0.0) for ids in self.encode_words(new)])
+        bounds = np.cumsum([len(t) + 1 for t in texts_])
+        cut = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, bounds)].tolist()
+        return [out[a:b].tobytes() for a, b in zip([0, *cut], cut)]  # noqa: B905
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         out: list = [self.plain(w) if len(w) < 100 else None for w in words]

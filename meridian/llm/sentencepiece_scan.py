@@ -17,7 +17,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -170,31 +169,63 @@ class Model:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts_: list[str]) -> list[tuple[bytes, float]]:
-        """All texts at once: their words are looked up together, a bounded stretch of texts at a time."""
-        out: list[tuple[bytes, float]] = []
-        held, size = [], 0
+        """All texts at once: their words are looked up together.
+
+        A byte for the mark before the text and the line end after it makes every byte part of one
+        word. Texts with runs of spaces or space marks of their own go word by word.
+        """
+        out: list = [None] * len(texts_)
+        plain, held, size = [], [], 0
         for i, text in enumerate(texts_):
-            held.append(words_of(prepared(text)))
-            size += len(text)
-            if size > _GROUP or i == len(texts_) - 1:
-                out += self._together(held)
-                held, size = [], 0
+            if not text:
+                out[i] = (b"", 0.0)
+            elif text[0] == " " or "  " in text or SPACE in text:
+                out[i] = self._by_words(prepared(text))
+            else:
+                plain.append(i)
+                held.append(b" " + text.encode())
+                size += len(held[-1])
+            if plain and (size > _GROUP or i == len(texts_) - 1):
+                for k, got in zip(plain, self._together(held), strict=True):
+                    out[k] = got
+                plain, held, size = [], [], 0
+        if plain:
+            for k, got in zip(plain, self._together(held), strict=True):
+                out[k] = got
         return out
 
     def stretch(self, s: str) -> tuple[bytes, float]:
         """Ids and score of a prepared stretch that starts and ends at cuts."""
-        return self._together([words_of(s)])[0]
-
-    def _together(self, texts_: list[list[str]]) -> list[tuple[bytes, float]]:
-        def make(words: list[str]) -> list[tuple[np.ndarray, float]]:
-            return [(np.frombuffer(ids, "<u4"), (w >> _SHIFT) / _SCALE) for ids, w in map(self._word, words)]
-
-        ids, sizes, scores = self.cache.look_up(list(chain.from_iterable(texts_)), make)
-        last = np.cumsum([len(t) for t in texts_])
-        ends = np.concatenate([[0], np.cumsum(sizes)])[last].tolist()
-        # scores are whole numbers over a power of two, so their sums are exact
-        sums = np.concatenate([[0.0], np.cumsum(scores)])[last].tolist()
-        return [(ids[a:b].tobytes(), y - x) for a, b, x, y in zip([0, *ends], ends, [0.0, *sums], sums)]  # noqa: B905
+        if SPACE * 2 in s:
+            return self._by_words(s)
+        return self._together([s.replace(SPACE, " ").encode()])[0]
+
+    def _by_words(self, s: str) -> tuple[bytes, float]:
+        found = list(map(self._word, words_of(s)))
+        return b"".join([f[0] for f in found]), sum([f[1] >> _SHIFT for f in found]) / _SCALE
+
+    def _together(self, texts_: list[bytes]) -> list[tuple[bytes, float]]:
+        data = b"\n".join(texts_) + b"\n"
+        codes = np.frombuffer(data, np.uint8)
+        line = codes == 10
+        head = line | (codes == 32)
+        head[1:] |= line[:-1]
+        head[:1] = True
+        starts = np.flatnonzero(head)
+        ends = np.append(starts[1:], len(codes))
+
+        def make(words: list[bytes]) -> list[tuple[np.ndarray, float]]:
+            found = map(self._word, [w.decode().replace(" ", SPACE) for w in words])
+            return [(np.frombuffer(ids, "<u4"), (w >> _SHIFT) / _SCALE) for ids, w in found]
+
+        ids, sizes, scores = self.cache.look_up(data, starts, ends, make)
+        bounds = np.cumsum([len(t) + 1 for t in texts_])
+        last = np.searchsorted(starts, bounds) - 1  # each text's added line end
+        after = np.cumsum(sizes)
+        first = np.concatenate([[0], last[:-1] + 1])
+        begin, end = after[first] - sizes[first], after[last] - sizes[last]
+        sums = [float(scores[a:b].sum()) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        return [(ids[a:b].tobytes(), x) for a, b, x in zip(begin.tolist(), end.tolist(), sums, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, ids))

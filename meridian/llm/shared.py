@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -137,67 +138,87 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: By number of bytes, what of eight bytes belongs to a word.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def words_in(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of UTF-8 bytes."""
+    edge = np.diff((~_SPACE[np.frombuffer(data, np.uint8)]).astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 class WordTable:
-    """What a worker worked out for the words it met: ids and a value for each.
+    """What a worker worked out for the words it met, ids and a value for each: a direct-mapped table of fixed size.
 
-    Words are keys themselves, so no two can be taken for each other. A table with more words or bytes
-    than it may hold starts over at the next call.
+    A word of up to 15 bytes is its own key, as two numbers with its length on top; a longer one is a key
+    of a dictionary of bounded size, and its number there is its key here. So no two words can be taken
+    for each other, and most are found without a look at them one by one.
     """
 
-    def __init__(self, held: int = 200_000, size: int = 4 << 20) -> None:
-        self.held, self.size = held, size
-        self._start()
-
-    def _start(self) -> None:
-        self.known: _Numbers = _Numbers()
-        self.flat = np.empty(0, np.uint32)
-        self.places = self.sizes = np.empty(0, np.int64)
-        self.values = np.empty(0)
-        self.used = self.words = 0
-
-    def _add(self, found: list[tuple[Sequence[int], float]]) -> None:
-        sizes = np.fromiter((len(ids) for ids, _ in found), np.int64, len(found))
-        more, n = int(sizes.sum()), len(found)
-        self.flat = _room(self.flat, self.used, more)
-        self.flat[self.used : self.used + more] = np.fromiter((i for ids, _ in found for i in ids), np.uint32, more)
-        self.places, self.sizes, self.values = (_room(x, self.words, n) for x in (self.places, self.sizes, self.values))
-        at = slice(self.words, self.words + n)
-        self.places[at], self.sizes[at] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.values[at] = np.fromiter((v for _, v in found), np.float64, n)
-        self.used, self.words = self.used + more, self.words + n
-
-    def look_up(self, words: list[bytes], make: Callable[[list[bytes]], list[tuple[Sequence[int], float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def __init__(self, slots: int = 1 << 20, held: int = 4_000_000, long_bytes: int = 8 << 20) -> None:
+        self.slots, self.held, self.long_bytes = slots, held, long_bytes
+        self.low, self.high = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.places, self.sizes = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.values = np.zeros(slots)
+        self.flat = np.zeros(held, np.uint32)
+        self.used = 0
+        self.long: dict[bytes, int] = {}
+        self.long_size = 0
+
+    def _keys(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        eight = np.ndarray((len(data) + 9,), "<u8", data + bytes(16), 0, (1,))
+        sizes = ends - starts
+        low = eight[starts] & _KEPT[np.minimum(sizes, 8)]
+        high = eight[np.minimum(starts + 8, len(data) + 8)] & _KEPT[np.clip(sizes - 8, 0, 7)] | sizes.astype(np.uint64) << np.uint64(56)
+        far = np.flatnonzero(sizes > 15)
+        if self.long_size > self.long_bytes:  # their numbers start anew, so nothing that has one may stay
+            self.long, self.long_size = {}, 0
+            self.high[self.high >> np.uint64(56) == 255] = 0
+        for i, a, b in zip(far.tolist(), starts[far].tolist(), ends[far].tolist(), strict=True):
+            word = data[a:b]
+            if word not in self.long:
+                self.long[word] = len(self.long)
+                self.long_size += len(word) + 100
+            low[i] = self.long[word]
+        high[far] = np.uint64(255) << np.uint64(56)
+        return low, high
+
+    def look_up(self, data: bytes, starts: np.ndarray, ends: np.ndarray, make: Callable[[list[bytes]], list[tuple[Sequence[int], float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words in a row, how many each has, and each one's value. ``make`` is asked for unknown words, once each."""
-        if len(self.known) > self.held or self.known.size > self.size:
-            self._start()
-        numbers = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if self.known.new:
-            self._add(make(self.known.new))
-            self.known.new = []
-        sizes, after = self.sizes[numbers], np.cumsum(self.sizes[numbers])
-        places = np.repeat(self.places[numbers] - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)
-        return self.flat[places], sizes, self.values[numbers]
-
-
-class _Numbers(dict):
-    """Numbers of words in the order in which they come up."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
-        self.size = 0
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self.size += len(word)
-        self[word] = number = len(self)
-        return number
-
-
-def _room(values: np.ndarray, used: int, more: int) -> np.ndarray:
-    if used + more <= len(values):
-        return values
-    return np.concatenate([values[:used], np.empty(max(more, used, 1024), values.dtype)])
+        low, high = self._keys(data, starts, ends)
+        slots = (mix(low + high * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(self.slots - 1)).astype(np.int64)
+        places, sizes, values = self.places[slots].astype(np.int64), self.sizes[slots].astype(np.int64), self.values[slots]
+        missed = np.flatnonzero((self.low[slots] != low) | (self.high[slots] != high))
+        if len(missed):
+            new: dict[bytes, int] = {}
+            which = np.array([new.setdefault(data[a:b], len(new)) for a, b in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True)], np.int64)
+            found = make(list(new))
+            lengths = np.fromiter((len(ids) for ids, _ in found), np.int64, len(found))
+            worth = np.fromiter((v for _, v in found), np.float64, len(found))
+            more = int(lengths.sum())
+            if self.used + more > self.held:  # start over, keeping what this call looks up
+                sizes[missed] = 0
+                keep = np.repeat(places - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                self.high[:], self.used = 0, len(keep)
+                self.flat = np.concatenate([self.flat[keep], np.zeros(max(self.held, more), np.uint32)])
+                places = np.cumsum(sizes) - sizes
+            begin = self.used + np.cumsum(lengths) - lengths
+            self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids for ids, _ in found), np.uint32, more)
+            self.used += more
+            places[missed], sizes[missed], values[missed] = begin[which], lengths[which], worth[which]
+            at = slots[missed]  # where several share a slot, the last one of a kind has all of it
+            order = np.full(self.slots, -1, np.int64) if len(missed) > self.slots // 8 else None
+            if order is not None:
+                order[at] = missed
+                missed = order[order >= 0]
+            else:
+                missed = np.array(list(dict(zip(at.tolist(), missed.tolist(), strict=True)).values()), np.int64)
+            at = slots[missed]
+            self.low[at], self.high[at], self.places[at], self.sizes[at], self.values[at] = low[missed], high[missed], places[missed], sizes[missed], values[missed]
+        after = np.cumsum(sizes)
+        return self.flat[np.repeat(places - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)], sizes, values
 
 
 def segments(data: bytes, size: int = SEGMENT) -> Iterator[bytes]:

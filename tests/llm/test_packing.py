@@ -35,7 +35,7 @@ def test_ids_of_random_texts(texts):
 
 
 def test_a_full_cache_and_long_texts(monkeypatch):
-    monkeypatch.setattr(pk, "WordTable", lambda: WordTable(20, 200))
+    monkeypatch.setattr(pk, "WordTable", lambda: WordTable(64, 200, 300))
     monkeypatch.setattr(pk, "_GROUP", 40)
     pk._loaded.clear()
     rng = random.Random(1)

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from meridian.llm import sentencepiece_scan as sp
 from meridian.llm import token_counts as tc
-from meridian.llm.shared import WordTable
+from meridian.llm.shared import WordTable, words_in
 
 from .conftest import thue_morse
 
@@ -149,12 +149,23 @@ def test_words_that_polynomials_confuse(model):
     assert got[0] != got[1] and [model.decode(np.frombuffer(x, "<u4").tolist()) for x in got] == [a, b, f"{a} {b}"]
 
 
-def test_a_table_that_starts_over(monkeypatch):
-    table = WordTable(3, 50)
-    make = lambda words: [([len(w), 7], float(len(w))) for w in words]
-    for words in (["a", "bb", "a"], ["ccc", "dddd", "a"], ["e" * 60, "bb"], [], ["bb", "ccc"]):
-        ids, sizes, values = table.look_up(words, make)
-        assert ids.tolist() == [x for w in words for x in (len(w), 7)] and sizes.tolist() == [2] * len(words) and values.tolist() == [float(len(w)) for w in words]
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.text(st.sampled_from("ab\0é"), min_size=1, max_size=20), st.sampled_from(["a", "a\0", "x" * 15, "x" * 16, "x" * 40])), max_size=30), max_size=6), st.sampled_from([(4, 20, 60), (64, 30, 400), (1 << 12, 10_000, 1 << 20)]))
+def test_a_small_table_says_what_a_large_one_does(calls, sizes):
+    table = WordTable(*sizes)
+    for words in calls:
+        asked = []
+
+        def make(new):
+            asked.extend(new)
+            return [(list(w), float(len(w))) for w in new]
+
+        data = " ".join(words).encode()
+        starts, ends = words_in(data)
+        ids, counts, values = table.look_up(data, starts, ends, make)
+        whole = [w.encode() for w in words]
+        assert ids.tolist() == [x for w in whole for x in w] and counts.tolist() == [len(w) for w in whole] == values.tolist()
+        assert len(asked) == len(set(asked)) and set(asked) <= set(whole)
 
 
 def test_the_last_cut_is_carried_along(spark, model):
