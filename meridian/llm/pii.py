@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns, filter_bits, marks, row_key, sized, sliced, table, texts, tidy
+from .shared import columns, discard, filter_bits, marks, row_key, sized, sliced, table, texts, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET, TERM = "secret", "term"
@@ -333,7 +333,9 @@ def disclosing_terms(docs: DataFrame, window: int = WINDOW, smoothing: float = S
     candidates = table(likely.select("term", "most"), "candidates")
     again = table(copies.where("n > 1").select(F.col("source").alias("term")), "repeated")
     known = candidates.join(_frequencies(docs, _known(candidates), _known(again)), "term")
-    return table(known.where("documents <= most").select("term"), "disclosing")
+    found = table(known.where("documents <= most").select("term"), "disclosing")
+    discard(near, copies, candidates, again)
+    return found
 
 
 _SPAN = "array<struct<kind:string,start:long,end:long>>"
