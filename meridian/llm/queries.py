@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_in_middle, language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_scan, source_divergence, token_counts
+from . import fill_in_middle, language_id, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_scan, source_divergence, substring_dedup, token_counts
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergences(documents(spark, sf_dir))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
@@ -77,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality_rules.oracle_sql(), "op6_minhash_near_dedup": near_dedup.oracle_sql(4, 80),
         "op9_media_chunking": media.oracle_sql(), "op10_license_scan": license_scan.oracle_sql(),
         "op11_fill_in_middle": fill_in_middle.oracle_sql(), "op12_source_divergence": source_divergence.oracle_sql(),
+        "op13_substring_dedup": substring_dedup.oracle_sql(),
     }
