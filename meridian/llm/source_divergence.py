@@ -86,9 +86,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 con.execute("INSERT INTO met SELECT lang, source, term, sum(n), 1 FROM long GROUP BY ALL; DELETE FROM long")
                 con.execute("INSERT INTO met SELECT lang, source, '', 0, 1 FROM part")
             con.unregister("part")
-            if con.execute("SELECT count(*) FROM met").fetchone()[0] > HELD:
+            if con.execute("SELECT count(*) FROM met").fetchall()[0][0] > HELD:
                 con.execute(f"CREATE OR REPLACE TABLE met AS {_SUMS}")
-                if con.execute("SELECT count(*) FROM met").fetchone()[0] > HELD // 2:
+                if con.execute("SELECT count(*) FROM met").fetchall()[0][0] > HELD // 2:
                     yield from _batches(con, _LISTS, _COUNTS)
                     con.execute("DELETE FROM met")
         con.execute(f"CREATE OR REPLACE TABLE met AS {_SUMS}")
