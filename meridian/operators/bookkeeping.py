@@ -62,9 +62,11 @@ def fold_runs(log: DataFrame) -> DataFrame:
     )
 
 
-def lifecycle(outcome: Column) -> Column:
-    """Status of a register after a run: ``ok`` is ready, ``skipped`` and no run leave it, others failed."""
-    return F.when(outcome == "ok", "ready").when(outcome == "running", "crawling").when(outcome.isNull() | (outcome == "skipped"), F.lit(None)).otherwise("failed")
+def lifecycle(outcome: Column, taken: Column) -> Column:
+    """Status of a register after a run: ``ok`` is ready, and so is ``skipped`` where its content was ``taken`` in whole
+    before and has not changed since; no run leaves it, others failed."""
+    ready = (outcome == "ok") | ((outcome == "skipped") & taken)
+    return F.when(ready, "ready").when(outcome == "running", "crawling").when(outcome.isNull() | (outcome == "skipped"), F.lit(None)).otherwise("failed")
 
 
 def apply_outcomes(registers: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -76,7 +78,7 @@ def apply_outcomes(registers: DataFrame, outcomes: DataFrame) -> DataFrame:
     done = F.col("__outcome") == "ok"
     rows = registers.join(o, "id", "left")
     new = {
-        "status": F.coalesce(lifecycle(F.col("__outcome")), "status"), "last_crawled_at": F.coalesce("__at", "last_crawled_at"), "last_crawl_status": F.coalesce("__outcome", "last_crawl_status"),
+        "status": F.coalesce(lifecycle(F.col("__outcome"), F.col("indexer_version").isNotNull()), "status"), "last_crawled_at": F.coalesce("__at", "last_crawled_at"), "last_crawl_status": F.coalesce("__outcome", "last_crawl_status"),
         "last_error": F.when(F.col("__outcome").isNull(), F.col("last_error")).otherwise(F.col("__error")),
         "modified": F.when(done, F.col("__modified")).otherwise(F.col("modified")), "indexer_version": F.when(done, F.col("__indexer_version")).otherwise(F.col("indexer_version")),
     }

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from meridian.catalog import Catalog
 from meridian.functions.text import host_of, row_id
 from meridian.operators import bookkeeping, browse, edges, graph, hybrid, ingest, keyword, vector
-from meridian.schemas import ITEMS
 from meridian.session import checkpointed
-from meridian.streaming.ingest import Store, ingest_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -327,7 +325,7 @@ def folded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'view' THEN 'crawling' ELSE 'failed' END AS status, count(*) AS n FROM events GROUP BY 1")
 def lifecycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = F.when(F.col("status") == "purchase", "ok").when(F.col("status") == "view", "running").otherwise("error")
-    return Tables(spark, sf_dir).runs().select(bookkeeping.lifecycle(outcome).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    return Tables(spark, sf_dir).runs().select(bookkeeping.lifecycle(outcome, F.lit(True)).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -355,17 +353,18 @@ def conflict_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' WHEN 2 THEN 'pending' ELSE 'crawling' END AS status,
+SELECT n_nationkey AS id, CASE WHEN n_nationkey % 4 = 0 OR n_nationkey % 8 = 2 THEN 'ready' WHEN n_nationkey % 4 = 1 THEN 'failed' WHEN n_nationkey % 8 = 6 THEN 'pending' ELSE 'crawling' END AS status,
   CASE n_nationkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'error' WHEN 2 THEN 'skipped' ELSE 'running' END AS last_crawl_status,
   CASE WHEN n_nationkey % 4 = 1 THEN 'no ' || n_name END AS last_error, CASE WHEN n_nationkey % 4 = 0 THEN 'new' ELSE 'old' END AS modified,
-  CASE WHEN n_nationkey % 4 = 0 THEN 2 ELSE 1 END AS indexer_version FROM nation WHERE n_nationkey < 20
-UNION ALL SELECT n_nationkey, 'pending', NULL, NULL, 'old', 1 FROM nation WHERE n_nationkey >= 20""")
+  CASE WHEN n_nationkey % 4 = 0 THEN 2 WHEN n_nationkey % 8 <> 6 THEN 1 END AS indexer_version FROM nation WHERE n_nationkey < 20
+UNION ALL SELECT n_nationkey, 'pending', NULL, NULL, 'old', CASE WHEN n_nationkey % 8 <> 6 THEN 1 END FROM nation WHERE n_nationkey >= 20""")
 def registers_after_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A skipped register is ready if it was taken in before; every eighth never was."""
     nations = Tables(spark, sf_dir)("nation").select(F.col("n_nationkey").alias("id"), "n_name")
     no_text = F.lit(None).cast("string")
     before = nations.select(
         "id", F.lit("pending").alias("status"), F.lit(None).cast("timestamp").alias("last_crawled_at"), no_text.alias("last_crawl_status"), no_text.alias("last_error"),
-        F.lit("old").alias("modified"), F.lit(1).alias("indexer_version"),
+        F.lit("old").alias("modified"), F.when(F.col("id") % 8 != 6, 1).alias("indexer_version"),
     )
     kind = F.col("id") % 4
     outcomes = nations.filter("id < 20").select(
@@ -583,20 +582,3 @@ def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CLAIMS} SELECT 'r/' || lpad(n::VARCHAR, 2, '0') AS register_id, count(*) AS n_failed, string_agg('c' || k, ', ' ORDER BY 'c' || k) AS failed_ids FROM o WHERE n = owner AND k % 9 = 0 GROUP BY n")
 def ingested_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bookkeeping.failure_summary(_chunked(Tables(spark, sf_dir))[1])
-
-
-@query(f"""
-WITH {_CLAIMS} SELECT 'c' || k AS id, 'r/' || lpad(n::VARCHAR, 2, '0') AS register_id, c_name AS name FROM o WHERE n = owner AND n % 5 > 1
-UNION ALL SELECT 'c' || k, 'r/' || lpad(n::VARCHAR, 2, '0'), 'new ' || c_name FROM c WHERE n % 5 = 1""")
-def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches into a store: in the second, every fifth register is empty, and the next ones have new names and what the
-    empty ones gave up."""
-    t = Tables(spark, sf_dir)
-    store = Store(f"{checkpointed(spark)}/meridian-store-{uuid.uuid4().hex}")
-    docs = register_documents(t)
-    ingest_batch(store, docs, 0)
-    number = F.substring("id", 3, 2).cast("int")
-    empty = F.to_json(F.struct(F.lit("gone").alias("modified"), F.array().cast("array<string>").alias("bblocks")))
-    renamed = F.regexp_replace(F.regexp_replace("body", '"name":"Customer', '"name":"new Customer'), '"modified":"', '"modified":"new ')
-    ingest_batch(store, docs.filter(number % 5 < 2).withColumn("body", F.when(number % 5 == 0, empty).otherwise(renamed)), 1)
-    return store.current(spark, "items", ITEMS).select("id", "register_id", "name")

@@ -2,27 +2,25 @@
 
 Documents land as JSON rows ``id, org_id, name, register_url, body``. A micro-batch skips registers whose
 marker has not moved, resolves identifier claims against the stored owners, and writes the rows of each
-register anew. Every table keeps a batch's rows in a folder of the batch, and the state, written last,
-says which batch a register's rows count from. So a register that loses all its rows has none, readers
-never see half a batch, and a batch that is repeated after a failure reads only what earlier ones left
-and overwrites its own folders.
+register anew, in one transaction of the store. So a register that loses all its rows has none, readers
+never see half a batch, and a batch that comes again after a failure finds its number taken, or its
+registers as they are, and changes nothing.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridian.operators import bookkeeping, ingest, keyword
+from meridian.operators import ingest, keyword
 from meridian.schemas import INDEXER_VERSION, ITEMS
+from meridian.streaming.store import Store, Transaction
 
 LANDED = "id string, org_id string, name string, register_url string, body string"
-STATE = "id string, run_id string, modified string, indexer_version int, outcome string, error string, at timestamp, replaced boolean"
 EDGES = "source_id string, target_id string, kind string, register_id string"
 CONFLICTS = "conflicting_id string, existing_register_id string, attempted_register_id string, detected_at timestamp"
 POSTINGS = "token string, id string, field string, positions array<int>, n_tokens long, register_id string, org string, item_class string, status string"
@@ -30,116 +28,74 @@ LENGTHS = "register_id string, rows long, tokens long"
 CRAWL_INTERVAL = 3600.0
 
 
-@dataclass(frozen=True)
-class Store:
-    """Catalog tables under one folder, a folder in it for each batch."""
-
-    root: str
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def read(self, spark: SparkSession, name: str, schema: str, before: int | None = None) -> DataFrame:
-        """All rows that were written, by batches under ``before`` if it is given, with ``batch``; none before the first write."""
-        schema = f"{schema}, batch long"
-        try:
-            rows = spark.read.schema(schema).parquet(self.path(name))
-            return rows if before is None else rows.filter(F.col("batch") < before)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return spark.createDataFrame([], schema)
-
-    def write(self, name: str, rows: DataFrame, batch: int, *partitions: str) -> None:
-        """The rows of one batch; a repeated batch replaces them."""
-        rows.write.mode("overwrite").partitionBy(*partitions).parquet(f"{self.path(name)}/batch={batch}")
-
-    def state(self, spark: SparkSession) -> DataFrame:
-        """The newest state of each register."""
-        return bookkeeping.latest_by_key(self.read(spark, "state", STATE), "id", [F.desc("batch")])
-
-    def markers(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """``id, stored, version``: what each register had when it last was taken in whole."""
-        good = self.read(spark, "state", STATE, before).filter("outcome = 'ok'")
-        return good.groupBy("id").agg(F.max_by("modified", "batch").alias("stored"), F.max_by("indexer_version", "batch").alias("version"))
-
-    def live(self, spark: SparkSession, before: int | None = None) -> DataFrame:
-        """``register_id, batch``: where the rows of each register count from."""
-        return self.read(spark, "state", STATE, before).filter("replaced").groupBy(F.col("id").alias("register_id")).agg(F.max("batch").alias("batch"))
-
-    def current(self, spark: SparkSession, name: str, schema: str, before: int | None = None) -> DataFrame:
-        """The rows that count. ``schema`` has a ``register_id``."""
-        rows = self.read(spark, name, schema, before)
-        return rows.join(self.live(spark, before), ["register_id", "batch"], "left_semi").drop("batch").select(*[c.split()[0] for c in schema_columns(schema)])
-
-    def newest(self, spark: SparkSession, name: str, schema: str, before: int | None = None) -> DataFrame:
-        """The rows of the newest batch, of tables that are written whole."""
-        rows = self.read(spark, name, schema, before)
-        return rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
-
-
-def schema_columns(ddl: str) -> list[str]:
-    """The columns of a DDL schema, without splitting inside types."""
-    out, depth = [""], 0
-    for c in ddl:
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return [x.strip() for x in out]
-
-
 def search_rows(items: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Postings and lengths of ``items`` with ``more(id, org, description)``."""
     rows = items.join(more, "id", "left").withColumn("item_identifier", F.col("id"))
     return keyword.postings(rows, filters=("register_id", "org", "item_class", "status")), keyword.lengths(rows, by=("register_id",))
 
 
-def write_search(store: Store, items: DataFrame, more: DataFrame, batch: int) -> None:
-    """Search rows of a batch's registers; what they had before no longer counts once the state says so."""
+def write_search(tx: Transaction, items: DataFrame, more: DataFrame) -> None:
+    """Search rows of a transaction's registers, in place of those they had before."""
     found, sizes = search_rows(items, more)
-    store.write("postings", keyword.dealt(found), batch, "bucket")
-    store.write("lengths", sizes, batch)
+    tx.write("postings", keyword.dealt(found), "bucket", order=("bucket", "token"))
+    tx.write("lengths", sizes)
+
 
+def ingest_batch(store: Store, landed: DataFrame, batch_id: int, source: str | None = None) -> int | None:
+    """Take in ``landed`` and return the store's version, or None where nothing was to be done. Of several documents of one
+    register in a batch, the one whose body sorts last counts.
 
-def ingest_batch(store: Store, landed: DataFrame, batch_id: int) -> None:
-    """Take in ``landed``. Of several documents of one register in a batch, the one whose body sorts last counts."""
+    A batch of a named ``source`` counts once, whatever it holds. Numbers without a source only stand in the
+    names of runs: batches are numbered by the store.
+    """
     spark = landed.sparkSession
+    tx = store.begin(spark)
+    if source is not None and tx.base["taken"].get(source, -1) >= batch_id:
+        return None
     one = landed.groupBy("id").agg(F.max_by(F.struct("org_id", "name", "register_url", "body"), F.struct("body", "register_url", "name", "org_id")).alias("d")).select("id", "d.*")
     newest = one.withColumn("modified", ingest.text_at(ingest.parsed("body"), "$.modified"))
-    judged = newest.join(store.markers(spark, batch_id), "id", "left").withColumn("due", ingest.needs_reindex(F.col("modified"), F.col("stored"), F.col("version")))
+    judged = newest.join(store.markers(spark, tx.base), "id", "left").withColumn("due", ingest.needs_reindex(F.col("modified"), F.col("stored"), F.col("version")))
     judged = judged.persist()
     claimed = None
     try:
         due = judged.filter("due").select("id", "org_id", "name", "register_url", "body", "modified")
         order = due.select(F.col("id").alias("register_id"), F.col("id").alias("crawl_seq"))
-        owners = store.current(spark, "items", ITEMS, batch_id).select(F.col("id").alias("item_id"), "register_id")
+        owners = store.current(spark, "items", ITEMS, tx.base).select(F.col("id").alias("item_id"), "register_id")
         claimed = ingest.claims(ingest.raw_items(due), order, owners).persist()
         accepted = claimed.filter("accepted")
         items = ingest.items(accepted)
         edges = ingest.edges(accepted).join(accepted.select(F.col("item_id").alias("source_id"), "register_id"), "source_id")
-        store.write("conflicts", ingest.conflicts(claimed).withColumn("detected_at", F.current_timestamp()), batch_id)
-        store.write("edges", edges, batch_id)
-        store.write("items", items, batch_id)
-        write_search(store, items, accepted.select(F.col("item_id").alias("id"), F.col("org_id").alias("org"), F.lit(None).cast("string").alias("description")), batch_id)
+        tx.write("conflicts", ingest.conflicts(claimed).withColumn("detected_at", F.current_timestamp()), kind="log")
+        tx.write("edges", edges)
+        tx.write("items", items)
+        write_search(tx, items, accepted.select(F.col("item_id").alias("id"), F.col("org_id").alias("org"), F.lit(None).cast("string").alias("description")))
         outcome = F.when(F.col("due"), "ok").otherwise("skipped")
         done = judged.select(
             "id", F.concat_ws("-", F.lit(str(batch_id)), "id").alias("run_id"), "modified", F.lit(INDEXER_VERSION).alias("indexer_version"), outcome.alias("outcome"),
             F.lit(None).cast("string").alias("error"), F.current_timestamp().alias("at"), F.col("due").alias("replaced"),
         )
-        store.write("state", done, batch_id)
+        return tx.commit(done, taken=None if source is None else (source, batch_id))
+    except BaseException:
+        tx.abort()
+        raise
     finally:
         judged.unpersist()
         if claimed is not None:
             claimed.unpersist()
 
 
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the engine gave to the stream of a checkpoint: a new checkpoint in the same place has another."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+
+
 def run_available(spark: SparkSession, landing: str, store: Store, checkpoint: str) -> None:
-    """Take in everything that has landed, then stop."""
+    """Take in everything that has landed, compact the store where it has grown, then stop."""
     stream = spark.readStream.schema(LANDED).json(landing)
-    query = stream.writeStream.foreachBatch(lambda df, n: ingest_batch(store, df, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    taken = lambda df, n: ingest_batch(store, df, n, stream_name(spark, checkpoint)) and None
+    query = stream.writeStream.foreachBatch(taken).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    store.tidy(spark)
 
 
 def run_forever(cycle: Callable[[], None], interval: float = CRAWL_INTERVAL, sleep: Callable[[float], None] = time.sleep, stop: Callable[[], bool] = lambda: False, report: Callable[[Exception], None] = lambda e: None) -> None:

@@ -146,6 +146,12 @@ def test_lifecycle_and_marker(spark):
     outcomes = spark.createDataFrame([("a", "ok", _at(1), None, "new", 2), ("b", "error", _at(1), "x", "newer", 2), ("c", "skipped", _at(1), None, "m", 2)], "id string, outcome string, at timestamp, error string, modified string, indexer_version int")
     got = {r.id: (r.status, r.modified, r.last_error) for r in bookkeeping.apply_outcomes(registers, outcomes).collect()}
     assert got == {"a": ("ready", "new", None), "b": ("failed", "old", "x"), "c": ("ready", "m", None)}
+    again = outcomes.filter("id = 'b'").withColumns({"outcome": F.lit("skipped"), "error": F.lit(None).cast("string"), "modified": F.lit("old")})
+    failed = bookkeeping.apply_outcomes(registers, outcomes)
+    after = {r.id: (r.status, r.last_crawl_status, r.last_error) for r in bookkeeping.apply_outcomes(failed, again).collect()}
+    assert after["b"] == ("ready", "skipped", None)  # what is there is current again
+    never = bookkeeping.apply_outcomes(registers.filter("id = 'a'"), again.withColumn("id", F.lit("a")))
+    assert never.first().status == "pending"
 
 
 def test_orphans_cascade(spark, catalog):

@@ -7,7 +7,7 @@ import pytest
 from meridian.catalog import Catalog
 from meridian.sources.embeddings import KeywordPresence, provider
 from meridian.streaming.cycle import Cycle
-from meridian.streaming.ingest import Store
+from meridian.streaming.store import Store
 
 GEO = KeywordPresence(("geo", "feature", "sensor", "unrelated"))
 
