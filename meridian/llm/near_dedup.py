@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_column, components, discard, mix, shingle_hashes, sliced, table, texts, texts_of, tidy, without, word_hashes
+from .shared import binary_column, columns, components, discard, fresh, marks, mix, row_name, shingle_hashes, sliced, table, texts, tidy, word_hashes
 
 HASHES, ROWS, LOW_BITS = 192, 5, 4
 BANDS = HASHES // ROWS
@@ -64,7 +64,8 @@ def band_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, sig, bands``; digest names the set, sig and bands are null if it is empty."""
+    """``doc_id, key, key2, n_shingles, digest, sig, bands``; the keys name the row's doc_id and text, digest names the set, sig
+    and bands are null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -78,11 +79,21 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 bands.append(band_keys(mins) if len(own) else None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, longs), pa.array(bands, longs)],
-                ["doc_id", "n_shingles", "digest", "sig", "bands"],
+                [*[batch.column(c) for c in ("doc_id", "key", "key2")], pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, longs), pa.array(bands, longs)],
+                ["doc_id", "key", "key2", "n_shingles", "digest", "sig", "bands"],
             )
 
-    return texts(docs).mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, sig array<long>, bands array<long>")
+    key, key2 = row_name()
+    named = texts(docs).withColumns({"key": key, "key2": key2})
+    return named.mapInArrow(tidy(run), "doc_id long, key long, key2 long, n_shingles long, digest binary, sig array<long>, bands array<long>")
+
+
+def _texts_of(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """``class, digest, text`` of the rows that stand for the classes in ``names(class, key, digest)``, and of few others:
+    a key only routes, and a text whose set has another digest is not the class's."""
+    key, _ = row_name()
+    held = marks(names.select(F.col("key").alias("doc_id"))).split(texts(docs), True, key)
+    return held.select(key.alias("key"), "text").join(names, "key").select("class", "digest", "text")
 
 
 def estimate(a: str, b: str):
@@ -99,35 +110,39 @@ def estimate(a: str, b: str):
     return ((HASHES - differ) / F.lit(float(HASHES)) - chance) / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose whole sets meet ``100 * shared >= percent * joined``.
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of ``pairs(a, b)`` of ``classes(class, key, digest)`` those whose whole sets meet ``100 * shared >= percent * joined``.
 
-    Only texts of documents that stand in a pair, and the few others that a fixed-size filter lets
+    Only texts of rows that stand for a class in a pair, and the few others that a fixed-size filter lets
     through, are shuffled. A centre with very many partners makes a skewed join, which Spark splits;
     each task keeps the few sets it used last.
     """
-    wanted = texts_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))))
-    both = pairs.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    met = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = _texts_of(docs, table(classes.join(met, "class").select("class", "key", "digest"), "names"))
+    both = pairs.join(wanted.toDF("a", "da", "ta"), "a")
+    both = both.join(wanted.toDF("b", "db", "tb"), "b").select("a", "b", "da", "db", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
+        recent: OrderedDict[bytes, np.ndarray] = OrderedDict()
 
-        def of(doc: int, text: bytes) -> np.ndarray:
-            if doc not in recent:
-                recent[doc] = shingle_set(text, k)
+        def of(digest: bytes, text: bytes) -> np.ndarray | None:
+            if digest not in recent:
+                own = shingle_set(text, k)
+                if xxhash.xxh128_digest(own.tobytes()) != digest:
+                    return None
+                recent[digest] = own
                 if len(recent) > 8:
                     recent.popitem(last=False)
-            recent.move_to_end(doc)
-            return recent[doc]
+            recent.move_to_end(digest)
+            return recent[digest]
 
         for batch in sliced(batches):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
-            for i, j, x, y in zip(a, b, binary_column(batch, "ta"), binary_column(batch, "tb"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("da", "db")]
+            for i, j, x, y in zip(*columns, binary_column(batch, "ta"), binary_column(batch, "tb"), strict=True):
                 p, q = of(j, y), of(i, x)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
+                shared = -1 if p is None or q is None else len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(shared >= 0 and 100 * shared >= percent * (len(p) + len(q) - shared))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -205,8 +220,8 @@ def candidates(placed: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "a long, n long, fam long, j long, bs array<long>")
 
 
-def confirmed_in_blocks(found: DataFrame, members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Confirm ``found(a, n, fam, j, bs)`` on whole sets; ``members(b, fam, j)`` says which block each partner is in.
+def confirmed_in_blocks(found: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Confirm ``found(a, n, fam, j, bs)`` of ``classes`` on whole sets; ``members(b, fam, j)`` says which block each partner is in.
 
     A text goes once to each block that needs it, instead of once to each pair. A block has about
     ``BLOCK`` shingles on either side.
@@ -218,10 +233,11 @@ def confirmed_in_blocks(found: DataFrame, members: DataFrame, docs: DataFrame, k
     key = ["fam", "i", "j"]
     dealt = table(dealt.groupBy(*key, "a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")), "dealt")
     needed = table(dealt.select(*key).distinct().join(members, ["fam", "j"]).select(*[F.col(c).alias(f"{c}_") for c in key], "b"), "needed")
-    wanted = texts_of(docs, dealt.select(F.col("a").alias("doc_id")).union(needed.select(F.col("b").alias("doc_id"))))
+    met = dealt.select(F.col("a").alias("class")).union(needed.select(F.col("b").alias("class"))).distinct()
+    wanted = _texts_of(docs, table(classes.join(met, "class").select("class", "key", "digest"), "names"))
     no_list = F.lit(None).cast("array<long>")
-    left = dealt.join(wanted.withColumnRenamed("doc_id", "a"), "a").select(*key, F.lit(_LEFT).alias("side"), F.col("a").alias("doc"), "bs", "text")
-    right = needed.join(wanted.withColumnRenamed("doc_id", "b"), "b").select(*[F.col(f"{c}_").alias(c) for c in key], F.lit(_RIGHT).alias("side"), F.col("b").alias("doc"), no_list.alias("bs"), "text")
+    left = dealt.join(wanted.withColumnRenamed("class", "a"), "a").select(*key, F.lit(_LEFT).alias("side"), F.col("a").alias("doc"), "bs", "digest", "text")
+    right = needed.join(wanted.withColumnRenamed("class", "b"), "b").select(*[F.col(f"{c}_").alias(c) for c in key], F.lit(_RIGHT).alias("side"), F.col("b").alias("doc"), no_list.alias("bs"), "digest", "text")
     blocks = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, F.desc("side"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +245,17 @@ def confirmed_in_blocks(found: DataFrame, members: DataFrame, docs: DataFrame, k
         block, sets = None, {}
         for batch in sliced(batches):
             out_a, out_b = [], []
-            columns = [batch.column(c).to_pylist() for c in (*key, "side", "doc", "bs")]
-            for fam, i, j, side, doc, bs, text in zip(*columns, binary_column(batch, "text"), strict=True):
+            columns = [batch.column(c).to_pylist() for c in (*key, "side", "doc", "bs", "digest")]
+            for fam, i, j, side, doc, bs, digest, text in zip(*columns, binary_column(batch, "text"), strict=True):
                 if block != (fam, i, j):
                     block, sets = (fam, i, j), {}
+                own = shingle_set(text, k)
+                if xxhash.xxh128_digest(own.tobytes()) != digest:
+                    continue
                 if side == _RIGHT:
-                    sets[doc] = shingle_set(text, k)
+                    sets[doc] = own
                     continue
-                held, own = [sets[b] for b in bs], shingle_set(text, k)
+                held = [sets[b] for b in bs]
                 lengths = np.array([len(x) for x in held])
                 every = np.concatenate(held)
                 same = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
@@ -249,25 +268,14 @@ def confirmed_in_blocks(found: DataFrame, members: DataFrame, docs: DataFrame, k
     return blocks.mapInArrow(tidy(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
-
-    Documents with equal shingle sets form a class, named by its smallest doc_id, and only classes
-    are compared. Round one takes the smallest members of a class's buckets, those it meets in most
-    bands, and confirms the best-estimated; round two confirms every pair that shares a bucket, passes the estimate and is not
-    linked by then. No pair is left out by a cap: within a component pairs need no comparing, and
-    in round two a bucket's commonest component is met only by those outside it.
-
-    Null, empty and blank texts have no shingles and stand alone. Texts shorter than k words are one
-    shingle. Repeated rows of one doc_id give one row each. Rows without a doc_id have no component and
-    are kept. Very long texts go through in stretches. Extra columns are ignored; an empty table gives
-    no rows.
-    """
+def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``doc_id, key, key2, n_shingles, component_id, kept``, a row for each document."""
     sets = table(signatures(docs, k), "sets")
-    filled = sets.where("n_shingles > 0")
-    classes = table(filled.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("d")), "doc_id").where("digest = d").dropDuplicates(["doc_id"])
-    reps = table(reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), "sig", "bands"), "reps")
+    # a class is a set of shingles; its number is given once, and no doc_id stands for it before the end
+    filled = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
+    one = filled.agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")])
+    classes = table(one.withColumn("class", F.monotonically_increasing_id()), "classes")
+    reps = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("n"), "sig", "bands")
 
     bands = reps.select("a", F.explode("bands").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("a").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b")
@@ -280,7 +288,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     alike = scored.where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (estimate("sig", "sig2") >= ESTIMATE_CUT))
     best = alike.select("a", "b", estimate("sig", "sig2").alias("e")).groupBy("a").agg(F.max(F.struct("e", (-F.col("b")).alias("b"))).alias("m"))
     pairs = table(best.select("a", (-F.col("m.b")).alias("b")), "pairs")
-    first = table(confirmed(pairs, docs, k, percent), "links")
+    first = table(confirmed(pairs, classes, docs, k, percent), "links")
     discard(pairs)
     comps = components(first, "first")
 
@@ -290,31 +298,61 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     blocks = lambda n: F.ceil(n / BUCKET).cast("int")
     mixed = mixed.select("key", F.col("m.comp").alias("main"), blocks(F.col("all") - F.col("m.c")).alias("lefts"), blocks(F.col("all")).alias("rights"))
     placed = table(placed.join(mixed, "key").join(sigs, "a"), "placed")
-    discard(members, comps, reps)
+    discard(members, comps)
     family = placed.groupBy("a").agg(F.min("main").alias("fam"), F.max("n").alias("n"))
     parts = family.groupBy("fam").agg(F.greatest(F.ceil(F.sum("n") / BLOCK).cast("long"), F.lit(1)).alias("parts"))
     where = table(family.join(parts, "fam").select("a", "fam", F.pmod(F.xxhash64("a"), "parts").alias("j")), "families")
     found = table(candidates(placed.join(where, "a").withColumn("in_main", F.col("comp") == F.col("main")), percent), "found")
     discard(placed)
-    second = table(confirmed_in_blocks(found, where.withColumnRenamed("a", "b"), docs, k, percent), "links")
+    second = table(confirmed_in_blocks(found, where.withColumnRenamed("a", "b"), classes, docs, k, percent), "links")
     discard(found, where)
     comps = components(first.union(second), "second")
     discard(first, second)
 
-    named = classes.join(comps, classes.rep == comps.id, "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    placed = table(classes.select("class", "digest", "rep").join(comps, F.col("class") == comps.id, "left").select("digest", "rep", F.coalesce("comp", "class").alias("comp")), "placed")
+    least = table(placed.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
+    named = table(placed.join(least, "comp").select("digest", "component_id"), "named")
+    discard(comps, placed, least, classes)
+    out = sets.select("doc_id", "key", "key2", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.cast("long").alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "key", "key2", "n_shingles", component.cast("long").alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+
+    Documents with equal shingle sets form a class, which has a number of its own, and only classes
+    are compared. Round one takes the smallest members of a class's buckets, those it meets in most
+    bands, and confirms the best-estimated; round two confirms every pair that shares a bucket, passes the estimate and is not
+    linked by then. No pair is left out by a cap: within a component pairs need no comparing, and
+    in round two a bucket's commonest component is met only by those outside it.
+
+    Null, empty and blank texts have no shingles and stand alone. Texts shorter than k words are one
+    shingle. Every row gives a row: repeated rows alike, and rows of one doc_id with different texts each by
+    its own text. Rows without a doc_id have no component, link nothing and are kept. Very long texts go through
+    in stretches. Extra columns are ignored; an empty table gives no rows.
+    """
+    return _classified(docs, k, percent).drop("key", "key2")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` less all but the smallest doc_id of every component, with all columns.
+    """``docs`` less all rows but those of the smallest doc_id of every component, with all columns.
 
     Shingles are of five words here, as in any stage without a contract of its own. Rows that
     ``near_duplicates`` keeps stay as they are, so nulls, empty texts, rows without a doc_id and repeated
-    rows of a kept doc_id all stay; extra columns stay whatever their names; an empty table stays empty.
+    rows of a kept doc_id all stay; of a doc_id with several texts each row goes or stays by its own. Extra
+    columns stay whatever their names; an empty table stays empty.
+
+    Rows that a filter of the dropped ones does not name stay where they are; the others are shuffled and
+    held against the dropped rows' names of 128 bits.
     """
-    return without(docs, table(near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct(), "dropped"))
+    dropped = table(_classified(docs, k, percent).where("not kept").select("key", "key2").distinct(), "dropped")
+    key, key2 = row_name()
+    named = marks(dropped.select(F.col("key").alias("doc_id")))
+    one, two = fresh(docs, 2)
+    maybe = named.split(docs, True, key).withColumns({one: key, two: key2})
+    rest = maybe.join(dropped.toDF(one, two), [one, two], "left_anti").select(*columns(docs))
+    return named.split(docs, False, key).unionByName(rest)
 
 
 def oracle_sql(k: int, percent: int) -> str:

@@ -256,6 +256,22 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of ``df`` has, in whatever case."""
+    taken, out, i = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"__{i}" not in taken:
+            out.append(f"__{i}")
+        i += 1
+    return out
+
+
+def row_name() -> tuple[Column, Column]:
+    """Two numbers of 64 bits for what ``doc_id`` and ``text`` hold; rows that have the same of both share them."""
+    held = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    return F.xxhash64(*held), F.xxhash64(F.lit(1), *held)
+
+
 def row_key() -> Column:
     """A 128-bit name for what ``doc_id`` and ``text`` hold; rows that have the same of both share it."""
     return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
@@ -292,15 +308,17 @@ class Marks:
     words: int
     seed: int
 
-    def split(self, docs: DataFrame, named: bool) -> DataFrame:
-        """Rows whose doc_id may be a key, or those whose doc_id is none. Rows without a doc_id are never keys."""
+    def split(self, docs: DataFrame, named: bool, key: Column | None = None) -> DataFrame:
+        """Rows whose doc_id, or ``key``, may be a key, or those whose is none. Rows without one are never keys."""
+        key = F.col("doc_id").cast("long") if key is None else key
         if self.rows is None:
-            known = F.col("doc_id").isNotNull()
-            return docs.where(known if named else ~known)
-        h = F.xxhash64(F.col("doc_id").cast("long"), F.lit(self.seed))
+            return docs.where(key.isNotNull() if named else key.isNull())
+        key_, at, word, bits = fresh(docs, 4)
+        h = F.xxhash64(F.col(key_), F.lit(self.seed))
         mask = _bits_of(h)
-        hit = F.coalesce(F.col("doc_id").isNotNull() & (F.col("__bits").bitwiseAND(mask) == mask), F.lit(False))
-        joined = docs.withColumn("__at", F.pmod(h, F.lit(self.words))).join(F.broadcast(self.rows), F.col("__at") == F.col("__word"), "left")
+        hit = F.coalesce(F.col(key_).isNotNull() & (F.col(bits).bitwiseAND(mask) == mask), F.lit(False))
+        placed = docs.withColumn(key_, key).withColumn(at, F.pmod(h, F.lit(self.words)))
+        joined = placed.join(F.broadcast(self.rows.toDF(word, bits)), F.col(at) == F.col(word), "left")
         return joined.where(hit if named else ~hit).select(*columns(docs))
 
 

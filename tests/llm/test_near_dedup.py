@@ -83,6 +83,68 @@ def test_hard_rows(hard, empty):
     assert nd.near_duplicates(empty).count() == 0 and nd.keep_first(empty).count() == 0
 
 
+def rows_brute(rows, k):
+    """Like ``brute``, but every row is a node: a doc_id may have several texts."""
+    sets = [set(shingles(t or "", k)) for _, t in rows]
+    seen = list(range(len(rows)))
+
+    def top(i):
+        while seen[i] != i:
+            i = seen[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                seen[top(i)] = top(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), doc), doc)
+    return sorted((doc, len(s), least[top(i)] if s else doc, doc == (least[top(i)] if s else doc)) for i, ((doc, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def with_repeated_ids(seed):
+    rng = random.Random(seed)
+    a, b = prose(rng, 30), prose(rng, 30)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (3, None), (2, a + " more")]
+    rows += [(rng.randint(4, 20), t) for _, t in corpus(seed, 60)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "parts"), [(1, 1), (2, 3), (3, 5)])
+def test_a_doc_id_with_several_texts_loses_no_link(spark, seed, parts):
+    rows = with_repeated_ids(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert sorted(tuple(r) for r in nd.near_duplicates(docs, 4).select("doc_id", "n_shingles", "component_id", "kept").collect()) == rows_brute(rows, 4)
+
+
+def test_the_stage_judges_each_row_by_its_own_text(spark):
+    rows = with_repeated_ids(4)
+    clashing = ["__0", "__1", "__2", "__3", "__bits", "__at", "__word", "key", "class", "digest", "__n"]
+    docs = spark.createDataFrame([(*r, *range(len(clashing))) for r in rows], "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in clashing))
+    kept = nd.keep_first(docs, 4)
+    assert kept.columns == docs.columns
+    key = lambda r: (r[0], r[1] or "")
+    want = [r for r in rows if _row_kept(rows, *r)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+
+
+def _row_kept(rows, doc, text):
+    """Whether a row's own component has no smaller doc_id, by a walk from it."""
+    own = set(shingles(text or "", 4))
+    near = lambda s, t: bool(s and t) and 100 * len(s & t) >= 80 * len(s | t)
+    sets = [(d, set(shingles(t or "", 4))) for d, t in rows]
+    todo, seen = [own], []
+    while todo:
+        s = todo.pop()
+        if s in seen:
+            continue
+        seen.append(s)
+        todo += [t for _, t in sets if near(s, t)]
+    return not own or min(d for d, t in sets if t in seen) == doc
+
+
 def test_words_that_polynomials_confuse_are_not_linked(spark):
     a, b = thue_morse()
     tail = " c d e f g"
