@@ -335,34 +335,42 @@ def _load(text: str) -> list[list]:
 
 
 def _chunks(docs: DataFrame, path: str, chunk: int) -> DataFrame:
+    """Chunks of giant texts under a number that is given to each row once, when the chunks are written; the first one of a
+    text has its doc_id and digest too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for row, doc, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = prepared(text)
                 rows = []
+                head = (doc, hashlib.sha256(text.encode()).hexdigest())
                 word = low = 0
                 for k, at in enumerate(range(0, len(s), chunk)):
                     size = min(chunk, len(s) - at)
                     word, low = last_cut(s, at, low, word), at
                     part = s[at : at + size + own.longest + 1]
-                    rows.append((row, k, k // GROUP, part, size, at - word, _dump(own.matrix(part, size, at - word))))
+                    rows.append((row, k, k // GROUP, part, size, at - word, _dump(own.matrix(part, size, at - word)), *head))
+                    head = (None, None)
                     if len(rows) == 64:
                         yield _chunk_batch(rows)
                         rows = []
                 if rows:
                     yield _chunk_batch(rows)
 
-    return docs.select("row", "text").mapInArrow(tidy(run), "row long, k long, g long, part string, size int, base int, matrix string")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return numbered.mapInArrow(tidy(run), "row long, k long, g long, part string, size int, base int, matrix string, doc_id long, text_sha256 string")
 
 
 def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["row", "k", "g", "part", "size", "base", "matrix"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string())
+    names = ["row", "k", "g", "part", "size", "base", "matrix", "doc_id", "text_sha256"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
-    """``row, ids, score, n_chunks`` of giant texts."""
+    """``doc_id, text_sha256, ids, score, n_chunks`` of giant texts. Matrices meet by group, and then only states and scores,
+    with the numbers of their row and chunk, meet the chunks' texts."""
     chunks = table(_chunks(docs, path, chunk), "chunks")
 
     def product(key, part: pd.DataFrame) -> pd.DataFrame:
@@ -379,23 +387,23 @@ def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
     def inner(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("k")
         found = states([_load(m) for m in part["matrix"]], int(part["entry"].iloc[0]), int(part["exit"].iloc[0]))
-        return pd.DataFrame({"row": key[0], "k": part["k"].to_numpy(), "entry": [a for a, _ in found], "exit": [b for _, b in found]})
+        scores = [(_load(m)[a][b] >> _SHIFT) / _SCALE for m, (a, b) in zip(part["matrix"], found, strict=True)]
+        return pd.DataFrame({"row": key[0], "k": part["k"].to_numpy(), "entry": [a for a, _ in found], "exit": [b for _, b in found], "score": scores})
 
     narrow = chunks.select("row", "g", "k", "matrix")
     groups = narrow.groupBy("row", "g").applyInPandas(product, "row long, g long, matrix string")
     ends = groups.groupBy("row").applyInPandas(outer, "row long, g long, entry int, exit int")
-    fixed = narrow.join(ends, ["row", "g"]).groupBy("row", "g").applyInPandas(inner, "row long, k long, entry int, exit int")
+    fixed = narrow.join(ends, ["row", "g"]).groupBy("row", "g").applyInPandas(inner, "row long, k long, entry int, exit int, score double")
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            ids, scores = [], []
-            for part, size, base, entry, exit_, matrix in zip(*(batch.column(n).to_pylist() for n in ("part", "size", "base", "entry", "exit", "matrix")), strict=True):
-                ids.append(np.array(own.chunk_ids(part, size, base, entry, exit_), "<u4").tobytes())
-                scores.append((_load(matrix)[entry][exit_] >> _SHIFT) / _SCALE)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(ids, pa.binary()), pa.array(scores, pa.float64())], ["row", "k", "ids", "score"])
+            ids = [np.array(own.chunk_ids(*one), "<u4").tobytes() for one in zip(*(batch.column(n).to_pylist() for n in ("part", "size", "base", "entry", "exit")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(ids, pa.binary()), batch.column("score")], ["row", "k", "ids", "score"])
 
-    traced = chunks.join(fixed, ["row", "k"]).mapInArrow(tidy(backtrace), "row long, k long, ids binary, score double")
+    # the same join at every size: no part of the result or of the plan hangs on what Spark would broadcast
+    met = chunks.select("row", "k", "part", "size", "base").join(fixed.hint("merge"), ["row", "k"])
+    traced = met.mapInArrow(tidy(backtrace), "row long, k long, ids binary, score double")
     listed = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.sum("score").alias("score"), F.count("*").alias("n_chunks"))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +411,8 @@ def _giant(docs: DataFrame, path: str, chunk: int) -> DataFrame:
             ids = [b"".join(p["ids"] for p in parts) for parts in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.binary()), batch.column("score"), batch.column("n_chunks")], ["row", "ids", "score", "n_chunks"])
 
-    return listed.mapInArrow(tidy(joined), "row long, ids binary, score double, n_chunks long")
+    heads = chunks.where("k = 0").select("row", "doc_id", "text_sha256")
+    return heads.join(listed.mapInArrow(tidy(joined), "row long, ids binary, score double, n_chunks long"), "row").drop("row")
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -412,7 +421,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     Null and empty texts have no ids and score 0. Repeated rows each get a row. Extra columns are
     ignored. Texts of up to two chunks are done whole, in their own task.
     """
-    numbered = texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    every = texts(docs)
     large = F.length("text") > 2 * chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,11 +433,9 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(shas, pa.string()), pa.array(ids, pa.binary()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_sha256", "ids", "score"])
 
-    small = numbered.where(~large).select("doc_id", "text").mapInArrow(tidy(whole), "doc_id long, text_sha256 string, ids binary, score double")
-    giants = numbered.where(large)
-    found = _giant(giants.dropDuplicates(["row"]), path, chunk)
-    giants = giants.select("row", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")).join(found, "row")
-    return small.withColumn("n_chunks", F.lit(1).cast("long")).unionByName(giants.drop("row"))
+    small = every.where(~large).mapInArrow(tidy(whole), "doc_id long, text_sha256 string, ids binary, score double")
+    return small.withColumn("n_chunks", F.lit(1).cast("long")).unionByName(_giant(every.where(large), path, chunk))
+
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from meridian.llm import sentencepiece_scan as sp
 from meridian.llm import token_counts as tc
 from meridian.llm.shared import WordTable, words_in
 
-from .conftest import thue_morse
+from .conftest import prose, thue_morse
 
 VOCABULARY, PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -219,6 +219,22 @@ def test_giant_texts_through_spark(spark, model, monkeypatch):
     assert {r.doc_id: r.text for r in sp.decode(sp.encode(docs, PIECES, 64), PIECES).collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_giant_texts_are_told_apart_by_numbers_not_hashes(spark, monkeypatch):
+    """Giants that share their doc_id, repeated ones, and any hash function made to collide."""
+    monkeypatch.setattr(sp.F, "xxhash64", lambda *_: sp.F.lit(7).cast("long"))
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(4)]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(1, texts[0]), (2, texts[1]), (None, texts[2])], "doc_id long, text string").repartition(3)
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = sp.round_trip(docs, PIECES, 64).collect()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert all(r.same and r.n_chunks > 1 for r in got)
+        assert sorted(r.text_sha256 for r in got) == sorted(hashlib.sha256(r[1].encode()).hexdigest() for r in docs.collect())
+        ids = {r.text_sha256: r.ids_crc32 for r in got}
+        assert len(set(ids.values())) == 4
+
+
 def test_scan_hard_rows(hard, empty):
     rows = sp.round_trip(hard, PIECES).collect()
     texts = [r.text or "" for r in hard.collect()]
