@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FmIndex
-from .shared import binary_column, discard, marks, segments, shingle_hashes, sliced, table, tidy, word_hashes
+from .shared import binary_column, discard, marks, mix, segments, sliced, table, tidy, word_hashes
 
 WIDTH, GRAM = 35, 8
 #: Different contents of one anchor that may meet in one shard, and words of one FM-index.
@@ -41,12 +41,23 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return best
 
 
+def _grams(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of ``width`` neighbours, a power of two, by doubling."""
+    out, done = mix(words), 1
+    while done < width:
+        out = mix(out[: len(out) - done] * np.uint64(0x9E3779B97F4A7C15) + out[done:])
+        done *= 2
+    return out
+
+
 def runs(words: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(anchors, starts, sizes)`` of the runs of a text's windows, a stretch of the text at a time; sizes are in windows."""
-    out, gram = [], min(GRAM, width)
+    out, gram = [], GRAM
+    while gram > width:
+        gram //= 2
     for at in range(0, len(words) - width + 1, STRETCH):
         part = words[at : at + STRETCH + width - 1]
-        grams = shingle_hashes(part, gram)
+        grams = _grams(part, gram)
         places = _leftmost_least(grams, width - gram + 1)
         starts = np.concatenate([[0], np.flatnonzero(np.diff(places)) + 1])
         out.append((grams[places[starts]], at + starts, np.diff(starts, append=len(places))))
@@ -213,11 +224,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     number) and of the covered stretches of those that have any (``row, n_removed, begins, ends``)."""
     rows = table(windowed(docs, width), "windowed")
     every = rows.select("row", F.inline(F.arrays_zip(F.col("anchors").alias("anchor"), F.col("contents").alias("content"), F.col("places").alias("place"))))
-    shared = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # tables of their own: the joins with them then have nothing but their two sides, and Spark can split an anchor that very many runs have
+    shared = table(every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "shared")
     taken = table(every.join(shared, "anchor"), "taken")
-    contents = taken.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("m"))
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    contents = table(contents.join(kinds, "anchor").select(F.monotonically_increasing_id().alias("id"), "anchor", "content", "n", "kinds", "m.row", "m.place"), "contents")
+    counted = table(taken.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("m")), "counted")
+    kinds = table(counted.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+    contents = table(counted.join(kinds, "anchor").select(F.monotonically_increasing_id().alias("id"), "anchor", "content", "n", "kinds", "m.row", "m.place"), "contents")
+    discard(shared, counted, kinds)
     wanted = contents.groupBy("row").agg(F.collect_list(F.struct("id", "anchor", "n", "kinds", "place")).alias("held"))
     wanted = table(wanted.join(rows.select("row", "doc_id", "digest"), "row").select("doc_id", "digest", "held"), "wanted")
     stretches = table(_stretches(docs, wanted, width), "stretches")
@@ -236,10 +249,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j").cast("int"))
     of_hot = windows.join(again, ["a", "b"]).groupBy("id").agg(F.bit_or(bit).alias("mask"))
     of_all = found.where("level = 1").select("id", "mask").unionByName(of_hot)
-    masks = contents.join(of_all, "id").select("anchor", "content", "mask")
+    masks = table(contents.join(of_all, "id").select("anchor", "content", "mask"), "masks")
     spans = table(_covered(taken.join(masks, ["anchor", "content"]).select("row", "place", "mask"), width), "spans")
     rows = rows.select("row", "doc", "doc_id", "digest", "n_words")
-    discard(taken, contents, wanted, stretches, windows, twice, found)
+    discard(taken, contents, wanted, stretches, windows, twice, found, masks)
     return rows, spans
 
 
