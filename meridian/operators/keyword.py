@@ -1,16 +1,20 @@
 """Column-weighted BM25 keyword search.
 
-Two forms give the same results: a tokenised column for each searched one, which a search reads whole,
-and postings, of which a search reads the buckets of its own words.
+Three forms give the same results: a tokenised column for each searched one, which a search reads whole;
+postings, of which a search reads the buckets of its own words; and postings in slots with what each
+slot of a token can score at best, of which a search reads the promising ones until no other can matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from meridian.functions.scores import bm25_term, idf
 from meridian.functions.text import phrase_text, phrases_of, spaced_tokens, token_count
@@ -18,8 +22,10 @@ from meridian.functions.text import phrase_text, phrases_of, spaced_tokens, toke
 #: How much a hit in each column counts.
 WEIGHTS = {"name": 5.0, "abstract": 2.0, "tags": 1.0, "item_identifier": 1.0, "description": 1.0}
 CANDIDATES = 50
-#: Buckets that postings are dealt to by token, and files of a bucket at most.
-BUCKETS, SPREAD = 64, 16
+#: Tokens of text that a bucket of postings and a file of it hold, and the most buckets there are: their number is a file layout, not a limit.
+BUCKET_TOKENS, FILE_TOKENS, MOST_BUCKETS = 8_000_000, 2_000_000, 1 << 14
+#: Rows of one length that share a slot, and postings that a task gives out at a time.
+SLOT_ROWS, GIVEN = 2048, 50_000
 
 
 def _text(items: DataFrame, weights: Mapping[str, float]) -> dict[str, Column]:
@@ -76,22 +82,76 @@ def search(indexed: DataFrame, query: str, *, key: str = "id", filters: Column |
     return found if limit is None else found.orderBy(F.desc("relevance"), key).limit(limit)
 
 
-def bucket_of(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+def buckets_for(tokens: int) -> int:
+    """Buckets of so many tokens of text, a power of two."""
+    return min(MOST_BUCKETS, 1 << max(0, math.ceil(tokens / BUCKET_TOKENS) - 1).bit_length())
+
+
+def bucket_of(token: Column, buckets: int) -> Column:
+    """A bucket's number says of how many it is one, so batches of different sizes can lie side by side."""
+    return (F.lit(buckets << 16) + F.pmod(F.xxhash64(token), F.lit(buckets))).cast("int")
+
+
+def in_bucket(token: str) -> Column:
+    """Whether the partition column ``bucket`` is that of a token: told from the folders' names alone."""
+    buckets = F.shiftright("bucket", 16)
+    return F.col("bucket") == F.shiftleft(buckets, 16) + F.pmod(F.xxhash64(F.lit(token)), buckets)
+
+
+def slot_of(key: Column, n_tokens: Column, rows: int) -> Column:
+    """Rows of like length in slots of about ``SLOT_ROWS``: short rows, of which a hit weighs more, are apart from long ones."""
+    parts = max(1, math.ceil(rows / SLOT_ROWS))
+    return F.floor(F.log2(n_tokens + F.lit(1)) * 2).cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64(key), F.lit(parts))
+
+
+#: What ``write_postings`` writes beside the postings.
+BLOCKS, LENGTHS = "token string, slot long, rows long, tf double, least long, bucket int", "rows long, tokens long"
 
 
 def postings(items: DataFrame, *, key: str = "id", weights: Mapping[str, float] = WEIGHTS, filters: Sequence[str] = ()) -> DataFrame:
-    """``bucket, token, key, field, positions, n_tokens`` and the ``filters`` columns: where each token stands in each
-    searched column of each row. ``n_tokens`` is the row's length over all columns."""
+    """``token, key, field, positions, n_tokens, tf, first`` and the ``filters`` columns: where each token stands in each
+    searched column of each row. Keys are distinct.
+
+    ``n_tokens`` is the row's length over all columns, ``tf`` the weighted count of the token in the row, and
+    ``first`` marks one of the fields that a row has a token in. A row's map from tokens to places is made in the
+    row's own task, so a posting is made once and nothing is shuffled.
+    """
     text = _text(items, weights)
-    words = {c: F.filter(F.split(spaced_tokens(text[c]), " +"), lambda t: t != "") for c in weights}
-    held = items.select(key, *filters, *[words[c].alias(f"__{i}") for i, c in enumerate(weights)])
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"__{i}").alias("words")) for i, c in enumerate(weights)])
-    length = sum((F.size(f"__{i}") for i in range(len(weights))), F.lit(0)).cast("long")
-    each = held.select(key, *filters, length.alias("n_tokens"), F.explode(fields).alias("f"))
-    placed = each.select(key, *filters, "n_tokens", "f.field", F.posexplode("f.words").alias("position", "token"))
-    listed = placed.groupBy("token", key, *filters, "field", "n_tokens").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    return listed.select(bucket_of(F.col("token")).alias("bucket"), "token", key, "field", "positions", "n_tokens", *filters)
+    fields = list(weights)
+    held = items.select(key, *filters, *[spaced_tokens(text[c]).alias(f"__{i}") for i, c in enumerate(fields)])
+    names = [key, *filters]
+    schema = pa.schema([(c, to_arrow_type(items.schema[c].dataType)) for c in names] + [("token", pa.string()), ("field", pa.string()), ("positions", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("tf", pa.float64()), ("first", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.select(names)
+            rows: list[tuple] = []
+
+            def given(rows: list[tuple], own: pa.RecordBatch = own) -> pa.RecordBatch:
+                at, *columns = zip(*rows, strict=True)
+                taken = own.take(pa.array(at, pa.int64()))
+                return pa.RecordBatch.from_arrays([*[c.cast(t) for c, t in zip(taken.columns, schema.types, strict=False)], *[pa.array(c, t) for c, t in zip(columns, schema.types[len(names) :], strict=True)]], schema=schema)
+
+            for i, texts in enumerate(zip(*[batch.column(f"__{j}").to_pylist() for j in range(len(fields))], strict=True)):
+                places: dict[str, dict[str, list[int]]] = {}
+                total = 0
+                for field, value in zip(fields, texts, strict=True):
+                    words = [w for w in value.split(" ") if w]
+                    total += len(words)
+                    for at, word in enumerate(words):
+                        places.setdefault(word, {}).setdefault(field, []).append(at)
+                for word, by_field in places.items():
+                    tf = float(sum(weights[f] * len(at) for f, at in by_field.items()))
+                    rows += [(i, word, f, at, total, tf, n == 0) for n, (f, at) in enumerate(by_field.items())]
+                if len(rows) > GIVEN:
+                    yield given(rows)
+                    rows = []
+            if rows:
+                yield given(rows)
+
+    kinds = dict(items.dtypes)
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", token string, field string, positions array<int>, n_tokens long, tf double, first boolean"
+    return held.mapInArrow(run, ddl).select("token", key, "field", "positions", "n_tokens", "tf", "first", *filters)
 
 
 def lengths(items: DataFrame, *, key: str = "id", weights: Mapping[str, float] = WEIGHTS, by: Sequence[str] = ()) -> DataFrame:
@@ -102,15 +162,37 @@ def lengths(items: DataFrame, *, key: str = "id", weights: Mapping[str, float] =
     return items.select(*by, total.alias("n")).groupBy(*by).agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
 
 
-def dealt(found: DataFrame, key: str = "id", spread: int = SPREAD) -> DataFrame:
-    """Postings dealt to tasks by bucket and, as a common token's bucket may hold a large part of them, by row as well;
-    tokens in order, so that a search reads the row groups of its words."""
-    return found.repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(spread))).sortWithinPartitions("bucket", "token")
+def dealt(found: DataFrame, rows: int, tokens: int, key: str = "id") -> DataFrame:
+    """Postings of so many rows and tokens with their ``bucket`` and ``slot``, in one shuffle to as many tasks as their size asks
+    for: by bucket and, as a common token's bucket may hold a large part of them, by row as well. Tokens and slots
+    stand in order, so that a search reads the pages of its words."""
+    buckets = buckets_for(tokens)
+    files = max(1, math.ceil(tokens / FILE_TOKENS))
+    placed = found.withColumns({"bucket": bucket_of(F.col("token"), buckets), "slot": slot_of(F.col(key), F.col("n_tokens"), rows)})
+    return placed.repartition(files, F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(math.ceil(files / buckets)))).sortWithinPartitions("bucket", "token", "slot")
+
+
+def blocks(placed: DataFrame) -> DataFrame:
+    """``bucket, token, slot, rows, tf, least``: of each slot of a token, how many rows have it, its largest weighted count and its
+    shortest row. What a token scores in a slot is at most what these two give; a token's rows add up to its
+    document frequency."""
+    return placed.groupBy("bucket", "token", "slot").agg(F.count(F.when(F.col("first"), 1)).alias("rows"), F.max("tf").alias("tf"), F.min("n_tokens").alias("least"))
 
 
-def write_postings(found: DataFrame, path: str, key: str = "id") -> None:
-    """One folder a bucket."""
-    dealt(found, key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_postings(found: DataFrame, path: str, sizes: DataFrame, key: str = "id") -> None:
+    """``path/postings`` and ``path/blocks``, a folder for each bucket, and ``path/lengths``, all from ``lengths`` and ``postings``."""
+    spark = found.sparkSession
+    sizes.write.mode("overwrite").parquet(f"{path}/lengths")
+    total = spark.read.parquet(f"{path}/lengths").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    placed = dealt(found, *total, key)
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    held = blocks(spark.read.schema(placed.schema).parquet(f"{path}/postings"))
+    held.repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
+
+
+def _of_tokens(held: DataFrame, tokens: Sequence[str]) -> DataFrame:
+    """The rows of these tokens: both filters reach the scan."""
+    return held.filter(reduce(Column.__or__, [in_bucket(t) for t in tokens]) & F.col("token").isin(list(tokens)))
 
 
 def _standing(held: Column, tokens: list[str]) -> Column:
@@ -131,8 +213,7 @@ def search_postings(held: DataFrame, stats: DataFrame, query: str, *, key: str =
     tokens = sorted({t for p in phrases for t in p})
     if not tokens:
         return held.select(key, F.lit(0.0).alias("relevance")).filter(F.lit(False))
-    in_buckets = reduce(Column.__or__, [F.col("bucket") == bucket_of(F.lit(t)) for t in tokens])
-    own = held.filter(in_buckets & F.col("token").isin(tokens))
+    own = _of_tokens(held, tokens)
     passes = F.lit(True) if filters is None else F.coalesce(filters, F.lit(False))
     maps = own.groupBy(key, "field", "n_tokens", passes.alias("passes")).agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("at"))
     weight = reduce(lambda c, x: c.when(F.col("field") == x[0], F.lit(float(x[1]))), weights.items(), F.when(F.lit(False), F.lit(0.0))).otherwise(F.lit(0.0))
@@ -146,3 +227,54 @@ def search_postings(held: DataFrame, stats: DataFrame, query: str, *, key: str =
         score = score + bm25_term(idf(F.col("s.n").cast("double"), F.col(f"c.c{i}").cast("double")), F.col(f"tf{i}"), F.col("n_tokens").cast("double"), F.col("s.mean"))
     found = best.select(key, score.alias("relevance"))
     return found if limit is None else found.orderBy(F.desc("relevance"), key).limit(limit)
+
+
+def search_blocks(
+    held: DataFrame, held_blocks: DataFrame, stats: DataFrame, query: str, *, key: str = "id", filters: Column | None = None,
+    weights: Mapping[str, float] = WEIGHTS, limit: int = CANDIDATES, report: Callable[[dict], None] = lambda found: None,
+) -> DataFrame:
+    """The rows of ``search_postings``, reading only slots that can still matter.
+
+    ``blocks`` say how many rows have a token, so no posting is read for counts, in which slots all words of the
+    query occur, and what a row of such a slot can score at best. Slots are read from the best on, in rounds that
+    double; the worst of the best rows so far is a threshold that tightens with each round, and the search ends where
+    no slot left can reach it. A tie at the threshold is still read. ``report`` gets slots, slots read and rounds.
+
+    How often a phrase of several tokens occurs is known only from all its places: such a query is ``search_postings``.
+    ``weights`` are those of the postings. What comes to the driver are the query's slots, a number for each, and the best rows.
+    """
+    phrases = phrases_of(query)
+    if not phrases or any(len(p) > 1 for p in phrases):
+        return search_postings(held, stats, query, key=key, filters=filters, weights=weights, limit=limit)
+    words = [p[0] for p in phrases]
+    tokens = sorted(set(words))
+    own = _of_tokens(held_blocks, tokens)
+    total = stats.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), (F.sum("tokens") / F.sum("rows")).alias("mean")).first()
+    by_token = {r["token"]: r["c"] for r in own.groupBy("token").agg(F.sum("rows").alias("c")).collect()}
+    out = held.select(key, F.lit(0.0).alias("relevance"))
+    if len(by_token) < len(tokens):
+        report({"slots": 0, "read": 0, "rounds": 0})
+        return out.filter(F.lit(False))
+    weight = {t: idf(F.lit(float(total["n"])), F.lit(float(by_token[t]))) for t in tokens}
+    score = lambda tf, length: reduce(Column.__add__, [bm25_term(weight[w], tf(w), length.cast("double"), F.lit(total["mean"])) for w in words], F.lit(0.0))
+    of = lambda t, c: F.max(F.when(F.col("token") == t, F.col(c)))
+    slots = own.groupBy("slot").agg(*[of(t, "tf").alias(f"tf{i}") for i, t in enumerate(tokens)], F.least(*[of(t, "rows") for t in tokens], F.lit(1 << 60)).alias("rows"), F.max("least").alias("least"), F.count_distinct("token").alias("n"))
+    best = score(lambda w: F.col(f"tf{tokens.index(w)}"), F.col("least"))
+    bounds = slots.filter(F.col("n") == len(tokens)).select("slot", "rows", best.alias("bound")).orderBy(F.desc("bound"), "slot").collect()
+
+    per_row = _of_tokens(held, tokens).filter("first").filter(F.lit(True) if filters is None else filters)
+    found: list[tuple[float, object]] = []
+    at, rounds, want = 0, 0, 4 * limit
+    while at < len(bounds) and (len(found) < limit or bounds[at]["bound"] * (1 + 1e-9) >= found[limit - 1][0]):
+        chunk, rows = [], 0
+        while at < len(bounds) and rows < want:
+            chunk.append(bounds[at]["slot"])
+            rows += bounds[at]["rows"]
+            at += 1
+        some = per_row.filter(F.col("slot").isin(chunk)).groupBy(key, "n_tokens").agg(*[of(t, "tf").alias(f"tf{i}") for i, t in enumerate(tokens)], F.count_distinct("token").alias("n"))
+        scored = some.filter(F.col("n") == len(tokens)).select(key, score(lambda w: F.col(f"tf{tokens.index(w)}"), F.col("n_tokens")).alias("relevance"))
+        found += [(r["relevance"], r[key]) for r in scored.orderBy(F.desc("relevance"), key).limit(limit).collect()]
+        found = sorted(found, key=lambda x: (-x[0], x[1]))[:limit]
+        rounds, want = rounds + 1, 2 * want
+    report({"slots": len(bounds), "read": at, "rounds": rounds})
+    return held.sparkSession.createDataFrame([(k, r) for r, k in found], out.schema).orderBy(F.desc("relevance"), key)

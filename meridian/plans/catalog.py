@@ -18,8 +18,8 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 DOCUMENT_WEIGHTS = {"name": 5.0, "labels": 1.0, "body": 1.0}
-#: Indexes that this process wrote: a folder for each application and folder of tables.
-_posted: dict[tuple[str, str], str] = {}
+#: Indexes that this process wrote: a folder for each application and state of the documents' files.
+_posted: dict[tuple, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -67,15 +67,26 @@ class Tables:
     def documents(self) -> DataFrame:
         return self("documents").select(F.col("doc_id").alias("item_id"), "lang", "source", F.substring_index("text", ".", 1).alias("name"), F.concat_ws(" ", "lang", "source").alias("labels"), F.col("text").alias("body"))
 
-    def posted_documents(self) -> tuple[DataFrame, DataFrame]:
-        """Postings and lengths of the documents, written once for each folder of tables."""
-        own = (self.spark.sparkContext.applicationId, self.sf_dir)
+    def posted_documents(self) -> str:
+        """The folder of the documents' postings, written once for each state of the files: the name, size and time of each count."""
+        files = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf, state = self.spark.sparkContext._jsc.hadoopConfiguration(), []
+        for name in sorted(self("documents").inputFiles()):
+            where = files(name)
+            status = where.getFileSystem(conf).getFileStatus(where)
+            state.append((name, status.getLen(), status.getModificationTime()))
+        own = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(state))
         if own not in _posted:
             path = f"{checkpointed(self.spark)}/meridian-postings-{uuid.uuid4().hex}"
-            keyword.write_postings(keyword.postings(self.documents(), key="item_id", weights=DOCUMENT_WEIGHTS, filters=("lang",)), f"{path}/postings", "item_id")
-            keyword.lengths(self.documents(), key="item_id", weights=DOCUMENT_WEIGHTS).write.parquet(f"{path}/lengths")
+            found = keyword.postings(self.documents(), key="item_id", weights=DOCUMENT_WEIGHTS, filters=("lang",))
+            keyword.write_postings(found, path, keyword.lengths(self.documents(), key="item_id", weights=DOCUMENT_WEIGHTS), "item_id")
             _posted[own] = path
-        return self.spark.read.parquet(f"{_posted[own]}/postings"), self.spark.read.parquet(f"{_posted[own]}/lengths")
+        return _posted[own]
+
+    def posted(self, *names: str) -> list[DataFrame]:
+        path = self.posted_documents()
+        schemas = {"postings": "token string, item_id long, field string, positions array<int>, n_tokens long, tf double, first boolean, lang string, slot long, bucket int", "blocks": keyword.BLOCKS, "lengths": keyword.LENGTHS}
+        return [self.spark.read.schema(schemas[name]).parquet(f"{path}/{name}") for name in names]
 
     def chunks(self) -> DataFrame:
         return self("embeddings").select(F.col("vec_id").alias("chunk_key"), (F.col("vec_id") % 100).alias("item_id"), F.concat(F.lit("t"), (F.col("label") % 4).cast("string")).alias("chunk_type"), "label", "embedding")
@@ -228,7 +239,7 @@ k AS (SELECT item_id, {score} AS relevance FROM d2, s WHERE {" AND ".join(has)}
 
 def _keyword(t: Tables, text: str, lang: str | None = "en", limit: int = 50) -> DataFrame:
     filters = None if lang is None else F.col("lang") == lang
-    return keyword.search_postings(*t.posted_documents(), text, key="item_id", filters=filters, weights=DOCUMENT_WEIGHTS, limit=limit)
+    return keyword.search_postings(*t.posted("postings", "lengths"), text, key="item_id", filters=filters, weights=DOCUMENT_WEIGHTS, limit=limit)
 
 
 @query(f"WITH {_bm25_sql(['of the', 'er', 'and'], "lang = 'en'", 50)} SELECT item_id, round(relevance, 6) AS relevance FROM k")
@@ -249,6 +260,20 @@ def keyword_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword(Tables(spark, sf_dir), "of-the ER and -").select("item_id", F.round("relevance", 6).alias("relevance"))
 
 
+@query(rf"SELECT token, count(*) AS n_rows FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_tokens_sql("concat_ws(' ', split_part(text, '.', 1), lang, source, text)")}, '[^ ]+')) AS token FROM documents) GROUP BY token")
+def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows have each token, from the index's blocks. The first keyword query to run writes the index."""
+    (held,) = Tables(spark, sf_dir).posted("blocks")
+    return held.groupBy("token").agg(F.sum("rows").alias("n_rows"))
+
+
+@query(f"WITH {_bm25_sql(['er', 'and'], "lang = 'en'", 20)} SELECT item_id, round(relevance, 6) AS relevance FROM k")
+def keyword_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only slots of rows that can be among the best are read."""
+    found = keyword.search_blocks(*Tables(spark, sf_dir).posted("postings", "blocks", "lengths"), "ER and", key="item_id", filters=F.col("lang") == "en", weights=DOCUMENT_WEIGHTS, limit=20)
+    return found.select("item_id", F.round("relevance", 6).alias("relevance"))
+
+
 _NEAR = """q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7),
 h AS (SELECT vec_id AS chunk_key, vec_id % 100 AS item_id, 't' || (label % 4) AS chunk_type, list_cosine_distance(embedding::DOUBLE[], q) AS distance FROM embeddings, q WHERE {where} ORDER BY distance, vec_id LIMIT 50)"""
 

@@ -23,7 +23,7 @@ from meridian.streaming.store import Store, Transaction
 LANDED = "id string, org_id string, name string, register_url string, body string"
 EDGES = "source_id string, target_id string, kind string, register_id string"
 CONFLICTS = "conflicting_id string, existing_register_id string, attempted_register_id string, detected_at timestamp"
-POSTINGS = "token string, id string, field string, positions array<int>, n_tokens long, register_id string, org string, item_class string, status string"
+POSTINGS = "token string, id string, field string, positions array<int>, n_tokens long, tf double, first boolean, slot long, register_id string, org string, item_class string, status string"
 LENGTHS = "register_id string, rows long, tokens long"
 CRAWL_INTERVAL = 3600.0
 
@@ -37,8 +37,9 @@ def search_rows(items: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame
 def write_search(tx: Transaction, items: DataFrame, more: DataFrame) -> None:
     """Search rows of a transaction's registers, in place of those they had before."""
     found, sizes = search_rows(items, more)
-    tx.write("postings", keyword.dealt(found), "bucket", order=("bucket", "token"))
     tx.write("lengths", sizes)
+    total = tx.written_rows("lengths").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    tx.write("postings", keyword.dealt(found, *total), "bucket", order=("bucket", "token", "slot"))
 
 
 def ingest_batch(store: Store, landed: DataFrame, batch_id: int, source: str | None = None) -> int | None:

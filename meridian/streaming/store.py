@@ -213,6 +213,10 @@ class Transaction:
         rows.write.partitionBy(*partitions).parquet(f"{self.store.root}/{path}")
         self.written[name] = {"kind": kind, "partitions": list(partitions), "order": list(order), "columns": rows.dtypes, "folders": [{"path": path, "batch": self.version}]}
 
+    def written_rows(self, name: str) -> DataFrame:
+        """What this transaction wrote of a table."""
+        return self.spark.read.parquet(f"{self.store.root}/{self.written[name]['folders'][0]['path']}")
+
     def rewrite(self, name: str, rows: DataFrame, held: dict) -> None:
         """All that counts of a table, in place of its folders. A log's rows keep the version that wrote them."""
         path = f"{self.folder}/{name}"

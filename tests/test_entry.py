@@ -75,3 +75,14 @@ def test_keyword_queries_read_the_buckets_of_their_words(spark):
 def test_every_kind_of_chunk_is_in_the_query(spark):
     kinds = {r[0] for r in catalog.QUERIES["ingested_chunks"](spark, DATA).select("chunk_type").distinct().collect()}
     assert kinds == {"item_core", "item_description", "item_schema", "item_usage", "register_summary"}
+
+
+def test_changed_documents_give_changed_answers(spark, tmp_path):
+    """An index is of the files that are there, not of the folder's name."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("keyword_search", "keyword_top_k"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() > 0
+    docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    for name in ("keyword_search", "keyword_top_k", "keyword_index_scan", "document_frequencies"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0

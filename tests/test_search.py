@@ -1,5 +1,6 @@
 """Keyword, vector and hybrid search, held against the FTS of the standard library where it has one."""
 
+import random
 import sqlite3
 import unicodedata
 
@@ -50,8 +51,8 @@ def posted(spark, tmp_path_factory):
     df = spark.createDataFrame(ROWS, "id string, name string, abstract string, tags array<string>, description string")
     rows = df.withColumn("item_identifier", F.col("id"))
     path = str(tmp_path_factory.mktemp("postings"))
-    keyword.write_postings(keyword.postings(rows, filters=("name",)), path)
-    return spark.read.parquet(path), keyword.lengths(rows)
+    keyword.write_postings(keyword.postings(rows, filters=("name",)), path, keyword.lengths(rows))
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
 
 
 @pytest.mark.parametrize("query", ["geo", "feature geo", "geo-feature", "cafe", "geo_feature sensor", "features", "geo geo", "words", "missing", "geo-feature-geo", "- ()"])
@@ -70,6 +71,59 @@ def test_postings_filter_leaves_scores_and_prunes(posted):
     assert "In(token, [geo])" in plan or "EqualTo(token,geo)" in plan
 
 
+def _many(spark, seed, n=400):
+    """Rows of very different lengths, words from common to rare, in several fields."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda most: " ".join(rng.choice(words[: rng.choice([3, 10, 60])]) for _ in range(int(most ** rng.random())))
+    rows = [(f"k{i:04}", text(8), text(200), [text(4)], text(3000), rng.choice("xy")) for i in range(n)]
+    return spark.createDataFrame([*rows, ("empty", None, None, None, None, "x")], "id string, name string, abstract string, tags array<string>, description string, kind string").withColumn("item_identifier", F.col("id"))
+
+
+@pytest.mark.parametrize(("seed", "slot_rows", "bucket_tokens"), [(1, 16, 8_000_000), (2, 8, 2000)])
+def test_block_search_equals_the_full_scan_and_reads_less(spark, tmp_path, monkeypatch, seed, slot_rows, bucket_tokens):
+    monkeypatch.setattr(keyword, "SLOT_ROWS", slot_rows)
+    monkeypatch.setattr(keyword, "BUCKET_TOKENS", bucket_tokens)
+    rows, path = _many(spark, seed), str(tmp_path)
+    keyword.write_postings(keyword.postings(rows, filters=("kind",)), path, keyword.lengths(rows))
+    held, blocks, stats = (spark.read.parquet(f"{path}/{n}") for n in ("postings", "blocks", "lengths"))
+    assert (held.select("bucket").distinct().count() == 1) == (bucket_tokens > 10_000)
+    indexed = keyword.index(rows).cache()
+    seen = []
+    for query, filters, limit in (("w1", None, 5), ("w1 w2 w1", F.col("kind") == "y", 3), ("w40", None, 50), ("w0 w30 w50", None, 2), ("w0 none", None, 5), ("- ,", None, 5), ("w1-w2 w0", None, 4), ("w2 w1", F.lit(False), 4)):
+        want = [(r.id, round(r.relevance, 9)) for r in keyword.search(indexed, query, filters=filters, limit=limit).collect()]
+        got = [(r.id, round(r.relevance, 9)) for r in keyword.search_blocks(held, blocks, stats, query, filters=filters, limit=limit, report=seen.append).collect()]
+        assert got == want, query
+    assert seen[0]["read"] < seen[0]["slots"] and seen[1]["read"] < seen[1]["slots"] and seen[0]["rounds"] >= 1
+    frequencies = {r.token: r.n for r in blocks.groupBy("token").agg(F.sum("rows").alias("n")).collect()}
+    counts = held.groupBy("token").agg(F.count_distinct("id").alias("n")).collect()
+    assert frequencies == {r.token: r.n for r in counts}
+
+
+def test_slots_reach_the_scan(spark, tmp_path):
+    """The words' folder is opened, and of its rows only pages of the slots asked for are read."""
+    rows = _many(spark, 3, 3000).select("id", "name", "abstract", "tags", F.lit("").alias("description"), "kind", "item_identifier")
+    path = str(tmp_path)
+    spark.conf.set("parquet.page.row.count.limit", "200")
+    keyword.write_postings(keyword.postings(rows), path, keyword.lengths(rows))
+    spark.conf.unset("parquet.page.row.count.limit")
+    held = spark.read.parquet(f"{path}/postings")
+    slots = held.filter("token = 'w1'").groupBy("slot").count().orderBy("slot").collect()
+    some = keyword._of_tokens(held, ["w1"]).filter(F.col("slot").isin([slots[0]["slot"]]))
+    assert some.count() == slots[0]["count"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "slot" in plan.split("PushedFilters")[1].split("]")[0] and "EqualTo(token,w1)" in plan.replace("In(token, [w1])", "EqualTo(token,w1)")
+
+
+def test_postings_make_one_exchange_and_no_row_twice(spark):
+    rows = _many(spark, 4, 50)
+    found = keyword.postings(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    plan = keyword.dealt(found, 51, 10_000_000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert [keyword.buckets_for(n) for n in (0, 8_000_000, 8_000_001, 100_000_000, 10**14)] == [1, 1, 2, 16, 1 << 14]
+
+
 WORDS = ["tiếng", "Việt", "re\u0301sume\u0301", "résumé", "ΚΑΛΗΜΈΡΑ", "καλημέρας", "हिन्दी", "नमस्ते", "İstanbul", "istanbul", "STRASSE", "straße", "ẞ", "日本語", "ǅ", "Ǖ", "naïve", "Å", "ﬁn", "x\u0300\u0301y", "Ещё", "еще"]
 
 
