@@ -192,6 +192,13 @@ def walk_back_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.walk_back(Tables(spark, sf_dir).part_edges(), 7, 2)
 
 
+@query(_walk_sql("source_id", "target_id", 3))
+def walk_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk over edges that are kept in buckets of their nodes."""
+    path = f"{checkpointed(spark)}/meridian-adjacency-{uuid.uuid4().hex}"
+    return graph.walk(graph.write_adjacency(Tables(spark, sf_dir).part_edges(), path), 7, 3)
+
+
 _AROUND = f"{_EDGES}, o1 AS (SELECT * FROM e WHERE source_id = 7), o2 AS (SELECT * FROM e WHERE source_id IN (SELECT target_id FROM o1)), i1 AS (SELECT * FROM e WHERE target_id = 7), i2 AS (SELECT * FROM e WHERE target_id IN (SELECT source_id FROM i1)), g AS (SELECT * FROM o1 UNION SELECT * FROM o2 UNION SELECT * FROM i1 UNION SELECT * FROM i2)"
 
 
@@ -285,6 +292,15 @@ def nearest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_key", "item_id", "chunk_type", F.abs(F.round("distance", 6)).alias("distance"))
 
 
+@query(f"WITH {_NEAR.format(where='label < 8')} SELECT chunk_key, item_id, chunk_type, abs(round(distance, 6)) AS distance FROM h")
+def nearest_chunks_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search, reading cells until no other can hold a nearer chunk."""
+    t = Tables(spark, sf_dir)
+    kept = vector.write_cells(t.chunks(), f"{checkpointed(spark)}/meridian-cells-{uuid.uuid4().hex}")
+    found = vector.nearest_in_cells(kept, t.query_vector(), filters=F.col("label") < 8)
+    return found.select("chunk_key", "item_id", "chunk_type", F.abs(F.round("distance", 6)).alias("distance"))
+
+
 @query(f"WITH {_NEAR.format(where='label % 4 IN (0, 1, 2)')} SELECT item_id, abs(round(min(distance), 6)) AS distance, string_agg(DISTINCT chunk_type, ',' ORDER BY chunk_type) AS matched_chunk_types FROM h GROUP BY item_id")
 def best_chunk_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)

@@ -88,6 +88,29 @@ def test_levels_trim_and_repeat_cycles(catalog):
     assert graph.level_lists(graph.walk(catalog[3], "gone", 2)).count() == 0
 
 
+@pytest.mark.parametrize("bucket_edges", [4_000_000, 20])
+def test_adjacency_walks_like_the_edges_and_reads_the_frontiers_buckets(spark, tmp_path, monkeypatch, bucket_edges):
+    monkeypatch.setattr(graph, "BUCKET_EDGES", bucket_edges)
+    monkeypatch.setattr(graph, "FILE_EDGES", 10)
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", rng.choice("ab")) for _ in range(150)] + [("n1", f"m{i}", "a") for i in range(60)]
+    df = spark.createDataFrame(rows, "source_id string, target_id string, kind string")
+    near = graph.write_adjacency(df, str(tmp_path))
+    assert near.buckets() == (1 if bucket_edges > 1000 else 16)
+    for start in ("n1", "n2", "none"):
+        for step in (graph.walk, graph.walk_back):
+            assert sorted(map(tuple, step(near, start, 3).collect())) == sorted(map(tuple, step(df, start, 3).collect()))
+        assert set(graph.graph_edges(near, start, "both", 2).collect()) == set(graph.graph_edges(df, start, "both", 2).collect())
+    frontier = spark.createDataFrame([("n2",), ("n3",)], "source string")
+    level = graph.adjacent(near, frontier)
+    want = {r[0] for r in frontier.select(graph.bucket_of(F.col("source"), near.buckets())).collect()}
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    inside = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket" in inside and all(str(b) in inside for b in want)
+    files = [f for f in near.side(False).filter(F.col("bucket").isin(list(want))).inputFiles()]
+    assert len(files) == len(near.side(False).inputFiles()) or len(want) < near.buckets()
+
+
 def test_walk_equals_chain_of_joins(spark):
     """The walk against the set of all paths, on random graphs with cycles."""
     rng = random.Random(3)

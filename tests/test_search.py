@@ -246,3 +246,29 @@ def test_scalar_functions(spark):
 
     want = int.from_bytes(hashlib.sha1(b"k").digest()[:8], "big") & (1 << 63) - 1
     assert tuple(row) == ("x.y", "o", "aei straße", 0.75, 0.0, want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cells_find_what_a_full_scan_finds(spark, tmp_path, monkeypatch, seed):
+    """Clustered vectors, copies, zero and null ones; every query is exact, and near ones read few cells."""
+    from meridian.operators import vector
+
+    monkeypatch.setattr(vector, "CELL_ROWS", 20)
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [c + rng.gauss(0, 0.05) for c in rng.choice(centres)], f"t{i % 3}") for i in range(600)]
+    rows += [(600 + i, rows[i][1], "t0") for i in range(40)] + [(700, [0.0] * 6, "t0"), (701, None, "t1")]
+    df = spark.createDataFrame(rows, "chunk_key long, embedding array<float>, chunk_type string").repartition(3)
+    kept = vector.write_cells(df, str(tmp_path))
+    assert kept.chunks().count() == 640 and kept.cells().agg(F.sum("rows")).first()[0] == 640
+    seen = []
+    queries = [rows[3][1], centres[0], [-x for x in centres[1]], [rng.gauss(0, 1) for _ in range(6)], [1.0, 0, 0, 0, 0, 0]]
+    for query in queries:
+        for how in ({"limit": 5}, {"limit": 30, "filters": F.col("chunk_key") % 2 == 0}, {"limit": 7, "chunk_types": ["t2"]}, {"limit": 1000}):
+            want = [(r.chunk_key, round(r.distance, 12)) for r in vector.nearest(df, query, **how).collect()]
+            got = vector.nearest_in_cells(kept, query, report=seen.append, **how)
+            assert [(r.chunk_key, round(r.distance, 12)) for r in got.collect()] == want and set(got.columns) == {*df.columns, "distance"}
+    assert seen[0]["read"] < seen[0]["cells"] // 2 and seen[3]["read"] == seen[3]["cells"]
+    plan = vector.nearest_in_cells(kept, queries[0], limit=5)._jdf.queryExecution().executedPlan().toString()
+    assert "cell" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert vector.nearest_in_cells(kept, [0.0] * 6).count() == 0 and vector.nearest_in_cells(kept, []).count() == 0
