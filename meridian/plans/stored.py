@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meridian.plans.catalog import _CLAIMS, Tables, query, register_documents
 from meridian.schemas import ITEMS
 from meridian.session import checkpointed
+from meridian.streaming import ownership
 from meridian.streaming.ingest import EDGES, ingest_batch
 from meridian.streaming.store import Store
 
@@ -63,3 +64,43 @@ def stored_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_STORED} SELECT {_ROW}, name FROM s WHERE n % 5 <> 4")
 def compacted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compacted(spark, sf_dir).current(spark, "items", ITEMS).select("id", "register_id", "name")
+
+
+# ownership: for each of 50 registers a document a month, of what it sold; a document whose marker is the last one's is skipped
+
+
+def monthly_documents(t: Tables) -> DataFrame:
+    month = F.year("o_orderdate").cast("long") * 12 + F.month("o_orderdate")
+    lines = t("orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("r"), month.alias("seq")).join(t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity"), "o_orderkey")
+    item = F.when(F.col("l_quantity") > 40, F.concat(F.lit("p"), F.col("l_partkey") % 100))
+    docs = lines.groupBy("r", "seq").agg(F.array_sort(F.collect_set(item)).alias("items"))
+    return docs.select(F.concat(F.lit("r"), "r").alias("register_id"), "seq", F.concat(F.lit("m"), F.floor(F.col("seq") / 2)).alias("modified"), "items")
+
+
+_STANDING = """
+q AS (SELECT 'r' || (o_custkey % 50) AS register_id, (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS seq, list(DISTINCT 'p' || (l_partkey % 100)) FILTER (WHERE l_quantity > 40) AS items
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+m AS (SELECT *, 'm' || (seq // 2) AS modified FROM q),
+b AS (SELECT *, lag(modified) OVER (PARTITION BY register_id ORDER BY seq) AS before FROM m),
+d AS (SELECT *, row_number() OVER (PARTITION BY register_id ORDER BY seq) AS n, count(*) OVER (PARTITION BY register_id) AS last FROM b WHERE before IS DISTINCT FROM modified),
+e AS (SELECT register_id, seq, n, last, unnest(items) AS item_id FROM d WHERE items IS NOT NULL),
+f AS (SELECT *, row_number() OVER (PARTITION BY register_id, item_id ORDER BY n DESC) AS from_end FROM e),
+s AS (SELECT item_id, register_id, min(seq) AS since FROM f WHERE last - n + 1 = from_end GROUP BY ALL),
+o AS (SELECT *, first_value(register_id) OVER (PARTITION BY item_id ORDER BY since, register_id) AS owner FROM s)"""
+
+
+@query(f"WITH {_STANDING} SELECT item_id, register_id, since, owner FROM o")
+def standing_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.standing_claims(monthly_documents(Tables(spark, sf_dir)))
+
+
+@query(f"WITH {_STANDING} SELECT DISTINCT item_id, owner FROM o")
+def streamed_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same owners, kept as state of a stream over the documents in the order of their months."""
+    where = f"{checkpointed(spark)}/meridian-owners-{uuid.uuid4().hex}"
+    monthly_documents(Tables(spark, sf_dir)).repartitionByRange(4, "seq").write.parquet(f"{where}/in")
+    docs = spark.readStream.schema(ownership.DOCUMENTS).parquet(f"{where}/in")
+    changes = ownership.owner_changes(ownership.register_changes(docs))
+    run = changes.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return ownership.current_owners(spark.read.schema(ownership.OWNERS).parquet(f"{where}/out"))
