@@ -1,6 +1,8 @@
 """Polymorphic documents, chunks, sources and the stream."""
 
 import json
+import random
+import time
 import urllib.error
 
 import pytest
@@ -146,6 +148,81 @@ def test_http_source_has_a_partition_for_each_host(spark, tmp_path):
     assert http.landed(spark, str(tmp_path)).count() == 2
 
 
+def test_visits_follow_from_offsets_alone():
+    now = [1000.0]
+    urls = [f"http://{h}/{i}" for h in "abcd" for i in range(3)]
+    options = {"urls": json.dumps(urls), "workers": "2", "interval": "5", "every": "60"}
+    rng, requests, seen = random.Random(4), [], []
+    stream = http.HttpStream(options, clock=lambda: now[0])
+    start = stream.initialOffset()
+    for _ in range(200):
+        if rng.random() < 0.1:  # another process goes on
+            stream = http.HttpStream(options, clock=lambda: now[0])
+        end = stream.latestOffset()
+        parts = [p.urls for p in stream.partitions(start, end)]
+        hosts = [{u.split("/")[2] for u in part} for part in parts]
+        assert len(parts) <= 2 and (len(parts) < 2 or not hosts[0] & hosts[1])
+        requests += [(u, now[0]) for part in parts for u in part]
+        seen.append((start, end, parts))
+        start = end
+        now[0] += rng.choice([0, 1, 4, 11])
+    for url in urls:
+        at = [t for u, t in requests if u == url]
+        assert at[0] == 1000 and all(45 <= b - a <= 75 for a, b in zip(at[1:], at[2:], strict=False))  # a visit each minute, as near as batches come
+        assert abs(len(at) - 1 - (now[0] - 1000) / 60) <= 1
+    again = http.HttpStream(options)
+    assert all([p.urls for p in again.partitions(begin, end)] == parts for begin, end, parts in seen)
+    later = {"tick": start["tick"] + 10_000}
+    assert sorted(u for p in again.partitions(start, later) for u in p.urls) == sorted(urls)  # missed visits count as one
+
+
+def test_a_partition_lets_hosts_take_turns():
+    now, waits = [0.0], []
+
+    def sleep(seconds):
+        waits.append(seconds)
+        now[0] += seconds
+
+    reader = http.HttpReader({"urls": "[]", "interval": "2", "jitter": "0"})
+    reader.one = lambda url: (url, "{}", None)
+    got = [u for u, _, _ in reader.read(http.HostPartition(["http://a/1", "http://b/1", "http://a/2", "http://b/2"]), clock=lambda: now[0], sleep=sleep)]
+    assert got == ["http://a/1", "http://b/1", "http://a/2", "http://b/2"] and waits == [2.0]
+
+
+def test_a_stream_of_documents_survives_restarts(spark, tmp_path):
+    """All documents come with the first batch; a query that is started again finds none of them due."""
+    urls = []
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"n": i}))
+        urls.append(f"file://{tmp_path}/{i}.json")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    for _ in range(2):
+        stream = http.fetch_stream(spark, urls, interval=0, jitter=0, retries=0, every=100_000)
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+        try:
+            for _ in range(300):
+                if query.lastProgress is not None and query.lastProgress["batchId"] >= 1:
+                    break
+                assert query.exception() is None
+                time.sleep(0.2)
+        finally:
+            query.stop()
+        rows = spark.read.schema("url string, body string, error string").parquet(out).collect()
+        assert sorted((r.url, r.body) for r in rows) == [(u, json.dumps({"n": i})) for i, u in enumerate(sorted(urls))]
+
+
+def test_three_attempts_are_made():
+    tries = []
+
+    def opener(url, timeout):
+        tries.append(url)
+        raise OSError("down")
+
+    with pytest.raises(OSError):
+        http.get_text("u", sleep=lambda s: None, opener=opener)
+    assert len(tries) == 3
+
+
 def test_a_table_of_urls_is_fetched_by_its_tasks(spark, tmp_path):
     good = tmp_path / "g.json"
     good.write_text('{"a": 1}')
