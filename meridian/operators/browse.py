@@ -105,6 +105,28 @@ def browse(items: DataFrame, registers: DataFrame, *, limit: int = PAGE, offset:
     return page(found, "id", limit=limit, offset=offset, most=most).withColumn("number_matched", total.scalar())
 
 
+def filter_counts(items: DataFrame, registers: DataFrame) -> DataFrame:
+    """``item_class, status, register_id, org_id, n``: how many items have each combination of what can be filtered by. Kept beside the
+    items, it gives the count of any filter from as many rows as there are combinations."""
+    known = [c for c in ("item_class", "status", "register_id") if c in items.columns]
+    orgs = registers.select(F.col("id").alias("register_id"), "org_id")
+    return items.groupBy(*known).agg(F.count("*").alias("n")).join(orgs, "register_id", "left")
+
+
+def browse_after(items: DataFrame, registers: DataFrame, counts: DataFrame, after: object = None, *, limit: int = PAGE, most: int = MOST_REST, **filters: object) -> DataFrame:
+    """The page of matching items whose ids follow ``after``, the last id of the page before, or the first page; with
+    ``number_matched`` from ``filter_counts``.
+
+    The cursor is a range filter that reaches the scan, so a late page reads what an early one does, where an offset reads and
+    drops all pages before. Ids are distinct.
+    """
+    found = filtered_items(items, registers, **filters)
+    if after is not None:
+        found = found.filter(F.col("id") > F.lit(after))
+    total = where_equal(counts, **filters).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return page(found, "id", limit=limit, most=most).withColumn("number_matched", total.scalar())
+
+
 def hydrate(ranked: DataFrame, items: DataFrame, key: str = "item_id") -> DataFrame:
     """Items of ``ranked(key, score, rank)`` in rank order; ids without an item drop out."""
     return ranked.join(items.withColumnRenamed("id", key), key).orderBy("rank")

@@ -55,10 +55,12 @@ class Tables:
 
     def trade_edges(self) -> DataFrame:
         """Customer nation to supplier nation for each return flag, over all orders."""
-        owners = self.owners()
+        return edges.roll_up(self.sold_edges(), self.owners())
+
+    def sold_edges(self) -> DataFrame:
+        """Customer to supplier for each return flag."""
         lines = self("lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").join(self("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-        found = lines.select(F.concat(F.lit("c"), "o_custkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"), F.col("l_returnflag").alias("kind")).distinct()
-        return edges.roll_up(found, owners)
+        return lines.select(F.concat(F.lit("c"), "o_custkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"), F.col("l_returnflag").alias("kind")).distinct()
 
     def owners(self) -> DataFrame:
         c = self("customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_nationkey").alias("register_id"))
@@ -112,6 +114,13 @@ def browse_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.browse(t.items(), t.registers(), item_class="BUILDING", org_id=2, limit=20, offset=20)
 
 
+@query("SELECT c_custkey AS id, c_nationkey AS register_id, c_name AS name, c_mktsegment AS item_class, c_acctbal AS balance, number_matched FROM (SELECT *, count(*) OVER () AS number_matched FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND n_regionkey = 2) WHERE c_custkey > 40 ORDER BY id LIMIT 20")
+def browse_seek_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after a cursor, with a count from the kept counts."""
+    t = Tables(spark, sf_dir)
+    return browse.browse_after(t.items(), t.registers(), browse.filter_counts(t.items(), t.registers()), 40, item_class="BUILDING", org_id=2)
+
+
 @query("SELECT r_regionkey AS id, r_name AS name FROM region")
 def organization_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.list_organizations(Tables(spark, sf_dir).organizations())
@@ -176,6 +185,23 @@ def register_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).trade_edges()
 
 
+_SOLD = "SELECT DISTINCT 'c' || o_custkey AS source_id, 's' || l_suppkey AS target_id, l_returnflag AS kind, c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"
+
+
+@query(f"SELECT a AS source_register_id, b AS target_register_id, kind, count(*) AS n FROM ({_SOLD}) WHERE a <> b GROUP BY ALL")
+def roll_up_by_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A roll-up of an older state, in which even registers lacked edges and some of their suppliers stood under another one, and what a
+    batch of these registers changes in it."""
+    t = Tables(spark, sf_dir)
+    now, owners = t.sold_edges(), t.owners()
+    even = F.col("register_id") % 2 == 0
+    older = now.join(owners.filter(even).select(F.col("id").alias("source_id")), "source_id", "left_anti").unionByName(now.filter("kind <> 'R'").join(owners.filter(even).select(F.col("id").alias("source_id")), "source_id", "left_semi"))
+    held = owners.withColumn("register_id", F.when(even & F.endswith("id", F.lit("3")), (F.col("register_id") + 2) % 24).otherwise(F.col("register_id")))
+    batch = owners.filter(even).select("register_id").union(held.filter(even).select("register_id")).distinct()
+    changes = edges.crossing_changes((older, held), (now, owners), batch)
+    return edges.with_changes(edges.crossings(older, held), changes)
+
+
 def _walk_sql(source: str, target: str, depth: int) -> str:
     levels = [f"l1 AS (SELECT DISTINCT {source} AS source, {target} AS target, kind FROM e WHERE {source} = 7)"]
     levels += [f"l{i} AS (SELECT DISTINCT {source} AS source, {target} AS target, kind FROM e WHERE {source} IN (SELECT target FROM l{i - 1}))" for i in range(2, depth + 1)]

@@ -88,6 +88,52 @@ def test_levels_trim_and_repeat_cycles(catalog):
     assert graph.level_lists(graph.walk(catalog[3], "gone", 2)).count() == 0
 
 
+def test_seek_pages_are_the_offset_pages(spark, catalog, tmp_path):
+    orgs, registers, items, _ = catalog
+    counts = browse.filter_counts(items, registers)
+    for filters in ({}, {"item_class": "schema"}, {"org_id": "o1"}, {"status": "stable", "org_id": "o1"}, {"register_id": "none"}):
+        want = [tuple(r) for r in browse.browse(items, registers, limit=100, **filters).select("id", "number_matched").collect()]
+        got, after = [], None
+        while rows := browse.browse_after(items, registers, counts, after, limit=1, **filters).select("id", "number_matched").collect():
+            got.append(tuple(rows[0]))
+            after = rows[0]["id"]
+        assert got == want
+    items.write.parquet(str(tmp_path / "items"))
+    plan = browse.browse_after(spark.read.parquet(str(tmp_path / "items")), registers, counts, "i2")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,i2)" in plan
+
+
+def test_roll_up_by_differences_equals_the_full_one(spark):
+    """Random batches that rewrite registers, with items that change hands, come and go."""
+    rng = random.Random(2)
+    names = [f"i{n}" for n in range(12)]
+    owner = {n: rng.choice("abcd") for n in names}
+    links = {r: set() for r in "abcd"}
+    frames = lambda: (
+        spark.createDataFrame([(s, t, k) for r in links for s, t, k in links[r]], "source_id string, target_id string, kind string"),
+        spark.createDataFrame(list(owner.items()), "id string, register_id string"),
+    )
+    before = frames()
+    kept = edges.crossings(*before)
+    for _ in range(4):
+        changed = rng.sample("abcd", rng.randint(1, 2))
+        for n in names:
+            if owner.get(n) in changed or n not in owner:
+                if rng.random() < 0.4:
+                    owner.pop(n, None)
+                if n not in owner and rng.random() < 0.6:
+                    owner[n] = rng.choice(changed)
+        for r in "abcd":
+            links[r] = {x for x in links[r] if owner.get(x[0]) == r} if r not in changed else {(n, rng.choice(names), rng.choice("kl")) for n in names if owner.get(n) == r for _ in range(3)}
+        after = frames()
+        batch = spark.createDataFrame([(r,) for r in changed], "register_id string")
+        rows = [tuple(r) for r in edges.with_changes(kept, edges.crossing_changes(before, after, batch)).collect()]
+        assert sorted(rows) == sorted(tuple(r) for r in edges.crossings(*after).collect())
+        assert {r[:3] for r in rows} == {tuple(r) for r in edges.roll_up(*after).collect()}
+        kept = spark.createDataFrame(rows, "source_register_id string, target_register_id string, kind string, n long")
+        before = after
+
+
 @pytest.mark.parametrize("bucket_edges", [4_000_000, 20])
 def test_adjacency_walks_like_the_edges_and_reads_the_frontiers_buckets(spark, tmp_path, monkeypatch, bucket_edges):
     monkeypatch.setattr(graph, "BUCKET_EDGES", bucket_edges)
