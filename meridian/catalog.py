@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meridian.operators import bookkeeping, browse, edges, graph, hybrid, keyword, vector
+from meridian.functions.text import org_of_register
+from meridian.operators import answers, bookkeeping, browse, edges, graph, hybrid, keyword, vector
 from meridian.sources.embeddings import Provider
 
 _PUBLIC_HIDES = ("status", "last_crawled_at", "last_crawl_status", "last_error", "modified", "indexer_version")
@@ -70,6 +71,10 @@ class Catalog:
     def register_edges(self) -> DataFrame:
         return edges.roll_up(self.item_edges, self.items.select("id", "register_id"))
 
+    def item_answers(self, ids: Sequence[str]) -> DataFrame:
+        """``id, answer, viewer_link`` of the items asked for, the answer as JSON."""
+        return answers.item_answers(browse.where_in(self.items, "id", list(ids)), self.item_edges, self.registers)
+
     def item_graph(self, item_id: str, direction: str = "both", depth: int = graph.DEPTH_REST) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges. An unknown start is an error: asking for it is a point lookup."""
         self._known(self.items, item_id)
@@ -85,7 +90,8 @@ class Catalog:
     def register_graph(self, register_id: str, direction: str = "both", depth: int = graph.DEPTH_REST) -> tuple[DataFrame, DataFrame]:
         self._known(self.registers, register_id)
         found = graph.graph_edges(self.register_edges(), register_id, direction, depth, source="source_register_id", target="target_register_id")
-        return graph.graph_nodes(found, register_id, self.registers.select("id", "name", "org_id")), found
+        nodes = graph.graph_nodes(found, register_id, self.registers.select("id", "name", "org_id"))
+        return nodes.withColumn("org_id", F.coalesce("org_id", org_of_register(F.col("id")))), found  # an unknown register's id says whose it is
 
     def item_dependencies(self, item_id: str, depth: int = graph.DEPTH_TOOL, direction: str = "depends_on") -> DataFrame:
         """Levels as the walk finds them; against the edges, the source is the item walked from."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meridian.catalog import Catalog
 from meridian.functions.text import host_of, row_id
-from meridian.operators import bookkeeping, browse, edges, graph, hybrid, ingest, keyword, vector
+from meridian.operators import answers, bookkeeping, browse, edges, graph, hybrid, ingest, keyword, vector
 from meridian.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +185,21 @@ def register_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).trade_edges()
 
 
+@query(f"""WITH {_EDGES}, o AS (SELECT source_id AS id, list({{'id': target_id::VARCHAR, 'kind': kind}} ORDER BY target_id::VARCHAR, kind) AS l FROM e GROUP BY 1),
+i AS (SELECT target_id AS id, list({{'id': source_id::VARCHAR, 'kind': kind}} ORDER BY source_id::VARCHAR, kind) AS l FROM e GROUP BY 1)
+SELECT p_partkey::VARCHAR AS id, to_json({{'id': p_partkey::VARCHAR, 'register_id': (p_partkey % 25)::INTEGER, 'name': CASE WHEN p_partkey % 4 <> 0 THEN p_name END, 'depends_on': coalesce(o.l, []), 'dependents': coalesce(i.l, [])}})::VARCHAR AS answer,
+  CASE WHEN p_partkey % 25 % 5 <> 0 THEN 'http://v/' || (p_partkey % 25) || '/bblock/' || p_partkey END AS viewer_link
+FROM part LEFT JOIN o ON o.id = p_partkey LEFT JOIN i ON i.id = p_partkey""")
+def item_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    key = F.col("p_partkey")
+    items = t("part").select(key.cast("string").alias("id"), (key % 25).cast("int").alias("register_id"), F.when(key % 4 != 0, F.col("p_name")).alias("name"))
+    slash = F.when(F.col("id") % 2 == 0, "/").otherwise("")
+    viewers = t.registers().select(F.col("id").cast("int").alias("id"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("http://v/"), F.col("id").cast("string"), slash)).alias("viewer_url"))
+    links = t.part_edges().select(F.col("source_id").cast("string").alias("source_id"), F.col("target_id").cast("string").alias("target_id"), "kind")
+    return answers.item_answers(items, links, viewers)
+
+
 _SOLD = "SELECT DISTINCT 'c' || o_custkey AS source_id, 's' || l_suppkey AS target_id, l_returnflag AS kind, c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"
 
 

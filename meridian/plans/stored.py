@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meridian.plans.catalog import _CLAIMS, Tables, query, register_documents
 from meridian.schemas import ITEMS
 from meridian.session import checkpointed
+from meridian.sources.chunk_sink import ChunkStore
 from meridian.streaming import ownership
 from meridian.streaming.ingest import EDGES, ingest_batch
 from meridian.streaming.store import Store
@@ -104,3 +105,18 @@ def streamed_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = changes.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return ownership.current_owners(spark.read.schema(ownership.OWNERS).parquet(f"{where}/out"))
+
+
+@query("""
+WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7),
+e AS (SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE label <> 3)
+SELECT 'v' || vec_id AS chunk_key, abs(round(list_cosine_distance(e, q), 6)) AS distance FROM e, q ORDER BY list_cosine_distance(e, q), chunk_key LIMIT 50""")
+def chunk_store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks put in, every tenth put in again with another vector, those of one label taken out, and the nearest of the rest."""
+    t = Tables(spark, sf_dir)
+    store = ChunkStore(spark, f"{checkpointed(spark)}/meridian-chunks-{uuid.uuid4().hex}", "chunk_key string, label int, embedding array<float>")
+    rows = t("embeddings").select("vec_id", F.concat(F.lit("v"), "vec_id").alias("chunk_key"), F.col("label").cast("int").alias("label"), "embedding")
+    store.upsert(rows)
+    store.upsert(rows.filter("vec_id % 10 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    store.delete_where(F.col("label") == 3)
+    return store.search(t.query_vector()).select("chunk_key", F.abs(F.round("distance", 6)).alias("distance"))

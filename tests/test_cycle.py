@@ -61,6 +61,9 @@ def test_cycle_and_catalog(spark, world):
         served.item_graph("none")
     assert served.item_dependencies("sensor.two", direction="dependents").first().edges[0].target == "geo.one"
     assert served.register_dependencies("o/a").count() == 1 and served.item_graph("geo.one")[1].count() == 1
+    answer = served.item_answers(["geo.one"]).first()
+    assert json.loads(answer.answer)["depends_on"] == [{"id": "sensor.two", "kind": "dependsOn"}] and answer.viewer_link is None and json.loads(answer.answer)["version"] is None
+    assert {r.org_id for r in nodes.collect()} == {"o"}
     assert [(r.conflicting_id, r.existing_register_id) for r in served.conflicts().collect()] == [("geo.one", "o/a")]
     assert "status" not in served.list_registers("o").columns and served.item_detail("geo.one").count() == 1
     assert [r.found for r in served.get_items(["bad", "no"]).collect()] == [True, False]
