@@ -274,7 +274,10 @@ def _classified(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # a class is a set of shingles; its number is given once, and no doc_id stands for it before the end
     filled = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
     one = filled.agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")])
-    classes = table(one.withColumn("class", F.monotonically_increasing_id()), "classes")
+    # numbers follow the smallest doc_ids, so a bucket's first class is the oldest one, of which the others are likelier to be copies than of each other
+    found = table(one, "found")
+    classes = table(found.orderBy("rep", "digest").withColumn("class", F.monotonically_increasing_id()), "classes")
+    discard(found)
     reps = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("n"), "sig", "bands")
 
     bands = reps.select("a", F.explode("bands").alias("key"))
