@@ -31,6 +31,10 @@ SPACE = "▁"
 CHUNK, GROUP = 16384, 256
 _UNKNOWN_PENALTY, _SCALE, _SHIFT = 10.0, 1 << 16, 64
 _GROUP = 1 << 20
+#: Code points of a word that is segmented together with others, and about how many bytes of words go together.
+_SHORT, _SLICE = 64, 1 << 17
+#: Fewer words than this go one by one.
+_FEW = 16
 _loaded: dict[str, Model] = {}
 
 
@@ -76,8 +80,27 @@ class Model:
         inside = {c for p in self.pieces if len(p) > 1 for c in p}
         if "\n" in inside or any(SPACE in p[1:] and p.strip(SPACE) for p in self.pieces):
             raise ValueError("pieces run across words or lines")
+        self._grow()
         self.cache = WordTable()
 
+    def _grow(self) -> None:
+        """The pieces as a tree of UTF-8 bytes with a space for the mark: what begins longer pieces has a row of children."""
+        spelled = {p.replace(SPACE, " ").encode(): (len(p), *found) for p, found in self.pieces.items() if " " not in p}
+        inner = sorted({p[:i] for p in spelled for i in range(len(p))})
+        number = {p: i for i, p in enumerate(inner)}
+        for p in spelled:
+            number.setdefault(p, len(number))
+        self.children = np.full((max(1, len(inner)), 256), -1, np.int32)
+        for p, i in number.items():
+            if p:
+                self.children[number[p[:-1]], p[-1]] = i
+        #: By node, and last for a character without a piece: code points (0: no piece ends here), id and scaled score.
+        self.node_chars, self.node_ids, self.node_scores = (np.zeros(len(number) + 1, kind) for kind in (np.int64, np.uint32, np.int64))
+        for p, (chars, own, score) in spelled.items():
+            i = number[p]
+            self.node_chars[i], self.node_ids[i], self.node_scores[i] = chars, own, score
+        self.node_chars[-1], self.node_scores[-1] = 1, self.unknown
+
     def step(self, s: str, i: int, stop: int) -> list[tuple[int, int]]:
         """``(end, weight)`` of the pieces that start at ``i`` and end by ``stop``."""
         out, single = [], False
@@ -137,6 +160,96 @@ class Model:
                 ids += self.ids_of(part)
         return array("I", ids).tobytes(), (best[n] << _SHIFT) + ties[n] - tie[n]  # the word's end has no part in the sum
 
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words with spaces for marks in a row, how many each has, and the words' scores; as ``_word`` has them."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        short = sizes <= _SHORT
+        for i in np.flatnonzero(~short).tolist():
+            short[i] = len(words[i].decode()) <= _SHORT
+        if np.count_nonzero(short) < _FEW:
+            short[:] = False
+        together, alone = np.flatnonzero(short), np.flatnonzero(~short)
+        parts = np.split(together, np.flatnonzero(np.diff(np.cumsum(sizes[together]) // _SLICE)) + 1) if len(together) else []
+        found = [self._short([words[i] for i in part.tolist()]) for part in parts]
+        for i in alone.tolist():
+            ids, weight = self._word(words[i].decode().replace(" ", SPACE))
+            found.append((np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]), np.array([(weight >> _SHIFT) / _SCALE])))
+        ids, counts, scores = (np.concatenate(c) for c in zip((np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0)), *found, strict=True))
+        if len(alone) and len(together):  # back to the order of the words
+            order = np.argsort(np.concatenate([together, alone]))
+            places = (np.cumsum(counts) - counts)[order]
+            counts, scores = counts[order], scores[order]
+            ids = ids[np.repeat(places - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))]
+        return ids, counts, scores
+
+    def _short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``words`` for short ones: the lattices of all of them side by side, the k-th code points of all at a time.
+
+        A word of n code points has n + 1 points; an edge is a piece, or a character without one, from point to point.
+        """
+        codes = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        at = np.flatnonzero(codes & 0xC0 != 0x80)
+        word = np.searchsorted(ends, at, "right")
+        until = ends[word]
+        chars = np.bincount(word, minlength=len(words))
+        last = np.cumsum(chars + 1) - 1
+        depth = np.arange(len(at)) - (np.cumsum(chars) - chars)[word]
+        # what matches from each character on
+        live, place, node = np.arange(len(at)), at, self.children[0, codes[at]]
+        lives, nodes = [], []
+        while len(live):
+            live, place, node = (x[node >= 0] for x in (live, place, node))
+            hit = self.node_chars[node] > 0
+            lives.append(live[hit])
+            nodes.append(node[hit])
+            place = place + 1
+            more = (node < len(self.children)) & (place < until[live])
+            live, place = live[more], place[more]
+            node = self.children[node[more], codes[place]]
+        live, node = np.concatenate(lives), np.concatenate(nodes)
+        single = np.zeros(len(at), bool)
+        single[live[self.node_chars[node] == 1]] = True
+        alone = np.flatnonzero(~single)
+        live, node = np.concatenate([live, alone]), np.concatenate([node, np.full(len(alone), len(self.node_chars) - 1, node.dtype)])
+        # edges by how far into their words they end, then by end, longest first
+        long = self.node_chars[node]
+        start = live + word[live]
+        order = np.argsort((depth[live] + long << 48) + (start + long << 8) + (_SHORT - long))
+        live, node, start, long = live[order], node[order], start[order], long[order]
+        end, score = start + long, self.node_scores[node]
+        first = np.flatnonzero(np.diff(end, prepend=-1))
+        points, sizes = end[first], np.diff(first, append=len(end))
+        best, ties, back = (np.zeros(last[-1] + 1, np.int64) for _ in range(3))
+        groups = np.searchsorted((depth[live] + long)[first], np.arange(1, chars.max() + 2))
+        for k, (a, b) in enumerate(zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True), 1):
+            lo, hi = first[a], first[b] if b < len(first) else len(end)
+            begin = first[a:b] - lo
+            value = best[start[lo:hi]] + score[lo:hi]
+            top = np.maximum.reduceat(value, begin)
+            tie = np.where(value == np.repeat(top, sizes[a:b]), ties[start[lo:hi]], -1)
+            most = np.maximum.reduceat(tie, begin)
+            won = np.flatnonzero(tie == np.repeat(most, sizes[a:b]))[::-1] + lo  # of equal ones the longest is written last
+            best[points[a:b]], ties[points[a:b]], back[end[won]] = top, most + _TIES[k], won
+        # an edge of a best path is the only one of them that leaves its point
+        left, now = np.full(len(best), -1), last
+        zero = last - chars
+        while len(now):
+            edge = back[now]
+            now = start[edge]
+            left[now] = edge
+            more = now > zero
+            now, zero = now[more], zero[more]
+        path = left[left >= 0]
+        live, node = live[path], node[path]
+        lone = node == len(self.node_chars) - 1
+        parts = np.where(lone, np.append(at[1:], len(codes))[live] - at[live], 1)
+        ids = np.repeat(self.node_ids[node], parts)
+        if lone.any():
+            inside = np.repeat(at[live] - (np.cumsum(parts) - parts), parts) + np.arange(len(ids))
+            ids = np.where(np.repeat(lone, parts), np.array(self.byte_ids, np.uint32)[codes[np.minimum(inside, len(codes) - 1)]], ids)
+        return ids, np.bincount(word[live], parts, len(words)).astype(np.int64), best[last] / _SCALE
+
     def forward(self, s: str, entry: dict[int, int], limit: int, base: int, stop: int) -> tuple[dict[int, int], dict[int, int]]:
         """Best weights of positions from the ``entry`` ones on, expanding positions before ``limit``.
 
@@ -214,11 +327,7 @@ class Model:
         starts = np.flatnonzero(head)
         ends = np.append(starts[1:], len(codes))
 
-        def make(words: list[bytes]) -> list[tuple[np.ndarray, float]]:
-            found = map(self._word, [w.decode().replace(" ", SPACE) for w in words])
-            return [(np.frombuffer(ids, "<u4"), (w >> _SHIFT) / _SCALE) for ids, w in found]
-
-        ids, sizes, scores = self.cache.look_up(data, starts, ends, make)
+        ids, sizes, scores = self.cache.look_up_rows(data, starts, ends, self.words)
         bounds = np.cumsum([len(t) + 1 for t in texts_])
         last = np.searchsorted(starts, bounds) - 1  # each text's added line end
         after = np.cumsum(sizes)

@@ -187,6 +187,17 @@ class WordTable:
 
     def look_up(self, data: bytes, starts: np.ndarray, ends: np.ndarray, make: Callable[[list[bytes]], list[tuple[Sequence[int], float]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words in a row, how many each has, and each one's value. ``make`` is asked for unknown words, once each."""
+
+        def rows(new: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            found = make(new)
+            lengths = np.fromiter((len(ids) for ids, _ in found), np.int64, len(found))
+            worth = np.fromiter((v for _, v in found), np.float64, len(found))
+            return np.fromiter(chain.from_iterable(ids for ids, _ in found), np.uint32, int(lengths.sum())), lengths, worth
+
+        return self.look_up_rows(data, starts, ends, rows)
+
+    def look_up_rows(self, data: bytes, starts: np.ndarray, ends: np.ndarray, make: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``look_up`` with a ``make`` that gives what this gives: ids in a row, how many each word has, and values."""
         low, high = self._keys(data, starts, ends)
         slots = (mix(low + high * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(self.slots - 1)).astype(np.int64)
         places, sizes, values = self.places[slots].astype(np.int64), self.sizes[slots].astype(np.int64), self.values[slots]
@@ -194,10 +205,8 @@ class WordTable:
         if len(missed):
             new: dict[bytes, int] = {}
             which = np.array([new.setdefault(data[a:b], len(new)) for a, b in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True)], np.int64)
-            found = make(list(new))
-            lengths = np.fromiter((len(ids) for ids, _ in found), np.int64, len(found))
-            worth = np.fromiter((v for _, v in found), np.float64, len(found))
-            more = int(lengths.sum())
+            made, lengths, worth = make(list(new))
+            more = len(made)
             if self.used + more > self.held:  # start over, keeping what this call looks up
                 sizes[missed] = 0
                 keep = np.repeat(places - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -205,7 +214,7 @@ class WordTable:
                 self.flat = np.concatenate([self.flat[keep], np.zeros(max(self.held, more), np.uint32)])
                 places = np.cumsum(sizes) - sizes
             begin = self.used + np.cumsum(lengths) - lengths
-            self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids for ids, _ in found), np.uint32, more)
+            self.flat[self.used : self.used + more] = made
             self.used += more
             places[missed], sizes[missed], values[missed] = begin[which], lengths[which], worth[which]
             at = slots[missed]  # where several share a slot, the last one of a kind has all of it

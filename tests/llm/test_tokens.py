@@ -143,6 +143,35 @@ def test_together_equals_word_by_word(texts):
     assert model.encode_all(texts) == [(b"".join(ids for ids, _ in own), sum(w >> sp._SHIFT for _, w in own) / sp._SCALE) for own in words]
 
 
+_LETTERS = st.sampled_from("abehinorstquv0'é日😀\x00\x7f")
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", " "]), st.text(_LETTERS, min_size=1, max_size=90)).map("".join), max_size=60), st.sampled_from([1, 16]))
+def test_words_side_by_side_equal_words_one_by_one(words, few):
+    """Short and long words, characters without a piece, equal scores, and slices of a few words."""
+    model, was = sp.model(PIECES), (sp._SLICE, sp._FEW)
+    words.append("\n")
+    sp._SLICE, sp._FEW = 100, few
+    try:
+        ids, counts, scores = model.words([w.encode() for w in words])
+    finally:
+        sp._SLICE, sp._FEW = was
+    want = [model._word(w.replace(" ", "▁")) for w in words]
+    assert ids.astype("<u4").tobytes() == b"".join(i for i, _ in want) and counts.tolist() == [len(i) // 4 for i, _ in want]
+    assert scores.tolist() == [(w >> sp._SHIFT) / sp._SCALE for _, w in want]
+
+
+def test_new_words_are_not_segmented_one_by_one(monkeypatch):
+    model, rng, asked = sp.Model(PIECES), random.Random(4), []
+    text = prose(rng, 3000)
+    want = [model._word(w) for w in sp.words_of(sp.prepared(text))]
+    plain = model._word
+    monkeypatch.setattr(model, "_word", lambda s: asked.append(s) or plain(s))
+    assert model.encode(text) == (b"".join(ids for ids, _ in want), sum(w >> sp._SHIFT for _, w in want) / sp._SCALE)
+    assert len(asked) < sp._FEW < len(set(text.split()))
+
+
 def test_words_that_polynomials_confuse(model):
     a, b = thue_morse()
     got = [ids for ids, _ in model.encode_all([a, b, f"{a} {b}"])]
