@@ -1,8 +1,8 @@
 """A vector store as a sink: chunks are put in by key, taken out by a condition, and searched.
 
 Each task writes a file of its own and says its name; the driver's commit adds the names to a manifest, the one step that
-counts. A task that fails takes its file away, an abort takes away all files of the job, and what a lost executor leaves is in no
-manifest. A stream's batch that comes again finds its number in the manifest and changes nothing. Of several rows of a key
+counts. Files have their job's name: an abort takes away all of them, also those of tasks that were killed and said nothing, and
+leaves a mark by which a task that still writes knows to take its own away. What is left nevertheless is in no manifest. A stream's batch that comes again finds its number in the manifest and changes nothing. Of several rows of a key
 the newest counts; a deletion is a row too, until ``compact`` writes what is left. A store has one writer at a time.
 """
 
@@ -62,23 +62,42 @@ class _Files:
 
     def __init__(self, options: dict, schema: StructType) -> None:
         self.path, self.stream, self.schema = options["path"], options.get("stream", ""), to_arrow_schema(schema)
+        self.job = uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = _at(self.path)
         fs.create_dir(f"{root}/data")
-        name = f"{uuid.uuid4().hex}.parquet"
+        name = f"{self.job}-{uuid.uuid4().hex}.parquet"
         where, rows = f"{root}/data/{name}", 0
         try:
             with pq.ParquetWriter(where, self.schema, filesystem=fs) as out:
+                self._stands(fs, root)
                 for batch in iterator:
                     out.write_batch(pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(batch.columns, self.schema.types, strict=True)], schema=self.schema))
                     rows += batch.num_rows
+            self._stands(fs, root)
         except BaseException:
             with contextlib.suppress(FileNotFoundError):
                 fs.delete_file(where)
             raise
         return Written(name, rows)
 
+    def _stands(self, fs: pafs.FileSystem, root: str) -> None:
+        if fs.get_file_info(f"{root}/aborted/{self.job}").type != pafs.FileType.NotFound:
+            raise InterruptedError("the job was aborted")
+
+    def withdraw(self) -> None:
+        """The mark first, then the files: one that is made after the look at them is made by a task that sees the mark."""
+        fs, root = _at(self.path)
+        fs.create_dir(f"{root}/aborted")
+        with fs.open_output_stream(f"{root}/aborted/{self.job}") as f:
+            f.write(b"")
+        held = manifest(self.path)["files"]
+        for info in fs.get_file_info(pafs.FileSelector(f"{root}/data", allow_not_found=True)):
+            if info.base_name.startswith(self.job) and info.base_name not in held:
+                with contextlib.suppress(FileNotFoundError):
+                    fs.delete_file(info.path)
+
     def remove(self, messages: Sequence[Written | None]) -> None:
         fs, root = _at(self.path)
         for m in messages:
@@ -108,7 +127,7 @@ class ChunkWriter(DataSourceArrowWriter):
         self.files.publish(messages)
 
     def abort(self, messages: list) -> None:
-        self.files.remove(messages)
+        self.files.withdraw()
 
 
 class ChunkStreamWriter(DataSourceStreamArrowWriter):
@@ -122,7 +141,7 @@ class ChunkStreamWriter(DataSourceStreamArrowWriter):
         self.files.publish(messages, batchId)
 
     def abort(self, messages: list, batchId: int) -> None:  # noqa: N803
-        self.files.remove(messages)
+        self.files.withdraw()
 
 
 class ChunkSink(DataSource):
@@ -181,7 +200,7 @@ class ChunkStore:
         return newest.filter(f"not {DELETED}").drop(DELETED)
 
     def compact(self) -> None:
-        """Write what counts into files of its own and delete all others."""
+        """Write what counts into files of its own and delete all others, and the marks of aborted jobs."""
         before = manifest(self.path)
         self._write(self.current(), False)
         after = manifest(self.path)
@@ -191,6 +210,7 @@ class ChunkStore:
         for info in fs.get_file_info(pafs.FileSelector(f"{root}/data", allow_not_found=True)):
             if info.base_name not in files:
                 fs.delete_file(info.path)
+        fs.delete_dir_contents(f"{root}/aborted", missing_dir_ok=True)
 
     def search(self, query: Sequence[float], **how: object) -> DataFrame:
         """``vector.nearest`` over the chunks that count."""

@@ -54,6 +54,31 @@ def test_a_failing_job_leaves_nothing(spark, tmp_path):
     assert {r.chunk_key for r in store.current().collect()} == {"a", "b"}
 
 
+def test_an_abort_takes_away_what_killed_and_late_tasks_wrote(spark, tmp_path):
+    """No message names their files; what an earlier batch of the same writer committed stays."""
+    schema = rows(spark).withColumn("deleted", F.lit(False)).schema
+    batch = rows(spark, "a").withColumn("deleted", F.lit(False)).toArrow().to_batches()
+    writer = sink.ChunkStreamWriter(sink._Files({"path": str(tmp_path), "stream": "s"}, schema))
+    writer.commit([writer.write(iter(batch))], 0)
+    before = files(tmp_path)
+    writer.write(iter(batch))
+
+    def late():
+        yield from batch
+        writer.abort([None, None], 1)
+        assert files(tmp_path) == before
+
+    for rest in (late(), iter(batch)):
+        with pytest.raises(InterruptedError):
+            writer.write(rest)
+        assert files(tmp_path) == before == sorted(sink.manifest(str(tmp_path))["files"])
+    again = sink.ChunkStreamWriter(sink._Files({"path": str(tmp_path), "stream": "s"}, schema))
+    again.commit([again.write(iter(batch))], 1)
+    assert len(files(tmp_path)) == 2
+    sink.ChunkStore(spark, str(tmp_path), COLUMNS).compact()
+    assert not os.listdir(tmp_path / "aborted") and len(files(tmp_path)) == 1
+
+
 def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
     options = {"path": str(tmp_path), "stream": "s"}
     schema = rows(spark).withColumn("deleted", F.lit(False)).schema
