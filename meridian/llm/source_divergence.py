@@ -1,7 +1,8 @@
 r"""How the sources of a language differ in their words, by SQL over shards.
 
 Tasks read texts and count terms of their own rows in DuckDB. Counts of one language and term meet in
-one partition, where SQL sums them and keeps the frequent terms. The kept counts are dealt to shards by
+one partition, sorted by a hash of the two, so that SQL sums them and keeps the frequent terms a block
+of whole terms at a time, however large the partition. The kept counts are dealt to shards by
 a hash of language and term, each with all groups' totals; a shard's SQL fills in the terms that a
 group lacks, sums the differences of every two groups of a language, and ranks its own terms. Spark
 adds the shards' sums and ranks once more. What meets by key is never more than counts: a source that
@@ -15,30 +16,36 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SEGMENT, binary_column, discard, segments, table, tidy
+from .shared import binary_column, discard, segments, table, tidy
 
 #: Fixed value: a term is letters A to Z and whatever is beyond ASCII; A-Z are lower-cased before.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows that a task's DuckDB holds before they are summed, and given out if that does not halve them.
+#: Rows that a task's DuckDB holds before they are summed, and given out if three quarters stay.
 HELD = 400_000
+#: Counts of one block of terms.
+BLOCK = 200_000
+#: Bytes of text whose terms are counted at once.
+PART = 1 << 20
 #: Terms times groups of one shard.
 SHARD = 200_000
 
 
 def _session() -> duckdb.DuckDBPyConnection:
     """In memory, one thread, nothing on a local disk."""
-    return duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": "", "preserve_insertion_order": False})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "preserve_insertion_order": False})
 
 
 def _batches(con: duckdb.DuckDBPyConnection, sql: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    yield from con.execute(sql).to_arrow_table().cast(schema).to_batches(max_chunksize=20_000)
+    for batch in con.execute(sql).to_arrow_reader(20_000):
+        yield from pa.Table.from_batches([batch]).cast(schema).to_batches()
 
 
-def _parts(batches: Iterator[pa.RecordBatch], size: int = SEGMENT) -> Iterator[tuple[pa.Table, bool]]:
+def _parts(batches: Iterator[pa.RecordBatch], size: int = PART) -> Iterator[tuple[pa.Table, bool]]:
     """Rows of about ``size`` bytes of text, A-Z lower-cased (``bytes.lower`` touches only these), and whether it is a stretch of one longer text."""
     names, rows, held = ["row", "lang", "source", "text"], [], 0
 
@@ -65,6 +72,12 @@ def _parts(batches: Iterator[pa.RecordBatch], size: int = SEGMENT) -> Iterator[t
 _TERMS = f"SELECT row, lang, source, unnest(regexp_extract_all(text, '{TERM}')) AS term FROM part"
 _SUMS = "SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM met GROUP BY ALL"
 _LISTS = "SELECT lang, term, sum(docs)::BIGINT AS docs, list(source) AS sources, list(n) AS counts FROM met GROUP BY lang, term"
+#: The same of counts that are lists already.
+_LISTS_OF_LISTS = """
+WITH each AS (SELECT lang, term, unnest(sources) AS source, unnest(counts) AS n FROM part), summed AS (SELECT lang, term, source, sum(n)::BIGINT AS n FROM each GROUP BY ALL)
+SELECT d.lang, d.term, d.docs, s.sources, s.counts FROM (SELECT lang, term, sum(docs)::BIGINT AS docs FROM part GROUP BY ALL) d
+JOIN (SELECT lang, term, list(source) AS sources, list(n) AS counts FROM summed GROUP BY ALL) s ON s.lang = d.lang AND s.term = d.term
+"""
 _COUNTS = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 _KEPT = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("first", pa.int64())])
 
@@ -82,13 +95,15 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 con.execute("INSERT INTO met SELECT lang, source, '', 0, count(*) FROM part GROUP BY ALL")
             elif part["row"][0].as_py() >= 0:
                 con.execute(f"INSERT INTO long SELECT lang, source, term, count(*) FROM ({_TERMS}) GROUP BY ALL")
+                if con.execute("SELECT count(*) FROM long").fetchall()[0][0] > HELD:
+                    con.execute("CREATE OR REPLACE TABLE long AS SELECT lang, source, term, sum(n)::BIGINT AS n FROM long GROUP BY ALL")
             else:  # a long text is over: it counts as one document
                 con.execute("INSERT INTO met SELECT lang, source, term, sum(n), 1 FROM long GROUP BY ALL; DELETE FROM long")
                 con.execute("INSERT INTO met SELECT lang, source, '', 0, 1 FROM part")
             con.unregister("part")
             if con.execute("SELECT count(*) FROM met").fetchall()[0][0] > HELD:
                 con.execute(f"CREATE OR REPLACE TABLE met AS {_SUMS}")
-                if con.execute("SELECT count(*) FROM met").fetchall()[0][0] > HELD // 2:
+                if con.execute("SELECT count(*) FROM met").fetchall()[0][0] > HELD * 3 // 4:
                     yield from _batches(con, _LISTS, _COUNTS)
                     con.execute("DELETE FROM met")
         con.execute(f"CREATE OR REPLACE TABLE met AS {_SUMS}")
@@ -103,27 +118,39 @@ def kept_counts(counts: DataFrame, least: int) -> DataFrame:
     """``lang, source, term, n, first``: sums of the terms in at least ``least`` documents of their language; ``first`` is 1
     in one row of each term. The empty term stays for each source."""
 
+    often = f"SELECT lang, term FROM part GROUP BY lang, term HAVING term = '' OR sum(docs) >= {least}"
+    each = f"SELECT lang, term, unnest(sources) AS source, unnest(counts) AS n FROM part SEMI JOIN ({often}) o USING (lang, term)"
+    first = "CASE WHEN term <> '' AND source = min(source) OVER (PARTITION BY lang, term) THEN 1 ELSE 0 END::BIGINT AS first"
+    sums = f"SELECT lang, source, term, n, {first} FROM (SELECT lang, source, term, sum(n)::BIGINT AS n FROM ({each}) GROUP BY ALL)"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _session()
-        con.execute("CREATE TABLE met(lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT); CREATE TABLE seen(lang VARCHAR, term VARCHAR, docs BIGINT)")
-        held = 0
+        held, size = [], 0
+
+        def asked(part: pa.Table, sql: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            con.register("part", part)
+            yield from _batches(con, sql, schema)
+            con.unregister("part")
+
         for batch in batches:
-            if batch.num_rows:
-                part = pa.Table.from_batches([batch])
-                con.register("part", part)
-                con.execute("INSERT INTO seen SELECT lang, term, docs FROM part; INSERT INTO met SELECT lang, unnest(sources), term, unnest(counts) FROM part")
-                con.unregister("part")
-                held += batch.num_rows
-            if held > HELD:
-                con.execute("CREATE OR REPLACE TABLE met AS SELECT lang, source, term, sum(n)::BIGINT AS n FROM met GROUP BY ALL; CREATE OR REPLACE TABLE seen AS SELECT lang, term, sum(docs)::BIGINT AS docs FROM seen GROUP BY ALL")
-                held = 0
-        con.execute(f"CREATE TABLE often AS SELECT lang, term FROM seen GROUP BY lang, term HAVING term = '' OR sum(docs) >= {least}")
-        sums = "SELECT lang, source, term, sum(n)::BIGINT AS n FROM met SEMI JOIN often USING (lang, term) GROUP BY ALL"
-        first = "CASE WHEN term <> '' AND source = min(source) OVER (PARTITION BY lang, term) THEN 1 ELSE 0 END::BIGINT AS first"
-        yield from _batches(con, f"SELECT lang, source, term, n, {first} FROM ({sums})", _KEPT)
+            held.append(batch)
+            size += len(batch.column("sources").flatten())
+            if size > BLOCK:
+                part = pa.Table.from_batches(held)
+                keys = part["key"].to_numpy()
+                last = keys[-1]  # only of its terms can there be more
+                yield from asked(part.slice(0, np.searchsorted(keys, last)), sums, _KEPT)
+                rest = part.filter(pa.array(keys == last))
+                if rest.num_rows > 1:
+                    summed = pa.Table.from_batches(asked(rest, _LISTS_OF_LISTS, _COUNTS), _COUNTS)
+                    rest = summed.append_column("key", pa.array(np.full(summed.num_rows, last))).cast(part.schema)
+                held, size = rest.to_batches(), 0
+        if held:
+            yield from asked(pa.Table.from_batches(held), sums, _KEPT)
         con.close()
 
-    return counts.repartition("lang", "term").mapInArrow(tidy(run), "lang string, source string, term string, n long, first long")
+    sorted_ = counts.repartition("lang", "term").withColumn("key", F.xxhash64("lang", "term")).sortWithinPartitions("key")
+    return sorted_.mapInArrow(tidy(run), "lang string, source string, term string, n long, first long")
 
 
 _SHARE = "1 + (1000000000::HUGEINT * ({count} + 5) // ({total} + 5 * terms))::BIGINT"

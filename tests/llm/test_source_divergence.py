@@ -73,6 +73,22 @@ def test_many_shards_flushes_and_stretches_change_nothing(spark, monkeypatch):
     assert found(table_of(spark, rows), least=3) == expected(rows, 3)
 
 
+def test_blocks_that_end_inside_a_term_change_nothing(spark, monkeypatch):
+    rows = random_rows(random.Random(11), 300) + [("hot " * 50, "en", f"s{i}") for i in range(90)]
+    monkeypatch.setattr(sd, "HELD", 20)
+    monkeypatch.setattr(sd, "BLOCK", 15)
+    assert found(table_of(spark, rows), least=3) == expected(rows, 3)
+
+
+def test_a_large_partition_is_summed_in_little_memory(spark, monkeypatch):
+    small = {"threads": 1, "memory_limit": "24MB", "temp_directory": "", "preserve_insertion_order": False}
+    monkeypatch.setattr(sd, "_session", lambda: duckdb.connect(config=small))
+    monkeypatch.setattr(sd, "BLOCK", 5000, raising=False)
+    each = ["'en' AS lang", "concat('a term of some length ', id % 400000) AS term", "10L AS docs", "array('s', concat('source ', id % 2)) AS sources", "array(1L, 2L) AS counts"]
+    kept = sd.kept_counts(spark.range(0, 1_200_000, 1, 8).selectExpr(*each), 30)
+    assert kept.selectExpr("count(*)", "sum(n)", "sum(first)").first()[:] == (800_000, 3_600_000, 400_000)
+
+
 def test_hard_rows_and_a_top_of_two(spark, hard):
     rows = [(r["text"], r["lang"], r["source"]) for r in hard.collect()]
     assert found(hard, least=2, top=2) == expected(rows, 2, 2)
