@@ -256,6 +256,8 @@ def word_hashes(data: bytes) -> np.ndarray:
 
 #: Bits for each key, and the most 64-bit words of a filter: as rows of a broadcast table some 40 MB.
 KEY_BITS, MOST_WORDS = 16, 1 << 19
+#: Ids, at most, that are broadcast themselves: as many rows as the largest filter has.
+MOST_IDS = 1 << 19
 #: Bits of the largest map that Python workers get.
 MOST_BITS = 1 << 26
 
@@ -360,12 +362,15 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def texts_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``doc_id, text`` of exactly the documents named in the distinct ``ids(doc_id)``, with hardly a text shuffled.
 
-    A first filter lets through all that are named and some others. Those others' ids, found by a join
-    of ids alone, make a second filter under another hash. What passes the first and not the second is
-    named for certain; what passes both, named or not, is joined with the ids. Ids too many for a
-    filter are joined with the texts.
+    Up to ``MOST_IDS`` ids are broadcast, and nothing is written. Of more, a first filter lets through all
+    that are named and some others. Those others' ids, found by a join of ids alone, make a second filter
+    under another hash. What passes the first and not the second is named for certain; what passes both,
+    named or not, is joined with the ids. Ids too many for a filter are joined with the texts.
     """
-    ids = table(ids.where("doc_id is not null").select("doc_id"), "named")
+    ids = ids.where("doc_id is not null").select("doc_id")
+    if ids.count() <= MOST_IDS:
+        return texts(docs).join(F.broadcast(ids), "doc_id", "left_semi")
+    ids = table(ids, "named")
     first = marks(ids)
     if first.rows is None:
         return texts(docs).join(ids, "doc_id", "left_semi")

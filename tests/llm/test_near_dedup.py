@@ -175,6 +175,26 @@ def test_filters_lose_nothing(spark, monkeypatch):
     assert "Python" not in plan and "MapInArrow" not in plan
 
 
+def test_few_ids_pick_texts_without_tables(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("a table is written")
+
+    monkeypatch.setattr(shared, "table", none)
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c"), (None, "n")], "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (2,), (9,), (None,)], "doc_id long")
+    assert sorted(tuple(r) for r in shared.texts_in(docs, ids).collect()) == [(1, "a"), (1, "a"), (2, "")]
+
+
+def test_more_ids_pick_the_same_texts_by_filters(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(3000)] + [(7, "again"), (None, "n")], "doc_id long, text string")
+    ids = spark.range(0, 3000, 7).withColumnRenamed("id", "doc_id").union(spark.createDataFrame([(None,)], "doc_id long"))
+    want = sorted([*range(0, 3000, 7), 7])
+    for ids_, words in ((429, 1024), (428, shared.MOST_WORDS), (428, 1024), (428, 1)):  # 429 ids are just few enough
+        monkeypatch.setattr(shared, "MOST_IDS", ids_)
+        monkeypatch.setattr(shared, "MOST_WORDS", words)
+        assert sorted(r.doc_id for r in shared.texts_in(docs, ids).collect()) == want
+
+
 def test_tables_can_be_deleted(spark):
     made = shared.table(spark.range(5), "gone")
     shared.discard(made)
