@@ -56,6 +56,7 @@ class Adjacency:
 
 
 def bucket_of(node: Column, buckets: int) -> Column:
+    """A node's bucket. Numbers of different types have different ones: a value that is looked up is cast to the nodes' type first."""
     return F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")
 
 
@@ -77,9 +78,9 @@ def write_adjacency(edges: DataFrame, path: str, *, source: str = "source_id", t
 def adjacent(near: Adjacency, frontier: DataFrame, back: bool = False) -> DataFrame:
     """``source, target, kind`` of the edges at the nodes of ``frontier(source)``. The frontier's bucket numbers, at most as
     many as there are buckets, become a filter of folders; its nodes meet the edges in these."""
-    n = near.buckets()
-    numbers = [r[0] for r in frontier.select(bucket_of(F.col("source"), n)).distinct().collect()]
-    some = near.side(back).filter(F.col("bucket").isin(numbers) if numbers else F.lit(False))
+    n, side = near.buckets(), near.side(back)
+    numbers = [r[0] for r in frontier.select(bucket_of(F.col("source").try_cast(side.schema["node"].dataType), n)).distinct().collect()]
+    some = side.filter(F.col("bucket").isin(numbers) if numbers else F.lit(False))
     return some.select(F.col("node").alias("source"), F.col("other").alias("target"), "kind").join(frontier.select("source").distinct(), "source", "left_semi")
 
 
@@ -94,8 +95,9 @@ def walk(edges: DataFrame | Steps | Adjacency, start: object, depth: int = DEPTH
     """
     last = clamp_depth(depth)
     if isinstance(edges, Adjacency):
-        spark = edges.spark
-        first = edges.side(back).filter((F.col("bucket") == bucket_of(F.lit(start), edges.buckets())) & (F.col("node") == F.lit(start)))
+        spark, side = edges.spark, edges.side(back)
+        at = F.lit(start).try_cast(side.schema["node"].dataType)
+        first = side.filter((F.col("bucket") == bucket_of(at, edges.buckets())) & (F.col("node") == F.lit(start)))
         level, step = first.select(F.col("node").alias("source"), F.col("other").alias("target"), "kind"), lambda frontier: adjacent(edges, frontier, back)
     else:
         kept = isinstance(edges, Steps)

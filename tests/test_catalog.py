@@ -157,6 +157,21 @@ def test_adjacency_walks_like_the_edges_and_reads_the_frontiers_buckets(spark, t
     assert len(files) == len(near.side(False).inputFiles()) or len(want) < near.buckets()
 
 
+@pytest.mark.parametrize("kinds", ["source_id long, target_id long, kind string", "source_id int, target_id long, kind string", "source_id long, target_id int, kind string"])
+def test_adjacency_finds_numbers_of_other_types_in_their_buckets(spark, tmp_path, monkeypatch, kinds):
+    """A start is a Python number, and ends of an edge may differ in type: hashes of the same number then do, too."""
+    monkeypatch.setattr(graph, "BUCKET_EDGES", 20)
+    rng = random.Random(6)
+    df = spark.createDataFrame([(rng.randrange(60), rng.randrange(60), rng.choice("ab")) for _ in range(200)], kinds)
+    near = graph.write_adjacency(df, str(tmp_path))
+    assert near.buckets() == 16
+    for start in (7, 8, 1 << 40):
+        for step in (graph.walk, graph.walk_back):
+            want = sorted(map(tuple, step(df, start, 3).collect()))
+            assert bool(want) == (start < 60)
+            assert sorted(map(tuple, step(near, start, 3).collect())) == want
+
+
 def test_walk_equals_chain_of_joins(spark):
     """The walk against the set of all paths, on random graphs with cycles."""
     rng = random.Random(3)
