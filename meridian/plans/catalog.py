@@ -69,15 +69,19 @@ class Tables:
     def documents(self) -> DataFrame:
         return self("documents").select(F.col("doc_id").alias("item_id"), "lang", "source", F.substring_index("text", ".", 1).alias("name"), F.concat_ws(" ", "lang", "source").alias("labels"), F.col("text").alias("body"))
 
-    def posted_documents(self) -> str:
-        """The folder of the documents' postings, written once for each state of the files: the name, size and time of each count."""
+    def documents_state(self) -> tuple:
+        """The documents' files as they are now: the name, size and time of each."""
         files = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         conf, state = self.spark.sparkContext._jsc.hadoopConfiguration(), []
         for name in sorted(self("documents").inputFiles()):
             where = files(name)
             status = where.getFileSystem(conf).getFileStatus(where)
             state.append((name, status.getLen(), status.getModificationTime()))
-        own = (self.spark.sparkContext.applicationId, self.sf_dir, tuple(state))
+        return self.spark.sparkContext.applicationId, self.sf_dir, tuple(state)
+
+    def posted_documents(self) -> str:
+        """The folder of the documents' postings, written once for each state of the files."""
+        own = self.documents_state()
         if own not in _posted:
             path = f"{checkpointed(self.spark)}/meridian-postings-{uuid.uuid4().hex}"
             found = keyword.postings(self.documents(), key="item_id", weights=DOCUMENT_WEIGHTS, filters=("lang",))
@@ -290,6 +294,14 @@ def _keyword(t: Tables, text: str, lang: str | None = "en", limit: int = 50) ->
     return keyword.search_postings(*t.posted("postings", "lengths"), text, key="item_id", filters=filters, weights=DOCUMENT_WEIGHTS, limit=limit)
 
 
+def _keyword_once(t: Tables, text: str, lang: str = "en") -> DataFrame:
+    """The rows of ``_keyword``, from postings if this process has written them, else from two scans of the tokenised documents: the
+    postings of every word take several times the documents' disk, which one search does not pay back."""
+    if t.documents_state() in _posted:
+        return _keyword(t, text, lang)
+    return keyword.search(keyword.index(t.documents(), DOCUMENT_WEIGHTS), text, key="item_id", filters=F.col("lang") == lang, weights=DOCUMENT_WEIGHTS)
+
+
 @query(f"WITH {_bm25_sql(['of the', 'er', 'and'], "lang = 'en'", 50)} SELECT item_id, round(relevance, 6) AS relevance FROM k")
 def keyword_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search without postings, over tokenised columns."""
@@ -359,14 +371,14 @@ _PAGE = "SELECT item_id, round(score, 6) AS score, matched_chunk_types, row_numb
 @query(f"WITH {_bm25_sql(['nder'], "lang = 'en'", 50)}, {_NEAR.format(where='true')}, b AS (SELECT item_id, min(distance) AS distance, string_agg(DISTINCT chunk_type, ',' ORDER BY chunk_type) AS types FROM h GROUP BY item_id), f AS (SELECT coalesce(k.item_id, b.item_id) AS item_id, 0.75e0 * coalesce(greatest(0e0, 1e0 - distance), 0e0) + 0.25e0 * coalesce(relevance / (1e0 + relevance), 0e0) AS score, coalesce(types, '') AS matched_chunk_types FROM k FULL JOIN b ON k.item_id = b.item_id) {_PAGE}")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    found = hybrid.hybrid_search(_keyword(t, "nder"), lambda q: vector.nearest(t.chunks(), q), lambda text: t.query_vector(), "nder")
+    found = hybrid.hybrid_search(_keyword_once(t, "nder"), lambda q: vector.nearest(t.chunks(), q), lambda text: t.query_vector(), "nder")
     return _shown(found)
 
 
 @query(f"WITH {_bm25_sql(['nder'], "lang = 'en'", 50)}, f AS (SELECT item_id, relevance / (1e0 + relevance) AS score, '' AS matched_chunk_types FROM k) {_PAGE}")
 def strict_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return _shown(hybrid.hybrid_search(_keyword(t, "nder"), lambda q: vector.nearest(t.chunks(), q), lambda text: [], "nder", strict=True))
+    return _shown(hybrid.hybrid_search(_keyword_once(t, "nder"), lambda q: vector.nearest(t.chunks(), q), lambda text: [], "nder", strict=True))
 
 
 @query(f"WITH {_NEAR.format(where='label = 3')}, b AS (SELECT item_id, greatest(0e0, 1e0 - min(distance)) AS score FROM h GROUP BY item_id) SELECT item_id, round(CASE WHEN item_id % 5 = 0 THEN least(1e0, score + 0.1e0) ELSE score END, 6) AS score FROM b")

@@ -72,6 +72,21 @@ def test_keyword_queries_read_the_buckets_of_their_words(spark):
     assert scans and all("bucket" in x.partition("PartitionFilters: [")[2].partition("]")[0] and "EqualTo(token,nder)" in x for x in scans)
 
 
+@pytest.mark.parametrize("name", ["hybrid_search", "strict_search"])
+def test_a_single_search_writes_no_index(spark, tmp_path, monkeypatch, name):
+    """Nothing is left in the checkpoint folder; where an index is there, it is read, with the same rows."""
+    spark.read.parquet(f"{DATA}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(catalog, "checkpointed", lambda spark: f"{tmp_path}/kept")
+    scanned = catalog.QUERIES[name](spark, str(tmp_path))
+    rows = scanned.collect()
+    assert rows and not os.path.exists(f"{tmp_path}/kept")
+    assert catalog.QUERIES["keyword_search"](spark, str(tmp_path)).count() > 0
+    posted = catalog.QUERIES[name](spark, str(tmp_path))
+    assert posted.collect() == rows
+    assert ["positions" in x._jdf.queryExecution().executedPlan().toString() for x in (scanned, posted)] == [False, True]
+
+
 def test_every_kind_of_chunk_is_in_the_query(spark):
     kinds = {r[0] for r in catalog.QUERIES["ingested_chunks"](spark, DATA).select("chunk_type").distinct().collect()}
     assert kinds == {"item_core", "item_description", "item_schema", "item_usage", "register_summary"}
